@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import text_slices
+
 #: Rank of "no pair": above any vocabulary.
 NONE = np.int64(1) << 30
 #: Pieces of more bytes than this get a tree of their own.
@@ -175,18 +177,6 @@ class Codec:
         return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
 
 
-def text_groups(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
-    """Slices of a batch that hold about ``most`` characters at most (one text at least)."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        if i > start and held + len(t or "") > most:
-            yield start, i
-            start, held = i, 0
-        held += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Token ids of every whole text and the bytes they decode to.
 
@@ -203,7 +193,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         codec = Codec(path, pattern)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in text_groups(texts, 4_000_000):
+            for a, b in text_slices(texts):
                 ids = codec.encode([t or "" for t in texts[a:b]])
                 decoded = [codec.vocabulary.decode(np.frombuffer(x, "<u4")) for x in ids]
                 whole = [x == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(decoded, texts[a:b], strict=True)]

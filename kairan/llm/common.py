@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Broadcasting is considered only for tables whose counted rows stay under this.
 BROADCAST_ROWS = 200_000
@@ -61,3 +64,35 @@ class Cache(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def text_slices(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Slices of a batch that hold about ``most`` characters at most (one text at least)."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if i > start and held + len(t or "") > most:
+            yield start, i
+            start, held = i, 0
+        held += len(t or "")
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def judged(docs: DataFrame, columns: list[str], make: Callable, fields: str) -> DataFrame:
+    """``docs[columns]`` plus the columns in ``fields`` that a per-task judge makes of the last of ``columns``, a text.
+
+    ``make()`` is called once a task and returns a function from a list of texts to a list of tuples of ``fields``.
+    """
+    kept = docs.select(*columns)
+    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(fields).fields])
+
+    def run(batches):
+        judge, arrow = make(), to_arrow_schema(schema)
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for a, b in text_slices(texts):
+                part, found = batch.slice(a, b - a), list(zip(*judge(texts[a:b]), strict=True))
+                added = [pa.array(x, arrow.field(batch.num_columns + i).type) for i, x in enumerate(found)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], arrow.names)
+
+    return kept.mapInArrow(run, schema)
