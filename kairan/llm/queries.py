@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines
+from . import lines, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document with the forest's verdict."""
+    from .secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from the labels of three quarters of them."""
     from .toxicity import toxicity
@@ -48,6 +55,20 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    from .url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recurrent language-model score of every document, learnt from six sevenths of them, beside a unigram base."""
     from .language_model import held_out_scores
@@ -57,14 +78,18 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_decontamination": op8_decontamination,
+    "op9_url_filter": op9_url_filter,
     "op10_language_model": op10_language_model,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_url_filter": url_filter.SQL,
     "op5_line_dedup": "WITH " + lines.SQL.strip().format(docs="documents") + """
 SELECT doc_id,
   CAST(coalesce(len(list_filter(lines, lambda x: trim(x) <> '')), 0) AS BIGINT) AS n_lines,
