@@ -34,6 +34,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of base spans, and all spans."""
+    from .pii import find_pii, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return find_pii(docs, fit(docs))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learnt from the labels of three quarters of them."""
     from .toxicity import toxicity
@@ -79,6 +87,7 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_byte_bpe": op6_byte_bpe,
