@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
@@ -23,10 +24,10 @@ from .components import components
 WIDTH, PERCENT = 5, 80
 #: Places of the permutations; coordinates a band; bands. At 80 % a pair is missed with probability 5e-6.
 PLACES, ROWS, BANDS = 1 << 20, 6, 40
-#: Rounds that propose one pair a document and bucket before all remaining pairs of a bucket are proposed.
-STAR_ROUNDS = 4
-#: All remaining pairs are proposed at once as soon as they are at most so many for each place in a bucket.
-PAIRS_A_PLACE = 4
+#: Rounds that propose one pair a document and bucket before the remaining pairs of different components are compared.
+STAR_ROUNDS = 2
+#: Pairs of buckets up to this size are joined; larger buckets are compared in blocks of ``BLOCK`` nodes.
+SMALL_BUCKET, BLOCK = 64, 2048
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -149,13 +150,56 @@ def _lead_pairs(places: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("n_shingles").alias("na"), F.col("lead.n_shingles").alias("nb"))
 
 
-def _remaining_pairs(places: DataFrame) -> DataFrame:
-    """All pairs of a bucket that are of different components."""
-    left = places.select("bucket", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"))
-    right = places.select("bucket", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
+def _small_pairs(places: DataFrame, large: DataFrame) -> DataFrame:
+    """All pairs of different components in buckets that aren't ``large``."""
+    small = places.join(large.select("bucket"), "bucket", "left_anti")
+    left = small.select("bucket", F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"))
+    right = small.select("bucket", F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
     return left.join(right, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")))
 
 
+def _large_links(places: DataFrame, large: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of different components in ``large`` buckets (``bucket``, ``n``, ``top``: largest component, ``rest``).
+
+    Nodes outside a bucket's largest component are compared with all its nodes, block by block, inside the tasks: no
+    pair becomes a row, only links do, one a node and component. A pair that shares several buckets is compared in the
+    first of its bands only.
+    """
+    big = places.join(large, "bucket")
+    blocks, parts = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("rest") / BLOCK)
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    at = lambda n: F.pmod(F.xxhash64("node"), n)
+    members = big.select("bucket", "node", "component", at(blocks).alias("block"), span(parts).alias("part"), F.lit(False).alias("asks"))
+    asking = big.filter("component <> top").select("bucket", "node", "component", span(blocks).alias("block"), at(parts).alias("part"), F.lit(True).alias("asks"))
+    rows = members.unionByName(asking).join(bands, "node").join(sets, "node")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask, held = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if not len(ask) or not len(held):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        bucket, keys = pdf["bucket"].iloc[0], np.stack(held["bands"].to_list())
+        items = [np.frombuffer(x, np.uint64) for x in held["items"]]
+        sizes, nodes, parts_ = np.fromiter(map(len, items), np.int64, len(items)), held["node"].to_numpy(), held["component"].to_numpy()
+        out = []
+        for node, part, own, raw in zip(ask["node"], ask["component"], ask["bands"], ask["items"], strict=True):
+            mine = np.frombuffer(raw, np.uint64)
+            same = keys == np.asarray(own)
+            first = keys[np.arange(len(keys)), same.argmax(1)]
+            fits = (sizes * 100 >= len(mine) * percent) & (len(mine) * 100 >= sizes * percent)
+            near = np.flatnonzero(same.any(1) & (first == bucket) & (parts_ != part) & fits)
+            if not len(near):
+                continue
+            joined = np.concatenate([items[i] for i in near])
+            hit = mine[np.minimum(np.searchsorted(mine, joined), len(mine) - 1)] == joined
+            shared = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
+            good = near[100 * shared >= percent * (sizes[near] + len(mine) - shared)]
+            for i in {parts_[i]: i for i in good}.values():
+                out.append((min(node, nodes[i]), max(node, nodes[i])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("bucket", "block", "part").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (least doc_id reachable, itself included), ``kept`` (is that one).
 
@@ -178,22 +222,27 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     for turn in range(STAR_ROUNDS + 1):
         open_places = _open(held, labels, turn)
-        sizes = open_places.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1))).first()
-        if not sizes[0]:
+        parts = open_places.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket")
+        sizes = stored(parts.agg(F.sum("c").alias("n"), F.max_by("component", "c").alias("top"), (F.sum("c") - F.max("c")).alias("rest")), "sizes")
+        large = sizes.filter(F.col("n") > SMALL_BUCKET)
+        if sizes.isEmpty():
             break
-        last = turn == STAR_ROUNDS or sizes[1] <= PAIRS_A_PLACE * sizes[0]
-        pairs = (_remaining_pairs(open_places) if last else _lead_pairs(open_places, turn)).filter(fits).select("a", "b").distinct()
+        last = turn == STAR_ROUNDS or large.isEmpty()
+        pairs = (_small_pairs(open_places, large) if last else _lead_pairs(open_places, turn)).filter(fits).select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        if not pairs.isEmpty():
-            if sets is None:
-                wanted = held.select("node").distinct()
-                mine = base.join(wanted, base["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
-                sets = stored(shingle_sets(mine, width).dropDuplicates(["node", "items"]), "sets")
-            good = stored(confirmed(pairs, sets, percent), "links")
-            links = good if links is None else links.union(good)
+        if sets is None:
+            wanted = held.select("node").distinct()
+            mine = base.join(wanted, base["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
+            sets = stored(shingle_sets(mine, width).dropDuplicates(["node", "items"]), "sets")
+        good = confirmed(pairs, sets, percent)
+        if last and not large.isEmpty():
+            good = good.union(_large_links(open_places, large, nodes.select("node", "bands"), sets, percent))
+        good = stored(good, "links")
+        links = good if links is None else links.union(good)
+        if not good.isEmpty():
             labels = stored(components(links), "labels")
         if last:
             break
