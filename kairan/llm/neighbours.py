@@ -20,10 +20,10 @@ from .common import stored
 
 #: Vectors that fitting and calibration read at most, chosen by hash.
 FIT_VECTORS = 50_000
-#: Branches a node; vectors of all the data that a leaf should hold.
-BRANCHES, LEAF = 8, 48
+#: Branches a node; least vectors of a leaf. Leaves hold half the square root of all vectors: visits and their cost balance.
+BRANCHES, LEAF = 8, 32
 #: Recall that calibration demands on its queries, and their number.
-RECALL, CALIBRATION_QUERIES = 0.97, 200
+RECALL, CALIBRATION_QUERIES = 0.95, 200
 #: Vectors of a leaf that are searched together; larger leaves are dealt to several tasks.
 BLOCK = 4096
 
@@ -135,8 +135,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     total = index.count()
     picked = index.orderBy("key").limit(sample).select("v").toPandas()
     units = _unit(np.array(picked["v"].tolist(), np.float64))
-    # the leaf size within the sample that makes leaves of all the data hold LEAF vectors
-    tree = Tree(units, max(2, LEAF * len(units) // total))
+    # the leaf size within the sample that makes leaves of all the data hold so many vectors
+    leaf = max(LEAF, int(total**0.5 / 2))
+    tree = Tree(units, max(2, leaf * len(units) // total))
     visits = calibrated(tree, units, units[:: max(1, len(units) // CALIBRATION_QUERIES)], k, recall)
     shared = spark.sparkContext.broadcast((tree, visits))
 
@@ -166,11 +167,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
         if not len(left) or not len(right):
             return pd.DataFrame({"q_key": [], "score": [], "ids": []}, dtype=object)
         v, ids, out = np.array(right["v"].tolist(), np.float64), right["ids"].tolist(), []
-        first = np.array([x[0] for x in ids])
-        for key, q in zip(left["q_key"], left["q"], strict=True):
-            s = cosine_rows(np.asarray(q, np.float64), v)
-            best = np.lexsort((first, -s))[: k + 1]
-            out += [(key, float(s[i]), ids[i]) for i in best]
+        first, unit, all_q = np.array([x[0] for x in ids]), _unit(v), np.array(left["q"].tolist(), np.float64)
+        for at in range(0, len(all_q), 256):
+            rough = all_q[at : at + 256] @ unit.T
+            some = np.argpartition(-rough, min(k + 8, len(v) - 1), axis=1)[:, : k + 9]
+            for key, q, near in zip(left["q_key"].iloc[at : at + 256], all_q[at : at + 256], some, strict=True):
+                s = cosine_rows(q, v[near])  # the exact measure, whose last bits a matrix product needn't give
+                best = np.lexsort((first[near], -s))[: k + 1]
+                out += [(key, float(s[i]), ids[near[i]]) for i in best]
         return pd.DataFrame(out, columns=["q_key", "score", "ids"])
 
     found = visits_.groupBy("leaf", "block").cogroup(held.groupBy("leaf", "block")).applyInPandas(search, "q_key string, score double, ids array<long>")
