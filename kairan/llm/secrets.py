@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: A candidate, with up to 48 characters before it; Java's quantifiers are possessive so that long runs stay linear.
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}+"
 CONTEXT = 48
@@ -110,7 +112,7 @@ def find_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str
     Null and empty texts have no candidates; a null id or path stays null; repeated rows repeat; an empty table gives
     no rows; other columns aren't read. Texts are read whole, of any length.
     """
-    found = candidates(docs, id_col, text_col, path_col)
+    found = stored(candidates(docs, id_col, text_col, path_col), "candidates")
     model, groups = fit(weak_labels(found) if findings is None else findings)
     ready = features(found, groups)
     if model is None:
