@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Unicode white space as a character class's content; Java's ``\s`` and Spark's ``trim`` are ASCII only.
 SPACE = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
@@ -27,7 +28,7 @@ REGION_ORDER = ("北海道", "青森", "岩手", "宮城", "秋田", "山形", "
 ROLE_SHORT = (("内閣総理大臣", "総理"), ("内閣官房長官", "官房長官"), ("文部科学", "文科"), ("厚生労働", "厚労"), ("農林水産", "農水"), ("経済産業", "経産"), ("国土交通", "国交"), ("沖縄及び北方問題に関する", "沖縄北方"), ("消費者問題に関する", "消費者"), ("政治倫理の確立及び公職選挙法改正に関する", "政治倫理"), ("大臣政務官", "政務官"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Unicode NFKC; Spark has no function for it."""
     return values.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))

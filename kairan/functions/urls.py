@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from .text import SPACE, squeezed, text, trimmed
 
@@ -18,7 +19,7 @@ ASSET_WEIGHTS = ((r"o-ishin\.jp/member/images/member/", -20), (r"shugiin|sangiin
 BLOCK_REASONS = (("logo", "logo"), ("poster|leaflet|flyer|manifesto|senkyo", "poster"), ("group|集合|allmember|members", "group-photo"), ("text|policy|profile_pdf|pdf", "text-heavy"))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def resolve(urls: pd.Series, bases: pd.Series) -> pd.Series:
     """Relative references with ``../`` against their base; Spark has no function for it."""
     return pd.Series([None if u is None else urljoin(b or "", u) for u, b in zip(urls, bases, strict=True)])

@@ -26,7 +26,7 @@ def diff_snapshots(prev: DataFrame, curr: DataFrame, fields: tuple[str, ...] = F
 
     both = side(prev, "before").join(side(curr, "after"), list(keys), "full_outer")
     differs = [F.when(~F.col(f"before.{f}").eqNullSafe(F.col(f"after.{f}")), F.lit(f)) for f in fields]
-    typed = both.select(*keys, F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed").alias("type"), "before", "after", F.coalesce("after_ord", "before_ord").alias("ord"), F.filter(F.array(*differs), lambda x: x.isNotNull()).alias("fields"))
+    typed = both.select(*keys, F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed").alias("type"), "before", "after", F.coalesce("after_ord", "before_ord").alias("ord"), F.when(F.col("before").isNotNull() & F.col("after").isNotNull(), F.filter(F.array(*differs), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>")).alias("fields"))
     return typed.filter((F.col("type") != "changed") | (F.size("fields") > 0))
 
 

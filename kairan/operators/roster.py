@@ -30,7 +30,7 @@ def normalize_person(df: DataFrame, rules_: str = "app") -> DataFrame:
     number = lambda v: F.when(v == F.floor(v), v.cast("int"))
     ident = F.coalesce(whole("id").cast("long"), F.col("ord") + 1)
     kana = compact(F.coalesce(c("kana", "nameKana", "kanaName"), parts["kana"]))
-    group, role, sub = c("group"), c("role", "title", "post", "position"), c("subRole", "subrole", "detailRole")
+    group, role, sub = c("group"), c("role", "title", "post", "position"), c("subRole", "detailRole")
     images = images_array(*_cols(df, "images")[:1], *_cols(df, "image")[:1])
     base = df.filter(present(F.col("name")).isNotNull())
     keep = [F.col(x) for x in ("target", "ord") if x in df.columns]

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from kairan.functions.text import trimmed
 
-_TEXT = ("name kana nameKana kanaName group party role subRole subrole detailRole title post position district electoralDistrict constituency chamber house image imageSource imageSourceUrl imageStatus profileUrl sourceUrl sourceMode id terms wins electedCount nextElectionYear nextElection electionYear aiGuess").split()
+_TEXT = ("name kana nameKana kanaName group party role subRole detailRole title post position district electoralDistrict constituency chamber house image imageSource imageSourceUrl imageStatus profileUrl sourceUrl sourceMode id terms wins electedCount nextElectionYear nextElection electionYear aiGuess").split()
 #: Superset of all roster columns as text, images as JSON text: one schema, no inference; a field that isn't there is null.
 ROSTER_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in _TEXT] + [T.StructField("images", T.StringType()), T.StructField("imageCandidates", T.StringType())])
 REVIEW_COLUMNS = ("name", "party", "status", "reason", "profileUrl", "currentImage", "imageSource", "imageSourceUrl", "preferredSourceType", "searchHints", "checkedSources", "candidatePageUrls", "notes")
