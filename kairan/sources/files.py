@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kairan.functions.text import trimmed
 
 _TEXT = ("name kana nameKana kanaName group party role subRole detailRole title post position district electoralDistrict constituency chamber house image imageSource imageSourceUrl imageStatus profileUrl sourceUrl sourceMode id terms wins electedCount nextElectionYear nextElection electionYear aiGuess").split()
-#: Superset of all roster columns as text, images as JSON text: one schema, no inference; a field that isn't there is null.
-ROSTER_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in _TEXT] + [T.StructField("images", T.StringType()), T.StructField("imageCandidates", T.StringType())])
+#: Superset of all roster fields, read as text: one list, no inference; a field that isn't there is null.
+ROSTER_FIELDS = (*_TEXT, "images", "imageCandidates")
 REVIEW_COLUMNS = ("name", "party", "status", "reason", "profileUrl", "currentImage", "imageSource", "imageSourceUrl", "preferredSourceType", "searchHints", "checkedSources", "candidatePageUrls", "notes")
 
 
 def read_roster(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """Rows of a JSON array file with ``target`` and ``ord`` (place in the array); unreadable content gives no rows."""
-    raw = spark.read.schema(ROSTER_SCHEMA.add("_bad", T.StringType())).options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad").json(path)
-    rows = raw.select("*", F.monotonically_increasing_id().alias("ord"), F.lit(target).alias("target"))
-    return rows.filter("_bad is null and name is not null").drop("_bad")
+    """Rows of JSON array files with ``target`` and ``ord`` (place in the array); unreadable content gives no rows.
+
+    Elements that aren't objects have no name and go; arrays come as JSON text. A roster file is one row until its
+    array is spread, so files are small (one roster each) and many of them are read side by side.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    items = whole.select(F.posexplode(F.from_json("value", "array<variant>")).alias("ord", "v"))
+    fields = [F.try_variant_get("v", f"$.{n}", "string").alias(n) for n in ROSTER_FIELDS]
+    return items.select(*fields, F.col("ord").cast("long").alias("ord"), F.lit(target).alias("target")).filter("name is not null")
 
 
 def images_array(images, image):
