@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kairan.sources.store import stored
+
 
 def dedup_keep(df: DataFrame, keys: list[str], order: list[str], keep: str = "first") -> DataFrame:
     """One row a key: the first (or last) by ``order``. Spark keeps one row a key in each task before the shuffle."""
@@ -41,17 +43,16 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> Da
     """Row numbers (from 1) within ``keys``, also where one key holds most rows.
 
     Rows are first dealt to ranges of the order; counts of the ranges before give each range its offset, so no task
-    holds a whole key. ``order`` must be total within a key.
+    holds a whole key. ``order`` must be total within a key. The dealt rows are stored: range bounds are sampled, and a
+    lost executor must not lead to other bounds.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *(F.col(k) for k in keys), *order).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part", *keys).orderBy(*order)
-    local = dealt.withColumn("_rn", F.row_number().over(w))
-    sizes = local.groupBy("_part", *keys).agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size") if keys else sizes.withColumn("_g", F.lit(0)).withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size", "_g")
-    joined = local.join(offsets, ["_part", *keys])
-    return joined.withColumn(name, (F.col("_rn") + F.col("_before")).cast("long")).drop("_part", "_rn", "_before")
+    local = stored(dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))), "ranked")
+    sizes = local.groupBy("_part", *keys).agg(F.count("*").alias("_size"))  # a row a range and key
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    return local.join(offsets, ["_part", *keys]).withColumn(name, (F.col("_rn") + F.col("_before")).cast("long")).drop("_part", "_rn", "_before")
 
 
 def balanced_order(df: DataFrame, group: Column, seed: str, id_col: str) -> DataFrame:

@@ -11,6 +11,7 @@ from kairan.functions import memory, rules, text, urls
 from kairan.operators import assets, diff, learning, linking, markup, quality, ranking, roster
 from kairan.plans.base import ASSETS, CURR, GRADES_DUCK, NOW, PEOPLE, PREV, derived, grades
 from kairan.sources import files
+from kairan.sources.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -130,9 +131,6 @@ def name_keys(s, d):
     return people(s, d).select("id", text.compact(n).alias("compacted"), text.plain_name(n).alias("plain"), text.compact_name(n).alias("compact_plain"), text.match_key(n).alias("key1"), text.variant_key(n).alias("variant"), split["kana"].alias("kana"), text.to_hiragana(split["kana"]).alias("hira"))
 
 
-_WIDE = "translate(l_shipmode, '', '')"
-
-
 @query("width_keys", "SELECT o_orderkey, concat('Ab-', cast(o_orderkey AS string), ' x') AS half, concat('Ab', cast(o_orderkey AS string), 'x') AS key2 FROM orders")
 def width_keys(s, d):
     wide = F.concat(F.lit("Ａｂ－"), F.translate(F.col("o_orderkey").cast("string"), "0123456789", "０１２３４５６７８９"), F.lit("　ｘ"))
@@ -548,7 +546,6 @@ def best_parse(s, d):
 
 
 # ---- learning ----------------------------------------------------------------------------------------------------
-_CLAMP = "least(greatest({x}, {a}), {b})"
 _ST = """CASE e.grade WHEN 'again' THEN least(greatest(s.stability * 0.45, 0.15), 3650)
  WHEN 'strong' THEN least(greatest(CASE WHEN s.reps = 0 THEN 1.25 ELSE greatest(s.stability, 0.15) * (2.05 + (11 - s.difficulty) / 10 * 0.95) * (1 + (1 - exp(-greatest((e."at" - s.seen) / 86400000.0, 0) / greatest(s.stability, 0.15))) * 0.35) * (1 + least(s.streak + 1, 8) * 0.08 + 0.12) END, 0.8), 3650)
  WHEN 'hard' THEN least(greatest(greatest(s.stability, 0.15) * (CASE WHEN s.reps = 0 THEN 1.4 ELSE 1.18 + (11 - s.difficulty) / 10 * 0.22 END) * (1 + (1 - exp(-greatest((e."at" - s.seen) / 86400000.0, 0) / greatest(s.stability, 0.15))) * 0.35), 0.25), 3650)
@@ -571,7 +568,7 @@ def _now():
 
 
 def _learners(s, d):
-    return s.range(0, 90).select("id", F.lit("items").alias("target")) if False else grades(s, d).select("id", "target").distinct().filter("id < 90")
+    return grades(s, d).select("id", "target").distinct().filter("id < 90")
 
 
 def _states(s, d):
@@ -658,11 +655,7 @@ def state_backup(s, d):
 # ---- streams -----------------------------------------------------------------------------------------------------
 def _streamed(s: SparkSession, d: str, build, mode: str, name: str) -> DataFrame:
     """Run a stream over the graded events to its end and return all that it wrote."""
-    import tempfile
-    import uuid
-
-    top = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{top.rstrip('/')}/kairan/{name}-{uuid.uuid4().hex}"
+    path = new_path(s, name)
     grades(s, d).write.parquet(f"{path}/in")
     rows = s.readStream.schema(s.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
     def sink(df: DataFrame, epoch: int) -> None:
