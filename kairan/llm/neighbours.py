@@ -92,7 +92,7 @@ class Tree:
 def calibrated(tree: Tree, sample: np.ndarray, queries: np.ndarray, k: int, recall: float) -> int:
     """Leaves to visit: widened until ``recall`` of the queries' true ``k`` nearest in the sample lie in visited leaves."""
     of, total = tree.assign(sample), len(tree.leaves)
-    near = np.argsort(-(queries @ sample.T), axis=1, kind="stable")[:, : k + 1]
+    near = [np.argpartition(-(sample @ q), min(k, len(sample) - 1))[: k + 1] for q in queries]
     orders = [{leaf: i for i, leaf in enumerate(tree.visit(q, total))} for q in queries]
     ranks = np.sort(np.array([[order[of[j]] for j in row] for order, row in zip(orders, near, strict=True)]).ravel())
     return int(min(total, ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))] + 1))
@@ -133,8 +133,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     heads = points.join(index.select("key", "ids", F.col("ids")[0].alias("head")), "key").filter(F.col("id") == F.col("head")).dropDuplicates(["key"]).select("key", "ids", "v")
     index = stored(heads, "index")
     total = index.count()
-    picked = index.orderBy("key").limit(sample).select("v").toPandas()
-    units = _unit(np.array(picked["v"].tolist(), np.float64))
+    picked = index.orderBy("key").limit(sample).select("v").toArrow()["v"].combine_chunks()
+    units = _unit(picked.flatten().to_numpy().reshape(len(picked), -1))
     # the leaf size within the sample that makes leaves of all the data hold so many vectors
     leaf = max(LEAF, int(total**0.5 / 2))
     tree = Tree(units, max(2, leaf * len(units) // total))
