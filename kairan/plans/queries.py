@@ -652,6 +652,80 @@ def state_backup(s, d):
     return files.import_state(files.export_state(kv, "app:"), "app:")
 
 
+# ---- files and pages that Spark derives from the tables ----------------------------------------------------------
+def _json_lines(s, d):
+    """One JSON array a nation: its customers, with a null element and a nameless one."""
+    item = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("group"), F.array(F.lit(" "), F.concat(F.lit("i"), F.col("c_custkey").cast("string"))).alias("images")))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("j")))), lambda x: x["j"])
+    return read(s, d, "customer").groupBy("c_nationkey").agg(F.concat(F.lit('[null,{"name":" "},'), F.array_join(listed, ","), F.lit("]")).alias("value"))
+
+
+@query("roster_files", "SELECT c_name AS name, CASE WHEN c_custkey > 0 THEN c_custkey ELSE 3 END AS id, c_mktsegment AS party, concat('i', c_custkey) AS image FROM customer")
+def roster_files(s, d):
+    path = new_path(s, "rosters")
+    _json_lines(s, d).repartition(4, "c_nationkey").write.partitionBy("c_nationkey").text(path)
+    rows = files.read_roster(s, f"{path}/*/*.txt", "senators")
+    return roster.normalize_person(rows).select("name", "id", "party", F.col("images")[0].alias("image"))
+
+
+@query("differ_rows", "SELECT c_name AS name, concat('i', c_custkey) AS image, c_mktsegment AS role, '' AS party FROM customer")
+def differ_rows(s, d):
+    path = new_path(s, "rosters")
+    _json_lines(s, d).repartition(4, "c_nationkey").write.partitionBy("c_nationkey").text(path)
+    return roster.normalize_person(files.read_roster(s, f"{path}/*/*.txt", "senators"), "diff").select("name", "image", "role", "party")
+
+
+@query("asset_pool", "SELECT concat('P', p_partkey) AS id, concat('https://a.example/p', p_partkey, '_0.jpg') AS image FROM part")
+def asset_pool(s, d):
+    path = new_path(s, "pool")
+    parts = read(s, d, "part").select(F.explode(F.array(F.concat(F.lit(" https://a.example/p"), F.col("p_partkey").cast("string"), F.lit("_0.jpg ")), F.concat(F.lit("https://a.example/p"), F.col("p_partkey").cast("string"), F.lit("_0.jpg")), F.lit(" "))).alias("value"))
+    parts.write.text(path)
+    return files.read_asset_pool(s, path)
+
+
+@query("keyed_sources", "SELECT s_name AS key, CAST(s_nationkey AS BIGINT) AS n FROM supplier WHERE s_suppkey % 5 <> 0")
+def keyed_sources(s, d):
+    path = new_path(s, "keyed")
+    pair = F.concat(F.lit('"'), F.when(F.col("s_suppkey") % 5 == 0, "_").otherwise(""), "s_name", F.lit('": {"n": '), F.col("s_nationkey").cast("string"), F.lit("}"))
+    read(s, d, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(pair), ", "), F.lit("}")).alias("value")).repartition(4, "s_nationkey").write.partitionBy("s_nationkey").text(path)
+    return files.read_keyed_json(s, f"{path}/*/*.txt", "struct<n:long>").select("key", "value.n")
+
+
+@query("published_snapshot", f"SELECT count(*) AS total, count(*) FILTER (image <> '') AS with_image, count(*) FILTER (image = '') AS missing FROM ({ASSETS})")
+def published_snapshot(s, d):
+    return files.publish_snapshot(asset_rows(s, d), new_path(s, "snapshots"), "1")
+
+
+_PAGES = """SELECT s_suppkey AS page_id, concat('https://s.example/', cast(s_nationkey AS string), '/') AS url, concat('<table><tr><th>name</th><th>n</th></tr><tr><td>', s_name, '<table><tr><td>x</td></tr></table></td><td>', cast(s_nationkey AS string), '</td></tr><tr><td>short</td></tr></table><img class="i" src="', CASE WHEN s_suppkey % 3 = 0 THEN 'noimage.png' ELSE concat('p', cast(s_suppkey AS string), '.jpg') END, '" srcset="a.jpg 1x, b', cast(s_suppkey AS string), '.jpg 2x" alt="', s_name, '">') AS html FROM supplier"""
+
+
+def _pages(s, d):
+    return derived(s, d, _PAGES, "supplier")
+
+
+@query("page_images", "SELECT s_suppkey AS page_id, CASE WHEN s_suppkey % 3 = 0 THEN 'noimage.png' ELSE concat('p', s_suppkey, '.jpg') END AS src, concat('https://s.example/', s_nationkey, '/', CASE WHEN s_suppkey % 3 = 0 THEN 'noimage.png' ELSE concat('p', s_suppkey, '.jpg') END) AS picked, concat('b', s_suppkey, '.jpg') AS largest FROM supplier")
+def page_images(s, d):
+    images = markup.extract_images(_pages(s, d)).join(_pages(s, d).select("page_id", "url"), "page_id")
+    return images.select("page_id", "src", urls.pick_src(F.col("src"), F.col("data_src"), sets=[F.col("srcset")], base=F.col("url")).alias("picked"), urls.srcset_last(F.col("srcset")).alias("largest"))
+
+
+@query("page_tables", "SELECT s_suppkey AS page_id, s_name AS name, CAST(s_nationkey AS VARCHAR) AS n FROM supplier")
+def page_tables(s, d):
+    return markup.extract_table(_pages(s, d), ["name", "n"]).select("page_id", F.col("cells")[0].alias("name"), F.col("cells")[1].alias("n"))
+
+
+@query("page_candidates", "SELECT s_suppkey AS page_id, 10 AS score FROM supplier WHERE s_suppkey % 3 <> 0")
+def page_candidates(s, d):
+    images = markup.extract_images(_pages(s, d)).select("page_id", F.concat(F.lit("https://s.example/"), "src").alias("url"), "alt")
+    return assets.page_candidates(images, read(s, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.col("s_name").alias("name"))).select("page_id", "score")
+
+
+@query("decoded_pages", "SELECT CAST(s_suppkey AS VARCHAR) AS path, 'shift_jis' AS charset, concat('議員', s_name) AS text FROM supplier")
+def decoded_pages(s, d):
+    raw = F.concat(F.unhex(F.lit("8b6388f5")), F.encode("s_name", "UTF-8"))  # 議員 in Shift_JIS
+    return markup.decode_best(read(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), raw.alias("content")), ["議員"])
+
+
 # ---- streams -----------------------------------------------------------------------------------------------------
 def _streamed(s: SparkSession, d: str, build, mode: str, name: str) -> DataFrame:
     """Run a stream over the graded events to its end and return all that it wrote."""
