@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, crc_mod, judged, text_slices
+from .common import Cache, crc_mod, judged, stored, text_slices
 
 #: Labelled texts that fitting reads at most, chosen by hash of their ids.
 SAMPLE = 20_000
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.crc32(F.encode(F.col("id").cast("string"), "UTF-8")), "id").limit(sample)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).filter("text is not null")
     rows = texts.join(F.broadcast(chosen), "id").select("y", "text", (F.pmod(F.xxhash64("text"), F.lit(10)) < CALIBRATION).alias("rest"))
-    rows = rows.dropDuplicates(["text"])  # copies are no evidence of their own
+    rows = stored(rows.dropDuplicates(["text"]), "labelled")  # copies are no evidence of their own
     tuned, rows = rows.filter("rest"), rows.filter("not rest")
 
     def count(batches):
