@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests) a fresh local folder."""
+    """``spark.checkpoint.dir`` of the session or its context; where both are unset (tests) a fresh local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
+        context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = context_dir.get() if context_dir.isDefined() else tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
