@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Broadcasting is considered only for tables whose counted rows stay under this.
+from kairan.sources.store import stored  # noqa: F401  for the operators
+
+#: Tables are broadcast only if their counted rows stay under this.
 BROADCAST_ROWS = 200_000
 
 
@@ -24,29 +24,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests) a fresh local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = context_dir.get() if context_dir.isDefined() else tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: lineage ends at files every executor sees."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kairan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a stored table) with a broadcast hint if its counted rows are few, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def crc_mod(column: str, divisor: int):
     """crc32 of the id written as text, modulo ``divisor``; null ids count as text ``""``."""
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % divisor
