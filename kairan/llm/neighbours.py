@@ -24,8 +24,9 @@ FIT_VECTORS = 50_000
 BRANCHES, LEAF = 8, 32
 #: Recall that calibration demands on its queries, and their number.
 RECALL, CALIBRATION_QUERIES = 0.95, 200
-#: Vectors of a leaf that are searched together; larger leaves are dealt to several tasks.
-BLOCK = 4096
+#: Neighbouring leaves are searched together, in bundles of about ``BLOCK`` vectors (``LEAST_BUNDLES`` at least); a bundle
+#: that holds more is dealt to several tasks.
+BLOCK, LEAST_BUNDLES = 4096, 16
 
 
 class Tree:
@@ -139,6 +140,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     leaf = max(LEAF, int(total**0.5 / 2))
     tree = Tree(units, max(2, leaf * len(units) // total))
     visits = calibrated(tree, units, units[:: max(1, len(units) // CALIBRATION_QUERIES)], k, recall)
+    number, parts = len(tree.leaves), max(LEAST_BUNDLES, -(-total // BLOCK))
     shared = spark.sparkContext.broadcast((tree, visits))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,32 +154,43 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
         grown, most = shared.value
         for batch in batches:
             x = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-            ways = [grown.visit(q, most) for q in _unit(x)] if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ways, pa.list_(pa.int64()))], ["key", "v", "leaves"])
+            ways = []
+            for q in _unit(x) if batch.num_rows else []:
+                bundles: dict[int, list[int]] = {}
+                for leaf in grown.visit(q, most):
+                    bundles.setdefault(leaf * parts // number, []).append(leaf)
+                ways.append([{"bundle": b, "leaves": found} for b, found in bundles.items()])
+            kind = pa.list_(pa.struct([("bundle", pa.int64()), ("leaves", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ways, kind)], ["key", "v", "ways"])
 
     placed = stored(index.select("key", "ids", "v").mapInArrow(assign, "key string, ids array<long>, v array<double>, leaf long"), "leaves")
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = placed.withColumn("bundle", F.floor(F.col("leaf") * parts / number).cast("long"))
+    blocks = placed.groupBy("bundle").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     asked = points.filter(is_query(F.col("id"))).select("id", "key").distinct()
-    queries = stored(index.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v").mapInArrow(walk, "key string, v array<double>, leaves array<long>"), "walks")
-    visits_ = queries.select(F.col("key").alias("q_key"), F.col("v").alias("q"), F.explode("leaves").alias("leaf")).join(blocks, "leaf")
-    visits_ = visits_.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
-    held = placed.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).select("leaf", "block", "ids", "v")
+    ways = "key string, v array<double>, ways array<struct<bundle:long,leaves:array<long>>>"
+    queries = stored(index.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v").mapInArrow(walk, ways), "walks")
+    visited = queries.select(F.col("key").alias("q_key"), F.col("v").alias("q"), F.explode("ways").alias("w")).select("q_key", "q", "w.bundle", "w.leaves").join(blocks, "bundle")
+    visited = visited.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    held = placed.join(blocks, "bundle").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))).select("bundle", "block", "leaf", "ids", "v")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"q_key": [], "score": [], "ids": []}, dtype=object)
         v, ids, out = np.array(right["v"].tolist(), np.float64), right["ids"].tolist(), []
-        first, unit, all_q = np.array([x[0] for x in ids]), _unit(v), np.array(left["q"].tolist(), np.float64)
+        first, unit, all_q, leaf = np.array([x[0] for x in ids]), _unit(v), np.array(left["q"].tolist(), np.float64), right["leaf"].to_numpy()
         for at in range(0, len(all_q), 256):
             rough = all_q[at : at + 256] @ unit.T
-            some = np.argpartition(-rough, min(k + 8, len(v) - 1), axis=1)[:, : k + 9]
-            for key, q, near in zip(left["q_key"].iloc[at : at + 256], all_q[at : at + 256], some, strict=True):
+            for row, key, q, seen in zip(rough, left["q_key"].iloc[at : at + 256], all_q[at : at + 256], left["leaves"].iloc[at : at + 256], strict=True):
+                visited_here = np.zeros(number, bool)
+                visited_here[seen] = True
+                mine = np.flatnonzero(visited_here[leaf])
+                near = mine[np.argpartition(-row[mine], min(k + 8, len(mine) - 1))[: k + 9]] if len(mine) else mine
                 s = cosine_rows(q, v[near])  # the exact measure, whose last bits a matrix product needn't give
                 best = np.lexsort((first[near], -s))[: k + 1]
                 out += [(key, float(s[i]), ids[near[i]]) for i in best]
-        return pd.DataFrame(out, columns=["q_key", "score", "ids"])
+        return pd.DataFrame(out, columns=["q_key", "score", "ids"], dtype=None if out else object)
 
-    found = visits_.groupBy("leaf", "block").cogroup(held.groupBy("leaf", "block")).applyInPandas(search, "q_key string, score double, ids array<long>")
+    found = visited.groupBy("bundle", "block").cogroup(held.groupBy("bundle", "block")).applyInPandas(search, "q_key string, score double, ids array<long>")
     # a query's own vector and k others hold its k nearest
     short = found.selectExpr("q_key", "score", "ids", "row_number() over (partition by q_key order by score desc, ids[0]) as n").filter(F.col("n") <= k + 1)
     lists = short.groupBy("q_key").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
