@@ -43,7 +43,7 @@ def test_files_round_trip(spark, tmp_path):
     assert [tuple(r) for r in files.read_keyed_json(spark, str(tmp_path / "k.json"), "struct<notes:string>").select("key", "value.notes").collect()] == [("a", "m")]
     rows = spark.createDataFrame([("n", ['a"b', "c"])], "name string, hints array<string>")
     files.write_review_csv(rows, str(tmp_path / "csv"), ("name", "hints"))
-    assert "".join(p.read_text() for p in (tmp_path / "csv").glob("part-*")).strip().split("\n")[-1] == '"n","a""b | c"'
+    assert '"n","a""b | c"' in "".join(p.read_text() for p in (tmp_path / "csv").glob("part-*")).split("\n")
     snap = spark.createDataFrame([("a", "i"), ("b", "")], "name string, image string")
     assert tuple(files.publish_snapshot(snap, str(tmp_path / "s"), "1").first()) == (2, 1, 1)
     with pytest.raises(Exception):  # noqa: B017
