@@ -2,8 +2,9 @@
 
 The most frequent words have outputs of their own, in classes of like frequency: the network gives the class, then the
 word within it. Rarer words share static classes, within which a word's probability follows its corpus count. The
-network is trained in numpy by backpropagation through windows of ``WINDOW`` words whose state is carried over, and
-scores whole documents the same way. Word counts are taken over all training documents.
+network is trained in numpy by backpropagation through windows of words whose state is carried over, and scores whole
+documents the same way. Word counts and the network are learnt from all training documents: in each of a few rounds,
+tasks train copies of the network on a share of the words each, and the copies' average begins the next round.
 """
 
 from __future__ import annotations
@@ -25,8 +26,15 @@ HEAD_WORDS, CLASS_WORDS = 1024, 32
 #: Static classes of held words that aren't in the head, by frequency; one more is for all rarer words.
 STATIC_CLASSES = 8
 HIDDEN, WINDOW, LANES = 16, 64, 256
-#: Fitting reads so many training documents at most, chosen by crc32 of their ids, and makes so many updates.
-FIT_DOCS, FIT_LANES, FIT_WINDOW, UPDATES = 2_000, 32, 32, 400
+#: Fitting goes once over all training words, in updates of so many lanes at most times window; where that gives fewer
+#: updates than ``UPDATES``, there are fewer lanes (``LEAST_LANES`` at least), then repeated passes.
+FIT_LANES, LEAST_LANES, FIT_WINDOW, UPDATES = 256, 8, 32, 400
+#: Words that a task trains on in a round, about, and rounds at most.
+TASK_WORDS, ROUNDS = 1_000_000, 8
+#: Longer documents are trained on in pieces; a later piece begins with so many words more, which only warm its state up.
+PIECE, WARM = 2_048, 32
+#: Trained copies that a task averages.
+FAN = 32
 
 
 class Lexicon:
@@ -59,6 +67,9 @@ class Lexicon:
         # a rarer word within the last class: (count + 1) / (rare tokens + rare words + 1), the count being joined later
         self.rare_norm = float(np.log10(max(0.0, total - self.counts.sum()) + max(0, distinct - self.rare) + 1))
         self.input = np.where(np.arange(self.rare + 1) < head, np.arange(self.rare + 1), head + self.of - self.head_classes).astype(np.int32)
+        # an id for each input; what an input stands for has one class
+        self.stands = np.zeros(head + STATIC_CLASSES + 1, np.int32)
+        self.stands[self.input[::-1]] = np.arange(self.rare, -1, -1)
 
     def encode(self, found: list[bytes]) -> np.ndarray:
         get, rare = self.ids.get, self.rare
@@ -79,6 +90,15 @@ class Network:
         self.p["cb"][lexicon.empty] = -30.0
         self.hidden, self.last = hidden, last
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.p.values()])
+
+    def load(self, values: np.ndarray) -> None:
+        at = 0
+        for k, x in self.p.items():
+            self.p[k] = values[at : at + x.size].reshape(x.shape)
+            at += x.size
+
     def steps(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
         """States after each of the window's inputs (lanes x time); ``fresh`` marks documents' starts, which zero the state."""
         n, lanes, time = self.hidden, *inputs.shape
@@ -134,30 +154,35 @@ class Network:
         soft *= weight[:, None]
         g["c"], g["cb"] = states.T @ soft, soft.sum(0)
         d = soft @ p["c"].T
-        for c in np.unique(of[of < lexicon.head_classes]):
-            mine = np.flatnonzero(of == c)
-            s = states[mine] @ p["w"][c] + p["wb"][c]
+        order = np.argsort(of.astype(np.int16), kind="stable")
+        ends = np.searchsorted(of[order], np.arange(lexicon.head_classes + 1))
+        by_class, aim, weight, more = states[order], aim[order], weight[order], np.zeros_like(states)
+        for c in np.flatnonzero(np.diff(ends)):
+            mine = slice(ends[c], ends[c + 1])
+            s = by_class[mine] @ p["w"][c] + p["wb"][c]
             s = np.exp(s - s.max(1, keepdims=True))
             s /= s.sum(1, keepdims=True)
-            at = (np.arange(len(mine)), aim[mine] - c * CLASS_WORDS)
+            at = (np.arange(len(s)), aim[mine] - c * CLASS_WORDS)
             loss -= (np.log(s[at] + 1e-12) * weight[mine]).sum()
             s[at] -= 1
-            s *= weight[mine][:, None]
-            g["w"][c], g["wb"][c] = states[mine].T @ s, s.sum(0)
-            d[mine] += s @ p["w"][c].T
+            s *= weight[mine, None]
+            g["w"][c], g["wb"][c] = by_class[mine].T @ s, s.sum(0)
+            more[mine] = s @ p["w"][c].T
+        d[order] += more
         d = d.reshape(time, lanes, n)
-        back = np.zeros((lanes, n), np.float32)
+        back, dx, du, befores = np.zeros((lanes, n), states.dtype), *(np.empty((time, lanes, k * n), states.dtype) for k in (3, 3, 1))
         for t in reversed(range(time)):
             before, rec, z, r, m = trail[t]
             dh = d[t] + back
-            dm, dz = dh * (1 - z), dh * (before - m)
-            am = dm * (1 - m * m)
-            az, ar = dz * z * (1 - z), am * rec[:, 2 * n :] * r * (1 - r)
-            dx = np.concatenate([az, ar, am], 1)
-            du = np.concatenate([az, ar, am * r], 1)
-            np.add.at(g["x"], inputs[:, t], dx)
-            g["h"] += before.T @ du
-            back = (dh * z + du @ p["h"].T) * on[t]
+            am = dh * (1 - z) * (1 - m * m)
+            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dh * (before - m) * z * (1 - z), am * rec[:, 2 * n :] * r * (1 - r), am
+            du[t, :, : 2 * n], du[t, :, 2 * n :], befores[t] = dx[t, :, : 2 * n], am * r, before
+            back = (dh * z + du[t] @ p["h"].T) * on[t]
+        g["h"] = befores.reshape(-1, n).T @ du.reshape(-1, 3 * n)
+        read = inputs.T.ravel().astype(np.int16)
+        order = np.argsort(read, kind="stable")
+        firsts = np.flatnonzero(np.diff(read[order], prepend=-1))
+        g["x"][read[order][firsts]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], firsts, axis=0)
         g["wb"][-1, self.last :] = 0
         return g, last, loss
 
@@ -185,30 +210,144 @@ def _inputs(ids: np.ndarray, starts: np.ndarray, lexicon: Lexicon) -> np.ndarray
     return lexicon.input[np.where(starts, 0, before)]  # a document begins after an end
 
 
-def train(docs: list[np.ndarray], lexicon: Lexicon, updates: int = UPDATES, seed: int = 7) -> Network:
-    """Adam on windows of all lanes side by side; the state is carried from window to window."""
-    net = Network(lexicon, seed=seed)
-    if not docs:
-        return net
-    freq = np.bincount(np.concatenate([lexicon.of[x] for x in docs]), minlength=lexicon.classes) + 1.0
-    net.p["cb"] = np.log(freq / freq.sum()).astype(np.float32)
-    net.p["cb"][lexicon.empty] = -30.0
-    ids, starts, number = packed(docs, FIT_LANES)
-    inputs, m, v, done = _inputs(ids, starts, lexicon), {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
-    while done < updates:
+def pieces(inputs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """A document's inputs in pieces: words that only warm the state up, and the piece with them."""
+    for at in range(0, len(inputs), PIECE):
+        warm = min(at, WARM)
+        yield warm, inputs[at - warm : at + PIECE]
+
+
+def dealt(parts: list[tuple[int, np.ndarray]], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces laid end to end in lanes in their order, each in the shortest lane: inputs, starts, which words count."""
+    lanes = min(lanes, len(parts))
+    ends, places = np.zeros(lanes, np.int64), []
+    for _, x in parts:
+        lane = int(ends.argmin())
+        places.append((lane, int(ends[lane])))
+        ends[lane] += len(x)
+    ids, starts, real = np.zeros((lanes, ends.max()), np.int32), np.zeros((lanes, ends.max()), bool), np.zeros((lanes, ends.max()), bool)
+    for (lane, at), (warm, x) in zip(places, parts, strict=True):
+        ids[lane, at : at + len(x)], starts[lane, at], real[lane, at + warm : at + len(x)] = x, True, True
+    return ids, starts, real
+
+
+class Adam:
+    """A network's parameters with their running moments, as one vector each, and the number of updates made."""
+
+    def __init__(self, values: np.ndarray, m: np.ndarray, v: np.ndarray, done: int):
+        self.values, self.m, self.v, self.done = values, m, v, done
+
+    def update(self, g: np.ndarray) -> None:
+        self.done += 1
+        rate = 0.01 * min(1.0, 20 / self.done + 0.3) * min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-9))
+        self.m += 0.1 * (g - self.m)
+        self.v += 0.01 * (g * g - self.v)
+        self.values -= rate / (1 - 0.9**self.done) * self.m / (np.sqrt(self.v / (1 - 0.99**self.done)) + 1e-6)
+
+
+def train(parts: list[tuple[int, np.ndarray]], lexicon: Lexicon, net: Network, state: Adam, lanes: int, least: int = 0) -> int:
+    """One pass over all pieces (more until ``least`` updates are made), in windows of all lanes side by side.
+
+    The state is carried from window to window. Gives the number of words that count.
+    """
+    ids, starts, real = dealt(parts, lanes)
+    before = np.concatenate([np.zeros((len(ids), 1), np.int32), ids[:, :-1]], 1)
+    inputs, targets = np.where(starts, 0, before), lexicon.stands[ids]
+    ends, until = real.shape[1] - real[:, ::-1].argmax(1), state.done + least
+    while True:
         h = np.zeros((len(ids), net.hidden), np.float32)
         for at in range(0, ids.shape[1], FIT_WINDOW):
             part = slice(at, at + FIT_WINDOW)
-            g, h, _ = net.gradients(inputs[:, part], starts[:, part], ids[:, part], number[:, part] >= 0, h, lexicon)
-            done += 1
-            norm = float(np.sqrt(sum((x * x).sum() for x in g.values())))
-            rate = 0.01 * min(1.0, 20 / done + 0.3) * min(1.0, 1.0 / max(norm, 1e-9))
-            for k in g:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * g[k] * g[k]
-                net.p[k] -= rate * (m[k] / (1 - 0.9**done)) / (np.sqrt(v[k] / (1 - 0.99**done)) + 1e-6)
-            if done >= updates:
-                break
+            live = np.flatnonzero(ends > at)
+            net.load(state.values)
+            g, h[live], _ = net.gradients(inputs[live, part], starts[live, part], targets[live, part], real[live, part], h[live], lexicon)
+            state.update(np.concatenate([g[k].ravel() for k in net.p]))
+        if state.done >= until:
+            net.load(state.values)
+            return int(real.sum())
+
+
+def averaged(rows: Iterator[tuple[int, bytes]]) -> tuple[int, np.ndarray]:
+    """Words and the vectors' mean, weighted by words."""
+    words_, total = 0, 0.0
+    for n, values in rows:
+        total = total + np.frombuffer(values, np.float32).astype(np.float64) * n
+        words_ += n
+    return words_, (total / max(1, words_)).astype(np.float32)
+
+
+def fit(learn: DataFrame, lexicon: Lexicon, shared) -> Network:
+    """The network learnt from all texts of ``learn`` (``doc_id``, ``text``); ``shared`` is the broadcast ``lexicon``.
+
+    Pieces are dealt to rounds and tasks, and ordered there, by hash of their document and place: a long document is
+    spread like many short ones. What a task holds is bounded by ``TASK_WORDS`` on average, and only vectors of the
+    network's size leave it. Tasks average ``FAN`` copies each, the driver averages theirs.
+    """
+    net = Network(lexicon)
+    if not lexicon.total:
+        return net
+    freq = np.bincount(lexicon.of[: lexicon.rare], lexicon.counts, lexicon.classes) + 1.0
+    freq[-1] += max(0.0, lexicon.total - lexicon.counts.sum())
+    net.p["cb"] = np.log(freq / freq.sum()).astype(np.float32)
+    net.p["cb"][lexicon.empty] = -30.0
+    rounds = max(1, min(ROUNDS, lexicon.total // TASK_WORDS))
+    tasks = -(-lexicon.total // (rounds * TASK_WORDS))
+    lanes = max(LEAST_LANES, min(FIT_LANES, lexicon.total // (UPDATES * FIT_WINDOW)))
+    least = UPDATES if rounds * tasks == 1 else 0
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = shared.value[0]
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in text_slices(texts):
+                rows = [((key ^ (i * 0x9E3779B97F4A7C15)) // 64 % rounds, key, i, warm, x.tobytes()) for key, t in zip(keys[a:b], texts[a:b], strict=True) for i, (warm, x) in enumerate(pieces(lex.input[lex.encode(words(t))].astype(np.uint16)))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["round", "key", "piece", "warm", "inputs"])
+
+    # rows that share a null id and a text would otherwise share a key, however many
+    key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()), "text").alias("key")
+    cuts = stored(learn.select(key, "text").mapInArrow(cut, "round int, key long, piece int, warm int, inputs binary"), "lm-pieces")
+    state = Adam(net.flat(), *(np.zeros_like(net.flat()) for _ in range(2)), 0)
+    for k in range(rounds):
+        begin = learn.sparkSession.sparkContext.broadcast(state)
+
+        def run(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
+            lex, now = shared.value[0], begin.value
+            mine, own, seen, held, parts = Network(lex), Adam(now.values.copy(), now.m.copy(), now.v.copy(), now.done), 0, 0, []
+            for batch in batches:
+                for warm, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    parts.append((warm, np.frombuffer(x, np.uint16)))
+                    held += len(parts[-1][1])
+                    if held > 4 * TASK_WORDS:
+                        seen, held, parts = seen + train(parts, lex, mine, own, lanes), 0, []
+            if parts:
+                seen += train(parts, lex, mine, own, lanes, 0 if seen else least)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.done * seen], pa.int64()), pa.array([np.concatenate([own.values, own.m, own.v]).astype(np.float32).tobytes()], pa.binary())], ["n", "done", "vectors"])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done = 0
+
+            def rows():
+                nonlocal done
+                for batch in batches:
+                    for i in range(batch.num_rows):
+                        done += batch.column(1)[i].as_py()
+                        yield batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+
+            n, mean = averaged(rows())
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([done], pa.int64()), pa.array([mean.tobytes()], pa.binary())], ["n", "done", "vectors"])
+
+        schema = "n long, done long, vectors binary"
+        # a copy is 0.8 MB on disk: no more copies than planned, even where the session deals to more partitions
+        copies = cuts.filter(F.col("round") == k).repartition(tasks, "key", "piece").coalesce(tasks).sortWithinPartitions("key", "piece").select("warm", "inputs").mapInArrow(run, schema)
+        copies = copies.repartition(-(-tasks // FAN)).sortWithinPartitions("n", "vectors").mapInArrow(merge, schema)
+        found = copies.collect()
+        begin.unpersist()
+        if found:
+            n, mean = averaged((r["n"], bytes(r["vectors"])) for r in found)
+            state = Adam(*(x.copy() for x in np.split(mean, 3)), sum(r["done"] for r in found) // n)
+    net.load(state.values)
     return net
 
 
@@ -265,18 +404,8 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
     top = counts.orderBy(F.desc("n"), "word").limit(held_words)
     held = [(bytes(r[0]), r[1]) for r in top.toLocalIterator()]
     lexicon = Lexicon(held, ends, total, distinct)
-    sample = learn.orderBy(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), "doc_id").select("doc_id").limit(FIT_DOCS)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared.value[0]
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([lex.encode(words(t.as_py())).tobytes() for t in batch.column(0)], pa.binary())], ["ids"])
-
     shared = spark.sparkContext.broadcast((lexicon, None))
-    chosen = learn.join(F.broadcast(sample.distinct()), "doc_id", "left_semi").select("text").mapInArrow(encode, "ids binary")
-    lists = sorted((bytes(r[0]) for r in chosen.collect()), key=lambda x: (len(x), x))
-    order = np.random.default_rng(7).permutation(len(lists))
-    net = train([np.frombuffer(lists[i], np.int32) for i in order], lexicon)
+    net = fit(learn, lexicon, shared)
     model = spark.sparkContext.broadcast((lexicon, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

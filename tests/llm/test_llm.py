@@ -368,6 +368,26 @@ def test_network_gradients_and_lanes():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_network_reads_all_training_documents(spark, monkeypatch):
+    # more words in long documents than the former 400 updates took, longest first; short ones have a pattern of their own
+    rng = random.Random(15)
+    texts = [*(" ".join(rng.choices([f"w{i}" for i in range(20)], k=1000)) for _ in range(450)), *["ping pong " * 15] * 900]
+    score = lambda: {r["doc_id"]: r["score"] / r["n_tokens"] for r in language_model.score_documents(documents(spark, texts), crc_mod("doc_id", 7) != 2).select("doc_id", "score", "n_tokens").collect()}
+    assert score()[1000] > -0.3
+    monkeypatch.setattr(language_model, "FAN", 2)
+    monkeypatch.setattr(language_model, "TASK_WORDS", 20_000)
+    monkeypatch.setattr(language_model, "ROUNDS", 6)
+    assert score()[1000] > -0.5  # rounds of several tasks, averaged in two steps
+
+
+def test_pieces_hold_each_word_once():
+    docs = [np.arange(1, n + 1, dtype=np.uint16) for n in (1, 5, 60_000, language_model.PIECE, language_model.PIECE + 1)]
+    parts = [x for d in docs for x in language_model.pieces(d)]
+    assert sorted(np.concatenate([x[warm:] for warm, x in parts])) == sorted(np.concatenate(docs))
+    ids, starts, real = language_model.dealt(parts, 16)
+    assert len(ids) == 16 and starts.sum() == len(parts) and sorted(ids[real]) == sorted(np.concatenate(docs))  # whatever the longest
+
+
 # ---- pipeline
 def test_pipeline(spark, tmp_path):
     rng, texts = random.Random(15), [None, "", "solo"]
