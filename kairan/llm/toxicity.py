@@ -86,30 +86,78 @@ def maximal_segments(values: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(r - x)) for x, r, a, b in found]
 
 
+def best_segment(values: np.ndarray, words: list[str], default: float) -> tuple[int, int, float]:
+    """The segment of the greatest sum, where a positive word counts once within it and as ``default`` when repeated.
+
+    Only starts that can still win are kept: a later start whose sum is as great stays ahead of an earlier one.
+    """
+    best, last, at = (0, 0, 0.0), {}, 0
+    sums = np.concatenate([[0.0], np.cumsum(np.minimum(values, 0.0))])
+    starts, held = np.empty(0, np.int64), np.empty(0)
+    for i in np.flatnonzero(values > 0).tolist():
+        held = held + (sums[i] - sums[at])
+        k = int(np.searchsorted(starts, last.get(words[i], -1), "right"))
+        held[:k] += default
+        held[k:] += values[i]
+        first = held[k] if k < len(held) else values[i]
+        ahead = int((held[:k] > max(first, 0.0)).sum())  # sums fall from start to start
+        ahead_too = k + int((held[k:] > values[i]).sum())
+        starts, held = np.concatenate([starts[:ahead], starts[k:ahead_too], [i]]), np.concatenate([held[:ahead], held[k:ahead_too], [values[i]]])
+        last[words[i]], at = i, i + 1
+        if held[0] > best[2] + 1e-12:
+            best = int(starts[0]), i + 1, float(held[0])
+    return best
+
+
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, Cache(model.score)
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float, float]]:
-        """(first token, end, sum, expected number in clean text) of each maximal segment."""
+        """(first token, end, sum, expected number in clean text) of each significant segment, or else of the best one.
+
+        Every token counts at its own place; within a segment a word's evidence counts once. Segments are taken best
+        first, then left and right of it. Each lies within a maximal one of the sums with repeats, which only bound.
+        """
         values = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-        positive = np.flatnonzero(values > 0).tolist()
-        if not positive:
-            return []
-        m, seen = self.model, set()
-        for i in positive:  # a word's evidence counts once a text; repeating it adds none
-            if words[i] in seen:
-                values[i] = m.default
-            seen.add(words[i])
-        return [(a, b, s, m.k * len(words) * math.exp(-m.decay * s)) for a, b, s in maximal_segments(values)]
+        m = self.model
+        expected = lambda s: m.k * len(words) * math.exp(-m.decay * s)
+        found, best = [], None
+        for a, b, bound in sorted(maximal_segments(values), key=lambda x: (-x[2], x[0])):
+            if expected(bound) > SIGNIFICANT and best and best[2] >= bound:
+                break
+            todo = [(a, b)]
+            while todo:
+                a, b = todo.pop()
+                x, y, s = best_segment(values[a:b], words[a:b], m.default)
+                if s <= 0:
+                    continue
+                if not best or s > best[2]:
+                    best = (a + x, a + y, s, expected(s))
+                if expected(s) <= SIGNIFICANT:
+                    found.append((a + x, a + y, s, expected(s)))
+                    todo += [(a, a + x), (a + y, b)]
+        return sorted(found) if found else [best] if best else []
 
     def evidence(self, words: list[str]) -> tuple[float, list[tuple[int, int, float, float]]]:
-        """Sum over significant segments of -log of their expected number, at the least the best segment's."""
+        """Sum over significant segments of -log of their expected number, at the least the best segment's.
+
+        Every significant segment is a passage; for the sum, words that a better segment holds count no more.
+        """
         found = self.segments(words)
-        logs = [-math.log(max(e, 1e-300)) for *_, e in found]
-        strong = [x for x in logs if x >= -math.log(SIGNIFICANT)]
-        best = max(logs, default=0.0)
-        return (sum(strong) if strong else best), [s for s, x in zip(found, logs, strict=True) if x >= -math.log(SIGNIFICANT)]
+        if not found:
+            return 0.0, []
+        strong, least = [x for x in found if x[3] <= SIGNIFICANT], -math.log(SIGNIFICANT)
+        if not strong:
+            return max(0.0, -math.log(max(found[0][3], 1e-300))), []
+        m, counted, total = self.model, set(), 0.0
+        for a, b, s, _ in sorted(strong, key=lambda x: (-x[2], x[0])):
+            own = {w for w in words[a:b] if self.known[w] > 0}
+            s -= sum(self.known[w] - m.default for w in own & counted)
+            log = m.decay * s - math.log(max(m.k * len(words), 1e-300))
+            total += log if log >= least or not counted else 0.0
+            counted |= own
+        return total, strong
 
     def probability(self, evidence: float) -> float:
         z = self.model.bias + self.model.slope * max(-5.0, min(40.0, evidence))

@@ -185,6 +185,23 @@ def test_segments_are_the_maximal_ones():
         assert [(a, b) for a, b, _ in toxicity.maximal_segments(np.array(v))] == brute(v)
 
 
+def test_toxic_passages_of_repeated_words():
+    model = toxicity.Model({"moron": 3.0, "idiot": 3.0, "scum": 3.0, "vermin": 3.0}, default=-0.05)
+    scorer, plain, bad = toxicity.Scorer(model), ["word"] * 300, ["moron", "idiot", "scum", "vermin"]
+    one, two = scorer.evidence([*plain, *bad, *plain]), scorer.evidence([*bad, *plain, *bad])
+    assert [x[:2] for x in one[1]] == [(300, 304)] and [x[:2] for x in two[1]] == [(0, 4), (304, 308)]
+    spread = [w for x in bad for w in [x, *plain]]
+    assert [x[:2] for x in scorer.evidence([*spread, *bad])[1]] == [(len(spread), len(spread) + 4)]
+    assert scorer.evidence(["moron", "word"] * 50)[1] == []  # repeats add nothing within a segment
+    rng = random.Random(16)
+    for _ in range(200):
+        words_ = rng.choices("abcdxyz", k=rng.randint(1, 14))
+        worth = {c: rng.random() * 3 for c in "abcd"} | dict.fromkeys("xyz", -0.7)
+        sums = lambda w: sum(v if v <= 0 or w.index(c) == i else -0.2 for i, c in enumerate(w) for v in [worth[c]])  # noqa: B023, E731
+        most = max([0.0, *(sums(words_[i:j]) for i in range(len(words_)) for j in range(i + 1, len(words_) + 1))])
+        assert abs(toxicity.best_segment(np.array([worth[c] for c in words_]), words_, -0.2)[2] - most) < 1e-9
+
+
 def test_toxicity_on_held_out_texts(spark):
     rng, rows, labels = random.Random(8), [], []
     for i in range(600):
