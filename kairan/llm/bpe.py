@@ -11,20 +11,23 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import SLICE_BYTES, text_slices
 
 #: Rank of "no pair": above any vocabulary.
 NONE = np.int64(1) << 30
 #: Pieces of more bytes than this get a tree of their own.
 SHORT = 256
-#: Pieces remembered by a worker; beyond it the memory is emptied.
-REMEMBERED = 700_000
+#: Bytes of pieces that a task remembers; beyond it the memory is emptied. Longer pieces than ``KEPT`` aren't remembered.
+REMEMBERED, KEPT = 64_000_000, 128
+#: Pieces of texts that are encoded together.
+CHUNK = 100_000
 
 
 class Vocabulary:
@@ -165,16 +168,30 @@ class Codec:
     """Encodes whole texts by a pattern and a vocabulary, remembering the pieces that come up."""
 
     def __init__(self, path: str, pattern: str):
-        self.vocabulary, self.split, self.known = Vocabulary(path), regex.compile(pattern), {}
+        self.vocabulary, self.split, self.known, self.held = Vocabulary(path), regex.compile(pattern), {}, 0
+
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of some pieces."""
+        new = self.vocabulary.encode_pieces(set(pieces).difference(self.known))
+        out = [self.known.get(p) or new[p] for p in pieces]
+        size = sum(len(p) + len(x) + 240 for p, x in new.items() if len(p) <= KEPT)
+        if self.held + size > REMEMBERED:
+            self.known, self.held = {}, 0
+        self.known.update((p, x) for p, x in new.items() if len(p) <= KEPT)
+        self.held += size
+        return out
+
+    def encode(self, text: str) -> Iterator[bytes]:
+        """Ids of a text, ``CHUNK`` pieces at a time: however long the text, few pieces are held as objects."""
+        pieces = map(regex.Match.group, self.split.finditer(text))
+        while part := list(islice(pieces, CHUNK)):
+            yield b"".join(self.ids(part))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.split.findall(t) if t else [] for t in texts]
-        new = set().union(*pieces).difference(self.known) if pieces else set()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = set().union(*pieces)
-        self.known.update(self.vocabulary.encode_pieces(new))
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+    def encode_all(self, texts: list[str]) -> list[Iterator[bytes]]:
+        """Ids of short texts; their pieces are encoded together."""
+        pieces = [self.split.findall(t) for t in texts]
+        ids = iter(self.ids([p for part in pieces for p in part]))
+        return [[b"".join(islice(ids, len(part)))] for part in pieces]
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -185,20 +202,33 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
     A null or empty text has no tokens (digests of no bytes). A null id stays null; repeated rows give repeated
     rows; other columns of ``docs`` are not read, so their names can't clash. An empty table gives no rows.
-    Texts are encoded one by one within a task, without a shuffle; any text length is taken whole.
+    Texts are encoded within a task, without a shuffle; a text of any length is taken whole, in parts of its pieces, so
+    that a task holds a bounded number of pieces, and ids only where they are kept.
     """
     schema = "doc_id long, n_tokens long" + ", ids binary" * keep_ids + ", ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
+    def judge(codec: Codec, text: str, parts: Iterable[bytes]) -> tuple:
+        """Number and digests of ids, and whether they decode to the text, part by part."""
+        size, whole, kept, ids, decoded, raw = 0, True, [], hashlib.sha256(), hashlib.sha256(), text.encode("utf-8", "surrogatepass")
+        at = 0
+        for part in parts:
+            back = codec.vocabulary.decode(np.frombuffer(part, "<u4"))
+            ids.update(part)
+            decoded.update(back)
+            whole = whole and raw.startswith(back, at)
+            size, at = size + len(part) // 4, at + len(back)
+            if keep_ids:
+                kept.append(part)
+        return (size, *([b"".join(kept)] if keep_ids else []), ids.hexdigest(), decoded.hexdigest(), whole and at == len(raw))
+
+    kinds = [pa.int64(), *([pa.binary()] if keep_ids else []), pa.string(), pa.string(), pa.bool_()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path, pattern)
-        for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
-                ids = codec.encode([t or "" for t in texts[a:b]])
-                decoded = [codec.vocabulary.decode(np.frombuffer(x, "<u4")) for x in ids]
-                whole = [x == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(decoded, texts[a:b], strict=True)]
-                columns = [doc_ids[a:b], pa.array([len(x) // 4 for x in ids], pa.int64()), *([pa.array(ids, pa.binary())] if keep_ids else [])]
-                columns += [pa.array([hashlib.sha256(x).hexdigest() for x in y]) for y in (ids, decoded)] + [pa.array(whole, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+        for part in text_slices(batches, 1):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            ids = codec.encode_all(texts) if sum(map(len, texts)) <= SLICE_BYTES else [codec.encode(t) for t in texts]
+            rows = zip(*(judge(codec, t, x) for t, x in zip(texts, ids, strict=True)), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, kind) for x, kind in zip(rows, kinds, strict=True))], [x.split()[0] for x in schema.split(", ")])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)

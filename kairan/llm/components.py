@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 #: Rounds after which a graph that still changes is reported as an error rather than answered wrongly.
 MOST_ROUNDS = 60
@@ -38,6 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), *(F.coalesce(F.sum(F.xxhash64("a", "b", F.lit(i)) % 1_000_000_007), F.lit(0)) for i in (1, 2))).first()
         if state == before or state[0] == 0:
             return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-        before = state
+        before, last = state, now
         now = stored(_star(_star(now, True), False), "edges")
+        release(last)
     raise RuntimeError(f"components still change after {MOST_ROUNDS} rounds")

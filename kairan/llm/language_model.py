@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stored, text_slices, words
+from .common import crc_mod, stored, text_slices, word_parts
 
 #: Words (the most frequent) whose counts every task holds; rarer words' counts are joined.
 HELD_WORDS = 200_000
@@ -33,6 +33,8 @@ FIT_LANES, LEAST_LANES, FIT_WINDOW, UPDATES = 256, 8, 32, 400
 TASK_WORDS, ROUNDS = 1_000_000, 8
 #: Longer documents are trained on in pieces; a later piece begins with so many words more, which only warm its state up.
 PIECE, WARM = 2_048, 32
+#: Bytes of texts that a task scores side by side, and distinct words that it counts before it passes them on.
+SCORED_BYTES, COUNTED = 8_000_000, 300_000
 #: Trained copies that a task averages.
 FAN = 32
 
@@ -71,10 +73,14 @@ class Lexicon:
         self.stands = np.zeros(head + STATIC_CLASSES + 1, np.int32)
         self.stands[self.input[::-1]] = np.arange(self.rare, -1, -1)
 
-    def encode(self, found: list[bytes]) -> np.ndarray:
-        get, rare = self.ids.get, self.rare
-        out = np.fromiter((get(w, rare) for w in found), np.int32, len(found))
-        return np.append(out, np.int32(0))
+    def encode(self, raw: bytes | None, rarer: Counter | None = None) -> np.ndarray:
+        """Ids of an encoded text's words and its end; ``rarer`` counts the words that aren't held."""
+        get, rare, out = self.ids.get, self.rare, []
+        for found in word_parts(raw):
+            out.append(np.fromiter((get(w, rare) for w in found), np.int32, len(found)))
+            if rarer is not None:
+                rarer.update(found[i] for i in np.flatnonzero(out[-1] == rare).tolist())
+        return np.concatenate([*out, np.zeros(1, np.int32)])
 
 
 class Network:
@@ -297,11 +303,9 @@ def fit(learn: DataFrame, lexicon: Lexicon, shared) -> Network:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value[0]
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
-                rows = [((key ^ (i * 0x9E3779B97F4A7C15)) // 64 % rounds, key, i, warm, x.tobytes()) for key, t in zip(keys[a:b], texts[a:b], strict=True) for i, (warm, x) in enumerate(pieces(lex.input[lex.encode(words(t))].astype(np.uint16)))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["round", "key", "piece", "warm", "inputs"])
+        for part in text_slices(batches, 1):
+            rows = [((key ^ (i * 0x9E3779B97F4A7C15)) // 64 % rounds, key, i, warm, x.tobytes()) for key, raw in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()), strict=True) for i, (warm, x) in enumerate(pieces(lex.input[lex.encode(raw.as_py())].astype(np.uint16)))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["round", "key", "piece", "warm", "inputs"])
 
     # rows that share a null id and a text would otherwise share a key, however many
     key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()), "text").alias("key")
@@ -374,17 +378,34 @@ def word_counts(docs: DataFrame) -> DataFrame:
         held: Counter = Counter()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
         for batch in batches:
-            for t in batch.column(0):
-                held.update(words(t.as_py()))
-                if len(held) > 400_000:
-                    yield flush()
-                    held.clear()
+            for raw in batch.column(0).cast(pa.binary()):
+                for found in word_parts(raw.as_py()):
+                    held.update(found)
+                    if len(held) > COUNTED:
+                        yield flush()
+                        held.clear()
         if held:
             yield flush()
 
     return docs.select("text").filter("text is not null").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words and their counts, most frequent first: all of at least some count, ``most`` at most.
+
+    The count comes from a histogram of a few hundred rows, so that no task ever sorts or gathers more words than these.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = {r[0]: r[1] for r in counts.groupBy(step).count().collect()}
+    least, held = max(sizes, default=0) + 1, 0
+    for k in sorted(sizes, reverse=True):
+        if held + sizes[k] > most:
+            break
+        least, held = k, held + sizes[k]
+    found = counts.filter(step >= least).select("word", "n").toArrow()
+    return sorted(zip(found["word"].to_pylist(), found["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
 def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", held_words: int = HELD_WORDS) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens`` long, ``base_score``, ``score`` double.
 
@@ -401,28 +422,23 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
     ends = learn.count()
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = sums[0] + ends, sums[1] + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(held_words)
-    held = [(bytes(r[0]), r[1]) for r in top.toLocalIterator()]
-    lexicon = Lexicon(held, ends, total, distinct)
+    lexicon = Lexicon(frequent(counts, held_words), ends, total, distinct)
     shared = spark.sparkContext.broadcast((lexicon, None))
     net = fit(learn, lexicon, shared)
     model = spark.sparkContext.broadcast((lexicon, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, network = model.value
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in text_slices(texts, 12_000_000):
-                ids, tails = [], []
-                for t in texts[a:b]:
-                    found = words(t)
-                    ids.append(x := lex.encode(found))
-                    tails.append(list(Counter(found[i] for i in np.flatnonzero(x == lex.rare).tolist()).items()))
-                sums = log_likelihoods(ids, network, lex)
-                known = [int((x < lex.rare).sum()) if lex.counts[0] else int(((x < lex.rare) & (x > 0)).sum()) for x in ids]
-                tail = pa.array([[{"word": w, "n": n} for w, n in x] for x in tails], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-                columns = [batch.column(0)[a:b], batch.column(1)[a:b], pa.array([len(x) for x in ids], pa.int64()), pa.array(known, pa.int64()), pa.array([float(lex.base[x].sum()) for x in ids]), pa.array(sums), tail]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "held", "base_part", "part", "tail"])
+        for part in text_slices(batches, 2, SCORED_BYTES):
+            ids, tails = [], []
+            for raw in part.column(2).cast(pa.binary()):
+                tail: Counter = Counter()
+                ids.append(lex.encode(raw.as_py(), tail))
+                tails.append([{"word": w, "n": n} for w, n in tail.items()])
+            sums = log_likelihoods(ids, network, lex)
+            known = [int((x < lex.rare).sum()) if lex.counts[0] else int(((x < lex.rare) & (x > 0)).sum()) for x in ids]
+            columns = [part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(known, pa.int64()), pa.array([float(lex.base[x].sum()) for x in ids]), pa.array(sums), pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "held", "base_part", "part", "tail"])
 
     numbered = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     parts = stored(numbered.mapInArrow(run, "row long, doc_id long, n_tokens long, held long, base_part double, part double, tail array<struct<word:binary,n:long>>"), "lm-parts")

@@ -17,17 +17,20 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, stored, text_slices, words
+from .common import Cache, release, stored, text_slices, word_parts
 from .components import components
 
 #: Words a shingle, and percent of shared shingles from which texts are near-duplicates.
 WIDTH, PERCENT = 5, 80
 #: Places of the permutations; coordinates a band; bands. At 80 % a pair is missed with probability 5e-6.
 PLACES, ROWS, BANDS = 1 << 20, 6, 40
-#: Rounds that propose one pair a document and bucket before the remaining pairs of different components are compared.
-STAR_ROUNDS = 2
-#: Pairs of buckets up to this size are joined; larger buckets are compared in blocks of ``BLOCK`` nodes.
-SMALL_BUCKET, BLOCK = 64, 2048
+#: Rounds at most that propose one pair a document and bucket before what is left is compared in full; in each, the
+#: node whose number is least after this exclusive-or leads its bucket (the least, the greatest, one between).
+LEADS = (0, (1 << 62) - 1, 0x1555555555555555)
+#: All pairs of buckets up to this size are joined; larger buckets are compared in blocks of about so many nodes and bytes.
+SMALL_BUCKET, BLOCK, BLOCK_BYTES = 64, 2048, 16_000_000
+#: Buckets with over this share of all places are hot; there are fewer than its inverse of them, so they are broadcast.
+HOT_SHARE = 1 / 1000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -44,11 +47,12 @@ class Shingler:
     def __init__(self, width: int):
         self.width, self.known = width, Cache(xxhash.xxh64_intdigest)
 
-    def shingles(self, text: str | None) -> np.ndarray:
-        found = words(text)
-        if not found:
+    def shingles(self, raw: bytes | None) -> np.ndarray:
+        get = self.known.__getitem__
+        parts = [np.fromiter(map(get, found), np.uint64, len(found)) for found in word_parts(raw)]
+        if not parts:
             return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
+        h = np.concatenate(parts)
         width = min(self.width, len(h))
         out = np.full(len(h) - width + 1, width, np.uint64)  # a shorter sequence never equals a full shingle
         for i in range(width):
@@ -87,15 +91,16 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(width), Signer()
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
-                sets = [shingler.shingles(t) for t in texts[a:b]]
-                sizes = np.array([len(x) for x in sets], np.int64)
-                keys = [xxhash.xxh128_digest(x.tobytes()) if len(x) else None for x in sets]
-                bands = signer.bands(np.stack([signer.signature(x) for x in sets]))
-                lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sizes), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "bands"])
+        for part in text_slices(batches, 1):
+            sizes, keys, signatures = [], [], []
+            for raw in part.column(1).cast(pa.binary()):
+                x = shingler.shingles(raw.as_py())
+                sizes.append(len(x))
+                keys.append(xxhash.xxh128_digest(x.tobytes()) if len(x) else None)
+                signatures.append(signer.signature(x))
+            bands = signer.bands(np.stack(signatures))
+            lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "bands"])
 
     base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return base.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
@@ -106,10 +111,9 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([shingler.shingles(t).tobytes() for t in texts[a:b]], pa.binary())], ["node", "items"])
+        for part in text_slices(batches, 1):
+            items = [shingler.shingles(raw.as_py()).tobytes() for raw in part.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], ["node", "items"])
 
     return docs.mapInArrow(run, "node long, items binary")
 
@@ -133,21 +137,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _open(held: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Places of buckets that still hold nodes of different components."""
-    if labels is None:
-        return held.withColumn("component", F.col("node"))
-    joined = held.join(labels.withColumnRenamed("component", "found"), "node", "left").withColumn("component", F.coalesce("found", "node")).drop("found")
-    mixed = joined.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    return stored(joined.join(mixed, "bucket"), f"open{turn}")
-
+def _with_bucket(places: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``places`` joined with ``buckets`` (stored; one row a ``bucket``, with its number of places ``n``).
 
-def _lead_pairs(places: DataFrame, turn: int) -> DataFrame:
-    """Each node with one lead of its bucket, the least node or, in later turns, any."""
-    order = F.col("node") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
-    leads = places.groupBy("bucket").agg(F.min_by(F.struct("node", "n_shingles", "component"), order).alias("lead"))
-    met = places.join(leads, "bucket").filter(F.col("component") != F.col("lead.component"))
-    return met.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"), F.col("n_shingles").alias("na"), F.col("lead.n_shingles").alias("nb"))
+    A hot bucket's places would all meet in one task: such buckets' rows go to the places instead.
+    """
+    total = F.broadcast(buckets.agg(F.sum("n").alias("_all")))
+    marked = buckets.crossJoin(total).withColumn("_hot", F.col("n") > F.col("_all") * HOT_SHARE).drop("_all")
+    hot, cold = marked.filter("_hot").drop("_hot"), marked.filter("not _hot").drop("_hot")
+    often = places.join(F.broadcast(hot), "bucket")
+    rest = places.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti").join(cold, "bucket")
+    return often.unionByName(rest)
 
 
 def _small_pairs(places: DataFrame, large: DataFrame) -> DataFrame:
@@ -159,14 +159,17 @@ def _small_pairs(places: DataFrame, large: DataFrame) -> DataFrame:
 
 
 def _large_links(places: DataFrame, large: DataFrame, bands: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of different components in ``large`` buckets (``bucket``, ``n``, ``top``: largest component, ``rest``).
+    """Links of different components in ``large`` buckets.
 
-    Nodes outside a bucket's largest component are compared with all its nodes, block by block, inside the tasks: no
-    pair becomes a row, only links do, one a node and component. A pair that shares several buckets is compared in the
-    first of its bands only.
+    ``large`` has ``bucket``, its nodes ``n`` and bytes of sets ``mass``, its largest component ``top`` and the nodes
+    and bytes outside it, ``rest`` and ``rest_mass``. Nodes outside a bucket's largest component are compared with all
+    its nodes, block by block, inside the tasks: no pair becomes a row, only links do, one a node and component. A pair
+    that shares several buckets is compared in the first of its bands only. Blocks hold about ``BLOCK`` nodes and
+    ``BLOCK_BYTES`` of sets at most, so a task's memory doesn't depend on the texts' lengths.
     """
-    big = places.join(large, "bucket")
-    blocks, parts = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("rest") / BLOCK)
+    big = _with_bucket(places, large)
+    dealt = lambda n, mass: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(mass) / BLOCK_BYTES))
+    blocks, parts = dealt("n", "mass"), dealt("rest", "rest_mass")
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     at = lambda n: F.pmod(F.xxhash64("node"), n)
     members = big.select("bucket", "node", "component", at(blocks).alias("block"), span(parts).alias("part"), F.lit(False).alias("asks"))
@@ -200,7 +203,14 @@ def _large_links(places: DataFrame, large: DataFrame, bands: DataFrame, sets: Da
     return rows.groupBy("bucket", "block", "part").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def _sizes(places: DataFrame) -> DataFrame:
+    """Of each bucket of several components: nodes and bytes of all, of the largest component, and of the others."""
+    parts = places.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("m")).groupBy("bucket")
+    whole = parts.agg(F.sum("c").alias("n"), (8 * F.sum("m")).alias("mass"), F.max_by("component", "c").alias("top"), (F.sum("c") - F.max("c")).alias("rest"), (8 * (F.sum("m") - F.max_by("m", "c"))).alias("rest_mass"))
+    return whole.filter("rest > 0")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (least doc_id reachable, itself included), ``kept`` (is that one).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text of fewer words than ``width`` is one shingle; a
@@ -210,42 +220,58 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     no proposed link between different texts is lost. Ids are taken to be unique: rows that repeat one get an answer
     each; a null doc_id links with nothing (component null, kept true). Other columns aren't read.
     """
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    made: list[DataFrame] = []  # tables that the answer doesn't read
+
+    def hold(df: DataFrame, name: str) -> DataFrame:
+        made.append(stored(df, name))
+        return made[-1]
+
     sketch = stored(sketches(base, width), "sketch")
     usable = sketch.filter("set_key is not null and doc_id is not null")
     classes = stored(usable.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
     nodes = usable.join(classes.select("node", F.col("set_key").alias("key")), (F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("key")))
     places = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = places.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    held = stored(places.join(shared, "bucket"), "buckets")
-    sets = labels = links = tried = None
+    shared = hold(places.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    held = hold(_with_bucket(places, shared).select("bucket", "node", "n_shingles", F.col("node").alias("component")), "buckets")
+    wanted = held.select("node").distinct()
+    mine = base.join(wanted, base["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
+    sets = labels = tried = None
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    for turn in range(STAR_ROUNDS + 1):
-        open_places = _open(held, labels, turn)
-        parts = open_places.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket")
-        sizes = stored(parts.agg(F.sum("c").alias("n"), F.max_by("component", "c").alias("top"), (F.sum("c") - F.max("c")).alias("rest")), "sizes")
-        large = sizes.filter(F.col("n") > SMALL_BUCKET)
+    for turn, mask in enumerate([*LEADS, None]):
+        sizes = hold(_sizes(held), "sizes")
         if sizes.isEmpty():
             break
-        last = turn == STAR_ROUNDS or large.isEmpty()
-        pairs = (_small_pairs(open_places, large) if last else _lead_pairs(open_places, turn)).filter(fits).select("a", "b").distinct()
+        if turn:
+            held = hold(_with_bucket(held, sizes.select("bucket", "n")).drop("n"), "open")
+        large = sizes.filter(F.col("n") > SMALL_BUCKET)
+        last = mask is None or large.isEmpty()
+        if last:
+            pairs = _small_pairs(held, large)
+        else:
+            leads = hold(held.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.lit(mask))).bitwiseXOR(F.lit(mask)).alias("lead")), "leads")
+            met = _with_bucket(held, leads).filter("node <> lead").groupBy("node", "lead").agg(F.first("n_shingles").alias("na"), F.first("component").alias("ca"))
+            led = held.select(F.col("node").alias("lead"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb")).distinct()
+            pairs = met.join(led, "lead").filter("ca <> cb").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"), "na", "nb")
+        pairs = pairs.filter(fits).select("a", "b").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = hold(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         if sets is None:
-            wanted = held.select("node").distinct()
-            mine = base.join(wanted, base["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
-            sets = stored(shingle_sets(mine, width).dropDuplicates(["node", "items"]), "sets")
+            sets = hold(shingle_sets(mine, width).dropDuplicates(["node", "items"]), "sets")
         good = confirmed(pairs, sets, percent)
         if last and not large.isEmpty():
-            good = good.union(_large_links(open_places, large, nodes.select("node", "bands"), sets, percent))
-        good = stored(good, "links")
-        links = good if links is None else links.union(good)
+            good = good.union(_large_links(held, large, nodes.select("node", "bands"), sets, percent))
+        good = hold(good, "links")
         if not good.isEmpty():
-            labels = stored(components(links), "labels")
+            known = good if labels is None else good.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
+            made += [labels] if labels is not None else []
+            labels = stored(components(known), "labels")
+            held = held.join(labels.select("node", F.col("component").alias("found")), "node", "left").withColumn("component", F.coalesce("found", "component")).drop("found")
         if last:
             break
+    release(*made)
     whole = classes.withColumn("component_id", F.col("node"))
     if labels is not None:
         whole = classes.join(labels, "node", "left").withColumn("component_id", F.coalesce("component", "node"))

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import Cache, crc_mod, judged, stored, text_slices
 
+#: Distinct tokens that a task counts before it passes them on.
+COUNTED = 200_000
 #: Labelled texts that fitting reads at most, chosen by hash of their ids.
 SAMPLE = 20_000
 #: Tenths of them that calibrate; the others give the log-odds.
@@ -188,16 +190,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 h.clear()
             return out
 
-        for batch in batches:
-            labels_, texts_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts_):
-                for y, t in zip(labels_[a:b], texts_[a:b], strict=True):
-                    distinct = set(tokens(t))
-                    distinct.update(stem for word in list(distinct) for stem in stems(word))
-                    held[y].update(distinct)
-                    held[y][""] += len(distinct)
-                if len(held[0]) + len(held[1]) > 300_000:
-                    yield emit()
+        for part in text_slices(batches, 1):
+            for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                distinct = set(tokens(t))
+                distinct.update(stem for word in list(distinct) for stem in stems(word))
+                held[y].update(distinct)
+                held[y][""] += len(distinct)
+            if len(held[0]) + len(held[1]) > COUNTED:
+                yield emit()
         if held[0] or held[1]:
             yield emit()
 
