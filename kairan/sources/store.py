@@ -9,11 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session or its context; where both are unset (tests) a fresh local folder."""
+    """``spark.checkpoint.dir`` of the session or its context.
+
+    Where both are unset, a local master (as in tests) gets a fresh folder of its own; a cluster is an error, for its
+    executors wouldn't see the driver's folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = context_dir.get() if context_dir.isDefined() else tempfile.mkdtemp(prefix="spark-")
+        context = spark.sparkContext
+        context_dir = context._jsc.sc().getCheckpointDir()
+        if context_dir.isDefined():
+            found = context_dir.get()
+        elif context.master.startswith("local[") or context.master == "local":
+            found = tempfile.mkdtemp(prefix="spark-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -26,4 +36,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: later steps see the same rows even if executors are lost."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` made and that no later step reads."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "_stored_at", None)):
+            _delete(t.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this library has stored in the shared folder; results that read it must be written by then."""
+    _delete(spark, f"{shared_dir(spark)}/kairan")
