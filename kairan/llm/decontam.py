@@ -17,8 +17,8 @@ from .common import judged, stored
 
 #: Errors allowed, as a share of the item's normalised characters.
 ERROR_RATE = 0.05
-#: Items of fewer normalised characters say nothing about a leak and are not searched.
-LEAST_CHARS = 24
+#: Items of fewer normalised characters allow no error and must stand between word boundaries.
+EXACT_CHARS = 24
 #: Characters of items searched in one pass; more items take more passes.
 PASS_CHARS = 4_000_000
 
@@ -67,7 +67,7 @@ class Finder:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items, self.tree, at = [], ahocorasick.Automaton(), {}
         for item_id, text in items:
-            budget = int(rate * len(text))
+            budget = int(rate * len(text)) if len(text) >= EXACT_CHARS else 0
             number = len(self.items)
             self.items.append((item_id, text, budget, letter_masks(text)))
             for i in range(budget + 1):
@@ -83,9 +83,15 @@ class Finder:
         if not text or not self.items:
             return []
         windows: dict[int, list[list[int]]] = {}
+        out: dict[int, int] = {}
         for end, (length, places) in self.tree.iter(text):
             for number, offset in places:
-                budget, size = self.items[number][2], len(self.items[number][1])
+                item_id, item, budget, _ = self.items[number]
+                size = len(item)
+                if size < EXACT_CHARS:
+                    if (end == size - 1 or text[end - size] == " ") and text[end + 1 : end + 2] in ("", " "):
+                        out[item_id] = 0
+                    continue
                 start = end + 1 - length - offset
                 a, b = max(0, start - budget), start + size + budget
                 found = windows.setdefault(number, [])
@@ -93,7 +99,6 @@ class Finder:
                     found[-1][0], found[-1][1] = min(a, found[-1][0]), max(b, found[-1][1])
                 else:
                     found.append([a, b])
-        out: dict[int, int] = {}
         for number, found in windows.items():
             item_id, item, budget, masks = self.items[number]
             for a, b in found:
@@ -109,7 +114,7 @@ def item_passes(items: DataFrame, item_id: str, item_text: str, pass_chars: int)
     passes = total // pass_chars + 1
     for k in range(passes):
         rows = pairs.filter(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).toLocalIterator()
-        kept = [(r.item_id, t) for r in rows if len(t := normalised(r.text)) >= LEAST_CHARS]
+        kept = [(r.item_id, t) for r in rows if (t := normalised(r.text))]
         if kept or k == 0:
             yield sorted(kept)
 
@@ -117,8 +122,9 @@ def item_passes(items: DataFrame, item_id: str, item_text: str, pass_chars: int)
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", pass_chars: int = PASS_CHARS) -> DataFrame:
     """Pairs of document and test item: ``doc_id`` long, ``item_id`` long, ``errors`` long (least edit distance).
 
-    Texts and items are compared in normalised form (see ``normalised``), whole texts always. Null or empty texts and
-    items shorter than ``LEAST_CHARS`` match nothing; items without id are skipped; a null doc_id comes back null.
+    Texts and items are compared in normalised form (see ``normalised``), whole texts always. An item is found where a
+    passage has at most ``rate`` of the item's length in errors; an item under ``EXACT_CHARS`` where it stands as whole
+    words. Null or empty texts and items (also of mere marks) match nothing; items without id are skipped; a null doc_id comes back null.
     Repeated rows give one pair, with the least errors. Empty tables give no rows. Other columns aren't read.
     """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
