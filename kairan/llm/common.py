@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,6 +51,12 @@ def crc_mod(column: str, divisor: int):
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % divisor
 
 
+def hash_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """About ``most`` rows of ``df`` by hash of ``key``, all if there are fewer: a filter in the scan, not a sort."""
+    total = df.count()
+    return df if total <= most else df.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < int(most / total * (1 << 30)))
+
+
 class Cache(dict):
     """A dictionary that makes missing values and forgets all of them when they hold about ``most`` bytes."""
 

@@ -15,12 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import hash_sample, release, stored
 
-#: Vectors that fitting and calibration read at most, those of the least hashes.
+#: Vectors that fitting and calibration read, about, at most, chosen by hash.
 FIT_VECTORS = 50_000
 #: Branches a node; rounds of k-means a node; vectors a leaf, and vectors of the sample a leaf at least.
 BRANCHES, ROUNDS, LEAF, LEAST_LEAF = 16, 8, 32, 4
@@ -138,11 +138,6 @@ def cosine_rows(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (q * v).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum(1)))
 
 
-def least_hashes(df: DataFrame, key: Column, total: int, most: int) -> DataFrame:
-    """About ``most`` of ``df``'s ``total`` rows, by hash of ``key``: a filter in the scan, not a sort of many rows."""
-    return df if total <= most else df.filter(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 30)) < int(most / total * (1 << 30)))
-
-
 def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, sample: int = FIT_VECTORS) -> DataFrame:
     """``query_id`` long, ``rank`` int (from 1), ``vec_id`` long, ``score`` double: each query's ``k`` nearest by cosine.
 
@@ -168,7 +163,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     ranked = points.dropDuplicates(["key", "id"]).selectExpr("key", "id", "v", "row_number() over (partition by key order by id) as n").filter(F.col("n") <= k + 1)
     index = stored(ranked.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")), "index")
     total = index.count()
-    picked = least_hashes(index, F.col("key"), total, sample).select("v").toArrow()["v"].combine_chunks()
+    picked = hash_sample(index, F.col("key"), sample).select("v").toArrow()["v"].combine_chunks()
     if not len(picked):
         picked = index.limit(sample).select("v").toArrow()["v"].combine_chunks()
     units = _unit(_rows(picked, len(picked)))

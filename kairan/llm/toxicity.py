@@ -3,7 +3,8 @@
 Fitting counts tokens in labelled texts and turns them into log-odds with an informative Dirichlet prior (Monroe,
 Colaresi and Quinn 2008). Scoring adds the log-odds of a text's tokens; the linear-time scan of Ruzzo and Tompa (1999)
 finds every maximal segment; the Karlin-Altschul extreme-value law turns each segment's sum and the text's length into
-an expected number of equally good segments in clean text; the text's evidence is calibrated to a probability.
+an expected number of equally good segments in clean text (the law is fitted to clean texts' best segments); the text's
+evidence is calibrated to a probability.
 """
 
 from __future__ import annotations
@@ -18,20 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, crc_mod, judged, stored, text_slices
+from .common import Cache, crc_mod, hash_sample, judged, stored, text_slices
 
 #: Distinct tokens that a task counts before it passes them on.
 COUNTED = 200_000
-#: Labelled texts that fitting reads at most, chosen by hash of their ids.
+#: Labelled texts that fitting reads, about, at most, chosen by hash of their ids.
 SAMPLE = 20_000
 #: Tenths of them that calibrate; the others give the log-odds.
 CALIBRATION = 3
 #: Tokens with evidence that a model keeps, strongest first.
 LEXICON = 50_000
-#: Tokens count as evidence from this z-score of their log-odds on.
-LEAST_Z = 3.6
-#: ... and from this size on.
-LEAST_ODDS = 1.5
+#: A token's score is its log-odds less so many standard errors, towards 0 (the lower end of a one-sided 90 % interval):
+#: what few texts say counts less, without a gate. Lower scores than the second figure aren't kept.
+SHRINK, LEAST_SCORE = 1.28, 0.2
 #: Characters of the word beginnings that stand in for words too rare for evidence of their own.
 STEMS = range(4, 9)
 #: The Dirichlet prior's pseudo-counts, as a share of all counts: a token's prior is this share of its own count.
@@ -167,13 +167,14 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows, least crc32 of their ids first. Rows without label or text don't count.
+    """Fit on about ``sample`` labelled rows at most, chosen by hash of their ids. Rows without label or text don't count.
 
-    Numbers of distinct texts that hold a token are added up by Spark; only tokens with evidence (``LEXICON`` at most) and sums come to the driver.
+    Numbers of distinct texts that hold a token are added up by Spark; only tokens with evidence (``LEXICON`` at most),
+    sums, and two numbers a calibrating text come to the driver.
     Without rows of both labels the model calls nothing toxic.
     """
     chosen = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("y")).filter("id is not null and y in (0, 1)")
-    chosen = chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.crc32(F.encode(F.col("id").cast("string"), "UTF-8")), "id").limit(sample)
+    chosen = hash_sample(chosen.groupBy("id").agg(F.max("y").alias("y")), F.col("id"), sample)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).filter("text is not null")
     rows = texts.join(F.broadcast(chosen), "id").select("y", "text", (F.pmod(F.xxhash64("text"), F.lit(10)) < CALIBRATION).alias("rest"))
     rows = stored(rows.dropDuplicates(["text"]), "labelled")  # copies are no evidence of their own
@@ -207,12 +208,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior, everything = F.lit(PRIOR) * (F.col("n0") + F.col("n1")), F.lit(PRIOR) * (F.col("t0") + F.col("t1"))
     odds = lambda n, t: F.log((F.col(n) + prior) / (F.col(t) + everything - F.col(n) - prior))
     delta = odds("n1", "t1") - odds("n0", "t0")
-    z = delta / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    scored = counts.crossJoin(total).filter("token <> ''").select("token", "n0", "n1", "t0", "t1", delta.alias("delta"), z.alias("z"))
-    strong = scored.filter((F.abs("z") >= LEAST_Z) & (F.abs("delta") >= LEAST_ODDS)).orderBy(F.desc(F.abs("z")), "token").limit(LEXICON).toPandas()
+    error = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
+    value = F.signum(delta) * (F.abs(delta) - SHRINK * error)
+    scored = counts.crossJoin(total).filter("token <> ''").filter(F.abs(delta) - SHRINK * error > LEAST_SCORE).select("token", "t0", "t1", value.alias("value"))
+    strong = scored.orderBy(F.desc(F.abs("value")), "token").limit(LEXICON).toPandas()
     if not len(strong) or strong["t1"].iloc[0] == 0 or strong["t0"].iloc[0] == 0:
         return Model(bias=-20.0, slope=0.0)
-    model = Model(scores=dict(zip(strong["token"], strong["delta"].astype(float), strict=True)))
+    model = Model(scores=dict(zip(strong["token"], strong["value"].astype(float), strict=True)))
 
     def totals(batches):
         scorer = Scorer(Model(model.scores, default=0.0))
@@ -240,10 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     tops = tuned.select("y", "text").mapInArrow(best, "y long, n long, top double").toPandas()
     clean = tops[(tops.y == 0) & (tops.n > 0)]
-    # P(top > x) = 1 - exp(-k n exp(-x)): k by maximum likelihood of "no segment beyond x" over clean texts
-    beyond = [(x, int((clean.top > x).sum())) for x in (1.0, 2.0, 3.0)]
-    rates = [max(c, 0.5) / max(1, clean.n.sum()) * math.exp(x) for x, c in beyond]
-    model.k = float(np.median(rates))
+    model.decay, model.k = extreme_value(clean.top.to_numpy(float), clean.n.to_numpy(float))
 
     def weigh(batches):
         scorer = Scorer(model)
@@ -256,6 +255,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
+def extreme_value(tops: np.ndarray, sizes: np.ndarray, floor: float = LEAST_SCORE) -> tuple[float, float]:
+    """Decay and k of the law P(best sum > x) = 1 - exp(-k n exp(-decay x)), by maximum likelihood over clean texts.
+
+    A text whose best sum is at most ``floor`` only says that there was nothing beyond. For each decay the best k is
+    known in closed form; decays are tried on a grid. Without a text the law is that of one such sum in 1000 tokens.
+    """
+    if not len(tops):
+        return 1.0, 1e-3
+    found, beyond = (-np.inf, 1.0, 1e-3), tops > floor
+    for decay in np.arange(0.2, 5.01, 0.05):
+        weight = float((sizes * np.exp(-decay * np.maximum(tops, floor))).sum())
+        k = max(float(beyond.sum()), 0.5) / weight
+        found = max(found, (beyond.sum() * math.log(k * decay) - decay * tops[beyond].sum() - k * weight, float(decay), k))
+    return found[1], found[2]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
     """Bias and slope by damped Newton steps, with a ridge that keeps separable data finite."""
     if not len(y) or y.min() == y.max():
