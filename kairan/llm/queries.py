@@ -71,10 +71,11 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host, path, rule and verdict of every page's url."""
-    from .url_filter import judge_urls
+    """Host, path, rule and verdict of every page's url; listed are the pages of four domains."""
+    from .url_filter import judge_urls, listed_pages
 
-    return judge_urls(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, listed_pages(pages))
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

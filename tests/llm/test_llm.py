@@ -322,23 +322,30 @@ def test_leaks(spark):
 # ---- 9: url filter
 def test_urls(spark):
     urls = [None, "", "nothing", "http://X.net/a", "http://net/", "http://a.example.net/en/1?q", "https://example.com/de/x#f", "http://a.org/fr/", "http://a.org", "http://spam-farm.example.org/x", "http://aspam-farm.example.org/x", "http://www.free-bets.example.com/de/1", "x://Ads-Track.example.org?x", "http://e.net"]
-    df = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)] + [(None, urls[3], "")], "page_id long, url string, html string").withColumn("host", F.lit("clash"))
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df).collect()}
-    assert got[0] == got[1] == got[2] == ("", "", None, "allow")
-    assert got[3] == got[None] == ("x.net", "/a", "net/", "block") and got[4] == ("net", "/", "net/", "block")
-    assert got[5] == ("a.example.net", "/en/1", "example.net/en/", "allow") and got[6] == ("example.com", "/de/x", "example.com/de/", "block")
-    assert got[7][2:] == ("org/fr/", "allow") and got[8] == ("a.org", "", None, "allow")
-    assert got[9][3] == "block" and got[10][3] == "allow" and got[11][2:] == ("example.com/de/", "block") and got[12] == ("ads-track.example.org", "", None, "block")
-    assert got[13] == ("e.net", "", None, "allow")
-    assert url_filter.judge_urls(df.limit(0)).count() == 0
+    df = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)] + [(None, urls[3], ""), (3, urls[3], "")], "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    for most in (8_000_000, 8):  # one cascade, and a cascade for each part of the keys
+        rows = url_filter.judge_urls(df, url_filter.listed_pages(df), most_bytes=most).collect()
+        assert len(rows) == len(urls) + 2
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows}
+        assert got[0] == got[1] == got[2] == ("", "", None, "allow")
+        assert got[3] == got[None] == ("x.net", "/a", "net/", "block") and got[4] == ("net", "/", "net/", "block")
+        assert got[5] == ("a.example.net", "/en/1", "example.net/en/", "allow") and got[6] == ("example.com", "/de/x", "example.com/de/", "block")
+        assert got[7][2:] == ("org/fr/", "allow") and got[8] == ("a.org", "", None, "allow")
+        assert got[9][3] == "block" and got[10][3] == "allow" and got[11][2:] == ("example.com/de/", "block") and got[12] == ("ads-track.example.org", "", None, "block")
+        assert got[13] == ("e.net", "", None, "allow")
+    assert url_filter.judge_urls(df.limit(0), url_filter.listed_pages(df)).count() == 0
+    own = spark.createDataFrame([("",), ("a.org",), ("a.org",), (None,), ("not.there/",)], "key string").withColumn("host", F.lit("clash"))
+    assert {r["page_id"] for r in url_filter.judge_urls(df, own).collect() if r["rule"] is None and r["verdict"] == "block"} == {0, 1, 2, 8}
+    assert {r["verdict"] for r in url_filter.judge_urls(df, own.limit(0)).filter("rule is null").collect()} == {"allow"}
 
 
 def test_cascade_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "BITS_A_KEY", 3)
-    keys = spark.range(4000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.col("id") % 3 == 0).alias("listed"))
-    levels = url_filter.build_cascade(keys)
-    assert len(levels) > 2
-    assert keys.filter(url_filter.in_cascade(levels, F.col("key")) != F.col("listed")).count() == 0
+    keys = spark.range(6000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.col("id") % 30 == 0).alias("listed"))
+    for wrong in (1 / 32, 1 / 2):
+        monkeypatch.setattr(url_filter, "WRONG", wrong)
+        levels = url_filter.build_cascade(keys)
+        assert len(levels) > 1 and all(x.size <= 64 * 40 for x in levels)  # no level outgrows the 200 listed keys
+        assert keys.filter(url_filter.in_cascade(levels, F.col("key")) != F.col("listed")).count() == 0
 
 
 # ---- 10: language model
