@@ -108,16 +108,39 @@ def test_secrets(spark):
     rng, texts = random.Random(3), list(EDGES)
     for _ in range(60):
         value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
-        texts.append(f"{sentence(rng, 10)} token = \"{value}\" {sentence(rng, 4)} {'abcdefgh' * 3}")
-    found = secrets.find_secrets(documents(spark, texts, clash=True)).collect()
-    for r in found:
-        assert texts[r["doc_id"]][r["start"] : r["end"]] == r["value"]
+        texts.append(f"é {sentence(rng, 10)} token = \"{value}\" {sentence(rng, 4)} {'abcdefgh' * 3}")
+    texts += [texts[-1], None, "ab" * 50_000 + " end", "key: 'A1b2C3d4E5f6G7h8I9' 日本 " * 2]
+    df = documents(spark, texts, clash=True).withColumn("source", F.when(F.col("doc_id") % 3 > 0, F.col("source")))
+    df = df.union(df.filter("doc_id = 12")).union(df.filter("doc_id = 12").withColumn("doc_id", F.lit(None).cast("long")))
+    found = secrets.find_secrets(df).collect()
+    # every candidate, as a plain search finds it
+    rows = [*enumerate(texts), (12, texts[12]), (None, texts[12])]
+    want = [(i, *m.span(), m.group()) for i, t in rows for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}", t or "")]
+    some = lambda x: (-1 if x[0] is None else x[0], *x[1:])
+    assert sorted(map(some, ((r["doc_id"], r["start"], r["end"], r["value"]) for r in found))) == sorted(map(some, want))
     hexes = [r for r in found if re.fullmatch("[0-9a-f]{40}", r["value"])]
-    assert len(hexes) == 60 and all(r["secret"] for r in hexes)
+    assert len(hexes) == 63 and all(r["secret"] for r in hexes) and all(r["secret"] == (r["probability"] >= 0.5) for r in found)
     assert not any(r["secret"] for r in found if r["value"].isalpha())
     assert secrets.find_secrets(documents(spark, [])).count() == 0
 
 
+def test_secrets_of_labelled_findings(spark):
+    """Trained on labels of one half of the texts, the forest tells secrets from paths and words of the other half."""
+    rng, texts, kind = random.Random(4), [], {}
+    for i in range(400):
+        word = "-".join(rng.choice(["path", "image", "header", "value", "table", "column"]) for _ in range(4))
+        value = "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGH") for _ in range(rng.randint(20, 44)))
+        kind[value], kind[word] = True, False
+        texts.append(f"path {sentence(rng, 5)} value {value if i % 2 else word} header {sentence(rng, 5)} table image column")
+    df = documents(spark, texts)
+    found = secrets.candidates(df)
+    label = F.udf(lambda v: kind[v], "boolean")
+    got = secrets.find_secrets(df, found.filter("doc_id < 200").withColumn("secret", label("value"))).filter("doc_id >= 200").collect()
+    assert len(got) == 200 and sum(r["secret"] == kind[r["value"]] for r in got) >= 195
+    one = found.withColumn("secret", F.lit(True))
+    assert {(r["probability"], r["secret"]) for r in secrets.find_secrets(df, one).collect()} == {(0.0, False)}
+
+
 # ---- 3: personal data
 def plain_spans(t):
     out = [(*m.span(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
