@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import urljoin
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
-from .text import SPACE, squeezed, text, trimmed
+from . import rules
+from .text import SPACE, compact_name, squeezed, text, trimmed
 
 # Patterns of placeholder assets, and weights of asset patterns.
 BAD_ASSET = "noimage|no-image|placeholder|default|dummy|blank|icon|silhouette|avatar|sample|comingsoon|nowprinting|notfound"
@@ -19,17 +16,20 @@ ASSET_WEIGHTS = ((r"o-ishin\.jp/member/images/member/", -20), (r"shugiin|sangiin
 BLOCK_REASONS = (("logo", "logo"), ("poster|leaflet|flyer|manifesto|senkyo", "poster"), ("group|集合|allmember|members", "group-photo"), ("text|policy|profile_pdf|pdf", "text-heavy"))
 
 
-@pandas_udf(StringType())
-def resolve(urls: pd.Series, bases: pd.Series) -> pd.Series:
-    """Relative references with ``../`` against their base; Spark has no function for it."""
-    return pd.Series([None if u is None else urljoin(b or "", u) for u, b in zip(urls, bases, strict=True)])
+def _without_dots(url: Column) -> Column:
+    """A URL whose path's ``.`` and ``..`` are resolved: each ``..`` takes back the folder before it, if there is one."""
+    parts = F.split(F.regexp_extract(url, "(?i)^https?://[^/]+/(.*)$", 1), "/")
+    ends = F.element_at(parts, -1).isin(".", "..")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda out, p: F.when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(p == ".", out).otherwise(F.concat(out, F.array(p))))
+    return F.concat(F.regexp_extract(url, "(?i)^(https?://[^/]+)", 1), F.lit("/"), F.array_join(kept, "/"), F.when(ends & (F.size(kept) > 0), "/").otherwise(""))
 
 
 def normalize_url(col: Column, base: Column | None = None) -> Column:
     """Absolute URL without query, fragment and double slashes in its path; empty if it can't be one.
 
     ``data:``, ``javascript:`` and ``mailto:`` references are empty; ``//host`` takes the base's scheme (https without
-    one), ``/path`` its origin, other relative forms its folder.
+    one), ``/path`` its origin, other relative forms its folder; ``./`` and ``../`` are resolved.
     """
     raw = F.regexp_replace(F.replace(text(col), F.lit("&amp;"), F.lit("&")), rf"^['\"{SPACE}]+|['\"{SPACE}]+$", "")
     bare = F.regexp_replace(raw, "[?#].*$", "")
@@ -44,6 +44,7 @@ def normalize_url(col: Column, base: Column | None = None) -> Column:
         .when(bare.startswith("/"), F.concat(origin, bare))
         .otherwise(F.concat(folder, bare))
     )
+    full = F.when(full.rlike(r"/\.\.?(/|$)"), _without_dots(full)).otherwise(full)
     host, path = F.regexp_extract(full, "(?i)^(https?://[^/]+)(.*)$", 1), F.regexp_extract(full, "(?i)^(https?://[^/]+)(.*)$", 2)
     return F.when(host == "", "").otherwise(F.concat(F.lower(host), F.when(path == "", "/").otherwise(F.regexp_replace(path, "/{2,}", "/"))))
 
@@ -102,3 +103,35 @@ def score_asset(col: Column, weights: Sequence[tuple[str, int]] = ASSET_WEIGHTS)
     for pattern, weight in weights:
         score = score + F.when(low.rlike(pattern), weight).otherwise(0)
     return score
+
+
+def in_text(hay: Column, needle: Column) -> Column:
+    return (needle != "") & F.contains(hay, needle)
+
+
+def score_candidate(table: str, url: Column, alt: Column | None = None, name: Column | None = None, page: Column | None = None, hint: Column | None = None) -> Column:
+    """Score of an asset that stands on a page, by one of the weight tables ``search``, ``roster`` and ``photo``.
+
+    ``search`` and ``roster`` refuse what is no absolute URL (-100), no known kind of image (-15, -10) and, for a
+    search, what looks like anything but a person (-60); both like the person's name in the URL or the alternative
+    text, a search also its first half. ``photo`` only weighs words of all fields together.
+    """
+    fields = {"url": text(url), **{k: text(c) if c is not None else F.lit("") for k, c in (("alt", alt), ("page", page), ("hint", hint))}}
+    fields["all"] = F.concat_ws(" ", fields["url"], fields["alt"], fields["hint"])
+    weights = {"search": rules.SEARCH_WEIGHTS, "roster": rules.ROSTER_WEIGHTS, "photo": rules.PHOTO_WEIGHTS}[table]
+    score = F.lit(0)
+    for field, pattern, weight in weights:
+        score = score + F.when(F.lower(fields[field]).rlike(pattern), weight).otherwise(0)
+    if table == "photo":
+        return score
+    plain = compact_name(name) if name is not None else F.lit("")
+    shown = F.coalesce(F.try_url_decode(F.replace(fields["url"], F.lit("+"), F.lit("%2B"))), fields["url"])
+    image, absolute = F.lower(fields["url"]).rlike(r"\.(jpg|jpeg|png|webp)(\?|$)"), fields["url"].rlike("(?i)^https?://")
+    if table == "roster":
+        score = score + F.when(in_text(shown, plain) | in_text(fields["alt"], plain), 3).otherwise(0)
+        return F.when(~absolute, -100).when(~image, -10).otherwise(score)
+    hay = F.regexp_replace(F.concat_ws(" ", shown, fields["alt"]), r"[\s\-_]", "")
+    family = F.when(plain.rlike("[ァ-ヶ一-龯々]"), F.substring(plain, F.lit(1), F.greatest(F.lit(1), F.floor(F.length(plain) / 2).cast("int")))).otherwise("")
+    score = score + F.when(in_text(hay, plain), 6).otherwise(0) + F.when(in_text(hay, family), 2).otherwise(0)
+    bad = F.lower(F.concat_ws(" ", fields["url"], fields["alt"])).rlike(rules.SEARCH_BAD)
+    return F.when(~absolute, -100).when(bad, -60).when(~image & ~F.lower(fields["url"]).contains("special:filepath"), -15).otherwise(score)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairan.functions import rules
-from kairan.functions.text import squeezed, text
-from kairan.functions.urls import is_bad_asset, score_asset
+from kairan.functions.text import compact_name, squeezed, text
+from kairan.functions.urls import in_text, score_asset, score_candidate
 from kairan.operators.ranking import ranked
 
 
@@ -73,22 +73,14 @@ def quality_summary(df: DataFrame, image: str = "image", status: str = "image_st
     return df.agg(F.count("*").alias("total"), n("ok"), n("review"), n("missing"))
 
 
-def review_reason() -> Column:
-    """Ordered rules on image, image_source, image_source_url, ai_guess."""
-    image, source, page = (F.lower(text(F.col(c))) for c in ("image", "image_source", "image_source_url"))
-    both = F.concat_ws(" ", image, page)
-    return (
-        F.when(~has_asset(), "no_image")
-        .when(both.rlike("diet|kokkai|building|議事堂|parliament|国会議事堂"), "building_image")
-        .when(both.rlike("poster|flyer|leaflet|manifesto|選挙公報|senkyo"), "poster_image")
-        .when(both.rlike(r"youtube|facebook|x\.com|twitter|instagram"), "sns_or_video_thumbnail")
-        .when(F.col("ai_guess"), "estimated_candidate")
-        .when(source.rlike("manual-source-page|manual-direct-image"), "manual_source_page")
-        .when(source.rlike("trusted-fallback"), "trusted_fallback_review")
-        .when(source.rlike("web-fallback"), "needs_manual_check")
-        .when(source.rlike("wikipedia") & both.rlike("geta_zoutei|集合|group|speech|街頭|演説"), "face_too_far")
-        .otherwise("manual_review")
-    )
+def review_reason(table=rules.REVIEW_REASONS) -> Column:
+    """The first reason of ``table`` whose fields fit its pattern (or whose flag is set); ``no_image`` goes before all."""
+    hay = lambda fields: F.lower(F.concat_ws(" ", *(text(F.col(c)) for c in fields)))
+    out = F.when(~has_asset(), "no_image")
+    for name, fields, pattern in table:
+        out = out.when(hay(fields).rlike(pattern) if fields else F.col(pattern), name)
+    far = hay(("image_source",)).rlike("wikipedia") & hay(("image", "image_source_url")).rlike(rules.FAR_PATTERN)
+    return out.when(far, rules.FAR_REASON).otherwise("manual_review")
 
 
 def review_list(df: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -113,6 +105,17 @@ def scan_report(pages: DataFrame, cands: DataFrame) -> DataFrame:
     return pages.select("page_id").join(counts, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_candidates"))
 
 
+def scan_totals(report: DataFrame, rows: DataFrame, status: str = "image_status", failed: str | None = None) -> DataFrame:
+    """One row: ``pages``, ``scanned`` (those that didn't fail), ``candidates``, ``applied``, ``review``, ``missing``.
+
+    ``report`` is a ``scan_report``, with a column ``failed`` if pages can fail; ``rows`` have the status after matching.
+    """
+    read = ~F.coalesce(F.col(failed), F.lit(False)) if failed else F.lit(True)
+    pages = report.agg(F.count("*").alias("pages"), F.count_if(read).alias("scanned"), F.coalesce(F.sum(F.when(read, F.col("n_candidates"))), F.lit(0)).alias("candidates"))
+    n = lambda name, value: F.count_if(text(F.col(status)) == value).alias(name)
+    return pages.crossJoin(rows.agg(n("applied", "ok"), n("review", "review"), n("missing", "missing")))  # a row each
+
+
 def source_state(log: DataFrame, entities: DataFrame, sources: tuple[str, ...] = rules.SOURCE_ORDER) -> DataFrame:
     """``entity``, ``sources_remain``: some source of the list isn't known as not found by its latest state."""
     latest = log.filter(F.col("source").isin(*sources)).groupBy("entity", "source").agg(F.max_by("state", F.struct("at", "state")).alias("state"))
@@ -131,11 +134,15 @@ def search_worklist(df: DataFrame, suffixes: tuple[str, str, str] = (" 衆議院
     return numbered.select("index", F.col("_name").alias("name"), *(F.concat("_name", F.lit(s)).alias(n) for n, s in zip(("query", "query_alt1", "query_alt2"), suffixes, strict=True)))
 
 
-def page_candidates(images: DataFrame, names: DataFrame, page_weight: Column | int = 0) -> DataFrame:
-    """Images of pages scored for a name: pattern weights + page weight + 6 if the name stands in url or alt; above 0 only."""
+def page_candidates(images: DataFrame, names: DataFrame, page_weight: Column | int = 0, page: Column | None = None, hint: str | None = None) -> DataFrame:
+    """Images of pages scored for a name, above 0 only: the search table's score and the page's weight.
+
+    The name in URL or text gives 3 more, a ``meta`` image and a page about members 1 more each.
+    """
     joined = images.join(names, "page_id")
+    hints = F.col(hint) if hint else F.lit("")
     hay = F.regexp_replace(F.concat_ws(" ", "url", "alt"), r"[\s\-_]", "")
-    named = F.when((F.col("name") != "") & F.contains(hay, F.col("name")), 6).otherwise(0)
-    shape = F.when(F.lower("url").rlike(r"\.(jpg|jpeg|png|webp)(\?|$)"), 4).otherwise(-15)
-    score = shape + named - F.when(is_bad_asset(F.col("url")), 60).otherwise(0) + page_weight
-    return joined.withColumn("score", score).filter("score > 0")
+    more = F.when(in_text(hay, compact_name(F.col("name"))), 3).otherwise(0) + F.when(hints == "meta", 1).otherwise(0)
+    more = more + (F.when(F.lower(page).rlike("member|profile|politician|giin"), 1).otherwise(0) if page is not None else F.lit(0))
+    first = score_candidate("search", F.col("url"), F.col("alt"), F.col("name"), page, hints) + page_weight
+    return joined.withColumn("score", F.when(first > 0, first + more)).filter("score > 0")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from kairan.functions.memory import DAY, STATE, apply_grade, forgetting_score, is_mastered, recall
-from kairan.operators.ranking import seeded
+from kairan.functions.memory import DAY, STATE, apply_grade, forgetting_score, is_mastered, recall, step
+from kairan.operators.ranking import ranked, seeded
 
+#: Recent ids that are broadcast, at most (counted first).
+BROADCAST_IDS = 100_000
 KEYS = ("user_id", "mode", "target", "id")
 
 
@@ -23,24 +28,51 @@ def replay(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 
 
 def trail(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """One row an event: ``at``, ``seq``, ``grade``, ``before`` and ``after`` states."""
-    kind = f"array<struct<at:long,seq:long,grade:string,state:{STATE}>>"
-    folded = F.aggregate("steps", F.array().cast(kind), lambda acc, e: F.concat(acc, F.array(F.struct(e["at"].cast("long").alias("at"), e["seq"].cast("long").alias("seq"), e["grade"].alias("grade"), apply_grade(F.try_element_at(acc, F.lit(-1))["state"], e["grade"], e["at"]).alias("state"))).cast(kind)))
-    out = history(events, keys).select(*keys, folded.alias("t"))
-    out = out.select(*keys, "t", F.posexplode("t").alias("pos", "e"))
-    return out.select(*keys, "e.at", "e.seq", "e.grade", F.when(F.col("pos") > 0, F.get("t", F.col("pos") - 1)["state"]).alias("before"), F.col("e.state").alias("after"))
+    """One row an event: ``keys``, ``at``, ``seq``, ``grade``, ``before`` and ``after`` states.
 
+    Each item's events are folded once, in order, in time linear in their number; ties of (at, seq) go by grade.
+    """
+    state = T.StructType.fromDDL(STATE[len("struct<") : -1].replace(":", " "))
+    kinds = [events.schema[k] for k in keys]
+    schema = T.StructType([*kinds, *T.StructType.fromDDL("at long, seq long, grade string").fields, T.StructField("before", state), T.StructField("after", state)])
+
+    def fold(rows: pa.Table) -> pa.Table:
+        rows, arrow = rows.sort_by([("at", "ascending"), ("seq", "ascending"), ("grade", "ascending")]), to_arrow_schema(schema)
+        states: list[dict | None] = [None]
+        for grade, at in zip(rows["grade"].to_pylist(), rows["at"].to_pylist(), strict=True):
+            states.append(step(states[-1], grade, at))
+        columns = [rows[f.name] for f in list(schema)[:-2]] + [pa.array(x, arrow.field("after").type) for x in (states[:-1], states[1:])]
+        return pa.Table.from_arrays([c.cast(f.type) if isinstance(c, pa.ChunkedArray) else c for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    chosen = events.select(*keys, F.col("at").cast("long").alias("at"), F.col("seq").cast("long").alias("seq"), "grade")
+    return chosen.groupBy(*keys).applyInArrow(fold, schema)
+
+
+def _folded(events: DataFrame, keys: tuple[str, ...], fields: dict[str, Column], change) -> DataFrame:
+    """``keys`` and ``out``, a struct that begins as ``fields`` and that ``change(out, before, grade, after)`` updates.
+
+    Only the state and the struct are carried from grade to grade.
+    """
+    begin = F.struct(F.lit(None).cast(STATE).alias("state"), F.struct(*(v.alias(k) for k, v in fields.items())).alias("out"))
+
+    def grade(acc, e):
+        after = apply_grade(acc["state"], e["grade"], e["at"])
+        return F.transform(F.array(after), lambda s: F.struct(s.alias("state"), F.struct(*(v.alias(k) for k, v in change(acc["out"], acc["state"], e["grade"], s).items())).alias("out")))[0]
 
-def lifetime_stats(graded: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
-    """Played, correct, wrong, and steps into mastered and into leech, from a ``trail``."""
-    into = lambda s: F.count_if((F.col("after.status") == s) & ~F.coalesce(F.col("before.status") == s, F.lit(False)))
-    return graded.groupBy(*keys).agg(F.count("*").alias("played"), F.count_if(F.col("grade") != "again").alias("correct"), F.count_if(F.col("grade") == "again").alias("wrong"), into("mastered").alias("mastered"), into("leech").alias("leech"))
+    return history(events, keys).select(*keys, F.aggregate("steps", begin, grade)["out"].alias("out"))
 
 
-def _joined(people: DataFrame, states: DataFrame) -> DataFrame:
-    """Every person for every learner of the same target, with the state if there is one."""
-    learners = states.select("user_id", "mode", "target").distinct()
-    return learners.join(people.select("target", "id").distinct(), "target").join(states, ["user_id", "mode", "target", "id"], "left")
+def lifetime_stats(events: DataFrame, keys: tuple[str, ...] = ("user_id",), item: tuple[str, ...] = KEYS) -> DataFrame:
+    """Played, correct, wrong, and steps into mastered and into leech: folded to counters an item, then added up."""
+    names, zero = ("played", "correct", "wrong", "mastered", "leech"), F.lit(0).cast("long")
+    into = lambda before, after, s: (after["status"] == s) & ~F.coalesce(before["status"] == s, F.lit(False))
+
+    def change(out, before, grade, after):
+        hits = {"played": F.lit(True), "correct": grade != "again", "wrong": grade == "again", "mastered": into(before, after, "mastered"), "leech": into(before, after, "leech")}
+        return {k: out[k] + F.when(hits[k], 1).otherwise(0).cast("long") for k in names}
+
+    counted = _folded(events, item, dict.fromkeys(names, zero), change)
+    return counted.groupBy(*keys).agg(*(F.sum(f"out.{k}").alias(k) for k in names))
 
 
 def progress_summary(people: DataFrame, states: DataFrame, now: Column) -> DataFrame:
@@ -80,17 +112,19 @@ def miss_memory(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return events.filter(F.col("grade").isin("hard", "again")).groupBy(*keys).agg(F.count("*").alias("miss_count"), F.max("at").alias("last_miss_at"))
 
 
-def mastered_wrong_sets(graded: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """``in_mastered`` and ``in_wrong`` after all grades: the last decisive step of each item counts.
+def mastered_wrong_sets(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """``in_mastered`` and ``in_wrong`` after all grades of each item.
 
     Mastered follows the last status; wrong is set by again or a leech, cleared by good from two in a row on; other
     grades (strong too) leave it.
     """
-    add = (F.col("grade") == "again") | (F.col("after.status") == "leech")
-    action = F.when(add, True).when((F.col("grade") == "good") & (F.col("after.consecutive") >= 2), False)
-    when = F.struct("at", "seq")
-    last = graded.groupBy(*keys).agg(F.max_by(F.col("after.status") == "mastered", when).alias("in_mastered"), F.max_by(action, F.when(action.isNotNull(), when)).alias("in_wrong"))
-    return last.withColumn("in_wrong", F.coalesce("in_wrong", F.lit(False)))
+
+    def change(out, before, grade, after):
+        wrong = F.when((grade == "again") | (after["status"] == "leech"), True).when((grade == "good") & (after["consecutive"] >= 2), False).otherwise(out["in_wrong"])
+        return {"in_mastered": after["status"] == "mastered", "in_wrong": wrong}
+
+    none = dict.fromkeys(("in_mastered", "in_wrong"), F.lit(False))
+    return _folded(events, keys, none, change).select(*keys, "out.in_mastered", "out.in_wrong")
 
 
 def order_by_risk(states: DataFrame, now: Column, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
@@ -104,21 +138,52 @@ def restrict(rows: DataFrame, ids: DataFrame, cols: list[str]) -> DataFrame:
     return rows.join(ids.select(*cols).distinct(), cols, "left_semi")
 
 
+def _unseen(learners: DataFrame, roster: DataFrame, taken: DataFrame, start: Column, most: int) -> DataFrame:
+    """``user_id``, ``target``, ``id``: for each learner the first ``most`` people of a numbered roster not ``taken``.
+
+    ``roster`` has target, id and ``_pos`` (from 0) of ``_n`` people of the target; a learner reads it as a ring from
+    ``start``. Only the learner's own taken people are counted, in the ring's order: the k-th of them stands at k or
+    beyond, and where it first stands beyond is a free place. No learner meets the whole roster.
+    """
+    sizes = roster.groupBy("target").agg(F.first("_n").alias("_n"))
+    ring = learners.join(F.broadcast(sizes), "target").withColumn("_start", F.pmod(start, F.col("_n")))
+    own = taken.select("user_id", "target", "id").distinct().join(roster.select("target", "id", "_pos"), ["target", "id"]).join(ring.drop("_n"), ["user_id", "target"]).join(F.broadcast(sizes), "target")
+    placed = own.withColumn("_at", F.pmod(F.col("_pos") - F.col("_start"), F.col("_n")))
+    ahead = placed.withColumn("_ahead", F.col("_at") - F.row_number().over(Window.partitionBy("user_id", "target").orderBy("_at")) + 1)
+    free = ahead.groupBy("user_id", "target").agg(*(F.count_if(F.col("_ahead") <= k).alias(f"_free{k}") for k in range(most)))
+    wanted = ring.join(free, ["user_id", "target"], "left").withColumn("_at", F.explode(F.array(*(F.coalesce(f"_free{k}", F.lit(0)) + k for k in range(most)))))
+    wanted = wanted.filter(F.col("_at") < F.col("_n")).select("user_id", "target", F.pmod(F.col("_at") + F.col("_start"), F.col("_n")).alias("_pos"))
+    return wanted.join(roster.select("target", "id", "_pos"), ["target", "_pos"]).select("user_id", "target", "id")
+
+
 def next_items(people: DataFrame, states: DataFrame, asked: DataFrame, recent: DataFrame, now: Column, mode: str = "normal", seed: str = "0") -> DataFrame:
     """``user_id``, ``id``, ``bucket``: each learner's next item.
 
     Items the learner was asked are out. Buckets are recent, leech, due, upcoming, fresh and mastered; which is asked
     follows the count of asked items mod 20, in review leech, due, upcoming; one of a bucket's two or three riskiest
-    is picked by seed. A bucket keeps its first three only, before the join of learners and buckets.
+    is picked by seed. Learners are those with a state; they join only people they have seen. A fresh person is the
+    first unseen one from a seeded place of the target's seeded order, an unseen recent one the first by id: both are
+    found from the learner's own history, so that learners x people is never built.
     """
     s = F.col("state")
-    base = _joined(people, states).join(asked.select("user_id", "id").distinct(), ["user_id", "id"], "left_anti")
-    flagged = base.join(recent.select("id").distinct().withColumn("_recent", F.lit(True)), "id", "left").withColumn("_recent", F.coalesce("_recent", F.lit(False)))
+    roster = people.select("target", "id").distinct()
+    news = recent.select("id").distinct()
+    learners = states.select("user_id", "target").distinct()
+    asked_ = asked.select("user_id", "id").distinct()
+    seen = states.select("user_id", "target", "id", "state").join(roster, ["target", "id"], "left_semi")
+    seen = seen.join(asked_, ["user_id", "id"], "left_anti").join(F.broadcast(news.withColumn("_recent", F.lit(True))) if news.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else news.withColumn("_recent", F.lit(True)), "id", "left").withColumn("_recent", F.coalesce("_recent", F.lit(False)))
     risk = F.round(forgetting_score(s, now), 9)
     soon = (s["due"] - now <= F.lit(float(DAY)) * F.least(F.greatest(s["stability"], F.lit(1.0)), F.lit(7.0))) | (risk >= 0.55)
-    kind = F.when(s.isNull(), F.when(F.col("_recent"), "none").otherwise("fresh")).when(is_mastered(s, now), "mastered").when(s["status"] == "leech", "leech").when(s["due"] <= now, "due").when(soon, "upcoming").otherwise("none")
-    placed = flagged.withColumns({"risk": risk, "kind": kind})
-    buckets = placed.withColumn("bucket", F.explode(F.filter(F.array(F.col("kind"), F.when(F.col("_recent") & (F.col("kind") != "mastered"), F.lit("recent"))), lambda b: b.isNotNull() & (b != "none"))))
+    kind = F.when(is_mastered(s, now), "mastered").when(s["status"] == "leech", "leech").when(s["due"] <= now, "due").when(soon, "upcoming").otherwise("none")
+    placed = seen.withColumns({"risk": risk, "kind": kind})
+    known = placed.withColumn("bucket", F.explode(F.filter(F.array(F.col("kind"), F.when(F.col("_recent") & (F.col("kind") != "mastered"), F.lit("recent"))), lambda b: b.isNotNull() & (b != "none")))).select("user_id", "id", "risk", "bucket")
+    taken = states.select("user_id", "target", "id").unionByName(learners.join(asked_, "user_id"))
+    numbered = lambda df, order: ranked(df, ["target"], [*order, F.col("id").asc()], "_pos").withColumn("_pos", F.col("_pos") - 1).join(F.broadcast(df.groupBy("target").agg(F.count("*").alias("_n"))), "target")
+    others = numbered(roster.join(news, "id", "left_anti").withColumn("_h", seeded(seed, "id")), [F.col("_h").asc()])
+    fresh = _unseen(learners, others, taken, F.xxhash64(F.lit(seed), "user_id", "target"), 1)
+    unseen = _unseen(learners, numbered(roster.join(news, "id", "left_semi"), []), taken, F.lit(0).cast("long"), 2)
+    zero = F.lit(0.0).alias("risk")  # an unseen item's
+    buckets = known.unionByName(fresh.select("user_id", "id", zero, F.lit("fresh").alias("bucket"))).unionByName(unseen.select("user_id", "id", zero, F.lit("recent").alias("bucket")))
     order = F.when(F.col("bucket").isin("fresh", "mastered"), seeded(seed, "user_id", "id"))
     w = Window.partitionBy("user_id", "bucket").orderBy(F.desc("risk"), order, "id")
     band = F.when(F.col("bucket").isin("recent", "leech"), 2).when(F.col("bucket").isin("fresh", "mastered"), 1).otherwise(3)

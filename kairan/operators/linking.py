@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from kairan.functions.text import compact_name, html_text, match_key, name_aliases, variant_key
+from kairan.functions.text import compact_name, html_text, name_aliases, variant_key
 from kairan.operators.ranking import best_per, dedup_keep
 
-#: Names up to which containment broadcasts them; more are found by equi-joins of text pieces.
-FEW_NAMES = 2_000
+#: Candidates of a key that go to a reviewer.
+CANDIDATES = 20
+#: Characters of names that tasks search at once; more names take more passes over the texts.
+PASS_CHARS = 4_000_000
 
 
 def _has(col: str) -> Column:
@@ -24,20 +32,27 @@ def fill_by_key(rows: DataFrame, pool: DataFrame, row_key: Column, pool_key: Col
     return joined.withColumn("outcome", outcome).withColumn(image, F.when(_has(image), F.col(image)).otherwise(F.col("_image"))).drop("_key", "_image")
 
 
-def match_variants(rows: DataFrame, pairs: DataFrame, on_many: str = "review", key: str = "name", image: str = "image") -> DataFrame:
+def match_variants(rows: DataFrame, pairs: DataFrame, on_many: str = "review", key: str = "name", image: str = "image", most: int = CANDIDATES) -> DataFrame:
     """Rows without an asset meet candidates of an equal variant key: none, one (filled), more (``review`` with arrays).
 
-    Candidates are first reduced to one row a key, so a common key costs one row in the join. ``on_many='first'`` takes
-    the first candidate instead.
+    Candidates are first reduced to one row a key: their number and the first ``most`` of them, so a common key costs
+    one row of bounded size in the join. ``n_candidates`` is the whole number. ``on_many='first'`` takes the first
+    candidate instead.
     """
     distinct = dedup_keep(pairs.select(F.col(key).alias("_name"), F.col("url").alias("_url"), F.col(image).alias("_image"), "ord"), ["_name", "_url", "_image"], ["ord"])
-    cands = distinct.withColumn("_key", variant_key(F.col("_name"))).filter("_key <> ''").groupBy("_key").agg(F.count("*").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "_name", "_url", "_image"))), lambda x: F.struct(x["_name"].alias("name"), x["_url"].alias("url"), x["_image"].alias("image"))).alias("_c"))
-    joined = rows.withColumn("_key", variant_key(F.col(key))).join(cands, "_key", "left")
+    keyed = distinct.withColumn("_key", variant_key(F.col("_name"))).filter("_key <> ''")
+    counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
+    first = Window.partitionBy("_key").orderBy("ord", "_name", "_url", "_image")
+    few = keyed.withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= most).groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_image"))), lambda x: x["_image"]).alias("_c"))
+    joined = rows.withColumn("_key", variant_key(F.col(key))).join(counts.join(few, "_key"), "_key", "left")
     one = (F.col("_n") == 1) | ((F.col("_n") > 1) & F.lit(on_many == "first"))
     outcome = F.when(_has(image), "already").when(F.col("_key") == "", "no-key").when(F.col("_n").isNull(), "none").when(one, "matched").otherwise("ambiguous")
     out = joined.withColumn("outcome", outcome)
-    taken = F.col("outcome") == "matched"
-    return out.withColumn(image, F.when(taken, F.col("_c")[0]["image"]).otherwise(F.col(image))).withColumn("image_status", F.when(F.col("outcome") == "ambiguous", "review").when(taken | (F.col("outcome") == "already"), "ok").otherwise("missing")).withColumn("image_candidates", F.when(F.col("outcome") == "ambiguous", F.transform("_c", lambda x: x["image"])).otherwise(F.array().cast("array<string>"))).drop("_key", "_n", "_c")
+    taken, many = F.col("outcome") == "matched", F.col("outcome") == "ambiguous"
+    filled = F.when(taken, F.col("_c")[0]).otherwise(F.col(image))
+    status = F.when(many, "review").when(taken | (F.col("outcome") == "already"), "ok").otherwise("missing")
+    listed = F.when(many, F.col("_c")).otherwise(F.array().cast("array<string>"))
+    return out.withColumns({image: filled, "image_status": status, "image_candidates": listed, "n_candidates": F.when(many, F.col("_n")).otherwise(F.lit(0).cast("long"))}).drop("_key", "_n", "_c")
 
 
 def match_by_keys(rows: DataFrame, pool: DataFrame, key_array: Column, id_col: str, pool_id: str = "id", image: str = "image") -> DataFrame:
@@ -58,34 +73,60 @@ def resolve_person(rows: DataFrame, people: DataFrame, fields: tuple[str, ...] =
 
 
 def match_aliases(mentions: DataFrame, entities: DataFrame, mention_aliases: Column | None = None, entity_aliases: Column | None = None, many: bool = False) -> DataFrame:
-    """``mention_id``, ``entity_id`` that share an alias; without ``many`` only mentions of exactly one entity."""
-    a = mentions.select("mention_id", F.explode(mention_aliases if mention_aliases is not None else name_aliases(F.col("text"))).alias("alias")).distinct()
-    b = entities.select("entity_id", F.explode(entity_aliases if entity_aliases is not None else name_aliases(F.col("name"))).alias("alias")).distinct()
-    hits = a.join(b, "alias").select("mention_id", "entity_id").distinct()
+    """``mention_id``, ``entity_id`` that share an alias; without ``many`` only mentions of exactly one entity.
+
+    For exactly one, an alias needs only its least and greatest entity: entities are reduced to a row an alias before
+    the join, and a mention has one entity if the least and the greatest of its aliases are the same.
+    """
+    a = mentions.select("mention_id", F.explode(F.array_distinct(mention_aliases if mention_aliases is not None else name_aliases(F.col("text")))).alias("alias"))
+    b = entities.select("entity_id", F.explode(F.array_distinct(entity_aliases if entity_aliases is not None else name_aliases(F.col("name")))).alias("alias"))
     if many:
-        return hits
-    return hits.groupBy("mention_id").agg(F.count("*").alias("_n"), F.min("entity_id").alias("entity_id")).filter("_n = 1").drop("_n")
+        return a.join(b, "alias").select("mention_id", "entity_id").distinct()
+    ends = b.groupBy("alias").agg(F.min("entity_id").alias("lo"), F.max("entity_id").alias("hi"))
+    found = a.join(ends, "alias").groupBy("mention_id").agg(F.min("lo").alias("entity_id"), F.max("hi").alias("_hi"))
+    return found.filter("entity_id = _hi").select("mention_id", "entity_id")
 
 
-def link_contained(texts: DataFrame, names: DataFrame, unique: bool = True, few: int = FEW_NAMES) -> DataFrame:
+def _name_passes(names: DataFrame, pass_chars: int) -> Iterator[list[tuple]]:
+    """Distinct (key, entities) in passes of about ``pass_chars`` characters; each pass is gathered for itself."""
+    keyed = names.filter("key <> ''").groupBy("key").agg(F.collect_set("entity_id").alias("ids"))
+    passes = keyed.agg(F.coalesce(F.sum(F.length("key")), F.lit(0))).first()[0] // pass_chars + 1
+    for k in range(passes):
+        part = keyed if passes == 1 else keyed.filter(F.pmod(F.xxhash64("key"), F.lit(passes)) == k)
+        yield [(r["key"], r["ids"]) for r in part.toLocalIterator()]
+
+
+def link_contained(texts: DataFrame, names: DataFrame, unique: bool = True, pass_chars: int = PASS_CHARS) -> DataFrame:
     """``text_id``, ``entity_id`` of texts that contain an entity's key; with ``unique`` exactly one entity's.
 
-    ``texts`` has text_id, text; ``names`` has entity_id, key. Up to ``few`` counted names are broadcast and each text
-    is read once; more are found by joining texts' pieces of the names' first characters with the names, then checked.
+    ``texts`` has text_id, text; ``names`` has entity_id, key; empty and null keys and texts match nothing. Each task
+    searches all names of a pass at once (Aho-Corasick), in time linear in the text whatever the names; more names than
+    ``pass_chars`` take more passes. Only a text's distinct entities leave the task.
     """
-    keyed = names.filter("key <> ''").select("entity_id", "key").distinct()
-    if keyed.limit(few + 1).count() <= few:
-        hits = texts.select("text_id", "text").join(F.broadcast(keyed), F.contains(F.col("text"), F.col("key"))).select("text_id", "entity_id")
-    else:
-        width = keyed.agg(F.min(F.length("key"))).first()[0]
-        pieces = texts.select("text_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - width + 1)), lambda i: F.substr(F.col("text"), i, F.lit(width))))).alias("piece"))
-        starts = keyed.withColumn("piece", F.substring("key", 1, width))
-        near = pieces.join(starts, "piece").select("text_id", "entity_id", "key")
-        hits = near.join(texts.select("text_id", "text"), "text_id").filter(F.contains(F.col("text"), F.col("key"))).select("text_id", "entity_id")
-    hits = hits.distinct()
+    base, found = texts.select("text_id", "text"), None
+    schema = T.StructType([base.schema["text_id"], T.StructField("entity_id", names.schema["entity_id"].dataType)])
+    for part in _name_passes(names, pass_chars):
+
+        def search(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            tree, kind = ahocorasick.Automaton(), to_arrow_schema(schema).field(1).type
+            for key, ids in part:
+                tree.add_word(key, ids)
+            tree.make_automaton()
+            for batch in batches:
+                rows, hits = [], []
+                for i, text in enumerate(batch.column(1)):
+                    text = text.as_py()
+                    ids = {x for _, found in tree.iter(text) for x in found} if text and part else ()
+                    rows += [i] * len(ids)
+                    hits += sorted(ids)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(hits, kind)], ["text_id", "entity_id"])
+
+        one = base.mapInArrow(search, schema)
+        found = one if found is None else found.unionByName(one)
     if not unique:
-        return hits
-    return hits.groupBy("text_id").agg(F.count("*").alias("_n"), F.min("entity_id").alias("entity_id")).filter("_n = 1").drop("_n")
+        return found.distinct()
+    ends = found.groupBy("text_id").agg(F.min("entity_id").alias("entity_id"), F.max("entity_id").alias("_hi"))
+    return ends.filter("entity_id = _hi").select("text_id", "entity_id")
 
 
 def windows_of_text(pages: DataFrame, pattern: str, radius: int = 1200, body: str = "html") -> DataFrame:
@@ -146,7 +187,3 @@ def match_report(df: DataFrame, outcome: str = "outcome") -> DataFrame:
     """Rows of each outcome."""
     return df.groupBy(outcome).agg(F.count("*").alias("n"))
 
-
-def key_of(name: Column) -> Column:
-    """The plain match key, for callers that bring their own columns."""
-    return match_key(name)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairan.functions.text import compact_name, squeezed, text
+from kairan.sources.store import stored
 
 
 def validate(df: DataFrame, low: int, high: int, required: Sequence[str], unique: Sequence[Sequence[str]], fixed: dict[str, str] | None = None, id_col: str = "id") -> DataFrame:
@@ -44,8 +45,12 @@ def validate_set(df: DataFrame, least: int) -> DataFrame:
 
 
 def gated_publish(new: DataFrame, old: DataFrame, least: int, merge=None) -> DataFrame:
-    """The new rows (merged with the old ones by ``merge``) if they are valid before and after, else the old ones."""
+    """The new rows (merged with the old ones by ``merge``) if they are valid before and after, else the old ones.
+
+    What is judged is stored first, so that the rows judged are the rows returned and nothing is computed twice.
+    """
+    new = stored(new, "new")
     if not validate_set(new, least).first()["ok"]:
         return old
-    merged = merge(new, old) if merge else new
+    merged = stored(merge(new, old), "merged") if merge else new
     return merged if validate_set(merged, least).first()["ok"] else old

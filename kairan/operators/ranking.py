@@ -63,12 +63,12 @@ def balanced_order(df: DataFrame, group: Column, seed: str, id_col: str) -> Data
     labelled = df.withColumn("_group", group).withColumn("_key", seeded(seed, id_col))
     inside = ranked(labelled, ["_group"], [F.col("_key").asc(), F.col(id_col).asc()], "turn")
     sizes = labelled.groupBy("_group").agg(F.count("*").alias("_size"))
-    order = sizes.withColumn("group_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_size"), "_group"))).select("_group", "group_rank")
+    order = ranked(sizes, [], [F.desc("_size"), F.col("_group").asc()], "group_rank").select("_group", F.col("group_rank").cast("int").alias("group_rank"))
     return inside.join(order, "_group").drop("_group", "_key")
 
 
-def sort_roster(df: DataFrame, key: str) -> DataFrame:
-    """Roster in the order of ``name_asc``, ``name_desc``, ``district``, ``terms_asc/desc`` or ``year_asc/desc``.
+def roster_order(key: str) -> list[Column]:
+    """Sort columns for ``name_asc``, ``name_desc``, ``district``, ``terms_asc/desc`` or ``year_asc/desc``.
 
     Names sort by reading, Japanese collation; missing numbers come last in both directions; ids break ties.
     """
@@ -79,16 +79,31 @@ def sort_roster(df: DataFrame, key: str) -> DataFrame:
     name = [ja(reading).asc(), ja(F.col("name")).asc(), F.col("id").asc()]
     down = key.endswith("_desc")
     if key.startswith("name"):
-        return df.orderBy(*([ja(reading).desc(), ja(F.col("name")).desc(), F.col("id").asc()] if down else name))
+        return [ja(reading).desc(), ja(F.col("name")).desc(), F.col("id").asc()] if down else name
     if key == "district":
-        return df.orderBy(district_rank(F.col("district")), ja(clean_district(F.col("district"))), *name)
+        return [district_rank(F.col("district")).asc(), ja(clean_district(F.col("district"))).asc(), *name]
     number = F.col({"terms": "terms", "year": "next_election_year"}[key.split("_")[0]])
-    return df.orderBy(number.isNull(), number.desc() if down else number.asc(), *name)
+    return [number.isNull().asc(), number.desc() if down else number.asc(), *name]
+
+
+def sort_roster(df: DataFrame, key: str) -> DataFrame:
+    """Roster in the order of ``roster_order``."""
+    return df.orderBy(*roster_order(key))
+
+
+def review_order() -> list[Column]:
+    return [F.desc("image_score"), F.collate(F.col("name"), "ja").asc(), F.col("name").asc()]
 
 
 def sort_review(df: DataFrame) -> DataFrame:
     """Highest score first, then name."""
-    return df.orderBy(F.desc("image_score"), F.collate(F.col("name"), "ja"), "name")
+    return df.orderBy(*review_order())
+
+
+def feed_history(feeds: DataFrame, n: int = 20) -> DataFrame:
+    """The newest ``n`` feeds a viewer (``user_id``), one each ``generated_at``: of feeds seen again, the last view counts."""
+    latest = dedup_keep(feeds, ["user_id", "generated_at"], ["viewed_at"], keep="last")
+    return keep_last(latest, ["user_id"], ["viewed_at", "generated_at"], n)
 
 
 def make_choices(questions: DataFrame, pool: DataFrame, seed: str, id_col: str = "id", others: int = 3) -> DataFrame:

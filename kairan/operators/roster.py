@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kairan.functions import rules
 from kairan.functions.text import SPACE, compact, compact_name, first_present, present, shorten_role, split_name_kana, stable_id, text, trimmed
 from kairan.operators.ranking import dedup_keep, ranked
+from kairan.sources.store import stored
 from kairan.sources.files import images_array
 
 
@@ -226,7 +227,11 @@ def assign_ids(rows: DataFrame, id_col: str, order: list[str]) -> DataFrame:
 
 
 def choose_route(a: DataFrame, b: DataFrame, low: int, high: int, keys: list[str]) -> DataFrame:
-    """``a`` if its count is in range, else ``b`` if its is, else the deduped union if that is, else an error."""
+    """``a`` if its count is in range, else ``b`` if its is, else the deduped union if that is, else an error.
+
+    Both are stored first: the rows counted are the rows returned, and nothing is computed twice.
+    """
+    a, b = stored(a, "route-a"), stored(b, "route-b")
     counts = a.select(F.lit(0).alias("side")).unionByName(b.select(F.lit(1).alias("side"))).groupBy("side").count().collect()
     n = {r["side"]: r["count"] for r in counts}
     for side, df in ((0, a), (1, b)):

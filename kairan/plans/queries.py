@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairan.functions import memory, rules, text, urls
@@ -88,10 +88,10 @@ def feed_document(s, d):
     return feed.select(F.col("generatedAt").alias("generated_at"), F.col("totalChanges").alias("total_changes"), F.col("hasUpdates").alias("has_updates"), F.size("summaries").cast("long").alias("n_targets"), F.array_join(F.transform("items", lambda x: x["name"]), ",").alias("names"))
 
 
-@query("feed_with_notices", _DIFF + "SELECT source_rank, count(*) AS n FROM (SELECT 1 AS source_rank FROM items UNION ALL SELECT 0 FROM nation WHERE n_nationkey < 3) GROUP BY 1")
+@query("feed_with_notices", _DIFF + "SELECT 1 AS source_rank, target, name, type, summary FROM items UNION ALL SELECT 0, 'notice', n_name, NULL, concat('nation ', cast(n_nationkey AS string)) FROM nation")
 def feed_with_notices(s, d):
-    notices = read(s, d, "nation").filter("n_nationkey < 3").select(F.lit("notice").alias("target"), F.col("n_name").alias("name"))
-    return diff.with_notices(diff.feed_items(_changes(s, d)), notices).groupBy("source_rank").agg(F.count("*").alias("n"))
+    notices = read(s, d, "nation").select(F.lit("notice").alias("target"), F.col("n_name").alias("name"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("summary"))
+    return diff.with_notices(diff.feed_items(_changes(s, d)), notices).select("source_rank", "target", "name", "type", "summary")
 
 
 @query("recently_added", _DIFF + f"SELECT c.name, EXISTS (SELECT 1 FROM items i WHERE i.target = 'senators' AND i.type = 'added' AND i.name = c.name) AS recently_added FROM ({CURR}) c WHERE c.target = 'senators'")
@@ -112,12 +112,13 @@ def change_reasons(s, d):
     return diff.pick_reasons(items, entries, removed=_PATTERNS, outlets="License").select("item_id", "label", "confidence", "score", "sources", "source_title")
 
 
-@query("rss_entries", """WITH i AS (SELECT source AS url, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, substr(regexp_replace(text, '[^A-Za-z]', 'x', 'g'), 1, 20) AS t FROM documents WHERE doc_id < 400)
-SELECT url, concat(t, ' - ', url) AS title, concat('https://n.example/', doc_id) AS link, url AS source_title FROM i WHERE n <= 8 AND doc_id % 3 <> 0""")
+@query("rss_entries", """WITH i AS (SELECT concat(source, '/', CAST(doc_id // 100 AS VARCHAR)) AS url, doc_id, concat('T', regexp_replace(coalesce(text, ''), '[^A-Za-z]', 'x', 'g')) AS t FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY doc_id) AS n FROM i)
+SELECT url, concat(t, ' - ', url) AS title, concat('https://n.example/', doc_id) AS link, url AS source_title FROM r WHERE n <= 8 AND doc_id % 3 <> 0""")
 def rss_entries(s, d):
-    base = read(s, d, "documents").filter("doc_id < 400")
-    item = F.concat(F.lit("<item><title><![CDATA["), F.substring(F.regexp_replace("text", "[^A-Za-z]", "x"), 1, 20), F.lit(" - "), F.col("source"), F.lit("]]></title><link>"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("https://n.example/"), F.col("doc_id").cast("string"))).otherwise(""), F.lit("</link></item>"))
-    feeds = base.groupBy(F.col("source").alias("url")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))), lambda x: x["item"]), "").alias("body"))
+    """A feed for each source and hundred documents, with their whole texts as titles."""
+    url = F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string"))
+    item = F.concat(F.lit("<item><title><![CDATA[T"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "x"), F.lit(" - "), url, F.lit("]]></title><link>"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("https://n.example/"), F.col("doc_id").cast("string"))).otherwise(""), F.lit("</link></item>"))
+    feeds = read(s, d, "documents").groupBy(url.alias("url")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item")))), lambda x: x["item"]), "").alias("body"))
     return diff.parse_rss(feeds).select("url", "title", "link", "source_title")
 
 
@@ -152,14 +153,22 @@ def alias_sets(s, d):
     return people(s, d).select("id", F.array_join(text.name_aliases(F.col("name")), ",").alias("aliases"))
 
 
-@query("cell_shapes", f"SELECT id, name NOT SIMILAR TO '.*[0-9].*' AS name_like, coalesce(regexp_full_match(cast(terms AS string), '[0-9]{{1,2}}'), false) AS wins_like, false AS kana_like, coalesce(party IN ('BUILDING', 'MACHINERY'), false) AS party_like FROM ({PEOPLE})")
+@query("cell_shapes", f"SELECT id, name NOT SIMILAR TO '.*[0-9].*' AS name_like, coalesce(regexp_full_match(cast(terms AS string), '[0-9]{{1,2}}'), false) AS wins_like, id % 3 = 0 AS kana_like, coalesce(party IN ('BUILDING', 'MACHINERY'), false) AS party_like FROM ({PEOPLE})")
 def cell_shapes(s, d):
-    return people(s, d).select("id", text.is_name_like(F.col("name")).alias("name_like"), text.is_wins_like(F.col("terms").cast("string")).alias("wins_like"), text.is_kana_like(F.col("name")).alias("kana_like"), text.is_party_like(F.col("party"), "^(BUILDING|MACHINERY)$").alias("party_like"))
+    reading = F.when(F.col("id") % 3 == 0, "やまだ　たろー").otherwise(F.col("name"))
+    return people(s, d).select("id", text.is_name_like(F.col("name")).alias("name_like"), text.is_wins_like(F.col("terms").cast("string")).alias("wins_like"), text.is_kana_like(reading).alias("kana_like"), text.is_party_like(F.col("party"), "^(BUILDING|MACHINERY)$").alias("party_like"))
 
 
-@query("urls_cleaned", """SELECT page_id, regexp_replace(url, '[?#].*$', '') AS clean, regexp_extract(url, '://([^/?#]*)', 1) AS host, ends_with(regexp_extract(url, '://([^/?#]*)', 1), '.example.org') OR regexp_extract(url, '://([^/?#]*)', 1) = 'example.org' AS listed, nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS number FROM pages""")
+@query("urls_cleaned", """SELECT page_id, regexp_replace(url, '[?#].*$', '') AS clean, concat(regexp_extract(url, '^(.*://[^/?#]*)', 1), '/k/', cast(page_id AS string), '.jpg') AS above, regexp_extract(url, '://([^/?#]*)', 1) AS host, ends_with(regexp_extract(url, '://([^/?#]*)', 1), '.example.org') OR regexp_extract(url, '://([^/?#]*)', 1) = 'example.org' AS listed, nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS number FROM pages""")
 def urls_cleaned(s, d):
-    return read(s, d, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("clean"), urls.host(F.col("url")).alias("host"), urls.in_domains(F.col("url"), ["example.org"]).alias("listed"), urls.id_from_url(F.col("url"), "/([0-9]+)").alias("number"))
+    above = F.concat(F.lit("../../../k/./x/../"), F.col("page_id").cast("string"), F.lit(".jpg?v=1"))
+    return read(s, d, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("clean"), urls.normalize_url(above, F.col("url")).alias("above"), urls.host(F.col("url")).alias("host"), urls.in_domains(F.col("url"), ["example.org"]).alias("listed"), urls.id_from_url(F.col("url"), "/([0-9]+)").alias("number"))
+
+
+@query("profile_assets", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN concat('https://www.sangiin.go.jp/japanese/joho1/kousei/giin/photo/g', s_suppkey, '.jpg') END AS asset FROM supplier")
+def profile_assets(s, d):
+    profile = F.concat(F.lit("https://s.example/profile/"), F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 4 == 0, "x.htm").otherwise(".htm"))
+    return read(s, d, "supplier").select("s_suppkey", urls.asset_url_from_profile(profile, *rules.UPPER_PROFILE).alias("asset"))
 
 
 @query("page_text", """SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM pages""")
@@ -201,10 +210,16 @@ def family_names(s, d):
     return out.select("id", "family", "collides", roster.display_name(out, "viceMinisters", "entrance").alias("shown"))
 
 
-@query("answer_lines", f"SELECT id, coalesce(nullif(party, ''), grp, '') AS line FROM ({PEOPLE}) WHERE coalesce(nullif(party, ''), grp, '') <> ''")
+@query("answer_lines", f"""WITH p AS (SELECT id, name, coalesce(nullif(party, ''), grp, '') AS g, trim(regexp_replace(coalesce(nullif(role, ''), grp, nullif(party, ''), ''), '\\s*/\\s*(参議院|衆議院)$', '')) AS r FROM ({PEOPLE})),
+l AS (SELECT id, 'senators' AS target, 'entrance' AS mode, [g] AS lines FROM p UNION ALL SELECT id, 'ministers', 'entrance', [CASE WHEN r <> '' THEN r ELSE g END] FROM p UNION ALL SELECT id, 'viceMinisters', 'entrance', [name, CASE WHEN r <> '' THEN r ELSE g END] FROM p UNION ALL SELECT id, 'senators', 'review', [CASE WHEN g <> '' THEN g ELSE name END] FROM p UNION ALL SELECT id, 'ministers', 'review', [CASE WHEN r <> '' THEN r WHEN g <> '' THEN g ELSE name END] FROM p)
+SELECT id, target, mode, array_to_string(list_filter(lines, lambda x: x <> ''), '|') AS lines FROM l""")
 def answer_lines(s, d):
-    rows = people(s, d).withColumns({"kana": F.lit(""), "sub_role": F.lit("")})
-    return rows.select("id", F.explode(roster.answer_lines("senators", "entrance")).alias("line"))
+    """The answer's lines for several kinds of roster and both modes."""
+    rows, out = people(s, d).withColumns({"kana": F.lit(""), "sub_role": F.lit("")}), None
+    for target, mode in (("senators", "entrance"), ("ministers", "entrance"), ("viceMinisters", "entrance"), ("senators", "review"), ("ministers", "review")):
+        one = rows.select("id", F.lit(target).alias("target"), F.lit(mode).alias("mode"), F.array_join(roster.answer_lines(target, mode), "|").alias("lines"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("holders_excluded", f"SELECT c.id FROM ({CURR}) c WHERE c.target = 'senators' AND c.ord % 10 <> 0 AND NOT (c.ord % 7 = 0 AND c.ord % 2 = 0)")
@@ -251,11 +266,13 @@ def assigned_ids(s, d):
     return roster.assign_ids(rows, "id", ["o_orderkey"])
 
 
-@query("chosen_route", "SELECT count(*) AS n FROM customer")
+@query("chosen_route", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'first' ELSE 'second' END AS route FROM customer")
 def chosen_route(s, d):
+    """Neither route is complete, so both are taken, the first route's rows before the second's of the same id."""
     rows = read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ord"))
     n = rows.count()
-    return roster.choose_route(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1 or id % 3 = 0"), n, n, ["id"]).agg(F.count("*").alias("n"))
+    first, second = rows.filter("id % 2 = 0").withColumn("route", F.lit("first")), rows.filter("id % 2 = 1 or id % 3 = 0").withColumn("route", F.lit("second"))
+    return roster.choose_route(first, second, n, n, ["id"]).select("id", "route")
 
 
 @query("roster_violations", f"""WITH r AS (SELECT *, id % 50 AS g FROM ({CURR}) WHERE target = 'representatives')
@@ -271,10 +288,11 @@ def set_validity(s, d):
     return quality.validate_set(rows, 10)
 
 
-@query("gated_roster", f"SELECT count(*) AS n FROM ({CURR}) WHERE target = 'representatives'")
+@query("gated_roster", f"SELECT target, id, name FROM ({CURR}) WHERE target = 'representatives'")
 def gated_roster(s, d):
-    shaped = curr(s, d).select("target", "name", F.col("role").alias("sub_role"), F.lit("衆議院").alias("chamber"))
-    return quality.gated_publish(shaped.filter("target = 'senators'").withColumn("sub_role", F.lit("")), shaped.filter("target = 'representatives'"), 5).agg(F.count("*").alias("n"))
+    """New rows without roles aren't valid: the old ones stay."""
+    shaped = curr(s, d).select("target", "id", "name", F.col("role").alias("sub_role"), F.lit("衆議院").alias("chamber"))
+    return quality.gated_publish(shaped.filter("target = 'senators'").withColumn("sub_role", F.lit("")), shaped.filter("target = 'representatives'"), 5).select("target", "id", "name")
 
 
 # ---- linking -----------------------------------------------------------------------------------------------------
@@ -293,7 +311,7 @@ def variant_matches(s, d):
     p = people(s, d)
     rows = p.select("id", "name", F.when(F.col("id") % 5 == 0, "own").otherwise("").alias("image"))
     pairs = p.filter("id % 3 = 0").select("name", F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.concat(F.lit("i"), F.col("id").cast("string")).alias("image"), F.col("id").alias("ord"))
-    return linking.match_variants(rows, pairs).select("id", "outcome", F.size("image_candidates").cast("long").alias("n_candidates"))
+    return linking.match_variants(rows, pairs).select("id", "outcome", "n_candidates")
 
 
 @query("match_outcomes", f"""WITH p AS (SELECT id, {_BARE} AS b FROM ({PEOPLE})), k AS (SELECT id, translate(b, '髙邊邉澤廣', '高辺辺沢広') AS vk FROM p), c AS (SELECT vk, count(*) AS n FROM k WHERE id % 3 = 0 GROUP BY vk)
@@ -319,28 +337,31 @@ def resolved_people(s, d):
     return linking.resolve_person(rows, persons).select("c_custkey", "resolved_by")
 
 
-@query("alias_matches", """WITH m AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS mention_id, unnest(string_split(p_name, ' ')) AS alias FROM lineitem JOIN part ON p_partkey = l_partkey), e AS (SELECT DISTINCT p_partkey AS entity_id, unnest([p_name, p_brand]) AS alias FROM part WHERE p_partkey % 40 = 0),
-t AS (SELECT DISTINCT entity_id, unnest(string_split(alias, ' ')) AS alias FROM e), h AS (SELECT DISTINCT mention_id, entity_id FROM m JOIN t USING (alias))
+@query("alias_matches", """WITH c AS (SELECT c_custkey AS entity_id, c_name, concat('n', c_nationkey, ' ', CAST(floor(c_acctbal / 10) AS BIGINT)) AS place FROM customer), e AS (SELECT entity_id, unnest([c_name, place]) AS alias FROM c),
+m AS (SELECT o_orderkey AS mention_id, unnest(CASE o_orderkey % 3 WHEN 0 THEN [c_name] WHEN 1 THEN [c_name, place] ELSE [place] END) AS alias FROM orders JOIN c ON entity_id = o_custkey), h AS (SELECT DISTINCT mention_id, entity_id FROM m JOIN e USING (alias))
 SELECT mention_id, min(entity_id) AS entity_id FROM h GROUP BY mention_id HAVING count(*) = 1""")
 def alias_matches(s, d):
-    line, part = read(s, d, "lineitem"), read(s, d, "part")
-    mentions = line.join(part, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("mention_id"), "p_name")
-    entities = part.filter("p_partkey % 40 = 0").select(F.col("p_partkey").alias("entity_id"), "p_name", "p_brand")
-    return linking.match_aliases(mentions, entities, F.split("p_name", " "), F.concat(F.split("p_name", " "), F.split("p_brand", " ")))
+    """Orders name their customer by name, by place, or by both; a place may be several customers'."""
+    place = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(" "), F.floor(F.col("c_acctbal") / 10).cast("string"))
+    entities = read(s, d, "customer").select(F.col("c_custkey").alias("entity_id"), "c_name", place.alias("place"))
+    named = read(s, d, "orders").join(entities, F.col("entity_id") == F.col("o_custkey")).select(F.col("o_orderkey").alias("mention_id"), "c_name", "place")
+    third = F.col("mention_id") % 3
+    return linking.match_aliases(named, entities, F.when(third == 0, F.array("c_name")).when(third == 1, F.array("c_name", "place")).otherwise(F.array("place")), F.array("c_name", "place"))
 
 
-@query("contained_items", "WITH h AS (SELECT DISTINCT doc_id AS text_id, item_id AS entity_id FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 40))) SELECT text_id, min(entity_id) AS entity_id FROM h GROUP BY 1 HAVING count(*) = 1")
+@query("contained_items", "WITH h AS (SELECT DISTINCT doc_id AS text_id, item_id AS entity_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> '') SELECT text_id, min(entity_id) AS entity_id FROM h GROUP BY 1 HAVING count(*) = 1")
 def contained_items(s, d):
     texts = read(s, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    return linking.link_contained(texts, read(s, d, "benchmark").select(F.col("item_id").alias("entity_id"), F.substring("text", 1, 40).alias("key")))
+    return linking.link_contained(texts, read(s, d, "benchmark").select(F.col("item_id").alias("entity_id"), F.col("text").alias("key")))
 
 
 @query("links_nearby", None)
 def links_nearby(s, d):
-    names = read(s, d, "part").select("p_partkey", F.split("p_name", " ")[0].alias("key")).groupBy("key").agg(F.min("p_partkey").alias("entity_id"))
+    """The one page whose link text stands near a link; link texts of all links of all pages are the names."""
     pages = read(s, d, "pages")
-    titles = pages.select(F.col("page_id").alias("entity_id"), F.regexp_extract("html", "<a href=\"[^\"]*\">([^<]{6,})</a>", 1).alias("key")).filter("key <> ''")
-    return linking.link_near(pages, titles.unionByName(names.select("entity_id", "key")).groupBy("key").agg(F.min("entity_id").alias("entity_id")), r"href=\"[^\"]*\"", 60)
+    shown = F.regexp_extract_all("html", F.lit("<a href=\"[^\"]*\">([^<]{6,})</a>"), F.lit(1))
+    names = pages.select("page_id", F.explode(shown).alias("key")).groupBy("key").agg(F.min("page_id").alias("entity_id"))
+    return linking.link_near(pages, names, r"href=\"[^\"]*\"", 60)
 
 
 @query("zipped_lists", "SELECT a.doc_id, b.n_chars FROM documents a JOIN documents b ON a.doc_id = b.doc_id WHERE a.doc_id % 2 = 0")
@@ -363,10 +384,19 @@ def ranked_candidates(s, d):
     return linking.rank_candidates(cands, "l_suppkey", "l_partkey", "l_quantity").select("l_suppkey", F.array_join(F.transform("candidates", lambda x: x.cast("string")), ",").alias("candidates"), "n_urls", "status")
 
 
-@query("source_priority", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '5-LOW' THEN 1 ELSE 2 END, o_orderkey) = 1")
+_BY_SOURCE = "CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '5-LOW' THEN 1 ELSE 2 END"
+
+
+@query("source_priority", f"""SELECT 'all' AS mode, o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_BY_SOURCE}, o_orderkey) = 1
+UNION ALL SELECT 'fix', o_custkey, o_orderkey FROM orders WHERE o_orderkey % 5 <> o_custkey % 5 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_BY_SOURCE}, o_orderkey) = 1""")
 def source_priority(s, d):
-    cands = read(s, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("source"), F.lit("https://a.example/x").alias("url"), F.col("o_orderkey").alias("ord"))
-    return linking.resolve_by_priority(cands, "o_custkey", "source", ("1-URGENT", "5-LOW")).select("o_custkey", "o_orderkey")
+    """In fix mode a customer's present URL isn't taken again, however it is written."""
+    orders = read(s, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("source"), F.concat(F.lit("https://A.example/x//"), (F.col("o_orderkey") % 5).cast("string"), F.lit("?q")).alias("url"), F.col("o_orderkey").alias("ord"))
+    now = orders.select("o_custkey").distinct().withColumn("image", F.concat(F.lit("https://a.example/x/"), (F.col("o_custkey") % 5).cast("string")))
+    sources = ("1-URGENT", "5-LOW")
+    every = linking.resolve_by_priority(orders, "o_custkey", "source", sources).withColumn("mode", F.lit("all"))
+    fixed = linking.resolve_by_priority(orders, "o_custkey", "source", sources, now).withColumn("mode", F.lit("fix"))
+    return every.unionByName(fixed).select("mode", "o_custkey", "o_orderkey")
 
 
 @query("restricted_rows", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
@@ -390,6 +420,12 @@ def newest_events(s, d):
     return ranking.keep_last(read(s, d, "events"), ["user_id"], ["ts", "event_id"], 20).select("user_id", "event_id")
 
 
+@query("feed_history", "WITH l AS (SELECT user_id, CAST(floor(value / 4) AS BIGINT) AS generated_at, max(event_id) AS viewed_at FROM events GROUP BY ALL) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY viewed_at DESC) <= 20")
+def feed_history(s, d):
+    views = read(s, d, "events").select("user_id", F.floor(F.col("value") / 4).cast("long").alias("generated_at"), F.col("event_id").alias("viewed_at"))
+    return ranking.feed_history(views, rules.FEED_HISTORY)
+
+
 @query("balanced_cycle", "WITH g AS (SELECT c_mktsegment AS g, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) AS group_rank FROM customer GROUP BY 1) SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(concat('s:', c_custkey)), c_custkey) AS turn, CAST(group_rank AS INT) AS group_rank FROM customer JOIN g ON g = c_mktsegment")
 def balanced_cycle(s, d):
     return ranking.balanced_order(read(s, d, "customer").select("c_custkey", "c_mktsegment"), F.col("c_mktsegment"), "s", "c_custkey").select("c_custkey", "turn", "group_rank")
@@ -407,17 +443,24 @@ def choices(s, d):
     return ranking.make_choices(parts, parts, "c").select("id", F.array_join(F.transform("choices", lambda x: x.cast("string")), ",").alias("choices"))
 
 
-@query("roster_order", f"SELECT id, row_number() OVER (ORDER BY terms IS NULL, terms DESC, name, id) AS place FROM ({CURR}) WHERE target = 'senators' QUALIFY place <= 100")
+_ORDERS = {"name_asc": "name, id", "name_desc": "name DESC, id", "district": "district, name, id", "terms_asc": "terms IS NULL, terms, name, id", "terms_desc": "terms IS NULL, terms DESC, name, id", "year_asc": "year IS NULL, year, name, id", "year_desc": "year IS NULL, year DESC, name, id"}
+
+
+@query("roster_order", f"WITH r AS (SELECT *, CASE WHEN id % 4 > 0 THEN 2020 + id % 7 END AS year FROM ({CURR}) WHERE target = 'senators') " + " UNION ALL ".join(f"SELECT '{k}' AS sort, id, row_number() OVER (ORDER BY {o}) AS place FROM r" for k, o in _ORDERS.items()))
 def roster_order(s, d):
-    top = ranking.sort_roster(curr(s, d).filter("target = 'senators'").drop("key"), "terms_desc").limit(100)
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("terms").isNull(), F.desc("terms"), "name", "id")
-    return top.select("id", F.row_number().over(w).alias("place"))
+    """The whole roster's places in each of its orders."""
+    rows = curr(s, d).filter("target = 'senators'").drop("key").withColumn("next_election_year", F.when(F.col("id") % 4 > 0, 2020 + F.col("id") % 7))
+    out = None
+    for key in _ORDERS:
+        one = ranking.ranked(rows, [], ranking.roster_order(key), "place").select(F.lit(key).alias("sort"), "id", "place")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("review_order", f"SELECT name, CAST(image_score AS INT) AS image_score FROM (SELECT name, 16 AS image_score FROM ({ASSETS}) WHERE image LIKE '%wikimedia%') ORDER BY image_score DESC, name LIMIT 30")
+@query("review_order", f"SELECT name, 16 AS image_score, row_number() OVER (ORDER BY name) AS place FROM ({ASSETS}) WHERE image LIKE '%wikimedia%'")
 def review_order(s, d):
     rows = asset_rows(s, d).filter("image like '%wikimedia%'").select("name", urls.score_asset(F.col("image")).alias("image_score"))
-    return ranking.sort_review(rows).limit(30)
+    return ranking.ranked(rows, [], ranking.review_order(), "place")
 
 
 # ---- assets ------------------------------------------------------------------------------------------------------
@@ -446,9 +489,15 @@ def rejection_counts(s, d):
     return assets.rejection_counts(assets.reject_source(rows, "wikipedia|wikimedia"))
 
 
-@query("work_queue", f"SELECT ord FROM ({ASSETS}) WHERE image <> '' AND ai_guess ORDER BY ord LIMIT 25")
+@query("work_queue", f"""WITH a AS (SELECT * FROM ({ASSETS})) SELECT * FROM (SELECT 'all' AS mode, ord FROM a ORDER BY ord LIMIT 25) UNION ALL SELECT * FROM (SELECT 'review', ord FROM a WHERE image <> '' AND ai_guess ORDER BY ord LIMIT 25)
+UNION ALL SELECT * FROM (SELECT 'fix', ord FROM a WHERE ord % 8 = 3 ORDER BY ord LIMIT 25) UNION ALL SELECT * FROM (SELECT 'missing', ord FROM a WHERE image = '' AND ord % 2 = 0 ORDER BY ord LIMIT 25)""")
 def work_queue(s, d):
-    return assets.work_queue(asset_rows(s, d), "review").select("ord")
+    """The first rows of each mode's queue."""
+    rows, out = asset_rows(s, d), None
+    for mode in ("all", "review", "fix", "missing"):
+        one = assets.work_queue(rows, mode, rows.filter("ord % 8 = 3"), F.col("ord") % 2 == 0).select(F.lit(mode).alias("mode"), "ord")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("asset_flags", f"SELECT ord, image_source NOT IN ('wikipedia', 'official-profile', 'trusted-fallback') AS ai_guess, image_source IN ('web-fallback', 'trusted-fallback') AS mask_bottom FROM ({ASSETS})")
@@ -461,10 +510,13 @@ def review_reasons(s, d):
     return assets.review_list(asset_rows(s, d)).select("ord", "reason")
 
 
-@query("review_csv", f"SELECT name, party, CASE WHEN image = '' THEN 'missing' ELSE 'review' END AS status, concat(party, ' | ', role) AS hints FROM ({ASSETS})")
+@query("review_csv", f"""SELECT name, party, CASE WHEN image = '' THEN 'missing' ELSE 'review' END AS status, concat(party, ' | ', role, ' "x"') AS hints FROM ({ASSETS})""")
 def review_csv(s, d):
-    rows = asset_rows(s, d).select("name", "party", F.when(assets.has_asset(), "review").otherwise("missing").alias("status"), F.array("party", "role").alias("hints"))
-    return files.review_csv_rows(rows, ("name", "party", "status", "hints"))
+    """What the written file holds, read back by Spark's own reader."""
+    rows = asset_rows(s, d).select("name", "party", F.when(assets.has_asset(), "review").otherwise("missing").alias("status"), F.array("party", F.concat("role", F.lit(' "x"'))).alias("hints"))
+    path, columns = new_path(s, "review-csv"), ("name", "party", "status", "hints")
+    files.write_review_csv(rows, path, columns)
+    return s.read.options(header=True, escape='"').schema(", ".join(f"{c} string" for c in columns)).csv(path)
 
 
 @query("source_mix", f"SELECT CASE WHEN image = '' THEN 'empty' WHEN image_source = 'official-profile' THEN 'official' WHEN image_source = 'wikipedia' THEN 'wikipedia' ELSE 'web' END AS kind, count(*) AS n FROM ({ASSETS}) GROUP BY 1")
@@ -506,6 +558,15 @@ def page_scan(s, d):
     return assets.scan_report(pages, markup.extract_links(pages))
 
 
+@query("scan_totals", f"""WITH p AS (SELECT page_id % 5 = 0 AS failed, len(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS n FROM pages), t AS (SELECT count(*) AS pages, count(*) FILTER (NOT failed) AS scanned, CAST(sum(n) FILTER (NOT failed) AS BIGINT) AS candidates FROM p)
+SELECT t.*, a.* FROM t, (SELECT count(*) FILTER (ord % 3 = 0) AS applied, count(*) FILTER (ord % 3 = 1) AS review, count(*) FILTER (ord % 3 = 2) AS missing FROM ({ASSETS})) a""")
+def scan_totals(s, d):
+    pages = read(s, d, "pages")
+    report = assets.scan_report(pages, markup.extract_links(pages)).withColumn("failed", F.col("page_id") % 5 == 0)
+    rows = asset_rows(s, d).withColumn("image_status", F.element_at(F.array(F.lit("ok"), F.lit("review"), F.lit("missing")), (F.col("ord") % 3 + 1).cast("int")))
+    return assets.scan_totals(report, rows, failed="failed")
+
+
 @query("page_blocks", """SELECT page_id, regexp_extract(b, '">([^<]*)', 1) AS label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>.*?</li>')) AS b FROM pages) WHERE regexp_extract(b, '">([^<]*)', 1) <> ''""")
 def page_blocks(s, d):
     return markup.extract_blocks(read(s, d, "pages"), r"(?s)<li>.*?</li>", {"label": r'">([^<]*)'}, ("label",)).select("page_id", "label")
@@ -538,11 +599,10 @@ def parse_scores(s, d):
     return markup.score_entry_sets(rows, ["role 1"])
 
 
-@query("best_parse", f"WITH g AS (SELECT party, count(*) * 19 + count(DISTINCT role) * 2 AS s FROM ({CURR}) WHERE target = 'senators' GROUP BY 1), b AS (SELECT party FROM g ORDER BY s DESC, party LIMIT 1) SELECT id FROM ({CURR}) WHERE target = 'senators' AND party IN (SELECT party FROM b)")
+@query("best_parse", f"WITH g AS (SELECT party, count(*) AS n, count(*) * 10 + count(DISTINCT nullif(role, '')) * 2 - (count(*) - count(DISTINCT name)) * 15 + count(*) * 3 + 2 * count(*) + 4 * count(*) FILTER (role LIKE '%role 1%') AS s FROM ({CURR}) WHERE target = 'senators' GROUP BY 1), b AS (SELECT party FROM g ORDER BY s DESC, n DESC, party LIMIT 1) SELECT id FROM ({CURR}) WHERE target = 'senators' AND party IN (SELECT party FROM b)")
 def best_parse(s, d):
-    rows = curr(s, d).filter("target = 'senators'").select("id", F.col("party").alias("tag"), "name", "kana", F.col("role").alias("sub_role"), F.lit("").alias("chamber"))
-    scores = rows.groupBy("tag").agg(F.count("*").alias("n"), (F.count("*") * 19 + F.countDistinct("sub_role") * 2).alias("score"))
-    return markup.best_set(rows, scores).select("id")
+    rows = curr(s, d).filter("target = 'senators'").select("id", F.col("party").alias("tag"), "name", "kana", F.col("role").alias("sub_role"), F.lit("衆議院").alias("chamber"))
+    return markup.best_set(rows, markup.score_entry_sets(rows, ["role 1"])).select("id")
 
 
 # ---- learning ----------------------------------------------------------------------------------------------------
@@ -568,7 +628,7 @@ def _now():
 
 
 def _learners(s, d):
-    return grades(s, d).select("id", "target").distinct().filter("id < 90")
+    return grades(s, d).select("id", "target").distinct()
 
 
 def _states(s, d):
@@ -589,21 +649,28 @@ def forgetting_scores(s, d):
 
 @query("lifetime_stats", _FOLD + "SELECT user_id, count(*) AS played, count(*) FILTER (grade <> 'again') AS correct, count(*) FILTER (grade = 'again') AS wrong, count(*) FILTER (status = 'mastered' AND was <> 'mastered') AS mastered, count(*) FILTER (status = 'leech' AND was <> 'leech') AS leech FROM t GROUP BY user_id")
 def lifetime_stats(s, d):
-    return learning.lifetime_stats(learning.trail(grades(s, d)))
+    return learning.lifetime_stats(grades(s, d))
+
+
+@query("graded_steps", _FOLD + "SELECT user_id, id, seq, grade, CASE WHEN done = 1 THEN NULL ELSE was END AS status_before, status, reps, lapses, minutes, round(stability, 6) AS stability FROM t")
+def graded_steps(s, d):
+    """Every graded answer with the item's status before it and the state after it."""
+    a = F.col("after")
+    return learning.trail(grades(s, d)).select("user_id", "id", "seq", "grade", F.col("before.status").alias("status_before"), a["status"].alias("status"), a["reps"].cast("long").alias("reps"), a["lapses"].cast("long").alias("lapses"), a["interval_min"].alias("minutes"), F.round(a["stability"], 6).alias("stability"))
 
 
 @query("item_sets", _FOLD + "SELECT user_id, id, arg_max(status = 'mastered', done) AS in_mastered, coalesce(arg_max(grade = 'again' OR status = 'leech', done) FILTER (grade = 'again' OR status = 'leech' OR (grade = 'good' AND streak >= 2)), false) AS in_wrong FROM t GROUP BY user_id, id")
 def item_sets(s, d):
-    return learning.mastered_wrong_sets(learning.trail(grades(s, d))).select("user_id", "id", "in_mastered", "in_wrong")
+    return learning.mastered_wrong_sets(grades(s, d)).select("user_id", "id", "in_mastered", "in_wrong")
 
 
-@query("progress_summary", _FOLD + f""", k AS (SELECT *, CASE WHEN mastered THEN 'r' WHEN status = 'leech' THEN 'l' WHEN grade = 'again' OR recall < 0.35 OR lapses >= 2 THEN 'n' ELSE 'h' END AS kind FROM scored WHERE id < 90), p AS (SELECT count(DISTINCT id) AS total FROM g WHERE id < 90)
+@query("progress_summary", _FOLD + f""", k AS (SELECT *, CASE WHEN mastered THEN 'r' WHEN status = 'leech' THEN 'l' WHEN grade = 'again' OR recall < 0.35 OR lapses >= 2 THEN 'n' ELSE 'h' END AS kind FROM scored), p AS (SELECT count(DISTINCT id) AS total FROM g)
 SELECT user_id, total, count(*) FILTER (kind = 'r') AS remembered, count(*) FILTER (kind = 'h') AS hazy, count(*) FILTER (kind IN ('n', 'l')) AS not_remembered, total - count(*) AS not_checked, count(*) FILTER (kind IN ('n', 'h') AND (due - {NOW} <= 604800000 OR recall <= 0.55)) AS due_soon, count(*) FILTER (kind = 'l') AS leech FROM k, p GROUP BY user_id, total""")
 def progress_summary(s, d):
     return learning.progress_summary(_learners(s, d), _states(s, d), _now()).drop("mode", "target")
 
 
-@query("focus_summary", _FOLD + f"SELECT user_id, count(*) FILTER (NOT mastered AND (due <= {NOW} OR score >= 0.55)) AS due, count(*) FILTER (NOT mastered AND status = 'leech') AS leech, count(*) FILTER (mastered) AS mastered FROM scored WHERE id < 90 GROUP BY user_id")
+@query("focus_summary", _FOLD + f"SELECT user_id, count(*) FILTER (NOT mastered AND (due <= {NOW} OR score >= 0.55)) AS due, count(*) FILTER (NOT mastered AND status = 'leech') AS leech, count(*) FILTER (mastered) AS mastered FROM scored GROUP BY user_id")
 def focus_summary(s, d):
     return learning.focus_summary(_learners(s, d), _states(s, d), _now()).drop("mode", "target")
 
@@ -638,7 +705,7 @@ def next_items(s, d):
     return learning.next_items(_learners(s, d), _states(s, d), asked, g.filter("id % 10 = 0").select("id"), _now())
 
 
-@query("cycle_positions", f"""WITH g AS ({GRADES_DUCK}), u AS (SELECT DISTINCT user_id FROM g), o AS (SELECT user_id, unnest(range(0, 100)) AS pos FROM u), l AS (SELECT user_id, pos AS id, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS spot FROM o WHERE pos < 90 AND pos IN (SELECT id FROM g))
+@query("cycle_positions", f"""WITH g AS ({GRADES_DUCK}), u AS (SELECT DISTINCT user_id FROM g), o AS (SELECT user_id, unnest(range(0, 100)) AS pos FROM u), l AS (SELECT user_id, pos AS id, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS spot FROM o WHERE pos IN (SELECT id FROM g))
 SELECT user_id, min(id) AS id FROM l WHERE spot >= 5 AND NOT EXISTS (SELECT 1 FROM g WHERE g.user_id = l.user_id AND g.id = l.id AND g.seq % 2 = 0) GROUP BY user_id""")
 def cycle_positions(s, d):
     g = grades(s, d)
@@ -646,33 +713,41 @@ def cycle_positions(s, d):
     return learning.next_in_cycle(cycles, g.filter("seq % 2 = 0").select("user_id", "id"), _learners(s, d))
 
 
-@query("state_backup", "SELECT concat('app:', user_id) AS key, CAST(max(event_id) AS VARCHAR) AS value FROM events GROUP BY user_id")
+@query("state_backup", "SELECT user_id, concat('app:', event_type) AS key, CAST(max(event_id) AS VARCHAR) AS value FROM events GROUP BY ALL")
 def state_backup(s, d):
-    kv = read(s, d, "events").groupBy("user_id").agg(F.max("event_id").cast("string").alias("value")).select(F.explode(F.array(F.concat(F.lit("app:"), F.col("user_id").cast("string")), F.concat(F.lit("other:"), F.col("user_id").cast("string")))).alias("key"), "value")
+    """Each user's store as one JSON object, and back."""
+    last = read(s, d, "events").groupBy("user_id", "event_type").agg(F.max("event_id").cast("string").alias("value"))
+    kv = last.select("user_id", F.explode(F.array(F.concat(F.lit("app:"), "event_type"), F.concat(F.lit("other:"), "event_type"))).alias("key"), "value")
     return files.import_state(files.export_state(kv, "app:"), "app:")
 
 
 # ---- files and pages that Spark derives from the tables ----------------------------------------------------------
+#: People of a derived file: files multiply with the table, none grows with it.
+FILE_ROWS = 1000
+
+
 def _json_lines(s, d):
-    """One JSON array a nation: its customers, with a null element and a nameless one."""
+    """A JSON array for each nation and thousand customers, with a null element and a nameless one."""
     item = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("group"), F.array(F.lit(" "), F.concat(F.lit("i"), F.col("c_custkey").cast("string"))).alias("images")))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("j")))), lambda x: x["j"])
-    return read(s, d, "customer").groupBy("c_nationkey").agg(F.concat(F.lit('[null,{"name":" "},'), F.array_join(listed, ","), F.lit("]")).alias("value"))
+    block = F.floor(F.col("c_custkey") / FILE_ROWS).alias("block")
+    return read(s, d, "customer").groupBy("c_nationkey", block).agg(F.concat(F.lit('[null,{"name":" "},'), F.array_join(listed, ","), F.lit("]")).alias("value"))
+
+
+def _roster_files(s, d):
+    path = new_path(s, "rosters")
+    _json_lines(s, d).repartition("c_nationkey", "block").write.partitionBy("c_nationkey", "block").text(path)
+    return files.read_roster(s, f"{path}/*/*/*.txt", "senators")
 
 
 @query("roster_files", "SELECT c_name AS name, CASE WHEN c_custkey > 0 THEN c_custkey ELSE 3 END AS id, c_mktsegment AS party, concat('i', c_custkey) AS image FROM customer")
 def roster_files(s, d):
-    path = new_path(s, "rosters")
-    _json_lines(s, d).repartition(4, "c_nationkey").write.partitionBy("c_nationkey").text(path)
-    rows = files.read_roster(s, f"{path}/*/*.txt", "senators")
-    return roster.normalize_person(rows).select("name", "id", "party", F.col("images")[0].alias("image"))
+    return roster.normalize_person(_roster_files(s, d)).select("name", "id", "party", F.col("images")[0].alias("image"))
 
 
 @query("differ_rows", "SELECT c_name AS name, concat('i', c_custkey) AS image, c_mktsegment AS role, '' AS party FROM customer")
 def differ_rows(s, d):
-    path = new_path(s, "rosters")
-    _json_lines(s, d).repartition(4, "c_nationkey").write.partitionBy("c_nationkey").text(path)
-    return roster.normalize_person(files.read_roster(s, f"{path}/*/*.txt", "senators"), "diff").select("name", "image", "role", "party")
+    return roster.normalize_person(_roster_files(s, d), "diff").select("name", "image", "role", "party")
 
 
 @query("asset_pool", "SELECT concat('P', p_partkey) AS id, concat('https://a.example/p', p_partkey, '_0.jpg') AS image FROM part")
@@ -687,13 +762,22 @@ def asset_pool(s, d):
 def keyed_sources(s, d):
     path = new_path(s, "keyed")
     pair = F.concat(F.lit('"'), F.when(F.col("s_suppkey") % 5 == 0, "_").otherwise(""), "s_name", F.lit('": {"n": '), F.col("s_nationkey").cast("string"), F.lit("}"))
-    read(s, d, "supplier").groupBy("s_nationkey").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(pair), ", "), F.lit("}")).alias("value")).repartition(4, "s_nationkey").write.partitionBy("s_nationkey").text(path)
-    return files.read_keyed_json(s, f"{path}/*/*.txt", "struct<n:long>").select("key", "value.n")
+    blocks = read(s, d, "supplier").groupBy("s_nationkey", F.floor(F.col("s_suppkey") / FILE_ROWS).alias("block"))
+    blocks.agg(F.concat(F.lit("{"), F.array_join(F.collect_list(pair), ", "), F.lit("}")).alias("value")).repartition("s_nationkey", "block").write.partitionBy("s_nationkey", "block").text(path)
+    return files.read_keyed_json(s, f"{path}/*/*/*.txt", "struct<n:long>").select("key", "value.n")
 
 
-@query("published_snapshot", f"SELECT count(*) AS total, count(*) FILTER (image <> '') AS with_image, count(*) FILTER (image = '') AS missing FROM ({ASSETS})")
+@query("published_snapshot", f"SELECT ord, name, party, image, image_status, CASE WHEN image = '' THEN 'missing' ELSE 'with_image' END AS counted FROM ({ASSETS})")
 def published_snapshot(s, d):
-    return files.publish_snapshot(asset_rows(s, d), new_path(s, "snapshots"), "1")
+    """The rows that the published snapshot holds, if its own counts agree with them."""
+    path, rows = new_path(s, "snapshots"), asset_rows(s, d)
+    said = files.publish_snapshot(rows, path, "1").first()
+    back = s.read.schema(rows.schema).json(f"{path}/snapshot=1")
+    counted = F.when(F.trim("image") == "", "missing").otherwise("with_image")
+    held = {r["counted"]: r["count"] for r in back.groupBy(counted.alias("counted")).count().collect()}
+    if (said["total"], said["with_image"], said["missing"]) != (sum(held.values()), held.get("with_image", 0), held.get("missing", 0)):
+        raise ValueError(f"the snapshot's counts {said} aren't those of its rows {held}")
+    return back.select("ord", "name", "party", "image", "image_status", counted.alias("counted"))
 
 
 _PAGES = """SELECT s_suppkey AS page_id, concat('https://s.example/', cast(s_nationkey AS string), '/') AS url, concat('<table><tr><th>name</th><th>n</th></tr><tr><td>', s_name, '<table><tr><td>x</td></tr></table></td><td>', cast(s_nationkey AS string), '</td></tr><tr><td>short</td></tr></table><img class="i" src="', CASE WHEN s_suppkey % 3 = 0 THEN 'noimage.png' ELSE concat('p', cast(s_suppkey AS string), '.jpg') END, '" srcset="a.jpg 1x, b', cast(s_suppkey AS string), '.jpg 2x" alt="', s_name, '">') AS html FROM supplier"""
@@ -714,12 +798,26 @@ def page_tables(s, d):
     return markup.extract_table(_pages(s, d), ["name", "n"]).select("page_id", F.col("cells")[0].alias("name"), F.col("cells")[1].alias("n"))
 
 
-@query("page_candidates", "SELECT s_suppkey AS page_id, 10 AS score FROM supplier WHERE s_suppkey % 3 <> 0")
+@query("page_candidates", "SELECT s_suppkey AS page_id, 9 AS score FROM supplier WHERE s_suppkey % 3 <> 0")
 def page_candidates(s, d):
     images = markup.extract_images(_pages(s, d)).select("page_id", F.concat(F.lit("https://s.example/"), "src").alias("url"), "alt")
     return assets.page_candidates(images, read(s, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.col("s_name").alias("name"))).select("page_id", "score")
 
 
+_SCORED = "SELECT s_suppkey, s_nationkey, s_name, CASE s_suppkey % 6 WHEN 0 THEN 'https://upload.wikimedia.org/a/portrait.jpg' WHEN 1 THEN 'https://x.example/logo.png' WHEN 2 THEN concat('https://x.example/itdb_giinprof/', s_name, '_600.jpg') WHEN 3 THEN '/member/a.jpg' WHEN 4 THEN 'https://x.example/file' ELSE 'https://www.jimin.jp/poster/a.webp' END AS url, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'meeting' END AS alt FROM supplier"
+
+
+@query("candidate_scores", f"""SELECT s_suppkey,
+CASE s_suppkey % 6 WHEN 0 THEN 10 + 4 + 2 + 1 + 6 WHEN 1 THEN -60 WHEN 2 THEN 4 + 2 + 1 + 6 WHEN 3 THEN -100 WHEN 4 THEN -15 ELSE 2 + 1 - 8 - 3 + 4 END AS search,
+CASE s_suppkey % 6 WHEN 0 THEN 2 + 3 WHEN 1 THEN -4 WHEN 2 THEN 10 + 2 + 3 WHEN 3 THEN -100 WHEN 4 THEN -10 ELSE 0 END AS roster,
+CASE s_suppkey % 6 WHEN 0 THEN 8 WHEN 1 THEN -20 WHEN 3 THEN 8 ELSE 0 END AS photo FROM ({_SCORED})""")
+def candidate_scores(s, d):
+    """Scores of assets by each of the weight tables."""
+    rows = derived(s, d, _SCORED, "supplier")
+    score = lambda t, *more: urls.score_candidate(t, F.col("url"), F.col("alt"), F.col("s_name"), *more).alias(t)
+    return rows.select("s_suppkey", score("search", F.lit("https://x.example/profile/"), F.lit("meta")), score("roster"), score("photo"))
+
+
 @query("decoded_pages", "SELECT CAST(s_suppkey AS VARCHAR) AS path, 'shift_jis' AS charset, concat('議員', s_name) AS text FROM supplier")
 def decoded_pages(s, d):
     raw = F.concat(F.unhex(F.lit("8b6388f5")), F.encode("s_name", "UTF-8"))  # 議員 in Shift_JIS

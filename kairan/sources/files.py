@@ -78,14 +78,16 @@ def build_feed(items: DataFrame, summaries: DataFrame, generated_at: str, notice
     return listed.crossJoin(sums).select(F.lit(generated_at).alias("generatedAt"), "totalChanges", (F.col("n") > 0).alias("hasUpdates"), "summaries", "items")
 
 
-def export_state(kv: DataFrame, prefix: str) -> DataFrame:
-    """One row ``json``: the pairs ``key``, ``value`` whose key has the prefix."""
+def export_state(kv: DataFrame, prefix: str, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """One row a user (``by``), ``json``: the user's pairs ``key``, ``value`` whose key has the prefix."""
     pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))
-    return kv.filter(F.col("key").startswith(prefix)).groupBy("key").agg(F.max("value").alias("value")).agg(F.to_json(pairs).alias("json"))
+    own = kv.filter(F.col("key").startswith(prefix)).groupBy(*by, "key").agg(F.max("value").alias("value"))
+    return own.groupBy(*by).agg(F.to_json(pairs).alias("json"))
 
 
 def import_state(df: DataFrame, prefix: str) -> DataFrame:
-    """Pairs of JSON objects in ``json`` with the prefix; only string values count."""
-    keyed = df.select(F.explode(F.from_json("json", "map<string,variant>")).alias("key", "value"))
+    """Pairs of JSON objects in ``json`` with the prefix, beside the other columns; only string values count."""
+    others = [c for c in df.columns if c not in ("json", "key", "value")]
+    keyed = df.select(*others, F.explode(F.from_json("json", "map<string,variant>")).alias("key", "value"))
     strings = keyed.filter(F.schema_of_variant("value") == "STRING")
-    return strings.select("key", F.variant_get("value", "$", "string").alias("value")).filter(F.col("key").startswith(prefix))
+    return strings.select(*others, "key", F.variant_get("value", "$", "string").alias("value")).filter(F.col("key").startswith(prefix))

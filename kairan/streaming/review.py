@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kairan.functions.memory import step
 from kairan.operators.learning import KEYS
 
 _FIELDS = "reps int, interval_min long, due long, last_grade string, updated_at long, stability double, difficulty double, lapses int, consecutive int, status string, last_seen_at long"
@@ -17,47 +17,22 @@ STATE_SCHEMA = _FIELDS + ", last_seq long, dropped long, in_wrong boolean"
 OUTPUT_SCHEMA = "user_id long, mode string, target string, id long, " + _FIELDS + ", applied long, dropped long, in_mastered boolean, in_wrong boolean"
 
 
-def _clamp(x: float, low: float, high: float) -> float:
-    return min(max(x, low), high)
-
-
-def step(s: dict | None, grade: str, at: int) -> dict:
-    """One grade on one item's state; the same transition as ``apply_grade`` has on Columns."""
-    s = s or {"reps": 0, "stability": 0.3, "difficulty": 5.0, "lapses": 0, "consecutive": 0, "last_seen_at": at}
-    again = grade == "again"
-    lapses, streak = s["lapses"] + again, 0 if again else s["consecutive"] + 1
-    stable, first = max(s["stability"], 0.15), s["reps"] == 0
-    lost = 1 + (1 - math.exp(-max((at - s["last_seen_at"]) / 86_400_000, 0) / stable)) * 0.35
-    boost, ease = 1 + min(streak, 8) * 0.08, (11 - s["difficulty"]) / 10
-    whole = lambda x: math.floor(x + 0.5)
-    if again:
-        stability, minutes, change = _clamp(s["stability"] * 0.45, 0.15, 3650), {1: 10, 2: 30}.get(lapses, 240), 0.7
-    elif grade == "strong":
-        stability, change = _clamp(1.25 if first else stable * (2.05 + ease * 0.95) * lost * (boost + 0.12), 0.8, 3650), -0.18
-        minutes = max(1440, whole(stability * 1440))
-    elif grade == "hard":
-        stability, change = _clamp(stable * (1.4 if first else 1.18 + ease * 0.22) * lost, 0.25, 3650), 0.15
-        minutes = max(60, whole(stability * 864))
-    else:
-        stability, change = _clamp(0.75 if first else stable * (1.65 + ease * 0.75) * lost * boost, 0.4, 3650), -0.1
-        minutes = max(720, whole(stability * 1440))
-    needs = {"strong": (5, 35), "good": (6, 45)}.get(grade)
-    mastered = needs is not None and streak >= needs[0] and stability >= needs[1] and s["lapses"] <= 1
-    status = ("leech" if lapses >= 3 else "learning") if again else "mastered" if mastered else "review" if stability >= 7 else "learning"
-    return {"reps": 0 if again else min(s["reps"] + 1, 100), "interval_min": minutes, "due": at + minutes * 60_000, "last_grade": grade, "updated_at": at, "stability": stability, "difficulty": _clamp(s["difficulty"] + change, 1, 10), "lapses": lapses, "consecutive": streak, "status": status, "last_seen_at": at}
-
-
-def stream_state(events: DataFrame, watermark: str | None = None) -> DataFrame:
+def stream_state(events: DataFrame, watermark: str | None = None, idle_ms: int | None = None) -> DataFrame:
     """State and set membership of each item after each micro-batch (update mode).
 
     Within a batch events are applied in order of (at, seq); an event before the item's last one is dropped and
-    counted, so a replayed batch changes nothing. A watermark on ``ts`` only removes repeated events.
+    counted, so a replayed batch changes nothing. A watermark on ``ts`` only removes repeated events. With ``idle_ms``
+    the state of an item without an answer for so long (in processing time) is dropped: its last row stands in what was
+    written, and it begins anew when it comes up again. Without it state is kept for every item ever answered.
     """
     if watermark:
         events = events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([*KEYS, "seq"])
     names = [f.split()[0] for f in _FIELDS.split(", ")]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["at", "seq"])
         held = dict(zip([*names, "last_seq", "dropped", "in_wrong"], group.get, strict=True)) if group.exists else None
         dropped, applied = (held["dropped"] if held else 0), 0
@@ -74,12 +49,21 @@ def stream_state(events: DataFrame, watermark: str | None = None) -> DataFrame:
                 wrong = False
         held |= {"dropped": dropped, "in_wrong": wrong}
         group.update(tuple(held[n] for n in [*names, "last_seq", "dropped", "in_wrong"]))
+        if idle_ms:
+            group.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([[*key, *(held[n] for n in names), applied, dropped, held["status"] == "mastered", wrong]], columns=[f.split()[0] for f in OUTPUT_SCHEMA.split(", ")])
 
-    return events.groupBy(*KEYS).applyInPandasWithState(update, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(*KEYS).applyInPandasWithState(update, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+
 
+def stream_counters(events: DataFrame, keys: tuple[str, ...] = ("user_id",), window: str | None = None, watermark: str = "1 day") -> DataFrame:
+    """Running played, correct, wrong, miss_count, last_miss_at.
 
-def stream_counters(events: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
-    """Running played, correct, wrong, miss_count, last_miss_at."""
-    miss = F.col("grade").isin("hard", "again")
-    return events.groupBy(*keys).agg(F.count("*").alias("played"), F.count_if(F.col("grade") != "again").alias("correct"), F.count_if(F.col("grade") == "again").alias("wrong"), F.count_if(miss).alias("miss_count"), F.max(F.when(miss, F.col("at"))).alias("last_miss_at"))
+    With ``window`` (as ``30 days``, over the time ``ts``) a row a window and key, whose state goes once the watermark
+    has passed the window; without it there is one row a key for ever, as many as there are learners.
+    """
+    miss, by = F.col("grade").isin("hard", "again"), [*keys]
+    if window:
+        events = events.withWatermark("ts", watermark)
+        by = [F.window("ts", window), *keys]
+    return events.groupBy(*by).agg(F.count("*").alias("played"), F.count_if(F.col("grade") != "again").alias("correct"), F.count_if(F.col("grade") == "again").alias("wrong"), F.count_if(miss).alias("miss_count"), F.max(F.when(miss, F.col("at"))).alias("last_miss_at"))

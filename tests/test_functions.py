@@ -54,7 +54,7 @@ def test_urls(spark):
     got = [g for (g,) in values(spark, rows, urls.normalize_url(F.col("x"), F.lit("https://s.jp/dir/p.html?q")))]
     assert got == ["https://h.jp/a/b", "https://s.jp/c", "https://s.jp/dir/d.jpg", "", "https://h.jp/", ""]
     assert values(spark, ["a.jpg 1x, b.jpg 2x", ""], urls.srcset_last(F.col("x"))) == [("b.jpg",), ("",)]
-    assert values(spark, ["../a"], urls.resolve(F.col("x"), F.lit("https://s.jp/x/y/z"))) == [("https://s.jp/x/a",)]
+    assert values(spark, ["../a.jpg", "../../../a", "./a/./b/../c?x", "..", "a/..", "/x/../y/."], urls.normalize_url(F.col("x"), F.lit("https://s.jp/x/y/z"))) == [("https://s.jp/x/a.jpg",), ("https://s.jp/a",), ("https://s.jp/x/y/a/c",), ("https://s.jp/x/",), ("https://s.jp/x/y/",), ("https://s.jp/y/",)]
 
 
 def test_asset_scores(spark):

@@ -48,8 +48,10 @@ def test_files_round_trip(spark, tmp_path):
     assert tuple(files.publish_snapshot(snap, str(tmp_path / "s"), "1").first()) == (2, 1, 1)
     with pytest.raises(Exception):  # noqa: B017
         files.publish_snapshot(snap, str(tmp_path / "s"), "1")
-    kv = spark.createDataFrame([("p:a", "1"), ("q:b", "2")], "key string, value string")
-    assert [tuple(r) for r in files.import_state(files.export_state(kv, "p:"), "p:").collect()] == [("p:a", "1")]
+    kv = spark.createDataFrame([(1, "p:a", "1"), (1, "q:b", "2"), (2, "p:a", "3")], "user_id long, key string, value string")
+    stores = files.export_state(kv, "p:")
+    assert sorted(r["json"] for r in stores.collect()) == ['{"p:a":"1"}', '{"p:a":"3"}']  # a row a user
+    assert sorted(tuple(r) for r in files.import_state(stores, "p:").collect()) == [(1, "p:a", "1"), (2, "p:a", "3")]
     assert files.import_state(spark.createDataFrame([('{"p:a": 1, "p:b": "x"}',)], "json string"), "p:").count() == 1
 
 
@@ -63,8 +65,36 @@ def test_variant_match_outcomes(spark):
 def test_containment_both_ways_agree_and_reject_two_names(spark):
     texts = spark.createDataFrame([(1, "xx安倍晋三yy"), (2, "安倍晋三と麻生太郎"), (3, "")], "text_id long, text string")
     names = spark.createDataFrame([(10, "安倍晋三"), (11, "麻生太郎"), (12, "")], "entity_id long, key string")
-    for few in (0, 100):
-        assert [tuple(r) for r in linking.link_contained(texts, names, few=few).collect()] == [(1, 10)]
+    for most in (1, 4_000_000):  # a pass for few names each, and one pass
+        assert [tuple(r) for r in linking.link_contained(texts, names, pass_chars=most).collect()] == [(1, 10)]
+        assert sorted(tuple(r) for r in linking.link_contained(texts, names, unique=False, pass_chars=most).collect()) == [(1, 10), (2, 10), (2, 11)]
+    assert linking.link_contained(texts, names.limit(0)).count() == 0
+
+
+def test_links_nearby_equal_brute_force(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    names = [(i, "".join(rng.choice("abcd") for _ in range(rng.randint(2, 4)))) for i in range(12)]
+    pages = [(i, "".join(rng.choice(["URL", "ab", "cd", "da", "<b>", "x", " ", "&amp;"]) for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    want = set()
+    for page_id, html in pages:
+        for pos, m in enumerate(re.finditer("URL", html)):
+            around = html[max(0, m.start() - 9) : m.end() + 9]
+            plain = " ".join(re.sub("<[^>]+>", " ", around.replace("&amp;", "&")).split())
+            hits = {i for i, key in names if key in plain}
+            want |= {(page_id, pos, "URL", *hits)} if len(hits) == 1 else set()
+    got = linking.link_near(spark.createDataFrame(pages, "page_id long, html string"), spark.createDataFrame(names, "entity_id long, key string"), "URL", 9).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 10
+
+
+def test_aliases_of_exactly_one_entity(spark):
+    mentions = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (3, ["b", "b"]), (4, ["c"]), (5, []), (6, ["a", "d"])], "mention_id long, x array<string>")
+    entities = spark.createDataFrame([(10, ["a", "a", "d"]), (11, ["b"]), (12, ["c"]), (13, ["c"])], "entity_id long, x array<string>")
+    got = linking.match_aliases(mentions, entities, F.col("x"), F.col("x"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 10), (3, 11), (6, 10)]
+    assert linking.match_aliases(mentions, entities, F.col("x"), F.col("x"), many=True).count() == 7
 
 
 def test_windows_of_text(spark):
@@ -111,7 +141,7 @@ def test_images_and_links(spark):
     assert [tuple(r) for r in markup.extract_images(pages).select("src", "alt").collect()] == [("a.jpg", "n")]
     images = spark.createDataFrame([(1, "https://s.jp/yamada.jpg", ""), (1, "https://s.jp/noimage.jpg", "")], "page_id long, url string, alt string")
     names = spark.createDataFrame([(1, "yamada")], "page_id long, name string")
-    assert [tuple(r) for r in assets.page_candidates(images, names).select("url", "score").collect()] == [("https://s.jp/yamada.jpg", 10)]
+    assert [tuple(r) for r in assets.page_candidates(images, names).select("url", "score").collect()] == [("https://s.jp/yamada.jpg", 9)]
 
 
 def test_gate(spark):
@@ -131,8 +161,10 @@ def test_merge_is_idempotent_and_keeps_old_rows(spark):
 def test_leech_and_wrong_set(spark):
     kind = "user_id long, mode string, target string, id long, at long, seq long, grade string"
     grades = ["again", "again", "again", "good", "good", "strong"]
-    graded = learning.trail(spark.createDataFrame([(1, "m", "t", 5, i, i, g) for i, g in enumerate(grades)], kind))
-    assert [r["after"]["interval_min"] for r in graded.orderBy("seq").limit(3).collect()] == [10, 30, 240]
+    graded = spark.createDataFrame([(1, "m", "t", 5, i, i, g) for i, g in enumerate(grades)], kind)
+    steps = learning.trail(graded).orderBy("seq").collect()
+    assert [r["after"]["interval_min"] for r in steps[:3]] == [10, 30, 240]
+    assert steps[0]["before"] is None and all(a["after"] == b["before"] for a, b in zip(steps, steps[1:], strict=False))
     assert tuple(learning.lifetime_stats(graded).first()) == (1, 6, 3, 3, 0, 1)
     assert tuple(learning.mastered_wrong_sets(graded).select("in_mastered", "in_wrong").first()) == (False, False)
 
@@ -149,3 +181,63 @@ def test_late_events_are_dropped_and_counted(spark, tmp_path):
         q = stream_state(stream).writeStream.outputMode("update").foreachBatch(lambda df, e: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert (out[-1]["dropped"], out[-1]["reps"], out[-1]["lapses"]) == (1, 2, 0)
+
+
+def test_next_items_equal_brute_force(spark):
+    """Every learner's next item, by a plain search of learners x people."""
+    import hashlib
+    import math
+    import random
+
+    from kairan.functions.memory import DAY, STATE
+
+    rng, now = random.Random(5), 400 * DAY
+    people = [("t", i) for i in range(25)] + [("u", i) for i in range(100, 104)]
+    recent, states = {2, 3, 4, 7, 101}, []
+    for user in range(60):
+        seen = rng.sample(range(25), rng.choice([1, 3, 12, 20, 24, 25]))
+        for i in seen:
+            status, due = rng.choice(["learning", "review", "mastered", "leech"]), now + rng.randint(-9, 30) * DAY
+            states.append((user, "m", "t", i, dict(reps=1, interval_min=1, due=due, last_grade="good", updated_at=0, stability=float(rng.randint(1, 90)), difficulty=5.0, lapses=rng.randint(0, 4), consecutive=1, status=status, last_seen_at=now - rng.randint(0, 60) * DAY)))
+    states.append((60, "m", "u", 100, states[0][4]))
+    states.append((61, "m", "t", 999, states[0][4]))  # seen, no longer in the roster
+    asked = [(u, rng.randrange(25)) for u in range(60) for _ in range(rng.choice([0, 2, 7, 11, 23]))]
+    kind = "user_id long, mode string, target string, id long, state " + STATE
+    s_df, a_df = spark.createDataFrame([(*r[:4], tuple(r[4].values())) for r in states], kind), spark.createDataFrame(asked, "user_id long, id long")
+    p_df, r_df = spark.createDataFrame(people, "target string, id long"), spark.createDataFrame([(i,) for i in recent], "id long")
+    md5 = lambda *x: hashlib.md5(":".join(map(str, x)).encode()).hexdigest()
+    users = sorted({(r[0], r[2]) for r in states})
+    starts = {(r[0], r[1]): r[2] for r in spark.createDataFrame(users, "u long, t string").select("u", "t", F.xxhash64(F.lit("0"), "u", "t")).collect()}
+    lucky = {r[0]: r[1] for r in spark.createDataFrame([(u,) for u, _ in users], "u long").select("u", F.pmod(F.crc32(F.concat_ws(":", F.lit("0"), F.col("u").cast("string"))), F.lit(20)) == 0).collect()}
+    for mode in ("normal", "review"):
+        want = {}
+        for user, target in users:
+            own = {r[3]: r[4] for r in states if r[0] == user}
+            out = {i for u, i in asked if u == user}
+            roster_ids = [i for t, i in people if t == target]
+            rows = []
+            for i in (i for i in roster_ids if i in own and i not in out):
+                s = own[i]
+                recall = math.exp(-max(now - s["last_seen_at"], 0) / DAY / max(s["stability"], 0.15))
+                risk = round(1 - recall + (0.5 + min((now - s["due"]) / DAY, 6) * 0.18 if s["due"] <= now else 0) + 0.45 * (s["status"] == "leech") + min(s["lapses"] * 0.08, 0.4), 9)
+                soon = s["due"] - now <= DAY * min(max(s["stability"], 1), 7) or risk >= 0.55
+                bucket = "mastered" if s["status"] == "mastered" and s["due"] > now else "leech" if s["status"] == "leech" else "due" if s["due"] <= now else "upcoming" if soon else None
+                rows += [(bucket, -risk, md5("0", user, i) if bucket == "mastered" else "", i)] if bucket else []
+                rows += [("recent", -risk, "", i)] if i in recent and bucket != "mastered" else []
+            rows += [("recent", 0.0, "", i) for i in roster_ids if i in recent and i not in own and i not in out]
+            ring = sorted((i for i in roster_ids if i not in recent), key=lambda i: (md5("0", i), i))
+            turned = [ring[(starts[user, target] + k) % len(ring)] for k in range(len(ring))]
+            rows += [("fresh", 0.0, "", i) for i in turned if i not in own and i not in out][:1]
+            best = {}
+            for b, most in (("recent", 2), ("leech", 2), ("due", 3), ("upcoming", 3), ("fresh", 1), ("mastered", 1)):
+                top = [r[3] for r in sorted(r for r in rows if r[0] == b)][:most]
+                if top:
+                    best[b] = min(top, key=lambda i: md5("0", user, b, i))
+            n = len(out)
+            c = n % 20
+            rules_ = [("recent", n < 6 or c in (0, 7, 14)), ("leech", c in (2, 9, 15)), ("due", c < 11), ("upcoming", c < 16), ("recent", True), ("fresh", True), ("mastered", lucky[user])] if mode == "normal" else []
+            pick = next((b for b, on in [*rules_, ("leech", True), ("due", True), ("upcoming", True)] if on and b in best), None)
+            if pick:
+                want[user] = (best[pick], pick)
+        got = {r["user_id"]: (r["id"], r["bucket"]) for r in learning.next_items(p_df, s_df, a_df, r_df, F.lit(now), mode).collect()}
+        assert got == want and len({b for _, b in got.values()}) >= (4 if mode == "normal" else 3)
