@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions that adds to them.
 
 The patterns give the base spans. The network, trained in numpy from labelled spans, reads overlapping windows around
-every place that could be part of personal data (a digit or ``@``; a span without either is never taken), its tags are
+every place that could be part of personal data (a digit or ``@``; a span without either, or longer than a window less
+its step, is never taken), its tags are
 decoded by the Viterbi algorithm, and the windows' spans are reconciled over the whole text: where windows disagree,
 the one in which a span lies nearest the middle decides. Spans that overlap a base span, cut a word or number or don't have their
 kind's form are dropped.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,10 +21,11 @@ from pyspark.sql import functions as F
 from .common import judged
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window, and of its step.
-WINDOW, STEP = 64, 32
-#: Texts with base spans that fitting reads at most, least hash of the id first; windows and updates of training.
-FIT_TEXTS, FIT_WINDOWS, UPDATES, LANES = 600, 1500, 150, 64
+#: Characters of a window, and of its step: every span of up to ``WINDOW - STEP + 1`` characters lies in a window whole.
+WINDOW, STEP = 96, 32
+#: Texts that fitting reads at most, least hash first, and their parts around digits or ``@`` (the first ones); windows
+#: and updates of training. The labelled sample is bounded by these.
+FIT_TEXTS, FIT_PARTS, FIT_WINDOWS, UPDATES, LANES = 600, 8, 2400, 220, 64
 HIDDEN = 12
 #: Windows decoded together.
 BATCH = 2048
@@ -219,11 +222,11 @@ class Tagger:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of overlapping windows on a fixed grid that hold a digit or ``@``, with the windows around them."""
+    """Starts of overlapping windows on a fixed grid that hold a digit or ``@``; a span that holds one lies in one of them."""
     found: set[int] = set()
     for m in _TRIGGER.finditer(text):
         first, last = m.start() // STEP, (m.end() - 1) // STEP
-        found.update(range(first - 1, last + 1))
+        found.update(range(first - WINDOW // STEP + 1, last + 1))
     return [k * STEP for k in sorted(found)]
 
 
@@ -251,14 +254,27 @@ def tagged_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def reconcile(found: list[tuple[int, int, int, float]], base: list[tuple[int, int, int]], text: str) -> list[tuple[int, int, int]]:
-    """Spans (start, end, kind, distance from its window's middle) of all windows: nearest the middle first, none overlapping."""
-    taken, out = sorted((a, b) for a, b, _ in base), []
+    """Spans (start, end, kind, distance from its window's middle) of all windows: nearest the middle first, none overlapping.
+
+    Taken spans are kept disjoint and in order, so each test is a bisection, however many spans a text has.
+    """
+    taken: list[tuple[int, int]] = []
+    for a, b, _ in sorted(base):  # base spans of different kinds may overlap: their union
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    out = []
     for a, b, k, _ in sorted(set(found), key=lambda s: (s[3], s[0], s[2], s[1])):
         while b > a and text[b - 1] in " \n.,":
             b -= 1
+        while a < b and text[a] in " \n.,":
+            a += 1
+        at = bisect_left(taken, (b, 0))  # the spans before it begin before b
+        free = at == 0 or taken[at - 1][1] <= a
         whole = not text[max(0, a - 1) : a].isalnum() and not text[b : b + 1].isalnum()
-        if whole and _FORMS[k](text[a:b]) and not any(x < b and a < y for x, y in taken):
-            taken.append((a, b))
+        if b > a and free and whole and _FORMS[k](text[a:b]):
+            insort(taken, (a, b))
             out.append((a, b, k))
     return out
 
@@ -288,16 +304,18 @@ class Finder:
         return [(b, reconcile(x, b, t) if x else []) for b, x, t in zip(base, added, texts, strict=True)]
 
 
-def _variants(text: str, kind: int, rng: np.random.Generator) -> str:
-    """A span as people also write it: labelled like the original."""
-    pick = rng.integers(3)
-    if kind == 0 and pick == 0:
-        return text.replace("@", " @ ")
-    if kind == 2 and pick == 0 and text.isdigit():
-        return ".".join(text[i : i + 4] for i in range(0, len(text), 4))
-    if kind == 3 and pick == 0:
-        return text.split(" ", 1)[1] if " " in text else text
-    return text
+def variant(text: str, kind: int, rng: np.random.Generator) -> str:
+    """A span as people also write it and the patterns miss; it keeps its label."""
+    if kind == 0:
+        return text.replace("@", (" @ ", " @", "@ ")[rng.integers(3)])
+    if kind == 1:
+        return text.replace(".", (" . ", ". ")[rng.integers(2)])
+    if kind == 2:
+        number = digits(text)
+        return (".", "/")[rng.integers(2)].join(number[i : i + 4] for i in range(0, len(number), 4))
+    number = digits(text)
+    parts = [number[:3], number[3:6], number[6:]] if len(number) > 8 else [number[:4], number[4:]]
+    return ("-", ".", " ")[rng.integers(3)].join(parts) if rng.integers(2) else f"({parts[0]}) " + "-".join(parts[1:])
 
 
 def training_windows(texts: list[str], most: int = FIT_WINDOWS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +326,7 @@ def training_windows(texts: list[str], most: int = FIT_WINDOWS, seed: int = 5) -
         for a, b, k in spans:
             if any(s[0] < b and a < s[1] and s != (a, b, k) for s in spans) or b - a > WINDOW - 8:
                 continue
-            shown = _variants(t[a:b], k, rng)
+            shown = variant(t[a:b], k, rng) if rng.integers(2) else t[a:b]
             lead = int(rng.integers(2, WINDOW - 4 - min(len(shown), WINDOW - 8)))
             before, after = t[max(0, a - lead) : a], t[b : b + WINDOW]
             if base_spans(before + " ") or base_spans(" " + after):
@@ -333,7 +351,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Tagger | None:
     marked = docs.select(docs[text_col].alias("text")).filter(F.col("text").rlike(r"[0-9]{3}|@")).select("text", F.xxhash64("text").alias("h"))
     least = marked.select("h").distinct().orderBy("h").limit(FIT_TEXTS)
     rows = marked.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"]).select("h", F.expr("regexp_extract_all(text, '(?s).{0,96}(?:[0-9]{3}|@).{0,96}', 0)").alias("parts"))
-    texts = [p for r in sorted(rows.select("h", F.slice("parts", 1, 8).alias("parts")).collect(), key=lambda r: r["h"]) for p in r["parts"]]
+    texts = [p for r in sorted(rows.select("h", F.slice("parts", 1, FIT_PARTS).alias("parts")).collect(), key=lambda r: r["h"]) for p in r["parts"]]
     x, y = training_windows(texts)
     if not (y > 0).any():
         return None
