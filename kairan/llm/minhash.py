@@ -28,8 +28,8 @@ PLACES, ROWS, BANDS = 1 << 20, 6, 40
 #: node whose number is least after this exclusive-or leads its bucket (the least, the greatest, one between).
 LEADS = (0, (1 << 62) - 1, 0x1555555555555555)
 #: All pairs of buckets up to this size are joined; larger buckets are compared in blocks of about so many nodes and bytes.
-SMALL_BUCKET, BLOCK, BLOCK_BYTES = 64, 2048, 16_000_000
-#: Buckets with over this share of all places are hot; there are fewer than its inverse of them, so they are broadcast.
+SMALL_BUCKET, BLOCK, BLOCK_BYTES = 64, 1024, 16_000_000
+#: Buckets with over this share of all places are hot; there are fewer than its inverse of them, so that they can be listed.
 HOT_SHARE = 1 / 1000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -140,14 +140,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _with_bucket(places: DataFrame, buckets: DataFrame) -> DataFrame:
     """``places`` joined with ``buckets`` (stored; one row a ``bucket``, with its number of places ``n``).
 
-    A hot bucket's places would all meet in one task: such buckets' rows go to the places instead.
+    A hot bucket's places would all meet in one task: such buckets' rows, fewer than ``1 / HOT_SHARE``, go to the
+    places instead.
     """
-    total = F.broadcast(buckets.agg(F.sum("n").alias("_all")))
-    marked = buckets.crossJoin(total).withColumn("_hot", F.col("n") > F.col("_all") * HOT_SHARE).drop("_all")
-    hot, cold = marked.filter("_hot").drop("_hot"), marked.filter("not _hot").drop("_hot")
-    often = places.join(F.broadcast(hot), "bucket")
-    rest = places.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti").join(cold, "bucket")
-    return often.unionByName(rest)
+    total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [r[0] for r in buckets.filter(F.col("n") > total * HOT_SHARE).select("bucket").collect()]
+    if not hot:
+        return places.join(buckets, "bucket")
+    often = F.col("bucket").isin(hot)
+    return places.filter(~often).join(buckets.filter(~often), "bucket").unionByName(places.filter(often).join(F.broadcast(buckets.filter(often)), "bucket"))
 
 
 def _small_pairs(places: DataFrame, large: DataFrame) -> DataFrame:
