@@ -33,7 +33,7 @@ def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = R
     aggregates within each task before the shuffle, so a hot host or line costs a row a task.
     """
     page = pages.select(F.coalesce(pages[host_col].cast("string"), F.lit("")).alias("host"), F.xxhash64(pages[text_col]).alias("page"), pages[text_col].alias("text"))
-    split = page.select("host", "page", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), F.trim))).alias("line"))
+    split = page.select("host", "page", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))).alias("line"))
     lines = split.filter("line <> ''").select("host", "page", _key(F.col("line")).alias("key"))
     totals = page.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
     counted = lines.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)

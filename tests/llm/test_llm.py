@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kairan.llm import bpe, components, decontam, language_model, lines, minhash, neighbours, pii, secrets, toxicity, url_filter
+from kairan.llm import bpe, components, decontam, language_model, lines, minhash, neighbours, pii, queries, secrets, toxicity, url_filter
 from kairan.llm.common import crc_mod, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -298,14 +299,56 @@ def test_toxicity_on_held_out_texts(spark):
     assert all(r["predicted"] == 0 for r in none)
 
 
+def test_toxicity_of_odd_tables(spark):
+    kind = "doc_id long, quality int, toxic int"
+    texts = [*(f"plain words {sentence(random.Random(i), 12)}" for i in range(60)), *(f"moron {sentence(random.Random(i), 12)} scum" for i in range(60, 90))]
+    labels = spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(90)] * 2, kind).withColumn("text", F.lit("clash"))
+    df = documents(spark, [*texts, "word " * 100_000 + "moron scum", None], clash=True)
+    df = df.union(df.filter("doc_id in (3, 70)")).union(df.filter("doc_id = 70").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = toxicity.toxicity(df, labels).collect()
+    assert len(rows) == 95 and sum(r["doc_id"] == 70 for r in rows) == 2
+    assert len({r["score"] for r in rows if r["doc_id"] in (70, None)}) == 1
+    assert toxicity.toxicity(documents(spark, []), labels).count() == 0
+
+
+def test_extreme_value_law():
+    rng = np.random.default_rng(21)
+    sizes = rng.integers(50, 500, 4000).astype(float)
+    tops = np.log(0.02 * sizes / rng.exponential(size=4000)) / 1.5
+    decay, k = toxicity.extreme_value(np.maximum(tops, 0), sizes)
+    assert abs(decay - 1.5) < 0.1 and abs(k - 0.02) < 0.006
+    assert toxicity.extreme_value(np.empty(0), np.empty(0)) == (1.0, 1e-3)
+    assert 0 < toxicity.extreme_value(np.zeros(10), np.full(10, 100.0))[1] < 1
+
+
 # ---- 5: lines
-def test_lines(spark):
-    rows = [(i, f"head\n  head \nown {i}\n\nfoot {i % 40}", "en", None if i % 2 else "a", 9) for i in range(80)] + [(100, None, "en", "a", 0), (101, "", "en", "b", 0), (102, "head", "en", "b", 0)]
-    got = {r["doc_id"]: r for r in lines.drop_boilerplate(spark.createDataFrame(rows, DOCS).withColumn("n_lines", F.lit("clash")), counts=True).collect()}
-    assert got[0]["text"] == "own 0\n\nfoot 0" and (got[0]["n_lines"], got[0]["n_dropped"]) == (4, 2)
-    assert got[1]["text"] == "own 1\n\nfoot 1"
-    assert got[100]["text"] is None and (got[100]["n_lines"], got[100]["n_dropped"]) == (0, 0)
-    assert got[101]["text"] == "" and got[102]["text"] == "head"
+def brute_lines(rows, ratio, least):
+    pages, out = collections.defaultdict(set), []
+    for _, text, host in rows:
+        pages[host or ""].add(text)
+    gone = {}
+    for host, texts in pages.items():
+        n = collections.Counter(x for t in texts for x in {x.strip(" ") for x in (t or "").split("\n")} if x)
+        gone[host] = {x for x, c in n.items() if c >= least and c > ratio * len(texts)}
+    for i, text, host in rows:
+        found = [x for x in (text or "").split("\n") if not x.strip(" ") or x.strip(" ") not in gone[host or ""]]
+        out.append((i, None if text is None else "\n".join(found)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("ratio", [0.005, 0.1])
+def test_lines(spark, ratio):
+    rng = random.Random(22)
+    rows = [(i, f"head\n  head \nown {i}\n\nfoot {i % 40}", None if i % 2 else "a") for i in range(80)] + [(100, None, "a"), (101, "", "b"), (102, "head", "b")]
+    rows += [(200 + i, "\n".join(rng.choice(["x", " y", "z ", "", "日本", f"{rng.randint(0, 30)}"]) for _ in range(rng.randint(0, 9))), rng.choice(["c", "d"])) for i in range(200)]
+    rows += [(500 + i, f"tie\nown {i}" if i < 10 else f"own {i}", "e") for i in range(100)]  # exactly a tenth: not over it
+    rows += [rows[150], rows[150], (None, rows[151][1], "c"), (600, "long " * 50_000 + "\nx", "c")]
+    df = spark.createDataFrame([(i, t, "en", h, 9) for i, t, h in rows], DOCS).withColumn("n_lines", F.lit("clash"))
+    got = lines.drop_boilerplate(df, ratio=ratio, counts=True).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == brute_lines(rows, ratio, lines.LEAST_PAGES)
+    first = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in got}
+    assert first[0][0] == 4 and first[0][1] >= 2 and first[100] == (0, 0)
+    assert ratio < 0.1 or all(first[500 + i][1] == 0 for i in range(100))
     assert lines.drop_boilerplate(documents(spark, [])).count() == 0
 
 
@@ -327,8 +370,13 @@ def test_bpe_equals_the_library(spark):
     known = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(9)
     texts = [*EDGES, "<|endoftext|>", "don't  x", *("".join(rng.choice("abc é日\n\t'\"0z") for _ in range(rng.randint(1, 700))) for _ in range(150))]
-    for r in bpe.encode_decode(documents(spark, texts, clash=True), path, tokens.PATTERN).collect():
-        t = texts[r["doc_id"]] or ""
+    texts += ["word " * 500_000 + "é" * 3000, "a" * 20_000]  # longer than a slice, and a long piece
+    df = documents(spark, texts, clash=True)
+    df = df.union(df.filter("doc_id = 14")).union(df.filter("doc_id = 14").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = bpe.encode_decode(df, path, tokens.PATTERN).collect()
+    assert len(rows) == len(texts) + 2 and {r["ids_sha256"] for r in rows if r["doc_id"] is None} == {r["ids_sha256"] for r in rows if r["doc_id"] == 14}
+    for r in rows:
+        t = texts[14 if r["doc_id"] is None else r["doc_id"]] or ""
         ids = np.array(known.encode_ordinary(t), "<u4").tobytes()
         assert (r["ids"], r["n_tokens"]) == (ids, len(ids) // 4)
         assert r["ids_sha256"] == hashlib.sha256(ids).hexdigest() and r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() and r["round_trip"]
@@ -383,7 +431,7 @@ def test_leaks(spark):
     for _ in range(5):
         near[rng.randrange(len(near))] = "z"
     texts = [*EDGES, f"{sentence(rng, 20)} {items[0].upper()}!! {sentence(rng, 20)}", sentence(rng, 20) + " " + "".join(near), sentence(rng, 200), items[2][: len(items[2]) // 2]]
-    table = spark.createDataFrame([*enumerate(items), (50, None), (51, ""), (52, "short"), (0, items[0])], "item_id long, text string")
+    table = spark.createDataFrame([*enumerate(items), (50, None), (51, ""), (52, "shorter"), (0, items[0])], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["errors"] for r in decontam.find_leaks(documents(spark, texts, clash=True), table).collect()}
     n = len(EDGES)
     assert set(got) == {(n, 0), (n + 1, 1)} and got[(n, 0)] == 0 and 0 < got[(n + 1, 1)] <= 5
@@ -394,6 +442,52 @@ def test_leaks(spark):
     assert decontam.find_leaks(documents(spark, texts), table.limit(0)).count() == 0 and decontam.find_leaks(documents(spark, []), table).count() == 0
 
 
+def test_leaks_equal_brute_force(spark):
+    """All pairs of text and item, each by a plain edit distance to any passage."""
+    rng = random.Random(23)
+    items = [(i, sentence(rng, rng.randint(1, 14))) for i in range(25)] + [(90, "!!"), (91, None), (92, ""), (None, "abc"), (3, "zz top")]
+    texts = list(EDGES)
+    for _ in range(120):
+        words_ = sentence(rng, rng.randint(0, 25)).split()
+        for _ in range(rng.randint(0, 3)):
+            item = list(rng.choice(items)[1] or "x")
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                item[rng.randrange(len(item))] = rng.choice(["", "q", "ab"])
+            words_.insert(rng.randint(0, len(words_)), "".join(item))
+        texts.append(" ".join(words_))
+    texts.append("long " * 40_000 + items[0][1])
+
+    def least(p, t):
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p):
+            new = [i + 1]
+            for j, d in enumerate(t):
+                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    want = {}
+    for d, text in enumerate(texts):
+        t = decontam.normalised(text)
+        for i, item in items:
+            p = decontam.normalised(item)
+            if i is None or not p or not t:
+                continue
+            if len(p) < decontam.EXACT_CHARS:
+                errors = 0 if f" {p} " in f" {t} " else None
+            elif len(t) > 100_000:
+                errors = 0 if p in t else None
+            else:
+                errors = e if (e := least(p, t)) <= int(decontam.ERROR_RATE * len(p)) else None
+            if errors is not None:
+                want[d, i] = min(errors, want.get((d, i), 99))
+    df, table = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    for most in (4_000_000, 60):
+        assert {(r["doc_id"], r["item_id"]): r["errors"] for r in decontam.find_leaks(df, table, pass_chars=most).collect()} == want
+    assert {e for e in want.values()} >= {0, 1, 2} and any(i == 3 for _, i in want)
+    assert {r["doc_id"] for r in decontam.without_leaks(df, table).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 # ---- 9: url filter
 def test_urls(spark):
     urls = [None, "", "nothing", "http://X.net/a", "http://net/", "http://a.example.net/en/1?q", "https://example.com/de/x#f", "http://a.org/fr/", "http://a.org", "http://spam-farm.example.org/x", "http://aspam-farm.example.org/x", "http://www.free-bets.example.com/de/1", "x://Ads-Track.example.org?x", "http://e.net"]
@@ -442,6 +536,27 @@ def test_language_model(spark):
     assert language_model.score_documents(documents(spark, []), crc_mod("doc_id", 7) != 2).count() == 0
 
 
+def test_language_model_of_odd_tables(spark):
+    texts = ["a b c " * 40, "b c a " * 30, "The the", "word " * 60_000 + "end", "", None]
+    df = documents(spark, texts, clash=True)
+    df = df.union(df.filter("doc_id = 0")).union(df.filter("doc_id < 2").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = language_model.score_documents(df, F.lit(True)).collect()
+    assert len(rows) == 9 and len({tuple(r) for r in rows if r["doc_id"] == 0}) == 1
+    assert sorted(r["n_tokens"] for r in rows if r["doc_id"] is None) == [91, 121] and max(r["n_tokens"] for r in rows) == 60_002
+    none = language_model.score_documents(df, F.lit(False)).collect()  # nothing to learn from
+    assert len(none) == 9 and all(r["train_tokens"] == r["n_known"] == 0 and np.isfinite(r["score"]) for r in none)
+    assert all(abs(r["base_score"] - r["n_tokens"] * math.log10(1 / 1)) < 1e-9 for r in none)
+
+
+def test_frequent_words(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 1000 // (i + 1) + 1) for i in range(500)], "word binary, n long")
+    for most in (0, 10, 100, 10_000):
+        got = language_model.frequent(counts, most)
+        rest = {r["n"] for r in counts.collect()} - {n for _, n in got}
+        assert len(got) <= most and got == sorted(got, key=lambda x: (-x[1], x[0])) and (not got or not rest or max(rest) < got[-1][1])
+    assert len(language_model.frequent(counts, 10_000)) == 500 and len(language_model.frequent(counts, 100)) > 40
+
+
 def test_network_gradients_and_lanes():
     lex = language_model.Lexicon([(f"w{i}".encode(), 100 - i) for i in range(60)], 10, 5000, 90)
     net = language_model.Network(lex, 5)
@@ -508,3 +623,40 @@ def test_pipeline(spark, tmp_path):
     assert kept["near_dedup"] == set(range(toxic)) - {toxic - 2}
     assert kept["byte_bpe"] == kept["decontamination"] == set(range(toxic)) - {toxic - 2, toxic - 1}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept["byte_bpe"]
+
+
+def test_near_dedup_goes_by_rows(spark):
+    """Repeated and null ids lose no text of their own, and of equal texts one row stays."""
+    rng = random.Random(24)
+    a, b, c, d, e = (sentence(rng, 60) for _ in range(5))
+    rows = [(7, a), (3, a), (7, b), (None, c), (None, c), (5, d), (5, d), (9, f"{e} more"), (None, e), (11, None), (11, None), (12, ""), (12, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumns({"__row": F.lit("mine"), "node": F.lit(1), "component_id": F.lit(2)})
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert kept.columns == df.columns and {r["__row"] for r in kept.collect()} == {"mine"}
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, a), (7, b), (None, c), (5, d), (9, f"{e} more"), (11, None), (11, None), (12, ""), (12, "")], key=str)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# ---- registered queries
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
+    cur = con.execute(queries.ORACLE_SQL[name])
+    cols = [x[0] for x in cur.description]
+    df = queries.QUERIES[name](spark, DATA)
+    assert sorted(df.columns) == sorted(cols)
+    assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str) == sorted(cur.fetchall(), key=str)
