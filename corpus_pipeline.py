@@ -42,11 +42,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (The query of the operator alone takes two words, as its contract says.) Rows are numbered and judged by number: a
     repeated id loses no text of its own, and rows that repeat a text, whatever their ids, leave one.
     """
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    groups = near_duplicates(rows, id_col="__row").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    first = rows.select("doc_id", "__row").join(groups, "__row").groupBy("__group").agg(F.min(order).alias("__first"))
-    return rows.join(first.select(F.col("__first.__row").alias("__row")), "__row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(rows, id_col=row).select(F.col("doc_id").alias("__at"), F.col("component_id").alias("__group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(row).alias("at"))
+    first = rows.select("doc_id", row).join(groups, F.col(row) == F.col("__at")).groupBy("__group").agg(F.min(order)["at"].alias("__first"))
+    return rows.join(first, F.col(row) == F.col("__first"), "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
