@@ -24,9 +24,9 @@ from .components import components
 WIDTH, PERCENT = 5, 80
 #: Places of the permutations; coordinates a band; bands. At 80 % a pair is missed with probability 5e-6.
 PLACES, ROWS, BANDS = 1 << 20, 6, 40
-#: Rounds at most that propose one pair a document and bucket before what is left is compared in full; in each, the
-#: node whose number is least after this exclusive-or leads its bucket (the least, the greatest, one between).
-LEADS = (0, (1 << 62) - 1, 0x1555555555555555)
+#: Rounds at most that propose two pairs a document and bucket before what is left is compared in full; the nodes whose
+#: numbers are least after these exclusive-ors lead their bucket (the least and the greatest, then two between).
+LEADS = ((0, (1 << 62) - 1), (0x1555555555555555, 0x2AAAAAAAAAAAAAAA))
 #: All pairs of buckets up to this size are joined; larger buckets are compared in blocks of about so many nodes and bytes.
 SMALL_BUCKET, BLOCK, BLOCK_BYTES = 64, 1024, 16_000_000
 #: Buckets with over this share of all places are hot; there are fewer than its inverse of them, so that they can be listed.
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text of fewer words than ``width`` is one shingle; a
     null or empty text has none and links with nothing. Equal sets are one node from the start, so copies are never
-    paired. Within a bucket each node is compared with one lead a round; buckets whose nodes have all come together
+    paired. Within a bucket each node is compared with two leads a round; buckets whose nodes have all come together
     are done; in the last round the pairs of different components that a bucket still holds are all compared, so
     no proposed link between different texts is lost. Ids are taken to be unique: rows that repeat one get an answer
     each; a null doc_id links with nothing (component null, kept true). Other columns aren't read.
@@ -239,19 +239,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     mine = base.join(wanted, base["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text")
     sets = labels = tried = None
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    for turn, mask in enumerate([*LEADS, None]):
+    for turn, masks in enumerate([*LEADS, ()]):
         sizes = hold(_sizes(held), "sizes")
         if sizes.isEmpty():
             break
         if turn:
             held = hold(_with_bucket(held, sizes.select("bucket", "n")).drop("n"), "open")
         large = sizes.filter(F.col("n") > SMALL_BUCKET)
-        last = mask is None or large.isEmpty()
+        last = not masks or large.isEmpty()
         if last:
             pairs = _small_pairs(held, large)
         else:
-            leads = hold(held.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.lit(mask))).bitwiseXOR(F.lit(mask)).alias("lead")), "leads")
-            met = _with_bucket(held, leads).filter("node <> lead").groupBy("node", "lead").agg(F.first("n_shingles").alias("na"), F.first("component").alias("ca"))
+            ends = [F.min(F.col("node").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in masks]
+            leads = hold(held.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(*ends)).alias("leads")), "leads")
+            met = _with_bucket(held, leads).select("node", "n_shingles", "component", F.explode("leads").alias("lead")).filter("node <> lead")
+            met = met.groupBy("node", "lead").agg(F.first("n_shingles").alias("na"), F.first("component").alias("ca"))
             led = held.select(F.col("node").alias("lead"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb")).distinct()
             pairs = met.join(led, "lead").filter("ca <> cb").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"), "na", "nb")
         pairs = pairs.filter(fits).select("a", "b").distinct()
