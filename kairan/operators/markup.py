@@ -145,7 +145,10 @@ def group_lines(lines: DataFrame, is_name: Column, is_suffix: Column | None = No
     false = F.lit(False)
     kept = lines if is_noise is None else lines.filter(~is_noise)
     page = Window.partitionBy("page_id").orderBy("pos")
-    kept = kept.withColumn("_ended", F.max((is_end if is_end is not None else false).cast("int")).over(page)).filter("_ended = 0")
+    if is_end is not None:
+        kept = kept.withColumn("_ended", F.max(is_end.cast("int")).over(page)).filter("_ended = 0")
+    named = kept.filter(is_name).select("page_id").distinct()
+    kept = kept.join(named, "page_id", "left_semi")  # a page without a name line has no record, and needs no sorting
     suffix = is_suffix if is_suffix is not None else false
     kind = F.when(is_name, "name").when(suffix, "suffix").otherwise("role")
     marked = kept.withColumn("_kind", kind)

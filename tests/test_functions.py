@@ -88,3 +88,25 @@ def test_stream_step_equals_columns(spark):
         for k, v in want[r["id"]].items():
             got = r["state"][k]
             assert got == v if not isinstance(v, float) else abs(got - v) < 1e-9, (r["id"], k)
+
+
+def test_quality_of_a_known_snapshot(spark):
+    """A snapshot of 465 rows counts 394 ok, 70 to review (each scores 16) and one without an asset (150)."""
+    from kairan.operators import assets
+
+    urls_ = ["https://x.jp/a.jpg"] * 394 + ["https://upload.wikimedia.org/thumb/a.jpg"] * 70 + [""]
+    rows = spark.createDataFrame([(u, "") for u in urls_], "image string, image_status string")
+    assert tuple(assets.quality_summary(rows).first()) == (465, 394, 70, 1)
+    scores = [s for (s,) in values(spark, urls_, urls.score_asset(F.col("x")))]
+    assert set(scores[394:464]) == {16} and scores[464] == 150
+
+
+def test_aliases_of_names(spark):
+    """Every alias comes from the name, has 2 to 20 characters and stands once; those with kanji come first."""
+    names = ["安倍・晋三", "山田 太郎（やまだ たろう）", "ミノベ テルオ", "比例東京ブロック 髙橋 一郎君", "", None, "A"]
+    for n, got in zip(names, (g for (g,) in values(spark, names, text.name_aliases(F.col("x")))), strict=True):
+        assert len(set(got)) == len(got) and all(2 <= len(x) <= 20 and all(c in n for c in x) for x in got)
+        kanji = [any("一" <= c <= "龯" for c in x) for x in got]
+        assert kanji == sorted(kanji, reverse=True)
+    first = {n: g for n, (g,) in zip(names, values(spark, names, text.name_aliases(F.col("x"))), strict=True)}
+    assert {"安倍晋三", "安倍", "晋三"} <= set(first["安倍・晋三"]) and first["山田 太郎（やまだ たろう）"][0] == "山田太郎" and not first[""] and not first["A"]
