@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stored, text_slices, word_parts
+from .common import crc_mod, release, stored, text_slices, word_parts
 
 #: Words (the most frequent) whose counts every task holds; rarer words' counts are joined.
 HELD_WORDS = 200_000
@@ -351,6 +351,7 @@ def fit(learn: DataFrame, lexicon: Lexicon, shared) -> Network:
         if found:
             n, mean = averaged((r["n"], bytes(r["vectors"])) for r in found)
             state = Adam(*(x.copy() for x in np.split(mean, 3)), sum(r["done"] for r in found) // n)
+    release(cuts)
     net.load(state.values)
     return net
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, crc_mod, hash_sample, judged, stored, text_slices
+from .common import Cache, crc_mod, hash_sample, judged, release, stored, text_slices
 
 #: Distinct tokens that a task counts before it passes them on.
 COUNTED = 200_000
@@ -177,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = hash_sample(chosen.groupBy("id").agg(F.max("y").alias("y")), F.col("id"), sample)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).filter("text is not null")
     rows = texts.join(F.broadcast(chosen), "id").select("y", "text", (F.pmod(F.xxhash64("text"), F.lit(10)) < CALIBRATION).alias("rest"))
-    rows = stored(rows.dropDuplicates(["text"]), "labelled")  # copies are no evidence of their own
-    tuned, rows = rows.filter("rest"), rows.filter("not rest")
+    labelled = stored(rows.dropDuplicates(["text"]), "labelled")  # copies are no evidence of their own
+    tuned, rows = labelled.filter("rest"), labelled.filter("not rest")
 
     def count(batches):
         counts = ({}, {})
@@ -252,6 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     seen = tuned.select("y", "text").mapInArrow(weigh, "y long, x double").toPandas()
     model.bias, model.slope = logistic(np.clip(seen.x.to_numpy(), -5, 40), seen.y.to_numpy().astype(float))
+    release(labelled)
     return model
 
 

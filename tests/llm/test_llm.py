@@ -7,12 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kairan.llm import bpe, components, decontam, language_model, lines, minhash, neighbours, pii, queries, secrets, toxicity, url_filter
-from kairan.llm.common import crc_mod, words
+from kairan.llm import bpe, common, components, decontam, language_model, lines, minhash, neighbours, pii, queries, secrets, toxicity, url_filter
+from kairan.llm.common import crc_mod, hash_sample, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EDGES = [None, "", " \n ", "a", "one two", "A" * 5000, "x " * 3000, "日本語 テキスト\n\n", "!!!"]
@@ -28,6 +29,38 @@ def sentence(rng, n):
     return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(n))
 
 
+# ---- helpers
+def test_parts_and_slices_hold_everything_once():
+    rng = random.Random(25)
+    for _ in range(400):
+        t = "".join(rng.choice(["a", "Bc", "é", " ", "\n", "\t\t", "\x0b", "\x1c", "\u3000"]) for _ in range(rng.randint(0, 40)))
+        most = rng.randint(1, 12)
+        parts = list(common.word_parts(t.encode(), most))
+        assert [w for part in parts for w in part] == words(t) and all(sum(map(len, p)) + len(p) - 1 <= most or len(p) == 1 for p in parts)
+        texts = [rng.choice([None, "", "x" * rng.randint(1, 9), "é" * 5]) for _ in range(rng.randint(0, 12))]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["i", "t"]).slice(rng.randint(0, len(texts)))
+        slices = list(common.text_slices([batch], 1, most))
+        assert [x for s in slices for x in s.column(0).to_pylist()] == batch.column(0).to_pylist()
+        assert all(sum(len((x or "").encode()) for x in s.column(1).to_pylist()) <= most or s.num_rows == 1 for s in slices)
+
+
+def test_cache_is_bounded_by_bytes():
+    made = []
+    cache = common.Cache(lambda k: made.append(k) or k * 2, most=3000)
+    keys = ["a" * 10, "b" * 20, "c" * 900]
+    for k in keys * 3 + [f"k{i}" for i in range(100)]:
+        assert cache[k] == k * 2
+    assert made.count(keys[2]) == 3 and made.count(keys[0]) == 1  # a long key isn't kept
+    assert cache.held <= 3000 and len(cache) * common.ENTRY_BYTES <= 3000
+
+
+def test_samples_by_hash(spark):
+    df = spark.range(5000)
+    few = hash_sample(df, F.col("id"), 500)
+    assert 400 < few.count() < 600 and sorted(few.collect()) == sorted(hash_sample(df.repartition(3), F.col("id"), 500).collect())
+    assert hash_sample(df, F.col("id"), 5000).count() == 5000 and hash_sample(df.limit(0), F.col("id"), 5).count() == 0
+
+
 # ---- 1: near duplicates
 def brute_components(texts, width, percent):
     def shingles(t):
