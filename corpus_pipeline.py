@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairan.llm.bpe import encode_decode
-from kairan.llm.common import crc_mod, stored
+from kairan.llm.common import crc_mod
 from kairan.llm.decontam import without_leaks
 from kairan.llm.lines import drop_boilerplate
 from kairan.llm.minhash import near_duplicates
 from kairan.llm.queries import table
 from kairan.llm.toxicity import fit, score
+from kairan.sources.store import release, settled, stored
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+    """All stages in turn; a stage's table, and what it stored on its way, is deleted once the next one's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        release(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,17 +15,14 @@ def shared_dir(spark: SparkSession) -> str:
     Where both are unset, a local master (as in tests) gets a fresh folder of its own; a cluster is an error, for its
     executors wouldn't see the driver's folder.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not found:
-        context = spark.sparkContext
-        context_dir = context._jsc.sc().getCheckpointDir()
-        if context_dir.isDefined():
-            found = context_dir.get()
-        elif context.master.startswith("local[") or context.master == "local":
-            found = tempfile.mkdtemp(prefix="spark-")
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not (made := context._jsc.sc().getCheckpointDir()).isDefined():
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+            made = context._jsc.sc().getCheckpointDir()
+        found = made.get()
     return found.rstrip("/")
 
 
@@ -32,10 +30,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/kairan/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables that each ``settled`` in progress has seen stored.
+_MADE: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back: later steps see the same rows even if executors are lost."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    for made in _MADE[-1:]:
+        made.append(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
@@ -46,6 +50,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, ``stored``; all tables that ``make`` has stored on its way there are deleted."""
+    _MADE.append([])
+    try:
+        out = make()
+    finally:
+        made = _MADE.pop()
+    back = stored(out, name)
+    for path in made:
+        _delete(back.sparkSession, path)
+    return back
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables that ``stored`` made and that no later step reads."""
     for t in tables:

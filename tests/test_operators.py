@@ -241,3 +241,23 @@ def test_next_items_equal_brute_force(spark):
                 want[user] = (best[pick], pick)
         got = {r["user_id"]: (r["id"], r["bucket"]) for r in learning.next_items(p_df, s_df, a_df, r_df, F.lit(now), mode).collect()}
         assert got == want and len({b for _, b in got.values()}) >= (4 if mode == "normal" else 3)
+
+
+def test_stored_tables_go(spark, tmp_path, monkeypatch):
+    from kairan.sources import store
+
+    monkeypatch.setattr(store, "shared_dir", lambda _: str(tmp_path))
+    names = lambda: sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "kairan").glob("*"))
+    a = store.stored(spark.range(5), "a")
+    out = store.settled(lambda: store.stored(a.filter("id > 1"), "b").withColumn("x", F.lit(1)), "c")
+    assert names() == ["a", "c"] and sorted(r["id"] for r in out.collect()) == [2, 3, 4]
+    store.release(a, None, spark.range(1))
+    assert names() == ["c"]
+    store.clear(spark)
+    assert names() == []
+
+
+def test_feed_history_keeps_the_newest_feeds(spark):
+    rows = spark.createDataFrame([(1, g, v) for g, v in (("a", 1), ("b", 2), ("a", 3), ("c", 0))] + [(2, "a", 9)], "user_id long, generated_at string, viewed_at long")
+    got = sorted(tuple(r) for r in ranking.feed_history(rows, 2).select("user_id", "generated_at", "viewed_at").collect())
+    assert got == [(1, "a", 3), (1, "b", 2), (2, "a", 9)]
