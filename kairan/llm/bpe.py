@@ -25,7 +25,7 @@ NONE = np.int64(1) << 30
 #: Pieces of more bytes than this get a tree of their own.
 SHORT = 256
 #: Bytes of pieces that a task remembers; beyond it the memory is emptied. Longer pieces than ``KEPT`` aren't remembered.
-REMEMBERED, KEPT = 64_000_000, 128
+REMEMBERED, KEPT = 40_000_000, 128
 #: Pieces of texts that are encoded together.
 CHUNK = 100_000
 

@@ -19,7 +19,7 @@ BROADCAST_ROWS = 200_000
 #: Bytes of texts (or of one text's part) that a task holds as Python objects at a time.
 SLICE_BYTES = 2_000_000
 #: Bytes of a cache, and of an entry besides its key.
-CACHE_BYTES, ENTRY_BYTES = 48_000_000, 160
+CACHE_BYTES, ENTRY_BYTES = 16_000_000, 160
 
 
 def words(text: str | None) -> list[bytes]:

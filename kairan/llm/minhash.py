@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     sketch = stored(sketches(base, width), "sketch")
     usable = sketch.filter("set_key is not null and doc_id is not null")
     classes = stored(usable.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = usable.join(classes.select("node", F.col("set_key").alias("key")), (F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("key")))
+    nodes = hold(usable.join(classes.select("node", F.col("set_key").alias("key")), (F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("key"))).select("node", "n_shingles", "bands"), "nodes")
     places = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = hold(places.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     held = hold(_with_bucket(places, shared).select("bucket", "node", "n_shingles", F.col("node").alias("component")), "buckets")

@@ -216,7 +216,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     asked = points.filter(is_query(F.col("id"))).select("id", "key").distinct()
     queries = placed.join(asked.select("key").distinct(), "key", "left_semi").select("key", "v").mapInArrow(walk, f"key string, v {dict(index.dtypes)['v']}, ways array<struct<bundle:long,leaves:array<long>>>")
     queries = stored(queries, "walks")
-    query_blocks = -(-queries.count() // QUERY_BLOCK)
+    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     at_block = lambda n: F.pmod(F.xxhash64("key"), n)
     blocks = spark.createDataFrame(pd.DataFrame({"bundle": np.arange(bundles), "blocks": np.maximum(1, blocks_of)}))

@@ -436,10 +436,24 @@ def test_neighbours(spark):
         assert all(abs(s[v] - score) < 1e-12 for v, score in found) and len(found) == 5
     assert hit >= 0.9 * 5 * len(got) and [v for v, _ in got[50]] == [100, 101, 102, 103, 104]
     assert neighbours.nearest(df.limit(0), lambda c: c % 50 == 0).count() == 0
+    assert neighbours.nearest(df, lambda c: c < 0).count() == 0 and neighbours.nearest(df.filter("vec_id = 0"), lambda c: c == 0).count() == 0
+    twice = df.filter("vec_id < 200").unionByName(df.filter("vec_id < 200"))
+    once = neighbours.nearest(df.filter("vec_id < 200"), lambda c: c % 50 == 0).select("query_id", "rank", "vec_id").collect()
+    assert sorted(neighbours.nearest(twice, lambda c: c % 50 == 0).select("query_id", "rank", "vec_id").collect()) == sorted(once)
     few = [(r["vec_id"], r["rank"]) for r in neighbours.nearest(df.filter("vec_id in (0, 1, 2)"), lambda c: c == 0).collect()]
     assert sorted(v for v, _ in few) == [1, 2]
 
 
+def test_every_query_gets_its_neighbours(spark, monkeypatch):
+    """Clusters of one or two points, and hardly any leaf visited: leaves are opened until k others are seen."""
+    monkeypatch.setattr(neighbours, "calibrated", lambda *_: 0.0)
+    rng = np.random.default_rng(26)
+    centres = rng.standard_normal((300, 8)) * 10
+    rows = [(i, (centres[i // 2] + rng.standard_normal(8) * 0.01).tolist()) for i in range(600)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 10 == 0).groupBy("query_id").count().collect()
+    assert len(got) == 60 and {r["count"] for r in got} == {5}
+
+
 # ---- 8: decontamination
 def test_distance_equals_brute_force():
     def brute(p, t):
