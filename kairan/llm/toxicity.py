@@ -31,7 +31,7 @@ CALIBRATION = 3
 LEXICON = 50_000
 #: A token's score is its log-odds less so many standard errors, towards 0 (the lower end of a one-sided 90 % interval):
 #: what few texts say counts less, without a gate. Lower scores than the second figure aren't kept.
-SHRINK, LEAST_SCORE = 1.28, 0.2
+SHRINK, LEAST_SCORE = 1.28, 1.0
 #: Characters of the word beginnings that stand in for words too rare for evidence of their own.
 STEMS = range(4, 9)
 #: The Dirichlet prior's pseudo-counts, as a share of all counts: a token's prior is this share of its own count.
