@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from kairan.functions.memory import DAY, STATE, apply_grade, forgetting_score, is_mastered, recall, step
 from kairan.operators.ranking import ranked, seeded
+from kairan.sources.store import stored
 
 #: Recent ids that are broadcast, at most (counted first).
 BROADCAST_IDS = 100_000
@@ -166,6 +167,7 @@ def next_items(people: DataFrame, states: DataFrame, asked: DataFrame, recent: D
     found from the learner's own history, so that learners x people is never built.
     """
     s = F.col("state")
+    states = stored(states.select("user_id", "target", "id", "state"), "states")  # read four times below
     roster = people.select("target", "id").distinct()
     news = recent.select("id").distinct()
     learners = states.select("user_id", "target").distinct()
