@@ -85,6 +85,24 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two public tokenizers aligned over every document, and how common its links are."""
+    import public_tokenizers
+
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in as few sequences of 1024 as the linear grouping scheme finds."""
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -96,6 +114,8 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_language_model": op10_language_model,
+    "op11_token_alignment": op11_token_alignment,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
