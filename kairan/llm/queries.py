@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, url_filter
+from . import lexical, lines, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item by lexical score."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in as few sequences of 1024 as the linear grouping scheme finds."""
     import public_tokenizers
@@ -115,11 +120,13 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_language_model": op10_language_model,
     "op11_token_alignment": op11_token_alignment,
+    "op12_lexical_search": op12_lexical_search,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_url_filter": url_filter.SQL,
+    "op12_lexical_search": lexical.SQL,
     "op5_line_dedup": "WITH " + lines.SQL.strip().format(docs="documents") + """
 SELECT doc_id,
   CAST(coalesce(len(list_filter(lines, lambda x: trim(x) <> '')), 0) AS BIGINT) AS n_lines,
