@@ -30,12 +30,17 @@ CALIBRATION = 3
 #: Tokens with evidence that a model keeps, strongest first.
 LEXICON = 50_000
 #: A token's score is its log-odds less so many standard errors, towards 0 (the lower end of a one-sided 90 % interval):
-#: what few texts say counts less, without a gate. Lower scores than the second figure aren't kept.
-SHRINK, LEAST_SCORE = 1.28, 1.0
+#: what few texts say counts less. Tokens of fewer texts than this have no score.
+SHRINK, LEAST_TEXTS = 1.28, 4
+#: Scores below one of these aren't kept: the one under which the calibrating texts' labels are likeliest.
+LEAST_SCORES = (0.0, 0.5, 1.0, 1.5)
 #: Characters of the word beginnings that stand in for words too rare for evidence of their own.
 STEMS = range(4, 9)
 #: The Dirichlet prior's pseudo-counts, as a share of all counts: a token's prior is this share of its own count.
 PRIOR = 0.1
+#: A word counts less where it stands within so many tokens of its last place: so many times what it counted there, and
+#: this at the least (a run of a word stays one passage).
+NEAR, AGAIN, LEAST_AGAIN = 64, 0.25, 1e-9
 #: A segment is a toxic passage if clean texts of this length have fewer equally good ones.
 SIGNIFICANT = 0.01
 THRESHOLD = 0.3
@@ -71,95 +76,57 @@ class Model:
 
 
 def maximal_segments(values: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, sum), by Ruzzo and Tompa's scan; only positive values are visited."""
+    """All maximal scoring segments (start, end, sum), by Ruzzo and Tompa's scan; only positive values are visited.
+
+    Each candidate knows the nearest one before it that begins lower, so the scan jumps over those between, and all of it
+    takes linear time.
+    """
     sums = np.concatenate([[0.0], np.cumsum(values)])
-    found: list[tuple[float, float, int, int]] = []  # sums left and right of the segment, its place
+    found: list[tuple[float, float, int, int, int]] = []  # sums left and right of the segment, its place, the one to jump to
     for i in np.flatnonzero(values > 0).tolist():
         left, right, start = sums[i], sums[i + 1], i
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][1] >= right:
                 break
             left, start = found[j][0], found[j][2]
             del found[j:]
-        found.append((left, right, start, i + 1))
-    return [(a, b, float(r - x)) for x, r, a, b in found]
-
-
-def best_segment(values: np.ndarray, words: list[str], default: float) -> tuple[int, int, float]:
-    """The segment of the greatest sum, where a positive word counts once within it and as ``default`` when repeated.
-
-    Only starts that can still win are kept: a later start whose sum is as great stays ahead of an earlier one.
-    """
-    best, last, at = (0, 0, 0.0), {}, 0
-    sums = np.concatenate([[0.0], np.cumsum(np.minimum(values, 0.0))])
-    starts, held = np.empty(0, np.int64), np.empty(0)
-    for i in np.flatnonzero(values > 0).tolist():
-        held = held + (sums[i] - sums[at])
-        k = int(np.searchsorted(starts, last.get(words[i], -1), "right"))
-        held[:k] += default
-        held[k:] += values[i]
-        first = held[k] if k < len(held) else values[i]
-        ahead = int((held[:k] > max(first, 0.0)).sum())  # sums fall from start to start
-        ahead_too = k + int((held[k:] > values[i]).sum())
-        starts, held = np.concatenate([starts[:ahead], starts[k:ahead_too], [i]]), np.concatenate([held[:ahead], held[k:ahead_too], [values[i]]])
-        last[words[i]], at = i, i + 1
-        if held[0] > best[2] + 1e-12:
-            best = int(starts[0]), i + 1, float(held[0])
-    return best
+        found.append((left, right, start, i + 1, j))
+    return [(a, b, float(r - x)) for x, r, a, b, _ in found]
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, Cache(model.score)
 
-    def segments(self, words: list[str]) -> list[tuple[int, int, float, float]]:
-        """(first token, end, sum, expected number in clean text) of each significant segment, or else of the best one.
+    def values(self, words: list[str]) -> np.ndarray:
+        """Each token's log-odds; a word of evidence within ``NEAR`` tokens of its last place counts ``AGAIN`` times that one.
 
-        Every token counts at its own place; within a segment a word's evidence counts once. Segments are taken best
-        first, then left and right of it. Each lies within a maximal one of the sums with repeats, which only bound.
+        So a run of one word is one passage, of hardly more evidence than the word, and a later passage counts anew.
         """
         values = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-        m = self.model
-        expected = lambda s: m.k * len(words) * math.exp(-m.decay * s)
-        found, best = [], None
-        for a, b, bound in sorted(maximal_segments(values), key=lambda x: (-x[2], x[0])):
-            if expected(bound) > SIGNIFICANT and best and best[2] >= bound:
-                break
-            todo = [(a, b)]
-            while todo:
-                a, b = todo.pop()
-                x, y, s = best_segment(values[a:b], words[a:b], m.default)
-                if s <= 0:
-                    continue
-                if not best or s > best[2]:
-                    best = (a + x, a + y, s, expected(s))
-                if expected(s) <= SIGNIFICANT:
-                    found.append((a + x, a + y, s, expected(s)))
-                    todo += [(a, a + x), (a + y, b)]
-        return sorted(found) if found else [best] if best else []
+        last: dict[str, tuple[int, float]] = {}
+        for i in np.flatnonzero(values > 0).tolist():
+            at, before = last.get(words[i], (-1 - NEAR, 0.0))
+            if i - at <= NEAR:
+                values[i] = max(before * AGAIN, LEAST_AGAIN)
+            last[words[i]] = i, values[i]
+        return values
 
-    def evidence(self, words: list[str]) -> tuple[float, list[tuple[int, int, float, float]]]:
-        """Sum over significant segments of -log of their expected number, at the least the best segment's.
+    def segments(self, words: list[str]) -> list[tuple[int, int, float, float]]:
+        """(first token, end, sum, expected number in clean text) of each significant maximal segment, or of the best one."""
+        m, found = self.model, maximal_segments(self.values(words))
+        told = [(a, b, s, m.k * len(words) * math.exp(-m.decay * s)) for a, b, s in found]
+        strong = [x for x in told if x[3] <= SIGNIFICANT]
+        return strong if strong else [max(told, key=lambda x: (x[2], -x[0]))] if told else []
 
-        Every significant segment is a passage; for the sum, words that a better segment holds count no more.
-        """
+    def evidence(self, words: list[str]) -> tuple[float, list[tuple[int, int, float, float]]]:
+        """Sum over significant segments of -log of their expected number, at the least the best segment's."""
         found = self.segments(words)
-        if not found:
-            return 0.0, []
-        strong, least = [x for x in found if x[3] <= SIGNIFICANT], -math.log(SIGNIFICANT)
-        if not strong:
-            return max(0.0, -math.log(max(found[0][3], 1e-300))), []
-        m, counted, total = self.model, set(), 0.0
-        for a, b, s, _ in sorted(strong, key=lambda x: (-x[2], x[0])):
-            own = {w for w in words[a:b] if self.known[w] > 0}
-            s -= sum(self.known[w] - m.default for w in own & counted)
-            log = m.decay * s - math.log(max(m.k * len(words), 1e-300))
-            total += log if log >= least or not counted else 0.0
-            counted |= own
-        return total, strong
+        strong = [x for x in found if x[3] <= SIGNIFICANT]
+        return max(0.0, sum(-math.log(max(x[3], 1e-300)) for x in strong or found)), strong
 
     def probability(self, evidence: float) -> float:
         z = self.model.bias + self.model.slope * max(-5.0, min(40.0, evidence))
@@ -203,60 +170,64 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield emit()
 
     counts = rows.select("y", "text").mapInArrow(count, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = counts.filter("n0 + n1 >= 4")
+    counts = counts.filter(F.col("n0") + F.col("n1") >= LEAST_TEXTS)
     total = F.broadcast(counts.filter("token = ''").select(F.col("n0").alias("t0"), F.col("n1").alias("t1")))
     prior, everything = F.lit(PRIOR) * (F.col("n0") + F.col("n1")), F.lit(PRIOR) * (F.col("t0") + F.col("t1"))
     odds = lambda n, t: F.log((F.col(n) + prior) / (F.col(t) + everything - F.col(n) - prior))
     delta = odds("n1", "t1") - odds("n0", "t0")
     error = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
     value = F.signum(delta) * (F.abs(delta) - SHRINK * error)
-    scored = counts.crossJoin(total).filter("token <> ''").filter(F.abs(delta) - SHRINK * error > LEAST_SCORE).select("token", "t0", "t1", value.alias("value"))
+    scored = counts.crossJoin(total).filter("token <> ''").filter(F.abs(delta) - SHRINK * error > LEAST_SCORES[0]).select("token", "t0", "t1", value.alias("value"))
     strong = scored.orderBy(F.desc(F.abs("value")), "token").limit(LEXICON).toPandas()
     if not len(strong) or strong["t1"].iloc[0] == 0 or strong["t0"].iloc[0] == 0:
         return Model(bias=-20.0, slope=0.0)
-    model = Model(scores=dict(zip(strong["token"], strong["value"].astype(float), strict=True)))
+    every = dict(zip(strong["token"], strong["value"].astype(float), strict=True))
+    models = [Model({w: v for w, v in every.items() if abs(v) > least}) for least in LEAST_SCORES]
+    models = [m for m in models if m.scores] or [Model(every)]
 
     def totals(batches):
-        scorer = Scorer(Model(model.scores, default=0.0))
-        for batch in batches:
-            out = []
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = tokens(t)
-                values = np.fromiter(map(scorer.known.__getitem__, words), np.float64, len(words))
-                out.append((y, len(words), int((values != 0).sum())))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3, ["y", "n", "hit"])
+        scorers = [Scorer(Model(m.scores, default=0.0)) for m in models]
+        for part in text_slices(batches, 1):
+            words = [tokens(t) for t in part.column(1).to_pylist()]
+            hit = [[sum(s.known[w] != 0 for w in ws) for s in scorers] for ws in words]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(map(len, words), pa.int64()), pa.array(hit, pa.list_(pa.int64()))], ["y", "n", "hit"])
 
     # tokens without evidence are a little rarer in toxic texts, for these hold tokens with evidence
-    sums = {r["y"]: r for r in rows.select("y", "text").mapInArrow(totals, "y long, n long, hit long").groupBy("y").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).collect()}
-    plain = [(sums[y]["n"] - sums[y]["hit"] + 1) / (sums[y]["n"] + 2) for y in (0, 1)]
-    model.default = min(-1e-3, math.log(plain[1] / plain[0]))
-
-    def best(batches):
-        scorer = Scorer(model)
-        for batch in batches:
-            out = []
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = tokens(t)
-                out.append((y, len(words), max((s for _, _, s, _ in scorer.segments(words)), default=0.0)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["y", "n", "top"])
-
-    tops = tuned.select("y", "text").mapInArrow(best, "y long, n long, top double").toPandas()
-    clean = tops[(tops.y == 0) & (tops.n > 0)]
-    model.decay, model.k = extreme_value(clean.top.to_numpy(float), clean.n.to_numpy(float))
-
-    def weigh(batches):
-        scorer = Scorer(model)
-        for batch in batches:
-            out = [(y, scorer.evidence(tokens(t))[0]) for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.float64())], ["y", "x"])
-
-    seen = tuned.select("y", "text").mapInArrow(weigh, "y long, x double").toPandas()
-    model.bias, model.slope = logistic(np.clip(seen.x.to_numpy(), -5, 40), seen.y.to_numpy().astype(float))
+    hits = [F.sum(F.col("hit")[i]).alias(f"hit{i}") for i in range(len(models))]
+    sums = {r["y"]: r for r in rows.select("y", "text").mapInArrow(totals, "y long, n long, hit array<long>").groupBy("y").agg(F.sum("n").alias("n"), *hits).collect()}
+    for i, m in enumerate(models):
+        plain = [(sums[y]["n"] - sums[y][f"hit{i}"] + 1) / (sums[y]["n"] + 2) for y in (0, 1)]
+        m.default = min(-1e-3, math.log(plain[1] / plain[0]))
+
+    def tell(what):
+        """Label, number of tokens and what each model says, of every calibrating text."""
+
+        def run(batches):
+            scorers = [Scorer(m) for m in models]
+            for part in text_slices(batches, 1):
+                words = [tokens(t) for t in part.column(1).to_pylist()]
+                said = [[float(what(s, ws)) for s in scorers] for ws in words]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(map(len, words), pa.int64()), pa.array(said, pa.list_(pa.float64()))], ["y", "n", "said"])
+
+        found = tuned.select("y", "text").mapInArrow(run, "y long, n long, said array<double>").toPandas()
+        return found, np.array(found["said"].tolist()).reshape(len(found), len(models))
+
+    tops, said = tell(lambda s, ws: max((x[2] for x in s.segments(ws)), default=0.0))
+    clean = ((tops.y == 0) & (tops.n > 0)).to_numpy()
+    for i, m in enumerate(models):
+        m.decay, m.k = extreme_value(said[clean, i], tops.n.to_numpy(float)[clean])
+    seen, said = tell(lambda s, ws: s.evidence(ws)[0])
+    y, fits = seen.y.to_numpy().astype(float), []
+    for i, m in enumerate(models):
+        x = np.clip(said[:, i], -5, 40)
+        m.bias, m.slope = logistic(x, y)
+        z = m.bias + m.slope * x
+        fits.append(float((np.logaddexp(0, z) - y * z).sum()))
     release(labelled)
-    return model
+    return models[int(np.argmin(fits))]
 
 
-def extreme_value(tops: np.ndarray, sizes: np.ndarray, floor: float = LEAST_SCORE) -> tuple[float, float]:
+def extreme_value(tops: np.ndarray, sizes: np.ndarray, floor: float = 1.0) -> tuple[float, float]:
     """Decay and k of the law P(best sum > x) = 1 - exp(-k n exp(-decay x)), by maximum likelihood over clean texts.
 
     A text whose best sum is at most ``floor`` only says that there was nothing beyond. For each decay the best k is

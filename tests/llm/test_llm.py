@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -302,13 +303,31 @@ def test_toxic_passages_of_repeated_words():
     spread = [w for x in bad for w in [x, *plain]]
     assert [x[:2] for x in scorer.evidence([*spread, *bad])[1]] == [(len(spread), len(spread) + 4)]
     assert scorer.evidence(["moron", "word"] * 50)[1] == []  # repeats add nothing within a segment
+    began = time.time()
+    for n in (1000, 100_000):
+        found = scorer.evidence(["moron"] * n)[1] or scorer.segments(["moron"] * n)
+        assert [x[:2] for x in found] == [(0, n)] and found[0][2] < 4.1
+    assert time.time() - began < 1
+    assert [x[:2] for x in scorer.evidence([*plain, *["moron", "idiot", "scum"] * 5000, *plain])[1]] in ([(300, 15_300)], [])
+
+
+def test_passages_equal_a_plain_version():
     rng = random.Random(16)
-    for _ in range(200):
-        words_ = rng.choices("abcdxyz", k=rng.randint(1, 14))
-        worth = {c: rng.random() * 3 for c in "abcd"} | dict.fromkeys("xyz", -0.7)
-        sums = lambda w: sum(v if v <= 0 or w.index(c) == i else -0.2 for i, c in enumerate(w) for v in [worth[c]])  # noqa: B023, E731
-        most = max([0.0, *(sums(words_[i:j]) for i in range(len(words_)) for j in range(i + 1, len(words_) + 1))])
-        assert abs(toxicity.best_segment(np.array([worth[c] for c in words_]), words_, -0.2)[2] - most) < 1e-9
+    model = toxicity.Model({c: rng.random() * 3 for c in "abcd"} | {"e": -0.4}, default=-0.7)
+    scorer = toxicity.Scorer(model)
+    for _ in range(100):
+        ws = rng.choices("abcdexyz", weights=[1, 1, 1, 1, 2, 40, 40, 40], k=rng.randint(0, 300))
+        values = []
+        for i, w in enumerate(ws):
+            v, chain, at = model.scores.get(w, -0.7), 0, i
+            while v > 0 and (before := [j for j in range(max(0, at - toxicity.NEAR), at) if ws[j] == w]):
+                chain, at = chain + 1, before[-1]
+            values.append(v * toxicity.AGAIN**chain if v > 0 else v)
+        assert np.allclose(scorer.values(ws), np.maximum(values, -10))
+    assert toxicity.maximal_segments(np.tile([1.0, -0.999], 100_000))[0][:2] == (0, 199_999)
+    began = time.time()
+    toxicity.maximal_segments(np.concatenate([np.tile([1.0, -1.001], 50_000), np.tile([-1.001, 1.0], 50_000)]))
+    assert time.time() - began < 2
 
 
 def test_toxicity_on_held_out_texts(spark):
