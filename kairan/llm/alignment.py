@@ -23,6 +23,8 @@ from .tokens import byte_level, piece_bpe, read_text, text_parts
 HELD_PAIRS = 200_000
 #: Ids of the second vocabulary stay below this: a pair is a * RADIX + b.
 RADIX = 1 << 24
+#: Links of a group of several tokens on both sides, up to which it is spread into them.
+SPREAD = 64
 #: Tokens of both sides that are aligned together, about.
 ALIGNED = SLICE_BYTES // 2
 
@@ -58,23 +60,26 @@ def aligned(docs_a: np.ndarray, len_a: np.ndarray, docs_b: np.ndarray, len_b: np
 def link_counts(ids_a: np.ndarray, group_a: np.ndarray, ids_b: np.ndarray, group_b: np.ndarray, pairs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Group, pair of ids and number of links, for each group and pair; groups in order.
 
-    In a group with one token on a side the overlaps are the links. In others each distinct id counts with its number, so
-    that a group of many tokens isn't spread into all pairs of them.
+    In a group with one token on a side the overlaps are the links. Other groups of ``SPREAD`` links at most are spread
+    into them; in larger ones each distinct id counts with its number, so that many tokens never make all their pairs.
     """
     size_a, size_b = np.bincount(group_a), np.bincount(group_b)
+    start_a, start_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
     a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-    group = group_a[a]
-    plain = np.minimum(size_a, size_b)[group] == 1
-    groups, keys, times = [group[plain]], [ids_a[a[plain]].astype(np.int64) * RADIX + ids_b[b[plain]]], [np.ones(int(plain.sum()), np.int64)]
-    many = np.flatnonzero(np.minimum(size_a, size_b) > 1)
-    ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
-    for g in many.tolist():
-        x, n = np.unique(ids_a[ends_a[g] - size_a[g] : ends_a[g]], return_counts=True)
-        y, m = np.unique(ids_b[ends_b[g] - size_b[g] : ends_b[g]], return_counts=True)
+    one = np.minimum(size_a, size_b) == 1
+    plain = one[group_a[a]]
+    some = np.flatnonzero((~one & (size_a * size_b <= SPREAD))[group_a])  # tokens of the first side, each with all of the other
+    times = size_b[group_a[some]]
+    beside = np.arange(times.sum()) + np.repeat(start_b[group_a[some]] - np.cumsum(times) + times, times)
+    a, b = np.concatenate([a[plain], np.repeat(some, times)]), np.concatenate([b[plain], beside])
+    groups, keys, counts = [group_a[a]], [ids_a[a].astype(np.int64) * RADIX + ids_b[b]], [np.ones(len(a), np.int64)]
+    for g in np.flatnonzero(~one & (size_a * size_b > SPREAD)).tolist():
+        x, n = np.unique(ids_a[start_a[g] : start_a[g] + size_a[g]], return_counts=True)
+        y, m = np.unique(ids_b[start_b[g] : start_b[g] + size_b[g]], return_counts=True)
         keys.append((x.astype(np.int64)[:, None] * RADIX + y).ravel())
-        times.append((n[:, None] * m).ravel())
+        counts.append((n[:, None] * m).ravel())
         groups.append(np.full(len(keys[-1]), g))
-    return np.concatenate(groups), np.concatenate(keys), np.concatenate(times)
+    return np.concatenate(groups), np.concatenate(keys), np.concatenate(counts)
 
 
 def written(ids_a: np.ndarray, group_a: np.ndarray, ids_b: np.ndarray, group_b: np.ndarray, decimal: list[bytes]) -> tuple[list[bytes], np.ndarray]:
@@ -103,10 +108,11 @@ class Aligner:
         """Ids of both sides, part by part, and whether their bytes are the part's."""
         text = " " + text
         for n, part in enumerate(text_parts(text) if self.b.cuts else [text]):
-            a = np.array(self.a.encode(part), np.int64)
+            a = self.a.encode(part)
             b = np.array(self.b.encode(part[1:], True) if n == 0 else self.b.encode(part, False), np.int64)
             raw = part.encode("utf-8", "surrogatepass")
-            whole = b"".join(map(self.a.bytes.__getitem__, a.tolist())) == raw and b"".join(map(self.b.bytes.__getitem__, b.tolist())) == raw
+            whole = b"".join(map(self.b.bytes.__getitem__, b.tolist())) == raw
+            whole = whole and (self.a.lossless or b"".join(map(self.a.bytes.__getitem__, a.tolist())) == raw)
             yield a, b, whole
 
     def align(self, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray]]:

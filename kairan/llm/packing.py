@@ -220,7 +220,7 @@ def pieces_of(docs: DataFrame, path: str, pattern: str, capacity: int, id_col: s
         for slice_ in text_slices(batches, 1):
             rows = []
             for doc, text in zip(slice_.column(0).to_pylist(), read_text(slice_.column(1)), strict=True):
-                ids = np.concatenate([*(np.array(codec.encode(p), "<u4") for p in text_parts(text)), np.array([END], "<u4")])
+                ids = np.concatenate([*(codec.encode(p) for p in text_parts(text)), [END]]).astype("<u4")
                 first = len(ids) % capacity or capacity
                 for piece, stop in enumerate(range(first, len(ids) + 1, capacity)):
                     start = max(0, stop - capacity) if piece else 0

@@ -65,6 +65,8 @@ class ByteLevel:
         self.bytes = [raw.get(i, b"") for i in range(max(raw) + 1)]
         self.lengths = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
         self.quick = self._quick(spec, added, raw, pattern, specials)
+        #: Whether the ids' bytes always are the text's: ``tiktoken`` writes any byte.
+        self.lossless = self.quick is not None and {bytes([x]) for x in range(256)} <= set(self.bytes)
 
     def _quick(self, spec: dict, added: dict[str, int], raw: dict[int, bytes], pattern: str, specials: bool):
         before, model = spec["pre_tokenizer"] or {}, spec["model"]
@@ -80,11 +82,11 @@ class ByteLevel:
         own = set(added.values())
         return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={b: i for i, b in raw.items() if i not in own}, special_tokens=added if specials else {})
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a part of a text."""
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a part of a text, as int64."""
         if self.quick is None:
-            return self.library.encode(text, add_special_tokens=False).ids
-        return self.quick.encode(text, allowed_special="all") if self.quick.special_tokens_set else self.quick.encode_ordinary(text)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
+        return self.quick.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype(np.int64)
 
 
 class PieceBpe:

@@ -47,7 +47,7 @@ def test_byte_level_equals_the_library(library):
         assert b"".join(quick.bytes[i] for i in whole) == t.encode()
     default, special = Tokenizer.from_file(A), tokens.byte_level(A, PATTERN, True)
     for t in ("<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "no", "<|endoftext"):
-        assert special.encode(t) == default.encode(t, add_special_tokens=False).ids
+        assert special.encode(t).tolist() == default.encode(t, add_special_tokens=False).ids
 
 
 def test_other_byte_level_files_use_their_library(tmp_path):
@@ -55,7 +55,7 @@ def test_other_byte_level_files_use_their_library(tmp_path):
     spec["model"]["merges"] = spec["model"]["merges"][:-5][::-1]
     (tmp_path / "odd.json").write_text(json.dumps(spec), encoding="utf-8")
     odd = tokens.ByteLevel(str(tmp_path / "odd.json"), PATTERN, False)
-    assert odd.quick is None and odd.encode("hello there") == Tokenizer.from_file(str(tmp_path / "odd.json")).encode("hello there").ids
+    assert odd.quick is None and odd.encode("hello there").tolist() == Tokenizer.from_file(str(tmp_path / "odd.json")).encode("hello there").ids
 
 
 def test_parts_of_piece_texts():
