@@ -36,12 +36,13 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     there or before; each overlap begins at the start of one of its two tokens.
     """
     left, right = a.assign(a=np.arange(len(a))), b.assign(b=np.arange(len(b)))
-    ahead = pd.merge_asof(left, right, on="at", by="doc")[["a", "b"]].to_numpy(np.int64)
-    back = pd.merge_asof(right, left, on="at", by="doc")[["a", "b"]].to_numpy(np.int64)
-    same = a["at"].to_numpy()[back[:, 0]] == b["at"].to_numpy()[back[:, 1]]  # these begin together: found already
-    found = np.concatenate([ahead, back[~same]])
-    found = found[np.argsort(found.sum(1), kind="stable")]
-    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+    ahead = pd.merge_asof(left, right, on="at", by="doc")["b"].to_numpy(np.int64)
+    alone = np.ones(len(right), bool)  # tokens that begin together are found already
+    alone[ahead[a["at"].to_numpy() == b["at"].to_numpy()[ahead]]] = False
+    back = pd.merge_asof(right[alone], left, on="at", by="doc")
+    found_a, found_b = np.concatenate([left["a"], back["a"].to_numpy(np.int64)]), np.concatenate([ahead, back["b"]])
+    order = np.argsort(found_a + found_b, kind="stable")
+    return pd.DataFrame({"a": found_a[order], "b": found_b[order]})
 
 
 def aligned(docs_a: np.ndarray, len_a: np.ndarray, docs_b: np.ndarray, len_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
@@ -82,7 +83,7 @@ def link_counts(ids_a: np.ndarray, group_a: np.ndarray, ids_b: np.ndarray, group
     return np.concatenate(groups), np.concatenate(keys), np.concatenate(counts)
 
 
-def written(ids_a: np.ndarray, group_a: np.ndarray, ids_b: np.ndarray, group_b: np.ndarray, decimal: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+def written(ids_a: np.ndarray, group_a: np.ndarray, ids_b: np.ndarray, group_b: np.ndarray, decimal: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """Every token's id and the sign behind it, in the order ``a1,a2|b1;a3|b2``; and each token's group."""
     size_a, size_b = np.bincount(group_a), np.bincount(group_b)
     total = len(ids_a) + len(ids_b)
@@ -93,7 +94,7 @@ def written(ids_a: np.ndarray, group_a: np.ndarray, ids_b: np.ndarray, group_b:
     group[at_a], group[at_b] = group_a, group_b
     code[at_a[np.cumsum(size_a) - 1]] += 1  # | behind a group's last token of the first side
     code[at_b[np.cumsum(size_b) - 1]] += 2  # ; behind its last token
-    return list(map(decimal.__getitem__, code.tolist())), group
+    return decimal[code].tolist(), group
 
 
 class Aligner:
@@ -102,7 +103,7 @@ class Aligner:
     def __init__(self, path_a: str, pattern: str, path_b: str):
         self.a, self.b = byte_level(path_a, pattern, False), piece_bpe(path_b)
         most = max(len(self.a.bytes), len(self.b.bytes))
-        self.decimal = [f"{i}{sign}".encode() for i in range(most) for sign in ",|;"]
+        self.decimal = np.array([f"{i}{sign}".encode() for i in range(most) for sign in ",|;"], object)
 
     def tokens(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         """Ids of both sides, part by part, and whether their bytes are the part's."""

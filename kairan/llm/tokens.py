@@ -86,7 +86,9 @@ class ByteLevel:
         """Ids of a part of a text, as int64."""
         if self.quick is None:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
-        return self.quick.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype(np.int64)
+        if self.quick.special_tokens_set:
+            return self.quick.encode_to_numpy(text, allowed_special="all").astype(np.int64)
+        return np.array(self.quick.encode_ordinary(text), np.int64)
 
 
 class PieceBpe:
