@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Mapping, Sequence
 
@@ -183,7 +184,7 @@ def stable_id(*cols: Column) -> Column:
 
 def decode_entities(col: Column) -> Column:
     out = F.regexp_replace(text(col), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
+    for entity, char in _ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return trimmed(out)
 
@@ -193,6 +194,19 @@ def html_text(col: Column) -> Column:
     return squeezed(F.regexp_replace(decode_entities(col), "<[^>]+>", " "))
 
 
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
+_SPACES = re.compile("[" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), SPACE) + "]+")
+_CDATA, _TAG = re.compile(r"(?s)<!\[CDATA\[(.*?)\]\]>"), re.compile("<[^>]+>")
+
+
+def plain_text(html: str) -> str:
+    """``html_text`` of a Python string, for tasks that cut many pieces out of one page."""
+    out = _CDATA.sub(r"\1", html) if "<![CDATA[" in html else html
+    for entity, char in _ENTITIES if "&" in out else ():
+        out = out.replace(entity, char)
+    return _SPACES.sub(" ", _TAG.sub(" ", out)).strip(" ")
+
+
 # cell-shape predicates
 def is_name_like(col: Column) -> Column:
     base = compact(col)

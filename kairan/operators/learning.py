@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from kairan.functions.memory import DAY, STATE, apply_grade, forgetting_score, is_mastered, recall, step
+from kairan.functions.memory import DAY, STATE, forgetting_score, is_mastered, recall, step
+from kairan.operators import folding
 from kairan.operators.ranking import ranked, seeded
 from kairan.sources.store import stored
 
@@ -17,63 +15,42 @@ BROADCAST_IDS = 100_000
 KEYS = ("user_id", "mode", "target", "id")
 
 
-def history(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """``keys`` and ``steps``: an item's grades in time order (at, seq). One item's history is short; a user's isn't grouped."""
-    return events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "seq", "grade"))).alias("steps"))
+#: What orders an item's answers: time, then number, then grade.
+ORDER = ("at", "seq", "grade")
 
 
-def replay(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """``keys`` and the memory ``state`` after all grades of each item."""
-    start = F.lit(None).cast(STATE)
-    return history(events, keys).select(*keys, F.aggregate("steps", start, lambda s, e: apply_grade(s, e["grade"], e["at"])).alias("state"))
+def _answers(events: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return events.select(*keys, F.col("at").cast("long").alias("at"), F.col("seq").cast("long").alias("seq"), "grade")
 
 
-def trail(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """One row an event: ``keys``, ``at``, ``seq``, ``grade``, ``before`` and ``after`` states.
+def replay(events: DataFrame, keys: tuple[str, ...] = KEYS, start: DataFrame | None = None) -> DataFrame:
+    """``keys`` and the memory ``state`` after all grades of each item.
 
-    Each item's events are folded once, in order, in time linear in their number; ties of (at, seq) go by grade.
+    With ``start`` (keys and ``state``, as an earlier replay gave it) only ``events`` that came since are folded; items
+    without any keep their state.
     """
-    state = T.StructType.fromDDL(STATE[len("struct<") : -1].replace(":", " "))
-    kinds = [events.schema[k] for k in keys]
-    schema = T.StructType([*kinds, *T.StructType.fromDDL("at long, seq long, grade string").fields, T.StructField("before", state), T.StructField("after", state)])
+    return folding.fold(_answers(events, keys), keys, ORDER, lambda s: s, lambda s, at, seq, grade: step(s, grade, at), lambda s: (s,), f"state {STATE}", start)
 
-    def fold(rows: pa.Table) -> pa.Table:
-        rows, arrow = rows.sort_by([("at", "ascending"), ("seq", "ascending"), ("grade", "ascending")]), to_arrow_schema(schema)
-        states: list[dict | None] = [None]
-        for grade, at in zip(rows["grade"].to_pylist(), rows["at"].to_pylist(), strict=True):
-            states.append(step(states[-1], grade, at))
-        columns = [rows[f.name] for f in list(schema)[:-2]] + [pa.array(x, arrow.field("after").type) for x in (states[:-1], states[1:])]
-        return pa.Table.from_arrays([c.cast(f.type) if isinstance(c, pa.ChunkedArray) else c for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    chosen = events.select(*keys, F.col("at").cast("long").alias("at"), F.col("seq").cast("long").alias("seq"), "grade")
-    return chosen.groupBy(*keys).applyInArrow(fold, schema)
-
-
-def _folded(events: DataFrame, keys: tuple[str, ...], fields: dict[str, Column], change) -> DataFrame:
-    """``keys`` and ``out``, a struct that begins as ``fields`` and that ``change(out, before, grade, after)`` updates.
-
-    Only the state and the struct are carried from grade to grade.
-    """
-    begin = F.struct(F.lit(None).cast(STATE).alias("state"), F.struct(*(v.alias(k) for k, v in fields.items())).alias("out"))
-
-    def grade(acc, e):
-        after = apply_grade(acc["state"], e["grade"], e["at"])
-        return F.transform(F.array(after), lambda s: F.struct(s.alias("state"), F.struct(*(v.alias(k) for k, v in change(acc["out"], acc["state"], e["grade"], s).items())).alias("out")))[0]
-
-    return history(events, keys).select(*keys, F.aggregate("steps", begin, grade)["out"].alias("out"))
+def trail(events: DataFrame, keys: tuple[str, ...] = KEYS, start: DataFrame | None = None) -> DataFrame:
+    """One row an event: ``keys``, ``at``, ``seq``, ``grade``, ``before`` and ``after`` states; see ``replay``."""
+    change = lambda s, at, seq, grade: (s[1], step(s[1], grade, at))
+    return folding.trace(_answers(events, keys), keys, ORDER, lambda s: (None, s), change, lambda s: s, f"before {STATE}, after {STATE}", start)
 
 
 def lifetime_stats(events: DataFrame, keys: tuple[str, ...] = ("user_id",), item: tuple[str, ...] = KEYS) -> DataFrame:
     """Played, correct, wrong, and steps into mastered and into leech: folded to counters an item, then added up."""
-    names, zero = ("played", "correct", "wrong", "mastered", "leech"), F.lit(0).cast("long")
-    into = lambda before, after, s: (after["status"] == s) & ~F.coalesce(before["status"] == s, F.lit(False))
+    names = ("played", "correct", "wrong", "mastered", "leech")
 
-    def change(out, before, grade, after):
-        hits = {"played": F.lit(True), "correct": grade != "again", "wrong": grade == "again", "mastered": into(before, after, "mastered"), "leech": into(before, after, "leech")}
-        return {k: out[k] + F.when(hits[k], 1).otherwise(0).cast("long") for k in names}
+    def change(told, at, seq, grade):
+        before, counts = told
+        after = step(before, grade, at)
+        into = lambda status: after["status"] == status and (before is None or before["status"] != status)
+        hits = (True, grade != "again", grade == "again", into("mastered"), into("leech"))
+        return after, tuple(n + hit for n, hit in zip(counts, hits, strict=True))
 
-    counted = _folded(events, item, dict.fromkeys(names, zero), change)
-    return counted.groupBy(*keys).agg(*(F.sum(f"out.{k}").alias(k) for k in names))
+    counted = folding.fold(_answers(events, item), item, ORDER, lambda s: (s, (0,) * 5), change, lambda s: s[1], ", ".join(f"{n} long" for n in names))
+    return counted.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in names))
 
 
 def progress_summary(people: DataFrame, states: DataFrame, now: Column) -> DataFrame:
@@ -120,12 +97,18 @@ def mastered_wrong_sets(events: DataFrame, keys: tuple[str, ...] = KEYS) -> Data
     grades (strong too) leave it.
     """
 
-    def change(out, before, grade, after):
-        wrong = F.when((grade == "again") | (after["status"] == "leech"), True).when((grade == "good") & (after["consecutive"] >= 2), False).otherwise(out["in_wrong"])
-        return {"in_mastered": after["status"] == "mastered", "in_wrong": wrong}
+    def change(told, at, seq, grade):
+        after = step(told[0], grade, at)
+        return after, wrong_after(told[1], grade, after)
+
+    return folding.fold(_answers(events, keys), keys, ORDER, lambda s: (s, False), change, lambda s: (s[0]["status"] == "mastered", s[1]), "in_mastered boolean, in_wrong boolean")
+
 
-    none = dict.fromkeys(("in_mastered", "in_wrong"), F.lit(False))
-    return _folded(events, keys, none, change).select(*keys, "out.in_mastered", "out.in_wrong")
+def wrong_after(wrong: bool, grade: str, after: dict) -> bool:
+    """Whether an item is in the wrong set after a grade that has led to the state ``after``."""
+    if grade == "again" or after["status"] == "leech":
+        return True
+    return wrong and not (grade == "good" and after["consecutive"] >= 2)
 
 
 def order_by_risk(states: DataFrame, now: Column, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:

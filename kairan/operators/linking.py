@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from kairan.functions.text import compact_name, html_text, name_aliases, variant_key
+from kairan.functions.text import compact_name, name_aliases, plain_text, variant_key
+from kairan.operators.containing import finder
 from kairan.operators.ranking import best_per, dedup_keep
 
 #: Candidates of a key that go to a reviewer.
 CANDIDATES = 20
-#: Characters of names that tasks search at once; more names take more passes over the texts.
-PASS_CHARS = 4_000_000
 
 
 def _has(col: str) -> Column:
@@ -87,64 +86,78 @@ def match_aliases(mentions: DataFrame, entities: DataFrame, mention_aliases: Col
     return found.filter("entity_id = _hi").select("mention_id", "entity_id")
 
 
-def _name_passes(names: DataFrame, pass_chars: int) -> Iterator[list[tuple]]:
-    """Distinct (key, entities) in passes of about ``pass_chars`` characters; each pass is gathered for itself."""
-    keyed = names.filter("key <> ''").groupBy("key").agg(F.collect_set("entity_id").alias("ids"))
-    passes = keyed.agg(F.coalesce(F.sum(F.length("key")), F.lit(0))).first()[0] // pass_chars + 1
-    for k in range(passes):
-        part = keyed if passes == 1 else keyed.filter(F.pmod(F.xxhash64("key"), F.lit(passes)) == k)
-        yield [(r["key"], r["ids"]) for r in part.toLocalIterator()]
+def _named(found: DataFrame, by: list[str], names: DataFrame, unique: bool) -> DataFrame:
+    """Rows of candidates ``key`` joined with the names: ``by`` and ``entity_id``; with ``unique`` of one entity only.
 
+    For exactly one, a key needs only its least and greatest entity. A key that many rows hold meets one row of names,
+    and a hot one's rows are split by the adaptive join.
+    """
+    if not unique:
+        return found.join(names.select("key", "entity_id").distinct(), "key").select(*by, "entity_id").distinct()
+    ends = names.groupBy("key").agg(F.min("entity_id").alias("lo"), F.max("entity_id").alias("hi"))
+    met = found.join(ends, "key").groupBy(*by).agg(F.min("lo").alias("entity_id"), F.max("hi").alias("_hi"))
+    return met.filter("entity_id = _hi").select(*by, "entity_id")
 
-def link_contained(texts: DataFrame, names: DataFrame, unique: bool = True, pass_chars: int = PASS_CHARS) -> DataFrame:
+
+def link_contained(texts: DataFrame, names: DataFrame, unique: bool = True) -> DataFrame:
     """``text_id``, ``entity_id`` of texts that contain an entity's key; with ``unique`` exactly one entity's.
 
-    ``texts`` has text_id, text; ``names`` has entity_id, key; empty and null keys and texts match nothing. Each task
-    searches all names of a pass at once (Aho-Corasick), in time linear in the text whatever the names; more names than
-    ``pass_chars`` take more passes. Only a text's distinct entities leave the task.
+    ``texts`` has text_id, text; ``names`` has entity_id, key; empty and null keys and texts match nothing. Texts are
+    read once, whatever the number of names; each gives the distinct stretches that may be names (see ``containing``),
+    which are joined with the names.
     """
-    base, found = texts.select("text_id", "text"), None
-    schema = T.StructType([base.schema["text_id"], T.StructField("entity_id", names.schema["entity_id"].dataType)])
-    for part in _name_passes(names, pass_chars):
-
-        def search(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
-            tree, kind = ahocorasick.Automaton(), to_arrow_schema(schema).field(1).type
-            for key, ids in part:
-                tree.add_word(key, ids)
-            tree.make_automaton()
-            for batch in batches:
-                rows, hits = [], []
-                for i, text in enumerate(batch.column(1)):
-                    text = text.as_py()
-                    ids = {x for _, found in tree.iter(text) for x in found} if text and part else ()
-                    rows += [i] * len(ids)
-                    hits += sorted(ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(hits, kind)], ["text_id", "entity_id"])
-
-        one = base.mapInArrow(search, schema)
-        found = one if found is None else found.unionByName(one)
-    if not unique:
-        return found.distinct()
-    ends = found.groupBy("text_id").agg(F.min("entity_id").alias("entity_id"), F.max("entity_id").alias("_hi"))
-    return ends.filter("entity_id = _hi").select("text_id", "entity_id")
+    base, index = texts.select("text_id", "text"), texts.sparkSession.sparkContext.broadcast(finder(names))
+    schema = T.StructType([base.schema["text_id"], T.StructField("key", T.StringType())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, keys = [], []
+            for i, text in enumerate(batch.column(1)):
+                found = index.value.candidates(text.as_py() or "")
+                rows += [i] * len(found)
+                keys += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.string())], ["text_id", "key"])
+
+    return _named(base.mapInArrow(search, schema), ["text_id"], names, unique)
+
+
+def _windows(html: str, pattern: re.Pattern, radius: int) -> Iterator[tuple[int, str, str]]:
+    """Number, text and surroundings (as plain text) of each match."""
+    for pos, m in enumerate(pattern.finditer(html)):
+        yield pos, m.group(), plain_text(html[max(0, m.start() - radius) : m.end() + radius])
+
+
+def _each_window(pages: DataFrame, pattern: str, radius: int, body: str, tell, last: str) -> DataFrame:
+    """``page_id``, ``pos``, ``url_hit`` and each of what ``tell`` makes of the surroundings of each match."""
+    kind = pages.schema["page_id"]
+    schema = T.StructType([kind, *T.StructType.fromDDL(f"pos int, url_hit string, {last} string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled, made = re.compile(pattern), tell()
+        for batch in batches:
+            for i, html in enumerate(batch.column(1)):
+                rows = ((pos, hit, x) for pos, hit, around in _windows(html.as_py() or "", compiled, radius) for x in made(around))
+                while some := list(islice(rows, 10_000)):
+                    page = batch.column(0).take(pa.array([i] * len(some)))
+                    yield pa.RecordBatch.from_arrays([page, *(pa.array(x, t) for x, t in zip(zip(*some, strict=True), (pa.int32(), pa.string(), pa.string()), strict=True))], ["page_id", "pos", "url_hit", last])
+
+    return pages.select("page_id", body).mapInArrow(run, schema)
 
 
 def windows_of_text(pages: DataFrame, pattern: str, radius: int = 1200, body: str = "html") -> DataFrame:
-    """``url_hit``, ``pos`` and the plain ``text`` within ``radius`` characters of each match of ``pattern`` (group 0)."""
-    gaps = F.split(body, pattern, -1)
-    hits = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    sizes = F.transform(F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap")), lambda z: F.struct(z["hit"].alias("hit"), F.length(z["gap"]).alias("gap")))
-    placed = F.aggregate(sizes, F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<hit:string,at:int>>").alias("out")), lambda acc, z: F.struct((acc["end"] + z["gap"] + F.length(z["hit"])).alias("end"), F.concat(acc["out"], F.array(F.struct(z["hit"].alias("hit"), (acc["end"] + z["gap"]).alias("at")))).alias("out")))["out"]
-    found = pages.select("page_id", body, F.posexplode(placed).alias("pos", "h"))
-    start = F.greatest(F.col("h.at") - radius, F.lit(0))
-    around = F.substr(F.col(body), start + 1, F.col("h.at") + F.length("h.hit") + radius - start)
-    return found.select("page_id", "pos", F.col("h.hit").alias("url_hit"), html_text(around).alias("text"))
+    """``pos``, ``url_hit`` and the plain ``text`` within ``radius`` characters of each match of ``pattern`` (group 0)."""
+    return _each_window(pages, pattern, radius, body, lambda: lambda around: (around,), "text")
 
 
 def link_near(pages: DataFrame, names: DataFrame, pattern: str, radius: int = 1200, body: str = "html") -> DataFrame:
-    """``page_id``, ``pos``, ``url_hit``, ``entity_id``: the one entity named around each hit."""
-    around = windows_of_text(pages, pattern, radius, body).withColumn("text_id", F.struct("page_id", "pos", "url_hit"))
-    return link_contained(around, names).select("text_id.page_id", "text_id.pos", "text_id.url_hit", "entity_id")
+    """``page_id``, ``pos``, ``url_hit``, ``entity_id``: the one entity named around each hit.
+
+    A page's hits are gone through once, in order; their surroundings are searched where they are, and only the keys
+    that they may hold leave the task. Names and surroundings count as their plain text.
+    """
+    index = pages.sparkSession.sparkContext.broadcast(finder(names))
+    found = _each_window(pages, pattern, radius, body, lambda: index.value.candidates, "key")
+    return _named(found, ["page_id", "pos", "url_hit"], names, True)
 
 
 def zip_by_position(a: DataFrame, b: DataFrame, key: str = "ord") -> DataFrame:

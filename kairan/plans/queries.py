@@ -11,7 +11,7 @@ from kairan.functions import memory, rules, text, urls
 from kairan.operators import assets, diff, learning, linking, markup, quality, ranking, roster
 from kairan.plans.base import ASSETS, CURR, GRADES_DUCK, NOW, PEOPLE, PREV, derived, grades
 from kairan.sources import files
-from kairan.sources.store import new_path
+from kairan.sources.store import new_path, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -825,31 +825,89 @@ def decoded_pages(s, d):
 
 
 # ---- streams -----------------------------------------------------------------------------------------------------
-def _streamed(s: SparkSession, d: str, build, mode: str, name: str) -> DataFrame:
-    """Run a stream over the graded events to its end and return all that it wrote."""
-    path = new_path(s, name)
-    grades(s, d).write.parquet(f"{path}/in")
-    rows = s.readStream.schema(s.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
+def _source(s: SparkSession, events: DataFrame, path: str, files_: int = 1) -> DataFrame:
+    """A stream of ``events``, a file after the other."""
+    events.repartition(files_).write.mode("append").parquet(path)
+    return s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _run(stream: DataFrame, path: str, sink, mode: str = "update") -> None:
+    stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+
+
+def _half(g: DataFrame):
+    """The time halfway between the first and the last answer."""
+    first, last = g.agg(F.min("at"), F.max("at")).first()
+    return F.lit((first + last) // 2)
+
+
+def _stream_states(s: SparkSession, d: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The first half of the answers by a batch replay, the second by a stream that begins there: the start, and all that was written."""
+    from kairan.streaming import review
+
+    review.use_state_store(s)
+    path, g = new_path(s, name), grades(s, d)
+    half = _half(g)
+    start = stored(review.warm_state(g.filter(F.col("at") <= half)), "warm")
+
     def sink(df: DataFrame, epoch: int) -> None:
         df.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{path}/out")
 
-    run = build(rows).writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return s.read.parquet(f"{path}/out")
+    late = g.filter(F.col("at") > half)
+    _run(review.stream_state(_source(s, late, f"{path}/in"), start), path, sink)
+    return start, s.read.parquet(f"{path}/out")
 
 
 @query("stream_states", _FOLD + "SELECT user_id, id, reps, minutes, round(stability, 6) AS stability, lapses, status FROM z")
 def stream_states(s, d):
-    from kairan.streaming.review import stream_state
-
-    out = _streamed(s, d, stream_state, "update", "states")
-    last = ranking.dedup_keep(out, ["user_id", "id"], ["epoch"], keep="last")
+    """State of every item, half replayed and half streamed."""
+    names = ["user_id", "id", "reps", "interval_min", "stability", "lapses", "status", "epoch"]
+    start, out = _stream_states(s, d, "states")
+    both = out.select(*names).unionByName(start.withColumn("epoch", F.lit(-1)).select(*names))
+    last = ranking.dedup_keep(both, ["user_id", "id"], ["epoch"], keep="last")
     return last.select("user_id", "id", F.col("reps").cast("long").alias("reps"), F.col("interval_min").alias("minutes"), F.round("stability", 6).alias("stability"), F.col("lapses").cast("long").alias("lapses"), "status")
 
 
+_HALF = """, h AS (SELECT (min("at") + max("at")) // 2 AS half FROM g),
+w AS (SELECT *, status = 'mastered' AS m, coalesce(last_value(CASE WHEN grade = 'again' OR status = 'leech' THEN true WHEN grade = 'good' AND streak >= 2 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id, id ORDER BY done), false) AS x FROM t),
+b AS (SELECT *, coalesce(lag(m) OVER (PARTITION BY user_id, id ORDER BY done), false) AS m0, coalesce(lag(x) OVER (PARTITION BY user_id, id ORDER BY done), false) AS x0 FROM w)
+"""
+
+
+@query("stream_set_changes", _FOLD + _HALF + """SELECT user_id, id, seq, 'mastered' AS "set", CASE WHEN m THEN 'added' ELSE 'removed' END AS change FROM b, h WHERE m <> m0 AND "at" > half
+UNION ALL SELECT user_id, id, seq, 'wrong', CASE WHEN x THEN 'added' ELSE 'removed' END FROM b, h WHERE x <> x0 AND "at" > half""")
+def stream_set_changes(s, d):
+    """Which answers of the streamed half put items into the mastered and wrong sets or took them out."""
+    from kairan.streaming import review
+
+    return review.set_changes(_stream_states(s, d, "changes")[1]).select("user_id", "id", "seq", "set", "change")
+
+
 @query("stream_counters", f'''SELECT user_id, count(*) AS played, count(*) FILTER (grade <> 'again') AS correct, count(*) FILTER (grade = 'again') AS wrong, count(*) FILTER (grade IN ('hard', 'again')) AS miss_count, max("at") FILTER (grade IN ('hard', 'again')) AS last_miss_at FROM ({GRADES_DUCK}) GROUP BY user_id''')
 def stream_counters(s, d):
+    """Counters of a stream that brings every answer twice."""
     from kairan.streaming import review
 
-    out = _streamed(s, d, review.stream_counters, "update", "counters")
-    return ranking.dedup_keep(out, ["user_id"], ["epoch"], keep="last").drop("epoch")
+    path, g = new_path(s, "counters"), grades(s, d).withColumn("ts", F.timestamp_millis("at"))
+    _source(s, g, f"{path}/in")
+    answers = review.distinct_answers(_source(s, g, f"{path}/in"), "36500 days")
+    _run(answers, path, review.counters_sink(f"{path}/out"), "append")
+    return review.read_counters(s, f"{path}/out")
+
+
+@query("graded_once_more", _FOLD.replace(f"g AS ({GRADES_DUCK})", f"g AS ({GRADES_DUCK} UNION ALL SELECT user_id, 'quiz', 'items', id, 0, {NOW}, 'good' FROM (SELECT DISTINCT user_id, id FROM ({GRADES_DUCK})))") + f'SELECT user_id, id, reps, minutes, due, round(stability, 6) AS stability, round(difficulty, 6) AS difficulty, lapses, streak, status FROM z WHERE "at" = {NOW}')
+def graded_once_more(s, d):
+    """Every item's state after one more good answer, by Column functions."""
+    st = F.col("next")
+    graded = _states(s, d).select("user_id", "id", memory.apply_grade(F.col("state"), F.lit("good"), _now()).alias("next"))
+    return graded.select("user_id", "id", st["reps"].cast("long").alias("reps"), st["interval_min"].alias("minutes"), st["due"].alias("due"), F.round(st["stability"], 6).alias("stability"), F.round(st["difficulty"], 6).alias("difficulty"), st["lapses"].cast("long").alias("lapses"), st["consecutive"].cast("long").alias("streak"), st["status"].alias("status"))
+
+
+@query("continued_states", _FOLD + "SELECT user_id, id, reps, minutes, round(stability, 6) AS stability, lapses, streak, status FROM z")
+def continued_states(s, d):
+    """States stored after the earlier half of the answers, and gone on from with the later ones only."""
+    g = grades(s, d)
+    half = _half(g)
+    begun = stored(learning.replay(g.filter(F.col("at") <= half)), "begun")
+    st = F.col("state")
+    return learning.replay(g.filter(F.col("at") > half), start=begun).select("user_id", "id", st["reps"].cast("long").alias("reps"), st["interval_min"].alias("minutes"), F.round(st["stability"], 6).alias("stability"), st["lapses"].cast("long").alias("lapses"), st["consecutive"].cast("long").alias("streak"), st["status"].alias("status"))

@@ -1,69 +1,137 @@
-"""Streams of graded answers: memory state per item, and running counters."""
+"""Streams of graded answers: memory state per item with changes of its sets, and counters that count each answer once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from kairan.functions.memory import step
-from kairan.operators.learning import KEYS
+from kairan.operators import folding
+from kairan.operators.learning import KEYS, ORDER, _answers, wrong_after
 
 _FIELDS = "reps int, interval_min long, due long, last_grade string, updated_at long, stability double, difficulty double, lapses int, consecutive int, status string, last_seen_at long"
+_NAMES = [f.split()[0] for f in _FIELDS.split(", ")]
+#: What a stream keeps of an item; a table of it, with the keys, is what a stream can begin from.
 STATE_SCHEMA = _FIELDS + ", last_seq long, dropped long, in_wrong boolean"
-OUTPUT_SCHEMA = "user_id long, mode string, target string, id long, " + _FIELDS + ", applied long, dropped long, in_mastered boolean, in_wrong boolean"
+_KEPT = [*_NAMES, "last_seq", "dropped", "in_wrong"]
+_CHANGES = "changes array<struct<at:long,seq:long,set:string,change:string>>"
+OUTPUT_SCHEMA = "user_id long, mode string, target string, id long, " + _FIELDS + ", applied long, dropped long, in_mastered boolean, in_wrong boolean, " + _CHANGES
+_OUTPUT = [f.split()[0] for f in OUTPUT_SCHEMA.split(", ")]
+#: The state store that named states, initial tables and time to live need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_state(events: DataFrame, watermark: str | None = None, idle_ms: int | None = None) -> DataFrame:
-    """State and set membership of each item after each micro-batch (update mode).
+def use_state_store(spark: SparkSession) -> None:
+    """Let the session's streams keep state in RocksDB, as ``stream_state`` needs it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
-    Within a batch events are applied in order of (at, seq); an event before the item's last one is dropped and
-    counted, so a replayed batch changes nothing. A watermark on ``ts`` only removes repeated events. With ``idle_ms``
-    the state of an item without an answer for so long (in processing time) is dropped: its last row stands in what was
-    written, and it begins anew when it comes up again. Without it state is kept for every item ever answered.
-    """
-    if watermark:
-        events = events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([*KEYS, "seq"])
-    names = [f.split()[0] for f in _FIELDS.split(", ")]
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        if group.hasTimedOut:
-            group.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["at", "seq"])
-        held = dict(zip([*names, "last_seq", "dropped", "in_wrong"], group.get, strict=True)) if group.exists else None
-        dropped, applied = (held["dropped"] if held else 0), 0
-        wrong = bool(held and held["in_wrong"])
+
+def warm_state(events: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """What a stream would keep after all ``events``, by a batch replay: ``keys`` and ``STATE_SCHEMA``."""
+
+    def change(held, at, seq, grade):
+        after = step(held, grade, at)
+        return after | {"last_seq": seq, "dropped": 0, "in_wrong": wrong_after(bool(held and held["in_wrong"]), grade, after)}
+
+    return folding.fold(_answers(events, keys), keys, ORDER, lambda s: s, change, lambda s: tuple(s[n] for n in _KEPT), STATE_SCHEMA)
+
+
+class _Memory(StatefulProcessor):
+    """An item's state, applied in order of (at, seq) within a batch; each change of a set is told with its answer."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("memory", STATE_SCHEMA, *([self.idle_ms] if self.idle_ms else []))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N803  names of the interface
+        row = initialState.iloc[0]
+        self.state.update(tuple(None if pd.isna(row[n]) else row[n].item() if hasattr(row[n], "item") else row[n] for n in _KEPT))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        rows = pd.concat(list(rows)).sort_values(["at", "seq", "grade"])
+        held = dict(zip(_KEPT, self.state.get(), strict=True)) if self.state.exists() else None
+        applied, dropped, changes = 0, held["dropped"] if held else 0, []
         for at, seq, grade in zip(rows["at"].tolist(), rows["seq"].tolist(), rows["grade"].tolist(), strict=True):
             if held and (at, seq) <= (held["updated_at"], held["last_seq"]):
                 dropped += 1
                 continue
-            held = step(held, grade, int(at)) | {"last_seq": int(seq)}
-            applied += 1
-            if grade == "again" or held["status"] == "leech":
-                wrong = True
-            elif grade == "good" and held["consecutive"] >= 2:
-                wrong = False
-        held |= {"dropped": dropped, "in_wrong": wrong}
-        group.update(tuple(held[n] for n in [*names, "last_seq", "dropped", "in_wrong"]))
-        if idle_ms:
-            group.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([[*key, *(held[n] for n in names), applied, dropped, held["status"] == "mastered", wrong]], columns=[f.split()[0] for f in OUTPUT_SCHEMA.split(", ")])
+            after = step(held, grade, int(at))
+            was = {"mastered": bool(held and held["status"] == "mastered"), "wrong": bool(held and held["in_wrong"])}
+            now = {"mastered": after["status"] == "mastered", "wrong": wrong_after(was["wrong"], grade, after)}
+            changes += [(int(at), int(seq), name, "added" if now[name] else "removed") for name in now if now[name] != was[name]]
+            held, applied = after | {"last_seq": int(seq), "in_wrong": now["wrong"]}, applied + 1
+        held["dropped"] = dropped
+        self.state.update(tuple(held[n] for n in _KEPT))
+        yield pd.DataFrame([[*key, *(held[n] for n in _NAMES), applied, dropped, held["status"] == "mastered", held["in_wrong"], changes]], columns=_OUTPUT)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_state(events: DataFrame, start: DataFrame | None = None, idle_ms: int | None = None) -> DataFrame:
+    """State and set membership of each answered item after each micro-batch (update mode), with ``changes`` of its sets.
+
+    Within a batch events are applied in order of (at, seq); an event not after the item's last one is dropped and
+    counted, so a replayed batch changes nothing. ``start`` is a table of ``warm_state`` (or of what an earlier stream
+    kept) that the stream goes on from; an item is read from it once, in the first batch. With ``idle_ms`` the state of an
+    item without an answer for so long (in processing time) expires, and it begins anew when it comes up again; without
+    it state is kept for every item ever answered. A stream with ``idle_ms`` goes on until it is stopped, whatever its
+    trigger, for time alone gives it work. Needs the state store of ``use_state_store``.
+    """
+    if events.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STORE:
+        raise ValueError("stream_state needs kairan.streaming.review.use_state_store(spark)")
+    initial = start.groupBy(*KEYS) if start is not None else None
+    return events.groupBy(*KEYS).transformWithStateInPandas(_Memory(idle_ms), OUTPUT_SCHEMA, "update", "ProcessingTime" if idle_ms else "None", initial)
 
-    return events.groupBy(*KEYS).applyInPandasWithState(update, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+
+def set_changes(states: DataFrame) -> DataFrame:
+    """A row a change that ``stream_state`` told: keys, ``at``, ``seq``, ``set`` (mastered, wrong), ``change`` (added, removed)."""
+    return states.select(*KEYS, F.explode("changes").alias("c")).select(*KEYS, "c.at", "c.seq", "c.set", "c.change")
+
+
+_SUMS, _LATEST = ("played", "correct", "wrong", "miss_count"), "last_miss_at"
+
+
+def counted(events: DataFrame, by: list) -> DataFrame:
+    """Played, correct, wrong, miss_count, last_miss_at of answers, streamed or not."""
+    miss = F.col("grade").isin("hard", "again")
+    return events.groupBy(*by).agg(F.count("*").alias("played"), F.count_if(F.col("grade") != "again").alias("correct"), F.count_if(F.col("grade") == "again").alias("wrong"), F.count_if(miss).alias("miss_count"), F.max(F.when(miss, F.col("at"))).alias(_LATEST))
 
 
 def stream_counters(events: DataFrame, keys: tuple[str, ...] = ("user_id",), window: str | None = None, watermark: str = "1 day") -> DataFrame:
-    """Running played, correct, wrong, miss_count, last_miss_at.
+    """Running counters of all rows of a stream (update mode); ``counters_sink`` counts repeated answers once.
 
     With ``window`` (as ``30 days``, over the time ``ts``) a row a window and key, whose state goes once the watermark
     has passed the window; without it there is one row a key for ever, as many as there are learners.
     """
-    miss, by = F.col("grade").isin("hard", "again"), [*keys]
-    if window:
-        events = events.withWatermark("ts", watermark)
-        by = [F.window("ts", window), *keys]
-    return events.groupBy(*by).agg(F.count("*").alias("played"), F.count_if(F.col("grade") != "again").alias("correct"), F.count_if(F.col("grade") == "again").alias("wrong"), F.count_if(miss).alias("miss_count"), F.max(F.when(miss, F.col("at"))).alias("last_miss_at"))
+    if not window:
+        return counted(events, [*keys])
+    return counted(events.withWatermark("ts", watermark), [F.window("ts", window), *keys])
+
+
+def distinct_answers(events: DataFrame, watermark: str, ids: tuple[str, ...] = ("user_id", "seq")) -> DataFrame:
+    """Each answer once, by ``ids``, if it is repeated within ``watermark`` of its time ``ts`` (append mode)."""
+    return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([*ids])
+
+
+def counters_sink(path: str, keys: tuple[str, ...] = ("user_id",)) -> Callable[[DataFrame, int], None]:
+    """What ``foreachBatch`` does with ``distinct_answers``: write the batch's counts under its number.
+
+    A batch that Spark runs again after a failure writes the same counts to the same place, so it counts once.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        counted(batch, [*keys]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def read_counters(spark: SparkSession, path: str, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """The counters of all batches together."""
+    return spark.read.parquet(path).groupBy(*keys).agg(*(F.sum(n).alias(n) for n in _SUMS), F.max(_LATEST).alias(_LATEST))

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,12 +66,52 @@ def test_variant_match_outcomes(spark):
 def test_containment_both_ways_agree_and_reject_two_names(spark):
     texts = spark.createDataFrame([(1, "xx安倍晋三yy"), (2, "安倍晋三と麻生太郎"), (3, "")], "text_id long, text string")
     names = spark.createDataFrame([(10, "安倍晋三"), (11, "麻生太郎"), (12, "")], "entity_id long, key string")
-    for most in (1, 4_000_000):  # a pass for few names each, and one pass
-        assert [tuple(r) for r in linking.link_contained(texts, names, pass_chars=most).collect()] == [(1, 10)]
-        assert sorted(tuple(r) for r in linking.link_contained(texts, names, unique=False, pass_chars=most).collect()) == [(1, 10), (2, 10), (2, 11)]
+    assert [tuple(r) for r in linking.link_contained(texts, names).collect()] == [(1, 10)]
+    assert sorted(tuple(r) for r in linking.link_contained(texts, names, unique=False).collect()) == [(1, 10), (2, 10), (2, 11)]
     assert linking.link_contained(texts, names.limit(0)).count() == 0
 
 
+def test_contained_names_equal_brute_force(spark, monkeypatch):
+    from kairan.operators import containing
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abé日") for _ in range(n))
+    texts = [(i, rng.choice([None, "", word(rng.randint(1, 90))])) for i in range(200)] + [(900, word(3000))]
+    cut = lambda t, n: t[(at := rng.randrange(max(1, len(t) - n))) : at + n]
+    names = [(i, word(rng.randint(1, 40))) for i in range(150)] + [(500 + i, cut(t, rng.randint(3, 70))) for i, t in texts if t] + [(800, None), (801, "")]
+    want = {(i, e) for i, t in texts for e, k in names if t and k and k in t}
+    got = linking.link_contained(spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(names, "entity_id long, key string"), unique=False)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 300
+    monkeypatch.setattr(containing, "STRETCH", 7)
+    found = containing.finder(spark.createDataFrame(names, "entity_id long, key string"))
+    for _, t in texts:
+        assert {k for _, k in names if t and k and k in t} <= found.candidates(t or "")
+    monkeypatch.setattr(containing, "MOST_BITS", 32768)  # filters that pass nearly all lose nothing
+    many = spark.range(30_000).select(F.col("id").alias("entity_id"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("key"))
+    rows = linking.link_contained(spark.createDataFrame([(1, "xn17y"), (2, "n31000")], "text_id long, text string"), many, unique=False).collect()
+    assert {tuple(r) for r in rows} == {(1, 1), (1, 17), (2, 3), (2, 31), (2, 310), (2, 3100)}
+
+
+def test_plain_text_equals_columns(spark):
+    from kairan.functions import text
+
+    rng = random.Random(10)
+    signs = ["a", "b ", "<b>", "</i>", "<", ">", "&amp;", "&lt;", "&gt;", "&nbsp;", "&quot;", "<![CDATA[", "]]>", "\u3000", "\ufeff", "\n", "\x1c", "x"]
+    rows = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(800)]
+    df = spark.createDataFrame([(r,) for r in rows], "x string").select("x", text.html_text(F.col("x")).alias("y"))
+    assert all(text.plain_text(r["x"]) == r["y"] for r in df.collect())
+
+
+def test_a_page_of_many_hits(spark):
+    import time
+
+    html = "".join(f"<a href='{i}'>URL name{i}</a>" for i in range(20_000))
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    names = spark.range(0, 20_000, 4).select(F.col("id").alias("entity_id"), F.concat(F.lit("name"), F.col("id").cast("string"), F.lit(" ")).alias("key"))
+    began = time.time()
+    assert linking.link_near(pages, names, "URL", 60).count() > 10_000 and time.time() - began < 30
+
+
 def test_links_nearby_equal_brute_force(spark):
     import random
     import re
@@ -169,9 +210,52 @@ def test_leech_and_wrong_set(spark):
     assert tuple(learning.mastered_wrong_sets(graded).select("in_mastered", "in_wrong").first()) == (False, False)
 
 
+def test_an_item_of_a_million_answers(spark):
+    """No row ever holds an item's history: a state goes from batch to batch."""
+    from kairan.functions.memory import step
+
+    n, grades = 1_000_000, ("good", "again", "hard", "strong", "good", "good", "good")
+    events = spark.range(n).select(F.lit(1).cast("long").alias("user_id"), F.lit("m").alias("mode"), F.lit("t").alias("target"), F.lit(5).cast("long").alias("id"), (F.col("id") * 3_600_000).alias("at"), F.col("id").alias("seq"), F.element_at(F.array(*map(F.lit, grades)), (F.col("id") % 7 + 1).cast("int")).alias("grade"))
+    state, again = None, 0
+    for i in range(n):
+        state = step(state, grades[i % 7], i * 3_600_000)
+        again += grades[i % 7] == "again"
+    got = learning.replay(events.repartition(8)).collect()
+    assert len(got) == 1 and got[0]["state"].asDict() == state
+    assert learning.lifetime_stats(events).first()["wrong"] == again
+
+
+def test_replay_and_trail_go_on_from_stored_states(spark):
+    kind = "user_id long, mode string, target string, id long, at long, seq long, grade string"
+    rng = random.Random(2)
+    rows = [(u, "m", "t", i, rng.randint(0, 10**9), s, rng.choice(["good", "again", "hard", "strong"])) for s, (u, i) in enumerate((rng.randint(1, 3), rng.randint(1, 4)) for _ in range(300))]
+    every = spark.createDataFrame(rows, kind)
+    early, late = every.filter("at < 500000000"), every.filter("at >= 500000000 and id <> 4")
+    begun = learning.replay(early)
+    key = lambda r: (r["user_id"], r["id"])
+    whole = {key(r): r["state"] for r in learning.replay(every.filter("at < 500000000 or id <> 4")).collect()}
+    assert {key(r): r["state"] for r in learning.replay(late, start=begun).collect()} == whole
+    steps = {r["seq"]: (r["before"], r["after"]) for r in learning.trail(every.filter("at < 500000000 or id <> 4")).collect()}
+    assert {r["seq"]: (r["before"], r["after"]) for r in learning.trail(late, start=begun).collect()} == {r[5]: steps[r[5]] for r in rows if r[4] >= 500000000 and r[3] != 4}
+    assert learning.replay(every.limit(0)).collect() == [] == learning.trail(every.limit(0)).collect()
+    assert len(learning.replay(every.limit(0), start=begun).collect()) == begun.count()
+
+
+def test_batches_run_again_count_once(spark, tmp_path):
+    from kairan.streaming import review
+
+    kind = "user_id long, id long, at long, seq long, grade string"
+    one, two = (spark.createDataFrame(rows, kind) for rows in ([(1, 5, 100, 1, "good"), (2, 5, 100, 2, "again")], [(1, 6, 300, 3, "hard")]))
+    write = review.counters_sink(str(tmp_path / "c"))
+    for batch, number in ((one, 0), (two, 1), (two, 1), (one, 0)):
+        write(batch, number)
+    assert sorted(map(tuple, review.read_counters(spark, str(tmp_path / "c")).collect())) == [(1, 2, 2, 0, 1, 300), (2, 1, 0, 1, 1, 100)]
+
+
 def test_late_events_are_dropped_and_counted(spark, tmp_path):
-    from kairan.streaming.review import stream_state
+    from kairan.streaming.review import set_changes, stream_state, use_state_store
 
+    use_state_store(spark)
     kind = "user_id long, mode string, target string, id long, at long, seq long, grade string"
     one = lambda rows, n: spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     out = []
@@ -181,6 +265,19 @@ def test_late_events_are_dropped_and_counted(spark, tmp_path):
         q = stream_state(stream).writeStream.outputMode("update").foreachBatch(lambda df, e: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert (out[-1]["dropped"], out[-1]["reps"], out[-1]["lapses"]) == (1, 2, 0)
+    one([(1, "m", "t", 5, 300 + i, 3 + i, g) for i, g in enumerate(["again", "good", "good", "again"])], 2)
+    stream = stream_state(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), idle_ms=3_600_000)
+    told = []
+    q = stream.writeStream.outputMode("update").foreachBatch(lambda df, e: told.extend(set_changes(df).collect())).option("checkpointLocation", str(tmp_path / "d")).start()
+    for _ in range(60):  # a stream with times to live goes on by itself
+        q.awaitTermination(1)
+        if told:
+            break
+    q.stop()
+    assert [(r["seq"], r["set"], r["change"]) for r in told][-3:] == [(3, "wrong", "added"), (5, "wrong", "removed"), (6, "wrong", "added")]
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    with pytest.raises(ValueError, match="use_state_store"):
+        stream_state(spark.readStream.schema(kind).parquet(str(tmp_path / "in")))
 
 
 def test_next_items_equal_brute_force(spark):
