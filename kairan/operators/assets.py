@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairan.functions import rules
 from kairan.functions.text import compact_name, squeezed, text
-from kairan.functions.urls import in_text, score_asset, score_candidate
-from kairan.operators.ranking import ranked
+from kairan.functions.urls import block_reason, in_text, normalize_url, score_asset, score_candidate
+from kairan.operators.markup import collect_images
+from kairan.operators.ranking import dedup_keep, ranked
 
 
 def has_asset(image: str = "image") -> Column:
@@ -146,3 +147,20 @@ def page_candidates(images: DataFrame, names: DataFrame, page_weight: Column | i
     more = more + (F.when(F.lower(page).rlike("member|profile|politician|giin"), 1).otherwise(0) if page is not None else F.lit(0))
     first = score_candidate("search", F.col("url"), F.col("alt"), F.col("name"), page, hints) + page_weight
     return joined.withColumn("score", F.when(first > 0, first + more)).filter("score > 0")
+
+
+def best_candidates(pages: DataFrame, names: DataFrame, page_weight: Column | int = 0, known_bad: DataFrame | None = None) -> DataFrame:
+    """Candidates from whole pages (``page_id``, ``url``, ``html``) for the page's name, ranked.
+
+    ``page_id``, ``place`` from 1, ``url``, ``alt``, ``hint``, ``score``: images of ``markup.collect_images`` by absolute
+    URL, each once a page, where it stands first; blocked ones and URLs of ``known_bad`` are out; best score first, then
+    in order of the page.
+    """
+    images = collect_images(pages).join(pages.select("page_id", F.col("url").alias("page")), "page_id")
+    images = images.withColumn("url", normalize_url(F.col("src"), F.col("page"))).filter(F.col("url") != "").filter(block_reason(F.col("url")) == "")
+    if known_bad is not None:
+        images = images.join(known_bad.select("url").distinct(), "url", "left_anti")
+    once = dedup_keep(images, ["page_id", "url"], ["ord"])
+    scored = page_candidates(once, names, page_weight, F.col("page"), "hint")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "ord"))
+    return scored.select("page_id", place.alias("place"), "url", "alt", "hint", "score")

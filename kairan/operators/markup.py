@@ -3,38 +3,134 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kairan.functions.text import compact_name, html_text, present, squeezed
 from kairan.functions.urls import normalize_url
 
 
+#: A condition on a line.
+Test = Callable[[Column], Column]
+#: The rest of a tag up to its end: a ``>`` within quotes doesn't end it.
+_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_VALUE = r"""("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+
+
+def without_comments(html: Column) -> Column:
+    return F.regexp_replace(html, "(?s)<!--.*?-->", "")
+
+
 def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute in a tag's text; empty if it isn't there."""
-    return F.coalesce(F.regexp_extract(tag, rf"(?i)\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
+    """Value of a tag's first attribute of a name: in quotes of either kind or bare; empty if it isn't there.
+
+    Attributes are gone through in order, so that what stands within another one's quotes isn't taken for one.
+    """
+    other = rf"""(?:[\s/]++(?!{name}\s*=)[^\s=>/"']++(?:\s*+=\s*+{_VALUE.replace("(", "(?:", 1)})?+)*+"""
+    raw = F.regexp_extract(tag, rf"(?is)^<[a-z][a-z0-9]*+{other}[\s/]++{name}\s*=\s*{_VALUE}", 1)
+    quoted = raw.startswith('"') | raw.startswith("'")
+    return F.coalesce(F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw), F.lit(""))
 
 
 def extract_links(pages: DataFrame, path: str | None = None) -> DataFrame:
     """``page_id``, ``ord``, ``href``, ``text``, ``absolute`` of anchors; ``path`` keeps those whose URL matches."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<a\s[^>]*>)(.*?)</a>"), F.lit(0))
+    start = rf"(?is)<a\s{_REST}"
+    tags = F.regexp_extract_all(without_comments(F.col("html")), F.lit(rf"{start}.*?</a>"), F.lit(0))
     out = pages.select("page_id", "url", F.posexplode(tags).alias("ord", "tag"))
-    href = attribute(F.regexp_extract("tag", r"(?is)^(<a\s[^>]*>)", 1), "href")
-    out = out.select("page_id", "ord", href.alias("href"), html_text(F.col("tag")).alias("text"), normalize_url(href, F.col("url")).alias("absolute")).filter("href <> ''")
+    href = attribute(F.col("tag"), "href")
+    shown = html_text(F.regexp_replace("tag", rf"^{start}", ""))
+    out = out.select("page_id", "ord", href.alias("href"), shown.alias("text"), normalize_url(href, F.col("url")).alias("absolute")).filter("href <> ''")
     return out.filter(F.col("absolute").rlike(path)) if path else out
 
 
 def extract_images(pages: DataFrame, path: str | None = None) -> DataFrame:
     """``page_id``, ``ord``, ``src``, ``data_src``, ``srcset``, ``alt`` of images; ``path`` keeps those whose URL matches."""
-    out = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<img\s[^>]*>"), F.lit(0))).alias("ord", "tag"))
-    out = out.select("page_id", "ord", attribute(F.col("tag"), "src").alias("src"), attribute(F.col("tag"), "data-src").alias("data_src"), attribute(F.col("tag"), "srcset").alias("srcset"), attribute(F.col("tag"), "alt").alias("alt"))
+    tags = F.regexp_extract_all(without_comments(F.col("html")), F.lit(rf"(?is)<img(?=[\s/>]){_REST}"), F.lit(0))
+    out = pages.select("page_id", F.posexplode(tags).alias("ord", "tag"))
+    out = out.select("page_id", "ord", *(attribute(F.col("tag"), n).alias(n.replace("-", "_")) for n in ("src", "data-src", "srcset", "alt")))
     return out.filter(F.concat("src", F.lit(" "), "data_src").rlike(path)) if path else out
 
 
+class _Images(HTMLParser):
+    """Images of a page in the order in which they count: those of meta tags, then img tags' sources with their surroundings."""
+
+    #: Elements without an end tag, and characters of its parent's text that stand for an image's surroundings.
+    VOID, AROUND = frozenset("area base br col embed hr img input link meta source track wbr".split()), 120
+    META = (("property", "og:image"), ("name", "og:image"), ("name", "twitter:image"), ("property", "twitter:image"))
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.meta: list[tuple[int, str]] = []
+        self.found: list[tuple[list[str], str, str, list]] = []
+        self.open: list[tuple[str, list]] = [("", [0, []])]  # tag; length and pieces of its text so far
+
+    def handle_starttag(self, tag, attrs):
+        own: dict[str, str] = {}
+        for name, value in attrs:
+            own.setdefault(name, value or "")
+        if tag == "meta":
+            self.meta += [(n, own.get("content", "")) for n, (k, v) in enumerate(self.META) if own.get(k) == v]
+        elif tag == "img" and {"src", "data-src", "data-lazy-src"} & own.keys():
+            first = own.get("srcset", "").split(",")[0].split()
+            sources = [own.get(n, "") for n in ("src", "data-src", "data-lazy-src")] + first[:1]
+            alt = " ".join((own.get("alt") or own.get("title", "")).split())
+            self.found.append((sources, alt, " ".join(own.get("class", "").split()), self.open[-1][1]))
+        if tag not in self.VOID:
+            self.open.append((tag, [0, []]))
+
+    def handle_endtag(self, tag):
+        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] == tag), 0)
+        if at:
+            del self.open[at:]
+
+    def handle_data(self, data):
+        words = len("".join(data.split()))
+        for _, text in self.open[-64:]:
+            if text[0] < self.AROUND:
+                text[0] += words
+                text[1].append(data)
+
+    def rows(self) -> Iterator[tuple[str, str, str]]:
+        """Source, alternative text and hint of each, in order."""
+        for _, content in sorted(self.meta, key=lambda x: x[0]):
+            yield content, "", "meta"
+        for sources, alt, classes, (_, pieces) in self.found:
+            hint = f"{classes} {' '.join(''.join(pieces).split())[: self.AROUND]}"
+            for source in sources:
+                yield source, alt, hint
+
+
+def collect_images(pages: DataFrame) -> DataFrame:
+    """``page_id``, ``ord``, ``src``, ``alt``, ``hint`` of all that may be a page's images.
+
+    First meta tags' (hint ``meta``), then each img tag's ``src``, ``data-src``, ``data-lazy-src`` and first of its
+    ``srcset``; their hint is the tag's classes and the first 120 characters of its parent's text. Quotes of both kinds,
+    bare values, ``>`` within values, comments and unclosed elements are read as browsers do.
+    """
+    kind = T.StructType([pages.schema["page_id"], *T.StructType.fromDDL("ord int, src string, alt string, hint string").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, html in enumerate(batch.column(1)):
+                parser = _Images()
+                parser.feed(html.as_py() or "")
+                parser.close()
+                own = [(n, *x) for n, x in enumerate(parser.rows()) if x[0].strip()]
+                at += [i] * len(own)
+                rows += own
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["page_id", "ord", "src", "alt", "hint"])
+
+    return pages.select("page_id", "html").mapInArrow(run, kind)
+
+
 def extract_blocks(pages: DataFrame, block: str, fields: Mapping[str, str], required: tuple[str, ...] = ()) -> DataFrame:
     """One row a repeated block: group 1 of each field's pattern as plain text; rows that lack a required field go."""
     out = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(block), F.lit(0))).alias("ord", "block"))
@@ -147,8 +243,6 @@ def group_lines(lines: DataFrame, is_name: Column, is_suffix: Column | None = No
     page = Window.partitionBy("page_id").orderBy("pos")
     if is_end is not None:
         kept = kept.withColumn("_ended", F.max(is_end.cast("int")).over(page)).filter("_ended = 0")
-    named = kept.filter(is_name).select("page_id").distinct()
-    kept = kept.join(named, "page_id", "left_semi")  # a page without a name line has no record, and needs no sorting
     suffix = is_suffix if is_suffix is not None else false
     kind = F.when(is_name, "name").when(suffix, "suffix").otherwise("role")
     marked = kept.withColumn("_kind", kind)
@@ -160,6 +254,31 @@ def group_lines(lines: DataFrame, is_name: Column, is_suffix: Column | None = No
     return placed.groupBy("page_id", "record").agg(first("name").alias("name"), roles.alias("roles"), first("suffix").alias("suffix")).filter("name is not null")
 
 
+def page_records(pages: DataFrame, is_name: Test, is_suffix: Test | None = None, is_noise: Test | None = None, is_end: Test | None = None, col: str = "text") -> DataFrame:
+    """The records of ``group_lines`` for pages whose lines stand in one column: found within each row, without a shuffle.
+
+    Each test is a function of a line. A page without a name line is left at once; records are slices between the
+    places of name lines, so a page takes time linear in its lines.
+    """
+    lines = F.filter(F.transform(F.split(F.col(col), "\n"), squeezed), lambda x: (x != "") & ~(is_noise(x) if is_noise else F.lit(False)))
+    rows = pages.select("page_id", lines.alias("_lines"))
+    if is_end:
+        end = F.array_position(F.transform("_lines", is_end), True)
+        rows = rows.select("page_id", F.when(end > 0, F.slice("_lines", F.lit(1), (end - 1).cast("int"))).otherwise(F.col("_lines")).alias("_lines"))
+    rows = rows.filter(F.exists("_lines", is_name))
+    rows = rows.select("page_id", "_lines", F.filter(F.transform("_lines", lambda x, i: F.when(is_name(x), i)), lambda i: i.isNotNull()).alias("_at"))
+    suffix = is_suffix or (lambda x: F.lit(False))
+
+    def record(p: Column, k: Column) -> Column:
+        before = F.when(k == 0, -1).otherwise(F.col("_at")[k - 1])
+        roles = F.filter(F.slice("_lines", before + 2, p - before - 1), lambda x: ~suffix(x))
+        behind = F.slice("_lines", p + 2, F.coalesce(F.get("_at", k + 1), F.size("_lines")) - p - 1)
+        bare = F.array_distinct(F.transform(roles, lambda x: F.regexp_replace(x, r"^・\s*", "")))
+        return F.struct(k.cast("long").alias("record"), F.col("_lines")[p].alias("name"), bare.alias("roles"), F.get(F.filter(behind, suffix), F.lit(0)).alias("suffix"))
+
+    return rows.select("page_id", F.inline(F.transform("_at", record)))
+
+
 def score_entry_sets(df: DataFrame, keywords: list[str], set_col: str = "tag") -> DataFrame:
     """Score and size of each parse (``tag``) of rows with name, kana, sub_role, chamber."""
     name, role = squeezed(F.col("name")), squeezed(F.col("sub_role"))

@@ -589,8 +589,8 @@ def role_lines(s, d):
 r AS (SELECT *, coalesce(sum(CASE WHEN is_name THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS record FROM k)
 SELECT page_id, CAST(record AS BIGINT) AS record, arg_min(line, pos) FILTER (is_name) AS name, count(DISTINCT regexp_replace(line, '^・\\s*', '')) FILTER (NOT is_name) AS n_roles FROM r GROUP BY page_id, record HAVING count(*) FILTER (is_name) > 0""")
 def line_records(s, d):
-    lines = markup.text_lines(read(s, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))
-    return markup.group_lines(lines, F.col("line").endswith("he.") | F.col("line").endswith("en.")).select("page_id", "record", "name", F.size("roles").cast("long").alias("n_roles"))
+    pages = read(s, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    return markup.page_records(pages, lambda x: x.endswith("he.") | x.endswith("en.")).select("page_id", "record", "name", F.size("roles").cast("long").alias("n_roles"))
 
 
 @query("parse_scores", f"SELECT party AS tag, count(*) AS n, CAST(count(*) * 10 + count(DISTINCT nullif(role, '')) * 2 - (count(*) - count(DISTINCT name)) * 15 + count(*) * 3 + 2 * count(*) + 4 * count(*) FILTER (role LIKE '%role 1%') AS BIGINT) AS score FROM ({CURR}) WHERE target = 'senators' GROUP BY 1")
@@ -798,10 +798,32 @@ def page_tables(s, d):
     return markup.extract_table(_pages(s, d), ["name", "n"]).select("page_id", F.col("cells")[0].alias("name"), F.col("cells")[1].alias("n"))
 
 
-@query("page_candidates", "SELECT s_suppkey AS page_id, 9 AS score FROM supplier WHERE s_suppkey % 3 <> 0")
+#: Pages with images in meta tags, lazy, bare and quoted attributes, comments and figures.
+_SHOWN = """SELECT s_suppkey AS page_id, concat('https://s.example/', CASE WHEN s_suppkey % 2 = 0 THEN 'member' ELSE 'news' END, '/', cast(s_nationkey AS string), '.html') AS url, concat(
+CASE WHEN s_suppkey % 5 = 0 THEN '<meta content="/og.jpg" property="og:image">' ELSE '' END, '<!-- <img src="/hidden.jpg"> --><div class=card><p>', s_name, ' b > a</p><img class=face src=p', cast(s_suppkey AS string), '.jpg alt="', s_name, ' d''Arc > x"><img src="/og.jpg" alt=again></div>',
+CASE WHEN s_suppkey % 3 = 0 THEN '<figure><img data-lazy-src=''photo/l.png'' title="group" src="logo.png"></figure>' ELSE '<img alt=''a "b" c'' data-src="../profile/f.webp" src="data:image/gif;base64,R0" srcset="s1.jpg 1x, s2.jpg 2x">' END) AS html FROM supplier"""
+
+
+@query("page_candidates", f"""WITH p AS (SELECT page_id, s_suppkey, s_name, s_nationkey, url AS page, s_suppkey % 2 = 0 AS m FROM ({_SHOWN}) x JOIN supplier ON s_suppkey = page_id),
+c AS (SELECT page_id, 0 AS ord, 'https://s.example/og.jpg' AS url, '' AS alt, 'meta' AS hint, CASE WHEN m THEN 2 + 1 ELSE 0 END + 1 + 1 AS score FROM p WHERE s_suppkey % 5 = 0
+UNION ALL SELECT page_id, 1, concat('https://s.example/', CASE WHEN m THEN 'member' ELSE 'news' END, '/p', s_suppkey, '.jpg'), concat(s_name, ' d''Arc > x'), concat('face ', s_name, ' b > a'), CASE WHEN m THEN 4 + 2 + 1 ELSE 0 END + 6 + 3 FROM p
+UNION ALL SELECT page_id, 2, 'https://s.example/og.jpg', 'again', concat(' ', s_name, ' b > a'), CASE WHEN m THEN 2 + 1 ELSE 0 END FROM p WHERE s_suppkey % 5 <> 0 AND m
+UNION ALL SELECT page_id, 3, concat('https://s.example/', CASE WHEN m THEN 'member' ELSE 'news' END, '/photo/l.png'), 'group', ' ', -60 FROM p WHERE false
+UNION ALL SELECT page_id, 4, 'https://s.example/profile/f.webp', 'a "b" c', concat(' '), 4 + CASE WHEN m THEN 2 + 1 ELSE 0 END FROM p WHERE s_suppkey % 3 <> 0
+UNION ALL SELECT page_id, 5, concat('https://s.example/', CASE WHEN m THEN 'member' ELSE 'news' END, '/s1.jpg'), 'a "b" c', ' ', CASE WHEN m THEN 4 + 2 + 1 ELSE 0 END FROM p WHERE s_suppkey % 3 <> 0 AND m)
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord) AS place, url, alt, score FROM c""")
 def page_candidates(s, d):
-    images = markup.extract_images(_pages(s, d)).select("page_id", F.concat(F.lit("https://s.example/"), "src").alias("url"), "alt")
-    return assets.page_candidates(images, read(s, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.col("s_name").alias("name"))).select("page_id", "score")
+    """Ranked candidates of whole pages; each page's name is its supplier's."""
+    names = read(s, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.col("s_name").alias("name"))
+    return assets.best_candidates(derived(s, d, _SHOWN, "supplier"), names).select("page_id", "place", "url", "alt", "score")
+
+
+@query("page_attributes", """SELECT page_id, 0 AS ord, concat('p', page_id, '.jpg') AS src, '' AS data_src, concat(s_name, ' d''Arc > x') AS alt FROM (SELECT s_suppkey AS page_id, s_name FROM supplier)
+UNION ALL SELECT s_suppkey, 1, '/og.jpg', '', 'again' FROM supplier
+UNION ALL SELECT s_suppkey, 2, CASE WHEN s_suppkey % 3 = 0 THEN 'logo.png' ELSE 'data:image/gif;base64,R0' END, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '../profile/f.webp' END, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'a "b" c' END FROM supplier""")
+def page_attributes(s, d):
+    """Images' attributes in quotes of both kinds and bare, beside comments and ends of tags within values."""
+    return markup.extract_images(derived(s, d, _SHOWN, "supplier")).select("page_id", "ord", "src", "data_src", "alt")
 
 
 _SCORED = "SELECT s_suppkey, s_nationkey, s_name, CASE s_suppkey % 6 WHEN 0 THEN 'https://upload.wikimedia.org/a/portrait.jpg' WHEN 1 THEN 'https://x.example/logo.png' WHEN 2 THEN concat('https://x.example/itdb_giinprof/', s_name, '_600.jpg') WHEN 3 THEN '/member/a.jpg' WHEN 4 THEN 'https://x.example/file' ELSE 'https://www.jimin.jp/poster/a.webp' END AS url, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'meeting' END AS alt FROM supplier"

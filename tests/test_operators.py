@@ -358,3 +358,23 @@ def test_feed_history_keeps_the_newest_feeds(spark):
     rows = spark.createDataFrame([(1, g, v) for g, v in (("a", 1), ("b", 2), ("a", 3), ("c", 0))] + [(2, "a", 9)], "user_id long, generated_at string, viewed_at long")
     got = sorted(tuple(r) for r in ranking.feed_history(rows, 2).select("user_id", "generated_at", "viewed_at").collect())
     assert got == [(1, "a", 3), (1, "b", 2), (2, "a", 9)]
+
+
+def test_attributes_of_any_kind(spark):
+    tags = ["<img alt=\"Jean d'Arc\" src=b.jpg>", "<img alt='x src=\"no\"' SRC='a>b.png'/>", "<img data-src=x.jpg class=c>", "<img src=\"\" alt=a>", "<img src>", "<img  src = 'sp ace' src=two>"]
+    pages = spark.createDataFrame([(1, "u", "<!-- <img src=no> -->" + "".join(tags) + "<a  class='x' href=rel/p>T <b>b</b></a><a title='>' HREF=\"q\">Q</a>")], "page_id long, url string, html string")
+    got = [(r["src"], r["data_src"], r["alt"]) for r in markup.extract_images(pages).orderBy("ord").collect()]
+    assert got == [("b.jpg", "", "Jean d'Arc"), ("a>b.png", "", 'x src="no"'), ("", "x.jpg", ""), ("", "", "a"), ("", "", ""), ("sp ace", "", "")]
+    assert [(r["href"], r["text"]) for r in markup.extract_links(pages).orderBy("ord").collect()] == [("rel/p", "T b"), ("q", "Q")]
+
+
+def test_page_records_equal_grouped_lines(spark):
+    rng = random.Random(11)
+    texts = [(i, "\n".join(rng.choice(["N one", "N two", "・ role a", "role b", "(s)", "junk", "END", "", "  "]) for _ in range(rng.randint(0, 14)))) for i in range(120)] + [(500, None)]
+    pages = spark.createDataFrame(texts, "page_id long, text string")
+    tests = [lambda x: x.startswith("N"), lambda x: x == "(s)", lambda x: x == "junk", lambda x: x == "END"]
+    for k in range(1, 5):
+        ours = markup.page_records(pages, *tests[:k])
+        theirs = markup.group_lines(markup.text_lines(pages), *(t(F.col("line")) for t in tests[:k]))
+        key = lambda r: (r["page_id"], r["record"], r["name"], tuple(r["roles"]), r["suffix"])
+        assert sorted(map(str, map(key, ours.collect()))) == sorted(map(str, map(key, theirs.collect())))
