@@ -17,8 +17,6 @@ from .common import judged, stored
 
 #: Errors allowed, as a share of the item's normalised characters.
 ERROR_RATE = 0.05
-#: Items of fewer normalised characters allow no error and must stand between word boundaries.
-EXACT_CHARS = 24
 #: Characters of items searched in one pass; more items take more passes.
 PASS_CHARS = 4_000_000
 
@@ -62,13 +60,12 @@ def letter_masks(pattern: str) -> dict[str, int]:
 
 
 class Finder:
-    """Finds items in texts."""
+    """Finds items in texts, of any length by one rule: with the spaces around them, and the errors that their length allows."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items, self.tree, at = [], ahocorasick.Automaton(), {}
         for item_id, text in items:
-            budget = int(rate * len(text)) if len(text) >= EXACT_CHARS else 0
-            number = len(self.items)
+            budget, text, number = int(rate * len(text)), f" {text} ", len(self.items)
             self.items.append((item_id, text, budget, letter_masks(text)))
             for i in range(budget + 1):
                 a, b = i * len(text) // (budget + 1), (i + 1) * len(text) // (budget + 1)
@@ -82,16 +79,16 @@ class Finder:
         text = normalised(text)
         if not text or not self.items:
             return []
+        text = f" {text} "
         windows: dict[int, list[list[int]]] = {}
         out: dict[int, int] = {}
         for end, (length, places) in self.tree.iter(text):
             for number, offset in places:
                 item_id, item, budget, _ = self.items[number]
-                size = len(item)
-                if size < EXACT_CHARS:
-                    if (end == size - 1 or text[end - size] == " ") and text[end + 1 : end + 2] in ("", " "):
-                        out[item_id] = 0
+                if not budget:  # its one piece is all of it
+                    out[item_id] = 0
                     continue
+                size = len(item)
                 start = end + 1 - length - offset
                 a, b = max(0, start - budget), start + size + budget
                 found = windows.setdefault(number, [])
@@ -123,8 +120,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_c
     """Pairs of document and test item: ``doc_id`` long, ``item_id`` long, ``errors`` long (least edit distance).
 
     Texts and items are compared in normalised form (see ``normalised``), whole texts always. An item is found where a
-    passage has at most ``rate`` of the item's length in errors; an item under ``EXACT_CHARS`` where it stands as whole
-    words. Null or empty texts and items (also of mere marks) match nothing; items without id are skipped; a null doc_id comes back null.
+    passage has at most ``rate`` of the item's length in errors, rounded down; the spaces before and after it count as part
+    of it, so an item too short for an error stands as whole words. Null or empty texts and items (also of mere marks) match nothing; items without id are skipped; a null doc_id comes back null.
     Repeated rows give one pair, with the least errors. Empty tables give no rows. Other columns aren't read.
     """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
