@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, stored
 
-#: A line on more than this share of its host's pages is boilerplate (pages of one text count once) ...
-RATIO = 0.005
-#: ... if so many pages hold it at least; on smaller hosts nothing is "most pages".
-LEAST_PAGES = 5
+#: A line that surely stands on more than this share of its host's pages is boilerplate ...
+RATIO = 0.01
+#: ... where "surely" takes so many standard errors from the number of its pages (95 % sure): on a small host a share of a
+#: few pages says little, on a large one the ratio itself decides.
+SURE = 1.645
 #: Parts that a hot host is dealt to, where the lists of boilerplate are too large to broadcast.
 SALTS = 64
 
@@ -24,34 +25,31 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(trimmed).alias("a"), F.xxhash64(F.lit("line"), trimmed).alias("b"))
 
 
-def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO) -> DataFrame:
     """Per host the keys of its boilerplate lines: ``host``, ``listed`` array.
 
-    Pages of one text count once, so that a text's copies aren't its boilerplate. A first pass counts all pages of each
-    line, which can only be more; for the few lines that reach the ratio so, a second one counts distinct texts. A
-    host has at most (mean lines a page) / ratio of them, whatever its size, so the arrays are bounded. Counting
-    aggregates within each task before the shuffle, so a hot host or line costs a row a task.
+    A line's pages over its host's pages is its share, whose lower bound must be over ``ratio``. A host has at most (mean
+    lines a page) / ratio of them, whatever its size, so the arrays are bounded. Counting aggregates within each task
+    before the shuffle, so a hot host or line costs a row a task.
     """
-    page = pages.select(F.coalesce(pages[host_col].cast("string"), F.lit("")).alias("host"), F.xxhash64(pages[text_col]).alias("page"), pages[text_col].alias("text"))
-    split = page.select("host", "page", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))).alias("line"))
-    lines = split.filter("line <> ''").select("host", "page", _key(F.col("line")).alias("key"))
-    totals = page.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
-    counted = lines.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    often = stored(counted.join(totals, "host").filter(F.col("n") > ratio * F.col("total")).select("host", "key", "total"), "often")
-    near = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
-    texts = lines.join(near, ["host", "key"]).groupBy("host", "key", "total").agg(F.countDistinct("page").alias("n"))
-    return texts.filter((F.col("n") >= least_pages) & (F.col("n") > ratio * F.col("total"))).groupBy("host").agg(F.collect_list("key").alias("listed"))
+    page = pages.select(F.coalesce(pages[host_col].cast("string"), F.lit("")).alias("host"), pages[text_col].alias("text"))
+    split = page.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))).alias("line")).filter("line <> ''")
+    counted = split.groupBy("host", _key(F.col("line")).alias("key")).agg(F.count("*").alias("n"))
+    totals = page.groupBy("host").agg(F.count("*").alias("total"))
+    often = counted.join(totals, "host").filter(F.col("n") - SURE * F.sqrt("n") > ratio * F.col("total"))
+    return often.groupBy("host").agg(F.collect_list("key").alias("listed"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, counts: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text_col``; with ``counts`` also ``n_lines`` and ``n_dropped``.
 
     Lines end at ``\\n`` and are compared without outer spaces; a line counts once a page; blank lines are neither
-    counted nor dropped. Rows are pages, counted once a text and host. A null host is the host ``""``. A null text stays
-    null (no lines); a text that loses all its lines becomes empty; a text without boilerplate stays as it is. An
+    counted nor dropped. Rows are pages. A null host is the host ``""``. A null text stays null (no lines). A text that
+    would lose all its lines keeps them: it is one of many copies of a page, which isn't boilerplate, and nothing of it
+    would be left for near-dedup to tell. A text without boilerplate stays as it is. An
     empty table stays empty. All columns of ``docs`` come back; ``counts`` columns replace columns of these names.
     """
-    listed = stored(boilerplate(docs, host_col, text_col, ratio, least_pages).withColumnsRenamed({"host": "__host", "listed": "__listed"}), "boilerplate")
+    listed = stored(boilerplate(docs, host_col, text_col, ratio).withColumnsRenamed({"host": "__host", "listed": "__listed"}), "boilerplate")
     host = F.coalesce(docs[host_col].cast("string"), F.lit(""))
     size = listed.agg(F.coalesce(F.sum(F.size("__listed") + 1), F.lit(0))).first()[0]
     if size <= BROADCAST_ROWS:
@@ -62,7 +60,9 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
         joined = docs.withColumns({"__at": host, "__salt": part}).join(salted, (F.col("__at") == F.col("__host")) & (F.col("__salt") == F.col("__part")), "left")
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__listed"), _key(x)))
+    some = lambda x: F.exists(x, lambda y: F.trim(y) != "")
     marked = joined.withColumn("__kept", F.when(F.col("__listed").isNotNull(), kept))
+    marked = marked.withColumn("__kept", F.when(some("__kept"), F.col("__kept")).when(F.col("__kept").isNotNull(), lines))
     full = lambda x: F.coalesce(F.size(F.filter(x, lambda y: F.trim(y) != "")), F.lit(0)).cast("long")
     text = F.when(F.size("__kept") < F.size(lines), F.array_join("__kept", "\n")).otherwise(F.col(text_col))
     names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
@@ -74,11 +74,12 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
 
 #: DuckDB's words for the text that remains of the table ``{docs}``; for the default columns and parameters.
 SQL = """
-pages_of AS (SELECT DISTINCT coalesce(source, '') AS source_of, text FROM {docs}),
+pages_of AS (SELECT coalesce(source, '') AS source_of, text FROM {docs}),
 lined AS (SELECT source_of, line FROM (SELECT source_of, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS line FROM pages_of) WHERE line <> ''),
 totals AS (SELECT source_of, count(*) AS total FROM pages_of GROUP BY 1),
-often AS (SELECT source_of, line FROM lined JOIN totals USING (source_of) GROUP BY source_of, line HAVING count(*) >= 5 AND count(*) > 0.005 * any_value(total)),
+often AS (SELECT source_of, line FROM lined JOIN totals USING (source_of) GROUP BY source_of, line HAVING count(*) - 1.645::DOUBLE * sqrt(count(*)) > 0.01::DOUBLE * any_value(total)),
 listed AS (SELECT source_of, list(line) AS gone FROM often GROUP BY 1),
 split AS (SELECT d.*, string_split(text, chr(10)) AS lines, gone FROM {docs} d LEFT JOIN listed ON source_of = coalesce(source, '')),
-kept AS (SELECT *, list_filter(lines, lambda x: trim(x) = '' OR gone IS NULL OR NOT list_contains(gone, trim(x))) AS kept_lines FROM split)
+sifted AS (SELECT *, list_filter(lines, lambda x: trim(x) = '' OR gone IS NULL OR NOT list_contains(gone, trim(x))) AS sifted_lines FROM split),
+kept AS (SELECT * EXCLUDE (sifted_lines), CASE WHEN len(list_filter(sifted_lines, lambda x: trim(x) <> '')) > 0 THEN sifted_lines ELSE lines END AS kept_lines FROM sifted)
 """
