@@ -196,9 +196,23 @@ def next_items(people: DataFrame, states: DataFrame, asked: DataFrame, recent: D
     return ranked_.groupBy("user_id").agg(F.min_by(F.struct("id", "bucket"), "_rank").alias("p")).select("user_id", "p.id", "p.bucket")
 
 
-def next_in_cycle(cycles: DataFrame, asked: DataFrame, people: DataFrame) -> DataFrame:
-    """``user_id``, ``id``: next item of a saved order from the cursor on that is still in the roster and not asked."""
+def live_cycles(cycles: DataFrame, people: DataFrame) -> DataFrame:
+    """``user_id``, ``order``, ``cursor`` of saved cycles: people who have left the roster go, the cursor lies within the rest.
+
+    A cycle of which nobody is left goes.
+    """
     spread = cycles.select("user_id", F.col("cursor").alias("_cursor"), F.posexplode("order").alias("_pos", "id")).join(people.select("id").distinct(), "id", "left_semi")
-    w = Window.partitionBy("user_id").orderBy("_pos")
-    live = spread.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") >= F.greatest(F.col("_cursor"), F.lit(0)))
-    return live.join(asked.select("user_id", "id").distinct(), ["user_id", "id"], "left_anti").groupBy("user_id").agg(F.min_by("id", "pos").alias("id"))
+    kept = spread.groupBy("user_id", "_cursor").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "id"))), lambda x: x["id"]).alias("order"))
+    return kept.select("user_id", "order", F.least(F.greatest(F.col("_cursor"), F.lit(0)), F.size("order")).cast("int").alias("cursor"))
+
+
+def next_in_cycle(cycles: DataFrame, asked: DataFrame, people: DataFrame) -> DataFrame:
+    """``user_id``, ``id``, ``cursor``, ``next_cursor``: each cycle's next item, and the cursor to save once it is graded.
+
+    The item is the first from the cursor on that isn't asked, null if there is none; grading moves the cursor on by one,
+    to the end at most. Cycles are those of ``live_cycles``.
+    """
+    live = live_cycles(cycles, people)
+    ahead = live.select("user_id", "cursor", F.posexplode("order").alias("_pos", "id")).filter(F.col("_pos") >= F.col("cursor"))
+    found = ahead.join(asked.select("user_id", "id").distinct(), ["user_id", "id"], "left_anti").groupBy("user_id").agg(F.min_by("id", "_pos").alias("id"))
+    return live.join(found, "user_id", "left").select("user_id", "id", "cursor", F.when(F.col("id").isNotNull(), F.least(F.col("cursor") + 1, F.size("order"))).otherwise(F.col("cursor")).cast("int").alias("next_cursor"))

@@ -67,7 +67,10 @@ def change_feed(s, d):
 
 @query("snapshot_diff", _DIFF + "SELECT target, key, type, CASE WHEN type = 'changed' THEN array_to_string(fields, ',') END AS fields FROM items")
 def snapshot_diff(s, d):
-    return _changes(s, d).select("target", "key", "type", F.when(F.col("type") == "changed", F.array_join("fields", ",")).alias("fields"))
+    """The difference of two snapshots that were published in buckets of their keys: no shuffle is left."""
+    path = new_path(s, "buckets")
+    sides = [files.bucketed_snapshot(df, f"kairan_{n}_{path[-32:]}", f"{path}/{n}") for n, df in (("prev", prev(s, d)), ("curr", curr(s, d)))]
+    return diff.diff_snapshots(*sides).select("target", "key", "type", F.when(F.col("type") == "changed", F.array_join("fields", ",")).alias("fields"))
 
 
 @query("change_counts", _DIFF + "SELECT target, count(*) FILTER (type = 'added') AS added, count(*) FILTER (type = 'removed') AS removed, count(*) FILTER (type = 'changed') AS changed, count(*) AS total FROM items GROUP BY target")
@@ -282,6 +285,32 @@ def roster_violations(s, d):
     return quality.validate(rows, 1, 5, ["name", "image"], [["id"], ["g", "party"]], {"party": "P0"})
 
 
+_ITEMS = """SELECT c_custkey AS ord, concat('{"id":', CASE c_custkey % 11 WHEN 0 THEN '"x"' WHEN 1 THEN '"12"' WHEN 2 THEN '{}' ELSE cast(c_custkey % 1000 AS string) END,
+CASE WHEN c_custkey % 7 = 0 THEN ',"name":" "' WHEN c_custkey % 7 = 1 THEN '' ELSE concat(',"name":"', c_name, '"') END,
+CASE c_custkey % 5 WHEN 0 THEN ',"group":3' WHEN 1 THEN ',"group":null' ELSE '' END,
+CASE c_custkey % 3 WHEN 0 THEN ',"nextElectionYear":"soon"' WHEN 1 THEN ',"nextElectionYear":"2028"' ELSE '' END,
+CASE c_custkey % 13 WHEN 0 THEN '' WHEN 1 THEN ',"images":"a.jpg"' WHEN 2 THEN ',"images":["a",1]' WHEN 3 THEN ',"images":[null]' WHEN 4 THEN ',"images":[]' ELSE ',"images":["a","b"]' END, '}') AS j FROM customer"""
+
+
+@query("roster_shapes", f"""WITH i AS (SELECT ord, ord % 11 AS e, ord % 7 AS v, ord % 13 AS g FROM ({_ITEMS})), k AS (SELECT ord, CASE WHEN e IN (0, 2) THEN NULL WHEN e = 1 THEN 12 ELSE ord % 1000 END AS id FROM i)
+SELECT ord, 'shape_id' AS rule FROM i WHERE e IN (0, 2) UNION ALL SELECT ord, 'shape_name' FROM i WHERE v IN (0, 1) UNION ALL SELECT ord, 'shape_group' FROM i WHERE ord % 5 = 0 UNION ALL SELECT ord, 'shape_nextElectionYear' FROM i WHERE ord % 3 = 0 UNION ALL SELECT ord, 'shape_images' FROM i WHERE g < 4
+UNION ALL SELECT ord, 'repeated' FROM (SELECT ord, row_number() OVER (PARTITION BY id ORDER BY ord) AS n FROM k WHERE id IS NOT NULL) WHERE n > 1""")
+def roster_shapes(s, d):
+    """Rows of a roster whose fields aren't what they must be, and which rule they break."""
+    rows = derived(s, d, _ITEMS, "customer").select("ord", F.parse_json("j").alias("v")).withColumn("id", F.try_variant_get("v", "$.id", "double"))
+    shape = {"id": "finite", "name": "name", "group": "text?", "nextElectionYear": "finite?", "images": "texts"}
+    return quality.shape_violations(rows, shape, unique="id").select("ord", "rule")
+
+
+@query("gated_merge", f"""WITH n AS (SELECT name, role AS sub_role, ord FROM ({CURR}) WHERE target = 'senators'), o AS (SELECT name, party AS sub_role, ord FROM ({PREV}) WHERE target = 'senators')
+SELECT coalesce(n.name, o.name) AS name, coalesce(n.sub_role, o.sub_role) AS sub_role, CASE WHEN n.name IS NULL THEN 'seed' ELSE 'live' END AS source_mode FROM n FULL OUTER JOIN (SELECT name, arg_min(sub_role, ord) AS sub_role FROM o GROUP BY name) o ON n.name = o.name""")
+def gated_merge(s, d):
+    """Valid new rows, merged with the old ones."""
+    shaped = lambda df, role: df.filter("target = 'senators'").select("name", F.col(role).alias("sub_role"), F.lit("衆議院").alias("chamber"), "ord")
+    merge = lambda new, old: roster.merge_keep(new, old, ["name"])
+    return quality.gated_publish(shaped(curr(s, d), "role"), shaped(prev(s, d), "party"), 5, merge).select("name", "sub_role", "source_mode")
+
+
 @query("set_validity", f"SELECT false AS ok, concat('too-many-duplicates:', cast(count(*) - count(DISTINCT party) AS string)) AS reason FROM ({CURR}) WHERE target = 'senators'")
 def set_validity(s, d):
     rows = curr(s, d).filter("target = 'senators'").select(F.col("party").alias("name"), F.col("role").alias("sub_role"), F.lit("衆議院").alias("chamber"))
@@ -457,9 +486,10 @@ def roster_order(s, d):
     return out
 
 
-@query("review_order", f"SELECT name, 16 AS image_score, row_number() OVER (ORDER BY name) AS place FROM ({ASSETS}) WHERE image LIKE '%wikimedia%'")
+@query("review_order", f"""WITH a AS (SELECT name, CAST(CASE WHEN image = '' THEN 150 WHEN image LIKE '%wikimedia%' THEN 16 WHEN image LIKE '%sangiin%' THEN -10 WHEN image LIKE '%noimage%' THEN 50 ELSE 0 END AS INTEGER) AS image_score FROM ({ASSETS}))
+SELECT name, image_score, row_number() OVER (ORDER BY image_score DESC, name) AS place FROM a""")
 def review_order(s, d):
-    rows = asset_rows(s, d).filter("image like '%wikimedia%'").select("name", urls.score_asset(F.col("image")).alias("image_score"))
+    rows = asset_rows(s, d).select("name", urls.score_asset(F.col("image")).alias("image_score"))
     return ranking.ranked(rows, [], ranking.review_order(), "place")
 
 
@@ -705,12 +735,21 @@ def next_items(s, d):
     return learning.next_items(_learners(s, d), _states(s, d), asked, g.filter("id % 10 = 0").select("id"), _now())
 
 
-@query("cycle_positions", f"""WITH g AS ({GRADES_DUCK}), u AS (SELECT DISTINCT user_id FROM g), o AS (SELECT user_id, unnest(range(0, 100)) AS pos FROM u), l AS (SELECT user_id, pos AS id, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS spot FROM o WHERE pos IN (SELECT id FROM g))
-SELECT user_id, min(id) AS id FROM l WHERE spot >= 5 AND NOT EXISTS (SELECT 1 FROM g WHERE g.user_id = l.user_id AND g.id = l.id AND g.seq % 2 = 0) GROUP BY user_id""")
+@query("cycle_positions", f"""WITH g AS ({GRADES_DUCK}), u AS (SELECT DISTINCT user_id FROM g), i AS (SELECT DISTINCT id FROM g WHERE id % 4 <> 3),
+o AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY (id * 37 + user_id * 11) % 101, id) - 1 AS pos, user_id % 150 - 20 AS cur FROM u, (SELECT DISTINCT id FROM g)),
+l AS (SELECT o.*, row_number() OVER (PARTITION BY user_id ORDER BY pos) - 1 AS spot, count(*) OVER (PARTITION BY user_id) AS size FROM o JOIN i USING (id)),
+c AS (SELECT *, least(greatest(cur, 0), size) AS cursor FROM l),
+f AS (SELECT user_id, arg_min(id, spot) AS id FROM c WHERE spot >= cursor AND NOT EXISTS (SELECT 1 FROM g WHERE g.user_id = c.user_id AND g.id = c.id AND g.seq % 2 = 0) GROUP BY user_id)
+SELECT user_id, f.id, CAST(cursor AS INTEGER) AS cursor, CAST(CASE WHEN f.id IS NULL THEN cursor ELSE least(cursor + 1, size) END AS INTEGER) AS next_cursor FROM (SELECT DISTINCT user_id, cursor, size FROM c) LEFT JOIN f USING (user_id)""")
 def cycle_positions(s, d):
+    """Each learner's place in a shuffled order of all items, of which a quarter has left the roster since."""
     g = grades(s, d)
-    cycles = g.select("user_id").distinct().select("user_id", F.lit(5).alias("cursor"), F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long")).alias("order"))
-    return learning.next_in_cycle(cycles, g.filter("seq % 2 = 0").select("user_id", "id"), _learners(s, d))
+    items = g.select("id").distinct()
+    listed = items.agg(F.collect_set("id").alias("ids"))
+    users = g.select("user_id").distinct().crossJoin(F.broadcast(listed))  # one row
+    by = F.array_sort(F.transform("ids", lambda i: F.struct(((i * 37 + F.col("user_id") * 11) % 101).alias("at"), i.alias("id"))))
+    cycles = users.select("user_id", (F.col("user_id") % 150 - 20).cast("int").alias("cursor"), F.transform(by, lambda x: x["id"]).alias("order"))
+    return learning.next_in_cycle(cycles, g.filter("seq % 2 = 0").select("user_id", "id"), items.filter("id % 4 <> 3"))
 
 
 @query("state_backup", "SELECT user_id, concat('app:', event_type) AS key, CAST(max(event_id) AS VARCHAR) AS value FROM events GROUP BY ALL")
@@ -767,17 +806,29 @@ def keyed_sources(s, d):
     return files.read_keyed_json(s, f"{path}/*/*/*.txt", "struct<n:long>").select("key", "value.n")
 
 
-@query("published_snapshot", f"SELECT ord, name, party, image, image_status, CASE WHEN image = '' THEN 'missing' ELSE 'with_image' END AS counted FROM ({ASSETS})")
+@query("published_snapshot", f"""SELECT ord, name, party, image, image_status, CASE WHEN image = '' THEN 'missing' ELSE 'with_image' END AS counted, 'previous' AS which FROM ({ASSETS})
+UNION ALL SELECT ord, name, 'later', image, image_status, CASE WHEN image = '' THEN 'missing' ELSE 'with_image' END, 'current' FROM ({ASSETS}) WHERE ord % 3 <> 0""")
 def published_snapshot(s, d):
-    """The rows that the published snapshot holds, if its own counts agree with them."""
+    """Rows of the current and the previous snapshot after two were published and a third has failed on the way."""
     path, rows = new_path(s, "snapshots"), asset_rows(s, d)
-    said = files.publish_snapshot(rows, path, "1").first()
-    back = s.read.schema(rows.schema).json(f"{path}/snapshot=1")
-    counted = F.when(F.trim("image") == "", "missing").otherwise("with_image")
-    held = {r["counted"]: r["count"] for r in back.groupBy(counted.alias("counted")).count().collect()}
-    if (said["total"], said["with_image"], said["missing"]) != (sum(held.values()), held.get("with_image", 0), held.get("missing", 0)):
-        raise ValueError(f"the snapshot's counts {said} aren't those of its rows {held}")
-    return back.select("ord", "name", "party", "image", "image_status", counted.alias("counted"))
+    later = rows.filter("ord % 3 <> 0").withColumn("party", F.lit("later"))
+    said = {}
+    for name, df in (("previous", rows), ("current", later)):
+        said[name] = files.publish_snapshot(df, path, name).first()
+    try:
+        files.publish_snapshot(rows.withColumn("name", F.when(F.col("ord") >= 0, F.raise_error(F.lit("broken"))).otherwise("")), path, "broken")
+    except Exception as e:
+        if "broken" not in str(e):
+            raise
+    counted, out = F.when(F.trim("image") == "", "missing").otherwise("with_image"), None
+    for which, counts in said.items():
+        back = files.read_snapshot(s, path, rows.schema, which)
+        held = {r["counted"]: r["count"] for r in back.groupBy(counted.alias("counted")).count().collect()}
+        if tuple(counts) != (sum(held.values()), held.get("with_image", 0), held.get("missing", 0)):
+            raise ValueError(f"the snapshot's counts {counts} aren't those of its rows {held}")
+        one = back.select("ord", "name", "party", "image", "image_status", counted.alias("counted"), F.lit(which).alias("which"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _PAGES = """SELECT s_suppkey AS page_id, concat('https://s.example/', cast(s_nationkey AS string), '/') AS url, concat('<table><tr><th>name</th><th>n</th></tr><tr><td>', s_name, '<table><tr><td>x</td></tr></table></td><td>', cast(s_nationkey AS string), '</td></tr><tr><td>short</td></tr></table><img class="i" src="', CASE WHEN s_suppkey % 3 = 0 THEN 'noimage.png' ELSE concat('p', cast(s_suppkey AS string), '.jpg') END, '" srcset="a.jpg 1x, b', cast(s_suppkey AS string), '.jpg 2x" alt="', s_name, '">') AS html FROM supplier"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,15 +59,68 @@ def write_review_csv(df: DataFrame, path: str, columns: tuple[str, ...] = REVIEW
     review_csv_rows(df, columns).write.mode("overwrite").options(header=True, quoteAll=True, escape='"', emptyValue="").csv(path)
 
 
+#: The file beside a base's snapshots that names the current one and the one before it.
+CURRENT = "CURRENT.json"
+
+
+def _marked(spark: SparkSession, base: str) -> dict[str, str | None]:
+    """What the base's commit file says; nothing where there is none."""
+    jvm, where = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{CURRENT}")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return {"current": None, "previous": None}
+    stream = fs.open(where)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _mark(spark: SparkSession, base: str, content: dict[str, str | None]) -> None:
+    """Write the commit file beside and put it in place by one rename, so that readers see the old or the new one."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    made, where = path(f"{base.rstrip('/')}/.{CURRENT}.{uuid.uuid4().hex}"), path(f"{base.rstrip('/')}/{CURRENT}")
+    stream = made.getFileSystem(conf).create(made, True)
+    try:
+        stream.write(bytearray(json.dumps(content).encode()))
+    finally:
+        stream.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf).rename(made, where, options)
+
+
 def publish_snapshot(df: DataFrame, base: str, snapshot_id: str) -> DataFrame:
-    """Write a new snapshot folder under ``base`` (earlier ones stay as backups); one row: total, with_image, missing."""
-    path = f"{base.rstrip('/')}/snapshot={snapshot_id}"
+    """Write a new snapshot folder under ``base`` and make it the current one; one row: total, with_image, missing.
+
+    Earlier folders stay as backups. Only once all rows are written does the base's commit file name the new folder and,
+    as previous, the one that was current; if writing fails, the old one stays current.
+    """
+    spark, path = df.sparkSession, f"{base.rstrip('/')}/snapshot={snapshot_id}"
     df.write.mode("errorifexists").json(path)
-    back = df.sparkSession.read.schema(df.schema).json(path)
+    before = _marked(spark, base)["current"]
+    _mark(spark, base, {"current": snapshot_id, "previous": before})
+    back = spark.read.schema(df.schema).json(path)
     has = F.coalesce(trimmed(F.col("image")) != "", F.lit(False))
     return back.agg(F.count("*").alias("total"), F.count_if(has).alias("with_image"), F.count_if(~has).alias("missing"))
 
 
+def read_snapshot(spark: SparkSession, base: str, schema, which: str = "current") -> DataFrame:
+    """The rows of a base's ``current`` or ``previous`` snapshot; no rows where there is none."""
+    name = _marked(spark, base)[which]
+    if name is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{base.rstrip('/')}/snapshot={name}")
+
+
+def bucketed_snapshot(df: DataFrame, name: str, path: str, keys: tuple[str, ...] = ("target", "key"), buckets: int = 16) -> DataFrame:
+    """``df`` as a table in buckets by ``keys``; snapshots with as many buckets are compared without a shuffle."""
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def build_feed(items: DataFrame, summaries: DataFrame, generated_at: str, notices: DataFrame | None = None) -> DataFrame:
     """One row: generatedAt, totalChanges (of ``items``), hasUpdates, summaries, items in order of ``ord``; notices first."""
     fields = [c for c in items.columns if c != "ord"]

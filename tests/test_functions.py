@@ -110,3 +110,28 @@ def test_aliases_of_names(spark):
         assert kanji == sorted(kanji, reverse=True)
     first = {n: g for n, (g,) in zip(names, values(spark, names, text.name_aliases(F.col("x"))), strict=True)}
     assert {"安倍晋三", "安倍", "晋三"} <= set(first["安倍・晋三"]) and first["山田 太郎（やまだ たろう）"][0] == "山田太郎" and not first[""] and not first["A"]
+
+
+def test_aliases_equal_a_plain_version(spark):
+    import re
+
+    noise, blocks, space = text.NAME_NOISE, text._BLOCKS, text._SPACES.pattern[1:-2]
+    plain = lambda x: re.sub(f"[{space}]+", " ", x).strip(" ")
+
+    def aliases(name):
+        base = plain(unicodedata.normalize("NFKC", name or ""))
+        for pattern, to in ((rf"^[0-9]+[{space}]*区", " "), (rf"^比例(?:{blocks})ブロック", " "), (rf"^(?:{blocks})比例", " "), ("^[区比]", " "), ("氏|さん|君$", ""), (r"（[^）]*）|\([^)]*\)|【[^】]*】|\[[^\]]*\]", " "), (noise, " ")):
+            base = re.sub(pattern, to, base)
+        base = plain(base)
+        chars = text._NAME_CHARS
+        parts = [base, re.sub("[ぁ-んァ-ヶヴー]{2,}", " ", base), *re.split(rf"[{space}/｜|・]+", base), *re.findall(f"[{chars}]{{2,20}}", base)]
+        wide = str.maketrans({i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F)} | {0x3000: 32})
+        parts = [re.sub(rf"[{space}・･\-－ー―‐()（）【】\[\]「」『』]", "", p.translate(wide)) for p in parts]
+        kept = list(dict.fromkeys(p for p in parts if 2 <= len(p) <= 20 and re.search(f"[{chars}]", p)))
+        return list(dict.fromkeys([p for p in kept if re.search("[一-龯々〆ヶ]", p)] + kept))
+
+    rng = random.Random(5)
+    signs = ["安", "倍", "晋三", "たろう", "カナ", "・", " ", "　", "（", "）", "(", ")", "君", "氏", "比例東京ブロック", "12区", "A", "/", "ー", "々"]
+    names = [None, "", *("".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(400))]
+    for n, (got,) in zip(names, values(spark, names, text.name_aliases(F.col("x"))), strict=True):
+        assert got == aliases(n), n

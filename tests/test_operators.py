@@ -378,3 +378,25 @@ def test_page_records_equal_grouped_lines(spark):
         theirs = markup.group_lines(markup.text_lines(pages), *(t(F.col("line")) for t in tests[:k]))
         key = lambda r: (r["page_id"], r["record"], r["name"], tuple(r["roles"]), r["suffix"])
         assert sorted(map(str, map(key, ours.collect()))) == sorted(map(str, map(key, theirs.collect())))
+
+
+def test_snapshots_in_buckets_meet_without_a_shuffle(spark, tmp_path):
+    rows = [spark.createDataFrame([person(i, f"n{i % k}") for i in range(40)], PERSON) for k in (40, 39)]
+    sides = [files.bucketed_snapshot(df, f"side{i}", str(tmp_path / f"b{i}"), buckets=4) for i, df in enumerate(rows)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        compared = diff.diff_snapshots(*sides)
+        assert "Exchange" not in compared._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, compared.collect())) == sorted(map(str, diff.diff_snapshots(*rows).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cycles_are_clamped(spark):
+    cycles = spark.createDataFrame([(1, -3, [5, 6, 7]), (2, 9, [5, 6]), (3, 1, [8]), (4, 1, [9, 5, 6, 7])], "user_id long, cursor int, order array<long>")
+    people, asked = spark.createDataFrame([(5,), (6,), (7,)], "id long"), spark.createDataFrame([(1, 5), (4, 6)], "user_id long, id long")
+    assert sorted(map(tuple, learning.next_in_cycle(cycles, asked, people).collect())) == [(1, 6, 0, 1), (2, None, 2, 2), (4, 7, 1, 2)]
+
+
+def test_no_snapshot_is_no_rows(spark, tmp_path):
+    assert files.read_snapshot(spark, str(tmp_path), PERSON).count() == 0
