@@ -20,7 +20,8 @@ VARIANT_PAIRS = (("髙", "高"), ("﨑", "崎"), ("邊", "辺"), ("邉", "辺"),
 
 # Words that are no part of a name.
 NAME_NOISE = "衆院選|衆議院|開票結果|候補者|プロフィール|読売新聞|オンライン|選挙区|比例|当選|年齢|党派|経歴|学歴|出身地|自民党|公明党|立憲民主党|日本維新の会|国民民主党|参政党|日本共産党"
-_BLOCKS = "北海道|東北|北関東|南関東|東京|北陸信越|東海|近畿|中国|四国|九州"
+# The blocks of proportional representation.
+BLOCKS = "北海道|東北|北関東|南関東|東京|北陸信越|東海|近畿|中国|四国|九州"
 
 # Prefectures from north to south.
 REGION_ORDER = ("北海道", "青森", "岩手", "宮城", "秋田", "山形", "福島", "茨城", "栃木", "群馬", "埼玉", "千葉", "東京", "神奈川", "新潟", "富山", "石川", "福井", "山梨", "長野", "岐阜", "静岡", "愛知", "三重", "滋賀", "京都", "大阪", "兵庫", "奈良", "和歌山", "鳥取", "島根", "岡山", "広島", "山口", "徳島", "香川", "愛媛", "高知", "福岡", "佐賀", "長崎", "熊本", "大分", "宮崎", "鹿児島", "沖縄")
@@ -116,9 +117,21 @@ def variant_key(col: Column, pairs: Sequence[tuple[str, str]] = VARIANT_PAIRS) -
 _NAME_CHARS = "一-龯々〆ヶぁ-んァ-ヶヴー"
 
 
+# What is taken out around a name, in this order, and what stands there then.
+NOISE_STEPS = (
+    (rf"^[0-9]+[{SPACE}]*区", " "),
+    (rf"^比例(?:{BLOCKS})ブロック", " "),
+    (rf"^(?:{BLOCKS})比例", " "),
+    ("^[区比]", " "),
+    ("氏|さん|君$", ""),
+    (r"（[^）]*）|\([^)]*\)|【[^】]*】|\[[^\]]*\]", " "),
+    (NAME_NOISE, " "),
+)
+
+
 def strip_name_noise(col: Column) -> Column:
     base = squeezed(nfkc(text(col)))
-    for pattern, to in ((rf"^[0-9]+[{SPACE}]*区", " "), (rf"^比例(?:{_BLOCKS})ブロック", " "), (rf"^(?:{_BLOCKS})比例", " "), ("^[区比]", " "), ("氏|さん|君$", ""), (r"（[^）]*）|\([^)]*\)|【[^】]*】|\[[^\]]*\]", " "), (NAME_NOISE, " ")):
+    for pattern, to in NOISE_STEPS:
         base = F.regexp_replace(base, pattern, to)
     return squeezed(base)
 

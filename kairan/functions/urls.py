@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import rules
 from .text import SPACE, compact_name, squeezed, text, trimmed
 
-# Patterns of placeholder assets, and weights of asset patterns.
+# Patterns of placeholder assets, weights of asset patterns, and patterns of blocked assets with their reasons.
 BAD_ASSET = "noimage|no-image|placeholder|default|dummy|blank|icon|silhouette|avatar|sample|comingsoon|nowprinting|notfound"
 ASSET_WEIGHTS = ((r"o-ishin\.jp/member/images/member/", -20), (r"shugiin|sangiin|kantei|go\.jp", -10), (r"wikipedia|wikimedia", 8), (r"thumb|thumbnail|small|icon|crop", 8))
 BLOCK_REASONS = (("logo", "logo"), ("poster|leaflet|flyer|manifesto|senkyo", "poster"), ("group|集合|allmember|members", "group-photo"), ("text|policy|profile_pdf|pdf", "text-heavy"))

@@ -776,7 +776,7 @@ def _json_lines(s, d):
 def _roster_files(s, d):
     path = new_path(s, "rosters")
     _json_lines(s, d).repartition("c_nationkey", "block").write.partitionBy("c_nationkey", "block").text(path)
-    return files.read_roster(s, f"{path}/*/*/*.txt", "senators")
+    return files.read_roster(s, f"{path}/*/*/*.txt", "senators", range_bytes=1 << 14)
 
 
 @query("roster_files", "SELECT c_name AS name, CASE WHEN c_custkey > 0 THEN c_custkey ELSE 3 END AS id, c_mktsegment AS party, concat('i', c_custkey) AS image FROM customer")
@@ -803,7 +803,7 @@ def keyed_sources(s, d):
     pair = F.concat(F.lit('"'), F.when(F.col("s_suppkey") % 5 == 0, "_").otherwise(""), "s_name", F.lit('": {"n": '), F.col("s_nationkey").cast("string"), F.lit("}"))
     blocks = read(s, d, "supplier").groupBy("s_nationkey", F.floor(F.col("s_suppkey") / FILE_ROWS).alias("block"))
     blocks.agg(F.concat(F.lit("{"), F.array_join(F.collect_list(pair), ", "), F.lit("}")).alias("value")).repartition("s_nationkey", "block").write.partitionBy("s_nationkey", "block").text(path)
-    return files.read_keyed_json(s, f"{path}/*/*/*.txt", "struct<n:long>").select("key", "value.n")
+    return files.read_keyed_json(s, f"{path}/*/*/*.txt", "struct<n:long>", range_bytes=256).select("key", "value.n")
 
 
 @query("published_snapshot", f"""SELECT ord, name, party, image, image_status, CASE WHEN image = '' THEN 'missing' ELSE 'with_image' END AS counted, 'previous' AS which FROM ({ASSETS})

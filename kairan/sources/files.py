@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairan.functions.text import trimmed
+from kairan.sources.ranges import RANGE_BYTES, read_elements
 
 _TEXT = ("name kana nameKana kanaName group party role subRole detailRole title post position district electoralDistrict constituency chamber house image imageSource imageSourceUrl imageStatus profileUrl sourceUrl sourceMode id terms wins electedCount nextElectionYear nextElection electionYear aiGuess").split()
 #: Superset of all roster fields, read as text: one list, no inference; a field that isn't there is null.
@@ -16,16 +17,15 @@ ROSTER_FIELDS = (*_TEXT, "images", "imageCandidates")
 REVIEW_COLUMNS = ("name", "party", "status", "reason", "profileUrl", "currentImage", "imageSource", "imageSourceUrl", "preferredSourceType", "searchHints", "checkedSources", "candidatePageUrls", "notes")
 
 
-def read_roster(spark: SparkSession, path: str, target: str) -> DataFrame:
+def read_roster(spark: SparkSession, path: str, target: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Rows of JSON array files with ``target`` and ``ord`` (place in the array); unreadable content gives no rows.
 
-    Elements that aren't objects have no name and go; arrays come as JSON text. A roster file is one row until its
-    array is spread, so files are small (one roster each) and many of them are read side by side.
+    Elements that aren't objects have no name and go; arrays come as JSON text. Files are read by byte ranges (see
+    ``ranges``), so one may be of any size.
     """
-    whole = spark.read.text(path, wholetext=True)
-    items = whole.select(F.posexplode(F.from_json("value", "array<variant>")).alias("ord", "v"))
+    items = read_elements(spark, path, "[", range_bytes)
     fields = [F.try_variant_get("v", f"$.{n}", "string").alias(n) for n in ROSTER_FIELDS]
-    return items.select(*fields, F.col("ord").cast("long").alias("ord"), F.lit(target).alias("target")).filter("name is not null")
+    return items.select(*fields, "ord", F.lit(target).alias("target")).filter("name is not null")
 
 
 def images_array(images, image):
@@ -41,10 +41,10 @@ def read_asset_pool(spark: SparkSession, path: str, pattern: str = r"/([^/]+)_0\
     return lines.select(F.upper(F.regexp_extract("image", pattern, 1)).alias("id"), "image")
 
 
-def read_keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """Rows ``key``, ``value`` of a JSON object; keys that start with ``_`` are skipped."""
-    whole = spark.read.text(path, wholetext=True)
-    pairs = whole.select(F.explode(F.from_json("value", f"map<string,{value_schema}>")).alias("key", "value"))
+def read_keyed_json(spark: SparkSession, path: str, value_schema: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Rows ``key``, ``value`` of JSON objects, read by byte ranges; keys that start with ``_`` are skipped."""
+    items = read_elements(spark, path, "{", range_bytes)
+    pairs = items.select(F.explode(F.try_variant_get("v", "$", f"map<string,{value_schema}>")).alias("key", "value"))
     return pairs.filter(~F.col("key").startswith("_"))
 
 

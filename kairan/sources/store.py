@@ -9,6 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local masters without a setting, by application; the context's own settings stay as they are.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session or its context.
 
@@ -20,8 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not (made := context._jsc.sc().getCheckpointDir()).isDefined():
             if context.master != "local" and not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            made = context._jsc.sc().getCheckpointDir()
+            if context.applicationId not in _LOCAL:
+                _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+            return _LOCAL[context.applicationId]
         found = made.get()
     return found.rstrip("/")
 

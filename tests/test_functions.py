@@ -115,7 +115,7 @@ def test_aliases_of_names(spark):
 def test_aliases_equal_a_plain_version(spark):
     import re
 
-    noise, blocks, space = text.NAME_NOISE, text._BLOCKS, text._SPACES.pattern[1:-2]
+    noise, blocks, space = text.NAME_NOISE, text.BLOCKS, text._SPACES.pattern[1:-2]
     plain = lambda x: re.sub(f"[{space}]+", " ", x).strip(" ")
 
     def aliases(name):

@@ -400,3 +400,29 @@ def test_cycles_are_clamped(spark):
 
 def test_no_snapshot_is_no_rows(spark, tmp_path):
     assert files.read_snapshot(spark, str(tmp_path), PERSON).count() == 0
+
+
+def test_json_by_ranges_equals_whole_files(spark, tmp_path):
+    from kairan.sources.ranges import read_elements
+
+    rng = random.Random(12)
+    signs = ["a", "\\", '"', "[", "]", "{", "}", ",", "é", "日", " ", "\n"]
+    word = lambda: "".join(rng.choice(signs) for _ in range(rng.randint(0, 9)))
+    deep = lambda n: rng.choice([word(), rng.randint(-9, 9), None, True, [], {}, word()]) if n == 0 else rng.choice([[deep(n - 1) for _ in range(rng.randint(0, 3))], {word(): deep(n - 1) for _ in range(rng.randint(0, 3))}])
+    arrays = [[deep(rng.randint(0, 3)) for _ in range(rng.randint(0, 12))] for _ in range(12)] + [[], [1]]
+    for i, a in enumerate(arrays):
+        (tmp_path / f"a{i}.json").write_text(json.dumps(a, ensure_ascii=i % 2 == 0, indent=rng.choice([None, 1])) + rng.choice(["", "\n "]), encoding="utf-8")
+    for i, broken in enumerate(["[1, 2", "1, 2]", "[1,]", "[,1]", "[1] 2", "[1] [2]", "[1, x]", "", " ", '{"a": 1}', '["a]', "[1}]"]):
+        (tmp_path / f"b{i}.json").write_text(broken)
+    for size in (7, 1 << 20):
+        got = {}
+        for r in read_elements(spark, str(tmp_path), "[", size).select("path", "ord", F.to_json("v").alias("j")).collect():
+            got.setdefault(r["path"].rsplit("/", 1)[1], {})[r["ord"]] = json.loads(r["j"])
+        assert got == {f"a{i}.json": dict(enumerate(a)) for i, a in enumerate(arrays) if a}
+    objects = {word() + str(i): deep(2) for i in range(20)}
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "o.json").write_text(json.dumps(objects))
+    merged = {}
+    for r in read_elements(spark, str(tmp_path / "o"), "{", 11).select(F.to_json("v").alias("j")).collect():
+        merged |= json.loads(r["j"])
+    assert merged == objects
