@@ -287,7 +287,8 @@ def fit(learn: DataFrame, lexicon: Lexicon, shared) -> Network:
 
     Pieces are dealt to rounds and tasks, and ordered there, by hash of their document and place: a long document is
     spread like many short ones. What a task holds is bounded by ``TASK_WORDS`` on average, and only vectors of the
-    network's size leave it. Tasks average ``FAN`` copies each, the driver averages theirs.
+    network's size leave it. Tasks average ``FAN`` copies each, again and again until there are no more than that, and the
+    driver averages these.
     """
     net = Network(lexicon)
     if not lexicon.total:
@@ -345,7 +346,12 @@ def fit(learn: DataFrame, lexicon: Lexicon, shared) -> Network:
         schema = "n long, done long, vectors binary"
         # a copy is 0.8 MB on disk: no more copies than planned, even where the session deals to more partitions
         copies = cuts.filter(F.col("round") == k).repartition(tasks, "key", "piece").coalesce(tasks).sortWithinPartitions("key", "piece").select("warm", "inputs").mapInArrow(run, schema)
-        copies = copies.repartition(-(-tasks // FAN)).sortWithinPartitions("n", "vectors").mapInArrow(merge, schema)
+        left = tasks
+        while left > FAN or left == tasks:  # until the driver gets no more than ``FAN``, however many tasks there are
+            left = -(-left // FAN)
+            copies = copies.repartition(left).sortWithinPartitions("n", "vectors").mapInArrow(merge, schema)
+            if left == 1:
+                break
         found = copies.collect()
         begin.unpersist()
         if found:
