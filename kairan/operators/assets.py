@@ -157,7 +157,9 @@ def best_candidates(pages: DataFrame, names: DataFrame, page_weight: Column | in
     in order of the page.
     """
     images = collect_images(pages).join(pages.select("page_id", F.col("url").alias("page")), "page_id")
-    images = images.withColumn("url", normalize_url(F.col("src"), F.col("page"))).filter(F.col("url") != "").filter(block_reason(F.col("url")) == "")
+    # spread from an array, so that filters and scores see a column and don't repeat how it is made
+    usable = F.filter(F.array(normalize_url(F.col("src"), F.col("page"))), lambda u: (u != "") & (block_reason(u) == ""))
+    images = images.withColumn("url", F.explode(usable))
     if known_bad is not None:
         images = images.join(known_bad.select("url").distinct(), "url", "left_anti")
     once = dedup_keep(images, ["page_id", "url"], ["ord"])

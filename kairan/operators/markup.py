@@ -41,18 +41,18 @@ def extract_links(pages: DataFrame, path: str | None = None) -> DataFrame:
     """``page_id``, ``ord``, ``href``, ``text``, ``absolute`` of anchors; ``path`` keeps those whose URL matches."""
     start = rf"(?is)<a\s{_REST}"
     tags = F.regexp_extract_all(without_comments(F.col("html")), F.lit(rf"{start}.*?</a>"), F.lit(0))
-    out = pages.select("page_id", "url", F.posexplode(tags).alias("ord", "tag"))
-    href = attribute(F.col("tag"), "href")
-    shown = html_text(F.regexp_replace("tag", rf"^{start}", ""))
-    out = out.select("page_id", "ord", href.alias("href"), shown.alias("text"), normalize_url(href, F.col("url")).alias("absolute")).filter("href <> ''")
+    # read within the array, so that later expressions see columns and don't repeat the patterns
+    read = F.transform(tags, lambda tag: F.struct(attribute(tag, "href").alias("href"), html_text(F.regexp_replace(tag, rf"^{start}", "")).alias("text")))
+    out = pages.select("page_id", "url", F.posexplode(read).alias("ord", "a")).select("page_id", "ord", "a.href", "a.text", "url").filter("href <> ''")
+    out = out.select("page_id", "ord", "href", "text", normalize_url(F.col("href"), F.col("url")).alias("absolute"))
     return out.filter(F.col("absolute").rlike(path)) if path else out
 
 
 def extract_images(pages: DataFrame, path: str | None = None) -> DataFrame:
     """``page_id``, ``ord``, ``src``, ``data_src``, ``srcset``, ``alt`` of images; ``path`` keeps those whose URL matches."""
     tags = F.regexp_extract_all(without_comments(F.col("html")), F.lit(rf"(?is)<img(?=[\s/>]){_REST}"), F.lit(0))
-    out = pages.select("page_id", F.posexplode(tags).alias("ord", "tag"))
-    out = out.select("page_id", "ord", *(attribute(F.col("tag"), n).alias(n.replace("-", "_")) for n in ("src", "data-src", "srcset", "alt")))
+    read = F.transform(tags, lambda tag: F.struct(*(attribute(tag, n).alias(n.replace("-", "_")) for n in ("src", "data-src", "srcset", "alt"))))
+    out = pages.select("page_id", F.posexplode(read).alias("ord", "i")).select("page_id", "ord", "i.*")
     return out.filter(F.concat("src", F.lit(" "), "data_src").rlike(path)) if path else out
 
 
