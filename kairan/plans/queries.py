@@ -360,7 +360,8 @@ def matched_by_keys(s, d):
 
 @query("resolved_people", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'name' WHEN c_custkey % 3 = 1 AND n = 1 THEN 'kana' ELSE 'none' END AS resolved_by FROM customer LEFT JOIN (SELECT c_nationkey AS nk, cast(c_acctbal AS int) AS b, count(DISTINCT c_name) AS n FROM customer WHERE c_custkey % 3 < 2 GROUP BY ALL) ON nk = c_nationkey AND b = cast(c_acctbal AS int)")
 def resolved_people(s, d):
-    c = read(s, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("chamber"), F.concat(F.lit("k"), F.round("c_acctbal").cast("int").cast("string")).alias("kana"), F.col("c_custkey").alias("ord"))
+    """By name, else by chamber and a reading that stands for the balance, rounded as SQL casts: halves to the even number."""
+    c = read(s, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("chamber"), F.concat(F.lit("k"), F.rint("c_acctbal").cast("int").cast("string")).alias("kana"), F.col("c_custkey").alias("ord"))
     rows = c.withColumn("name", F.when(F.col("c_custkey") % 3 == 1, F.concat("name", F.lit("Z"))).otherwise(F.col("name"))).withColumn("kana", F.when(F.col("c_custkey") % 3 == 2, "").otherwise(F.col("kana")))
     persons = c.filter("c_custkey % 3 < 2").withColumn("image", F.when(F.col("c_custkey") % 3 == 0, "i").otherwise(""))
     return linking.resolve_person(rows, persons).select("c_custkey", "resolved_by")
