@@ -22,6 +22,8 @@ BITS, MOST_BITS = 64, 1 << 28
 ROW_BITS = 32768
 #: Characters of a text that are hashed at a time.
 STRETCH = 500_000
+#: Pairs of a name's beginning and a length that are looked up at a time.
+PAIRS = 1 << 20
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -49,14 +51,14 @@ def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
 
 
-def _whole(first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
-    return _joined(first, last) + np.array([length], np.uint64) * _ODD[1]
+def _whole(first: np.ndarray, last: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return _joined(first, last) + length.astype(np.uint64) * _ODD[1]
 
 
 def _name_hashes(name: str) -> tuple[int, np.ndarray, np.ndarray]:
     """The greatest power of two within the name's length; hashes of its beginning and of all of it, as arrays of one."""
     n, hashes = list(stretches(name, len(name)))[-1]
-    return n, hashes[:1], _whole(hashes[:1], hashes[len(name) - n :][:1], len(name))
+    return n, hashes[:1], _whole(hashes[:1], hashes[len(name) - n :][:1], np.array([len(name)]))
 
 
 class Finder:
@@ -64,9 +66,10 @@ class Finder:
 
     def __init__(self, beginnings: np.ndarray, wholes: np.ndarray, lengths: list[int]):
         self.filters, self.bits = (beginnings, wholes), len(beginnings) * 8
-        self.lengths: dict[int, list[int]] = {}
+        powers: dict[int, list[int]] = {}
         for x in lengths:
-            self.lengths.setdefault(1 << (x.bit_length() - 1), []).append(x)
+            powers.setdefault(1 << (x.bit_length() - 1), []).append(x)
+        self.lengths = {n: np.array(x, np.int64) for n, x in powers.items()}
         self.longest = max(lengths, default=0)
 
     def passed(self, filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -83,11 +86,13 @@ class Finder:
             for n, hashes in stretches(part, self.longest):
                 if n not in self.lengths:
                     continue
-                begins = self.passed(self.filters[0], hashes)
-                for length in self.lengths[n]:
-                    first = begins[: np.searchsorted(begins, len(part) - length, "right")]
-                    whole = _whole(hashes[first], hashes[first + length - n], length)
-                    out.update(part[i : i + length] for i in first[self.passed(self.filters[1], whole)].tolist())
+                begins, lengths = self.passed(self.filters[0], hashes), self.lengths[n]
+                for i in range(0, len(begins), max(1, PAIRS // len(lengths))):
+                    some = begins[i : i + max(1, PAIRS // len(lengths))]
+                    first, length = np.repeat(some, len(lengths)), np.tile(lengths, len(some))
+                    first, length = (x[first + length <= len(part)] for x in (first, length))
+                    found = self.passed(self.filters[1], _whole(hashes[first], hashes[first + length - n], length))
+                    out.update(part[x : x + y] for x, y in zip(first[found].tolist(), length[found].tolist(), strict=True))
         return out
 
 
