@@ -766,12 +766,16 @@ def state_backup(s, d):
 FILE_ROWS = 1000
 
 
+def _block(key: str):
+    """Which of a nation's files a row goes to: keys of all 25 nations follow each other, so a file gets about ``FILE_ROWS``."""
+    return F.floor(F.col(key) / (25 * FILE_ROWS)).alias("block")
+
+
 def _json_lines(s, d):
-    """A JSON array for each nation and thousand customers, with a null element and a nameless one."""
+    """A JSON array for each thousand customers of a nation, with a null element and a nameless one."""
     item = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("group"), F.array(F.lit(" "), F.concat(F.lit("i"), F.col("c_custkey").cast("string"))).alias("images")))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", item.alias("j")))), lambda x: x["j"])
-    block = F.floor(F.col("c_custkey") / FILE_ROWS).alias("block")
-    return read(s, d, "customer").groupBy("c_nationkey", block).agg(F.concat(F.lit('[null,{"name":" "},'), F.array_join(listed, ","), F.lit("]")).alias("value"))
+    return read(s, d, "customer").groupBy("c_nationkey", _block("c_custkey")).agg(F.concat(F.lit('[null,{"name":" "},'), F.array_join(listed, ","), F.lit("]")).alias("value"))
 
 
 def _roster_files(s, d):
@@ -802,7 +806,7 @@ def asset_pool(s, d):
 def keyed_sources(s, d):
     path = new_path(s, "keyed")
     pair = F.concat(F.lit('"'), F.when(F.col("s_suppkey") % 5 == 0, "_").otherwise(""), "s_name", F.lit('": {"n": '), F.col("s_nationkey").cast("string"), F.lit("}"))
-    blocks = read(s, d, "supplier").groupBy("s_nationkey", F.floor(F.col("s_suppkey") / FILE_ROWS).alias("block"))
+    blocks = read(s, d, "supplier").groupBy("s_nationkey", _block("s_suppkey"))
     blocks.agg(F.concat(F.lit("{"), F.array_join(F.collect_list(pair), ", "), F.lit("}")).alias("value")).repartition("s_nationkey", "block").write.partitionBy("s_nationkey", "block").text(path)
     return files.read_keyed_json(s, f"{path}/*/*/*.txt", "struct<n:long>", range_bytes=256).select("key", "value.n")
 

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from kairan.sources.store import stored
 
-#: Bytes of a range, tasks of a pass at most, and bytes that are read on at a time for an element's end.
-RANGE_BYTES, TASKS, MORE = 32 << 20, 10_000, 1 << 16
+#: Bytes of a range, and of a task's ranges, tasks of a pass at most, and bytes that are read on at first for an element's
+#: end (no more than the range has).
+RANGE_BYTES, TASK_BYTES, TASKS, MORE = 32 << 20, 32 << 20, 10_000, 1 << 16
 
 _QUOTE, _ESCAPE, _COMMA = 34, 92, 44
 _DEEPER = np.zeros(256, np.int8)
@@ -65,12 +66,18 @@ def _states(raw: np.ndarray, within: bool, depth: int) -> tuple[np.ndarray, np.n
     return outside, depth + np.cumsum(np.where(outside, _DEEPER[raw], 0))
 
 
+def _dealt(ranges: DataFrame) -> DataFrame:
+    """Ranges over as many tasks as run at once, or more once those have over ``TASK_BYTES``: small ranges share a task."""
+    n, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    tasks = max(ranges.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return ranges.repartition(max(1, min(n, tasks, TASKS)), "path", "start")
+
+
 def _ranges(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
     """``path``, ``size``, ``start``, ``stop`` of all ranges of all files; contents aren't read."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size")).filter("size > 0")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long")))
-    rows = files.select("path", "size", starts.alias("start")).withColumn("stop", F.least(F.col("start") + range_bytes, F.col("size")))
-    return rows.repartition(max(1, min(rows.count(), TASKS)), "path", "start")
+    return _dealt(files.select("path", "size", starts.alias("start")).withColumn("stop", F.least(F.col("start") + range_bytes, F.col("size"))))
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +105,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends = np.flatnonzero(outside & (((raw == _COMMA) & (behind == 1)) | ((_DEEPER[raw] == -1) & (behind == 0))))
                 if len(ends) and ends[-1] >= begins[-1] or a + len(raw) >= size:
                     break
-                more = max(MORE, more * 2)
+                more = more * 2 or min(MORE, stop - start)
                 raw = _read(path, start, stop, size, more)[2]
                 outside, behind = _states(raw, within, depth)
             # broken: something besides blanks outside of the outer brackets, a second pair of them, or no end of them
@@ -138,8 +145,7 @@ def read_elements(spark: SparkSession, path: str, outer: str = "[", range_bytes:
     placed = told.withColumn("inside", F.coalesce(F.sum(F.col("flips").cast("int")).over(before), F.lit(0)) % 2 == 1)
     deeper = F.when(F.col("inside"), F.col("within")).otherwise(F.col("out"))
     placed = placed.select("path", "size", "start", "stop", "inside", F.coalesce(F.sum(deeper).over(before), F.lit(0)).alias("depth"))
-    placed = placed.repartition(max(1, min(told.count(), TASKS)), "path", "start")
-    found = placed.mapInArrow(_elements, "path string, start long, nth long, element string, broken boolean")
+    found = _dealt(placed).mapInArrow(_elements, "path string, start long, nth long, element string, broken boolean")
     text = F.col("element") if outer == "[" else F.concat(F.lit("{"), "element", F.lit("}"))
     parsed = stored(found.withColumn("v", F.when(F.col("nth") >= 0, F.try_parse_json(text))), "elements")
     counts = parsed.groupBy("path", "start").agg(F.count_if(F.col("nth") >= 0).alias("n"))
