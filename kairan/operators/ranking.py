@@ -67,16 +67,18 @@ def balanced_order(df: DataFrame, group: Column, seed: str, id_col: str) -> Data
     return inside.join(order, "_group").drop("_group", "_key")
 
 
-def roster_order(key: str) -> list[Column]:
+def roster_order(key: str, placed: str | None = None) -> list[Column]:
     """Sort columns for ``name_asc``, ``name_desc``, ``district``, ``terms_asc/desc`` or ``year_asc/desc``.
 
-    Names sort by reading, Japanese collation; missing numbers come last in both directions; ids break ties.
+    Names sort by reading, Japanese collation; missing numbers come last in both directions; ids break ties. ``placed``
+    is a column of places in ``name_asc`` where these are known: other orders then compare numbers, not names.
     """
     from kairan.functions.text import clean_district, district_rank
 
     ja = lambda c: F.collate(c, "ja")
     reading = F.coalesce(F.nullif(F.trim("kana"), F.lit("")), F.col("name"))
     name = [ja(reading).asc(), ja(F.col("name")).asc(), F.col("id").asc()]
+    name = [F.col(placed).asc()] if placed else name
     down = key.endswith("_desc")
     if key.startswith("name"):
         return [ja(reading).desc(), ja(F.col("name")).desc(), F.col("id").asc()] if down else name

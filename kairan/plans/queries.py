@@ -478,12 +478,15 @@ _ORDERS = {"name_asc": "name, id", "name_desc": "name DESC, id", "district": "di
 
 @query("roster_order", f"WITH r AS (SELECT *, CASE WHEN id % 4 > 0 THEN 2020 + id % 7 END AS year FROM ({CURR}) WHERE target = 'senators') " + " UNION ALL ".join(f"SELECT '{k}' AS sort, id, row_number() OVER (ORDER BY {o}) AS place FROM r" for k, o in _ORDERS.items()))
 def roster_order(s, d):
-    """The whole roster's places in each of its orders."""
-    rows = curr(s, d).filter("target = 'senators'").drop("key").withColumn("next_election_year", F.when(F.col("id") % 4 > 0, 2020 + F.col("id") % 7))
-    out = None
-    for key in _ORDERS:
-        one = ranking.ranked(rows, [], ranking.roster_order(key), "place").select(F.lit(key).alias("sort"), "id", "place")
-        out = one if out is None else out.unionByName(one)
+    """The whole roster's places in each of its orders; names are sorted up and down once, other orders go by their places."""
+    rows = curr(s, d).filter("target = 'senators'").select("id", "name", "kana", "district", "terms").withColumn("next_election_year", F.when(F.col("id") % 4 > 0, 2020 + F.col("id") % 7))
+    named = ranking.ranked(rows, [], ranking.roster_order("name_asc"), "place")
+    out, placed = named.select(F.lit("name_asc").alias("sort"), "id", "place"), named.withColumnRenamed("place", "_named")
+    needed = {"name_desc": ("name", "kana"), "district": ("district",), "terms": ("terms",), "year": ("next_election_year",)}
+    for key in [k for k in _ORDERS if k != "name_asc"]:
+        lean = placed.select("id", "_named", *(needed.get(key) or needed[key.split("_")[0]]))
+        one = ranking.ranked(lean, [], ranking.roster_order(key, "_named"), "place")
+        out = out.unionByName(one.select(F.lit(key).alias("sort"), "id", "place"))
     return out
 
 
