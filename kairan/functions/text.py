@@ -14,6 +14,8 @@ from pyspark.sql.types import StringType
 
 #: Unicode white space as a character class's content; Java's ``\s`` and Spark's ``trim`` are ASCII only.
 SPACE = r"\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+#: The same characters, one after the other.
+SPACES = "\t\n\v\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Old and new forms of name characters; every form of a group maps to one representative.
 VARIANT_PAIRS = (("髙", "高"), ("﨑", "崎"), ("邊", "辺"), ("邉", "辺"), ("齊", "斉"), ("齋", "斎"), ("澤", "沢"), ("廣", "広"), ("德", "徳"), ("濵", "浜"), ("濱", "浜"), ("嶋", "島"), ("桒", "桑"), ("冨", "富"), ("榮", "栄"))
@@ -43,7 +45,7 @@ def text(col: Column) -> Column:
 
 def trimmed(col: Column) -> Column:
     """Without outer Unicode white space; null becomes empty."""
-    return F.regexp_replace(text(col), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text(col), F.lit(SPACES))
 
 
 def present(col: Column) -> Column:
@@ -56,7 +58,7 @@ def first_present(*cols: Column) -> Column:
 
 
 def squeezed(col: Column) -> Column:
-    return trimmed(F.regexp_replace(text(col), f"[{SPACE}]+", " "))
+    return F.btrim(F.regexp_replace(text(col), f"(?![!-~])[{SPACE}]+", " "), F.lit(" "))  # most characters are told at once
 
 
 def compact(col: Column) -> Column:
