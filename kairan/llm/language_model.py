@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ TASK_WORDS, ROUNDS = 1_000_000, 8
 #: Longer documents are trained on in pieces; a later piece begins with so many words more, which only warm its state up.
 PIECE, WARM = 2_048, 32
 #: Bytes of texts that a task scores side by side, and distinct words that it counts before it passes them on.
-SCORED_BYTES, COUNTED = 8_000_000, 300_000
+SCORED_BYTES, COUNTED = 16_000_000, 300_000
 #: Trained copies that a task averages.
 FAN = 32
 
@@ -77,12 +78,24 @@ class Lexicon:
         """Ids of an encoded text's words and its end; ``rarer`` counts the words that aren't held."""
         get, rare, out = self.ids.get, self.rare, []
         for found in word_parts(raw):
-            out.append(np.fromiter((get(w, rare) for w in found), np.int32, len(found)))
+            out.append(np.fromiter(map(get, found, repeat(rare)), np.int32, len(found)))
             if rarer is not None:
                 rarer.update(found[i] for i in np.flatnonzero(out[-1] == rare).tolist())
         return np.concatenate([*out, np.zeros(1, np.int32)])
 
 
+def _safe(logits: np.ndarray) -> np.ndarray:
+    """Logits, shifted by their rows' maxima where sums of their exponentials could leave single precision's range."""
+    if not (logits.max(initial=0) < 60 and logits.min(initial=0) > -60):
+        logits -= logits.max(1, keepdims=True)
+    return logits
+
+
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """Each row's sum."""
+    return rows @ np.ones(rows.shape[1], rows.dtype)
+
+
 class Network:
     """Gates, class softmax and word softmax; parameters are float32 arrays."""
 
@@ -108,40 +121,53 @@ class Network:
     def steps(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
         """States after each of the window's inputs (lanes x time); ``fresh`` marks documents' starts, which zero the state."""
         n, lanes, time = self.hidden, *inputs.shape
-        x, u = self.p["x"][inputs.T], self.p["h"]
-        out, trail = np.empty((time, lanes, n), np.float32), []
-        on = (~fresh).T.astype(np.float32)[:, :, None]
+        # gates apart, so that each step's operations run over whole arrays
+        xs, us = self.p["x"][inputs.T], self.p["h"]
+        xz, xm = xs[:, :, : 2 * n], xs[:, :, 2 * n :]
+        uz, um = np.ascontiguousarray(us[:, : 2 * n]), np.ascontiguousarray(us[:, 2 * n :])
+        out, on = np.empty((time, lanes, n), np.float32), (~fresh).T.astype(np.float32)[:, :, None]
+        whole = on.all(axis=(1, 2))
+        trail = tuple(np.empty((time, lanes, k * n), np.float32) for k in (1, 1, 2, 1)) if keep else None
         for t in range(time):
-            h = h * on[t]
-            g = h @ u
-            a = x[t, :, : 2 * n] + g[:, : 2 * n]
-            np.clip(a, -30, 30, out=a)
+            if not whole[t]:
+                h = h * on[t]
+            a = h @ uz
+            a += xz[t]
+            np.maximum(a, -30, out=a)  # exp(30) is finite; beyond 30 a gate is 1 in single precision
             np.negative(a, out=a)
             np.exp(a, out=a)
             a += 1
             np.reciprocal(a, out=a)
-            z, r = a[:, :n], a[:, n:]
-            m = np.tanh(x[t, :, 2 * n :] + r * g[:, 2 * n :])
-            before = h
-            h = m + z * (h - m)
-            out[t] = h
+            rec = h @ um
+            m = a[:, n:] * rec
+            m += xm[t]
+            np.tanh(m, out=m)
             if keep:
-                trail.append((before, g, z, r, m))
+                trail[0][t], trail[1][t], trail[2][t], trail[3][t] = h, rec, a, m
+            h = h - m
+            h *= a[:, :n]
+            h += m
+            out[t] = h
         return out, h, on, trail
 
     def log10(self, states: np.ndarray, targets: np.ndarray, lexicon: Lexicon) -> np.ndarray:
         """log10 probabilities of targets (ids) after states; of rarer words only that of their class."""
-        logits = states @ self.p["c"] + self.p["cb"]
+        logits = states @ self.p["c"]
+        logits += self.p["cb"]
         of = lexicon.of[targets]
-        top = logits.max(1, keepdims=True)
-        out = logits[np.arange(len(of)), of] - top[:, 0] - np.log(np.exp(logits - top).sum(1))
-        order = np.argsort(of, kind="stable")
+        out = _safe(logits)[np.arange(len(of)), of]
+        out -= np.log(_sums(np.exp(logits, out=logits)))
+        order = np.argsort(of.astype(np.int16), kind="stable")
         ends = np.searchsorted(of[order], np.arange(lexicon.head_classes + 1))
-        for c in range(lexicon.head_classes):
-            mine = order[ends[c] : ends[c + 1]]
-            if len(mine):
-                s = states[mine] @ self.p["w"][c] + self.p["wb"][c]
-                out[mine] += s[np.arange(len(mine)), targets[mine] - c * CLASS_WORDS] - np.log(np.exp(s - (m := s.max(1, keepdims=True))).sum(1)) - m[:, 0]
+        order = order[: ends[-1]]
+        by_class, aim, more = states[order], targets[order], np.empty(len(order), np.float32)
+        for c in np.flatnonzero(np.diff(ends)):
+            mine = slice(ends[c], ends[c + 1])
+            s = by_class[mine] @ self.p["w"][c]
+            s += self.p["wb"][c]
+            own = _safe(s)[np.arange(len(s)), aim[mine] - c * CLASS_WORDS]
+            more[mine] = own - np.log(_sums(np.exp(s, out=s)))
+        out[order] += more
         return out.astype(np.float64) / np.log(10) + lexicon.within[targets]
 
     def gradients(self, inputs, fresh, targets, mask, h, lexicon):
@@ -152,39 +178,52 @@ class Network:
         states, of = out.reshape(-1, n), lexicon.of[targets.T.ravel()]
         aim, weight = targets.T.ravel(), mask.T.ravel().astype(np.float32) / max(1, mask.sum())
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        logits = states @ p["c"] + p["cb"]
-        soft = np.exp(logits - logits.max(1, keepdims=True))
-        soft /= soft.sum(1, keepdims=True)
+        soft = states @ p["c"]
+        soft += p["cb"]
+        np.exp(_safe(soft), out=soft)
+        soft *= (1 / _sums(soft))[:, None]
         loss = -(np.log(soft[np.arange(len(of)), of] + 1e-12) * weight).sum()
         soft[np.arange(len(of)), of] -= 1
         soft *= weight[:, None]
-        g["c"], g["cb"] = states.T @ soft, soft.sum(0)
+        g["c"], g["cb"] = states.T @ soft, _sums(soft.T)
         d = soft @ p["c"].T
         order = np.argsort(of.astype(np.int16), kind="stable")
         ends = np.searchsorted(of[order], np.arange(lexicon.head_classes + 1))
         by_class, aim, weight, more = states[order], aim[order], weight[order], np.zeros_like(states)
         for c in np.flatnonzero(np.diff(ends)):
             mine = slice(ends[c], ends[c + 1])
-            s = by_class[mine] @ p["w"][c] + p["wb"][c]
-            s = np.exp(s - s.max(1, keepdims=True))
-            s /= s.sum(1, keepdims=True)
+            s = by_class[mine] @ p["w"][c]
+            s += p["wb"][c]
+            np.exp(_safe(s), out=s)
+            s *= (1 / _sums(s))[:, None]
             at = (np.arange(len(s)), aim[mine] - c * CLASS_WORDS)
             loss -= (np.log(s[at] + 1e-12) * weight[mine]).sum()
             s[at] -= 1
             s *= weight[mine, None]
-            g["w"][c], g["wb"][c] = by_class[mine].T @ s, s.sum(0)
+            g["w"][c], g["wb"][c] = by_class[mine].T @ s, _sums(s.T)
             more[mine] = s @ p["w"][c].T
         d[order] += more
         d = d.reshape(time, lanes, n)
-        back, dx, du, befores = np.zeros((lanes, n), states.dtype), *(np.empty((time, lanes, k * n), states.dtype) for k in (3, 3, 1))
+        # all that doesn't depend on later steps at once; backwards, gate by gate
+        befores, rec, gates, m = trail
+        z, r = np.ascontiguousarray(gates[:, :, :n]), np.ascontiguousarray(gates[:, :, n:])
+        to_m = (1 - z) * (1 - m * m)
+        to_z, to_r = (befores - m) * (z * (1 - z)), rec * (r * (1 - r))
+        dx, back, uz, ur, um = np.empty((time, lanes, 3 * n), np.float32), np.zeros((lanes, n), np.float32), *(np.ascontiguousarray(p["h"][:, k * n : (k + 1) * n].T) for k in range(3))
         for t in reversed(range(time)):
-            before, rec, z, r, m = trail[t]
-            dh = d[t] + back
-            am = dh * (1 - z) * (1 - m * m)
-            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dh * (before - m) * z * (1 - z), am * rec[:, 2 * n :] * r * (1 - r), am
-            du[t, :, : 2 * n], du[t, :, 2 * n :], befores[t] = dx[t, :, : 2 * n], am * r, before
-            back = (dh * z + du[t] @ p["h"].T) * on[t]
-        g["h"] = befores.reshape(-1, n).T @ du.reshape(-1, 3 * n)
+            back += d[t]
+            dz, am = back * to_z[t], back * to_m[t]
+            dr = am * to_r[t]
+            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, am
+            back *= z[t]
+            back += dz @ uz
+            back += dr @ ur
+            am *= r[t]
+            back += am @ um
+            back *= on[t]
+        du = dx.reshape(-1, 3 * n).copy()
+        du[:, 2 * n :] *= r.reshape(-1, n)
+        g["h"] = befores.reshape(-1, n).T @ du
         read = inputs.T.ravel().astype(np.int16)
         order = np.argsort(read, kind="stable")
         firsts = np.flatnonzero(np.diff(read[order], prepend=-1))
